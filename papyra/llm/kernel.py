@@ -160,3 +160,22 @@ def shingle_sets(found: Words, n: int) -> Iterator[tuple[int, np.ndarray]]:
 
 def long_array(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
+
+
+def word_counts(column: pa.Array, chunk: int = 1 << 23) -> np.ndarray:
+    """Words ([^\\x20\\x09-\\x0D]+) of each row; nulls have none."""
+    data, offsets = string_views(column)
+    out = np.zeros(len(offsets) - 1, np.int64)
+    lo = 0
+    while lo < len(out):
+        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + chunk, side="right")) - 1)
+        at = offsets[lo : hi + 1] - offsets[lo]
+        inside = NOT_SPACE[data[offsets[lo] : offsets[hi]]]
+        begins = inside.copy()
+        if len(begins):
+            begins[1:] &= ~inside[:-1]
+            first = at[:-1][at[:-1] < len(begins)]
+            begins[first] = inside[first]
+        out[lo:hi] = np.diff(np.searchsorted(np.flatnonzero(begins), at))
+        lo = hi
+    return out
