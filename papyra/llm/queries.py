@@ -7,16 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from papyra.llm.decontam import benchmark_leaks
+from papyra.llm.html import main_text
 from papyra.llm.linededup import drop_boilerplate_lines
 from papyra.llm.minhash import near_duplicates
 from papyra.llm.mixing import mix_sources, words_taken
 from papyra.llm.toxicity import score_toxicity
+from papyra.llm.warc import archive_round_trip
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = archive_round_trip(_table(spark, sf_dir, "pages"))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
@@ -34,15 +41,21 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted")
 
 
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(_table(spark, sf_dir, "pages"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_boilerplate_lines(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": op1_warc,
     "op4_minhash": op4_minhash,
     "op5_decontamination": op5_decontamination,
     "op7_mixing": op7_mixing,
     "op8_toxicity": op8_toxicity,
+    "op9_html": op9_html,
     "op10_line_dedup": op10_line_dedup,
 }
 
