@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from papyra.llm.decontam import benchmark_leaks
 from papyra.llm.html import main_text
 from papyra.llm.linededup import drop_boilerplate_lines
 from papyra.llm.minhash import near_duplicates
 from papyra.llm.mixing import mix_sources, words_taken
+from papyra.llm.resample import resample
 from papyra.llm.toxicity import score_toxicity
 from papyra.llm.warc import archive_round_trip
 
@@ -24,6 +26,13 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As large a share of all documents as labels have of quality 1, drawn to be like those."""
+    labels = _table(spark, sf_dir, "labels").where("quality IS NOT NULL")
+    share = labels.agg(F.avg((F.col("quality") == 1).cast("double"))).first()[0]
+    return resample(_table(spark, sf_dir, "documents"), labels.where("quality = 1"), fraction=1.0 if share is None else share)
+
+
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
@@ -51,6 +60,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
+    "op3_resample": op3_resample,
     "op4_minhash": op4_minhash,
     "op5_decontamination": op5_decontamination,
     "op7_mixing": op7_mixing,
