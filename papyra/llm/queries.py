@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from papyra.llm.decontam import benchmark_leaks
 from papyra.llm.html import main_text
 from papyra.llm.linededup import drop_boilerplate_lines
+from papyra.llm.lm import score_texts
 from papyra.llm.minhash import near_duplicates
 from papyra.llm.mixing import mix_sources, words_taken
 from papyra.llm.resample import resample
@@ -26,6 +27,10 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(_table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 7 == 2)
+
+
 def op3_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As large a share of all documents as labels have of quality 1, drawn to be like those."""
     labels = _table(spark, sf_dir, "labels").where("quality IS NOT NULL")
@@ -60,6 +65,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
+    "op2_lm_score": op2_lm_score,
     "op3_resample": op3_resample,
     "op4_minhash": op4_minhash,
     "op5_decontamination": op5_decontamination,
