@@ -13,6 +13,7 @@ from papyra.llm.linededup import drop_boilerplate_lines
 from papyra.llm.lm import score_texts
 from papyra.llm.minhash import near_duplicates
 from papyra.llm.mixing import mix_sources, words_taken
+from papyra.llm.nndescent import near_embeddings
 from papyra.llm.resample import resample
 from papyra.llm.toxicity import score_toxicity
 from papyra.llm.warc import archive_round_trip
@@ -46,6 +47,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return benchmark_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op6_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_embeddings(_table(spark, sf_dir, "embeddings"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words_taken(mix_sources(_table(spark, sf_dir, "documents"))).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -69,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_resample": op3_resample,
     "op4_minhash": op4_minhash,
     "op5_decontamination": op5_decontamination,
+    "op6_nn_descent": op6_nn_descent,
     "op7_mixing": op7_mixing,
     "op8_toxicity": op8_toxicity,
     "op9_html": op9_html,
