@@ -1,8 +1,8 @@
 """Near-duplicate embeddings by NN-descent over representatives.
 
-1. Equal vectors of a label are one class.  Classes within half the threshold's angle of a
-   leader form a ball: by the triangle inequality any two of its members are linked, so
-   their links are counted without comparing them.
+1. Equal vectors of a label are one class.  Classes linked with a leader form its ball.  In
+   a ball within half the threshold's angle any two members are linked by the triangle
+   inequality, so they are counted without being compared; other balls are compared inside.
 2. NN-descent over the leaders of each label: lists start from hyperplane buckets, and each
    round compares the neighbours of a node with each other, where one of them is new.  A
    list full of neighbours near enough for a link is doubled.
@@ -79,8 +79,7 @@ def _angles(pairs: DataFrame, a: str, b: str, keep: list[str], least: float = -2
 
 
 def balls(classes: DataFrame, cosine: float, scratch: Scratch, rounds: int = 3, bits: int = 10) -> DataFrame:
-    """cid, ball, r: the leader of each class (itself at first) and the angle to it, at most half the threshold's."""
-    near = math.cos(math.acos(cosine) / 2 - 1e-6)
+    """cid, ball, r: the leader of each class (itself at first), with which it is linked, and the angle to it."""
     ball = scratch.save(classes.select("cid", F.col("cid").alias("ball"), F.lit(0.0).alias("r"), F.lit(False).alias("leads")), "balls")
     for k in range(rounds):
         free = classes.join(ball.where("ball = cid").select("cid", "leads"), "cid")
@@ -89,7 +88,7 @@ def balls(classes: DataFrame, cosine: float, scratch: Scratch, rounds: int = 3,
         leaders = coded.groupBy("bucket").agg(F.min(order).alias("o"), F.count("*").alias("n")).where("n > 1").select("bucket", "o.leader")
         leaders = leaders.join(classes.select(F.col("cid").alias("leader"), F.col("vector").alias("vector_l"), F.col("label").alias("label_l")), "leader")
         pairs = coded.where("NOT leads").join(leaders, "bucket").where("cid <> leader AND label = label_l AND size(vector) = size(vector_l)")
-        joined = _angles(pairs, "vector", "vector_l", ["cid", "leader"], near)
+        joined = _angles(pairs, "vector", "vector_l", ["cid", "leader"], cosine)
         joined = joined.select("cid", "leader", F.acos(F.least(F.lit(1.0), "cosine")).alias("angle"))
         # a leader that others join this round must not join another
         joined = scratch.save(joined, "joined")
@@ -178,15 +177,17 @@ def descend(nodes: DataFrame, edges: DataFrame, near: float, k: int, scratch: Sc
 
 
 def _members(parts: DataFrame) -> DataFrame:
-    """ball, chunk, ids, vectors: the members of each ball in packs of CHUNK at most."""
+    """ball, pack, own: the members of each ball in packs of CHUNK at most."""
     number = F.row_number().over(Window.partitionBy("ball", "part").orderBy("cid"))
     # balls are split before they are numbered, so none is numbered by one task
     split = parts.withColumn("part", F.pmod(F.xxhash64("cid"), F.lit(16)))
     packs = split.withColumn("chunk", F.floor((number - 1) / CHUNK)).groupBy("ball", "part", "chunk")
-    return packs.agg(F.collect_list(F.struct("cid", "m", "vector")).alias("own")).drop("part", "chunk")
+    return packs.agg(F.collect_list(F.struct("cid", "m", "vector")).alias("own")).withColumn("pack", F.col("chunk") * 16 + F.col("part")).select("ball", "pack", "own")
 
 
 def _compare(cosine: float):
+    """Rows (cid, n, a, b): how many rows of the other pack a class is linked with; of its own pack, itself left out."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for k in range(whole.num_rows):
@@ -196,11 +197,14 @@ def _compare(cosine: float):
                     own = batch.column(name).flatten()
                     sides.append((own.field("cid").to_numpy(), own.field("m").to_numpy(), _unit(own.field("vector"))))
                 (ia, ma, xa), (ib, mb, xb) = sides
+                a, b = batch.column("a")[0].as_py(), batch.column("b")[0].as_py()
                 hit = xa @ xb.T >= cosine
-                na, nb = hit @ mb, hit.T @ ma
-                ids, n = np.concatenate([ia, ib]), np.concatenate([na, nb])
+                if a == b and batch.column("pack_a")[0].as_py() == batch.column("pack_b")[0].as_py():
+                    np.fill_diagonal(hit, True)
+                    ids, n = ia, hit @ mb - 1
+                else:
+                    ids, n = np.concatenate([ia, ib]), np.concatenate([hit @ mb, hit.T @ ma])
                 keep = n > 0
-                a, b = batch.column("a")[0].as_py(), batch.column("b")[0].as_py()
                 size = int(keep.sum())
                 yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(n[keep].astype(np.int64)), pa.array([a] * size, pa.int64()), pa.array([b] * size, pa.int64())], ["cid", "n", "a", "b"])
 
@@ -230,7 +234,7 @@ def _audit(classes: DataFrame, queries: int, cosine: float) -> DataFrame:
 
 
 def near_embeddings(
-    rows: DataFrame, *, cosine: float = 0.98, k: int = 10, bits: int = 8, planes: int = 3, max_rounds: int = 6, goal: float = 0.97, queries: int = 512, attempts: int = 3
+    rows: DataFrame, *, cosine: float = 0.98, k: int = 10, bits: int = 8, planes: int = 3, max_rounds: int = 10, goal: float = 0.97, queries: int = 512, attempts: int = 3
 ) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of rows (vec_id, embedding, label).
 
@@ -256,7 +260,9 @@ def near_embeddings(
     nodes = scratch.save(classes.select("cid", "label", "vector").join(spread.select(F.col("ball").alias("cid")), "cid"), "nodes")
     unit = F.transform("vector", lambda x: x / F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, y: s + y * y)))
     nodes = scratch.save(nodes.withColumn("vector", unit), "nodes")
-    near = math.cos(min(math.pi, 2 * math.acos(cosine)))
+    theta = math.acos(cosine)
+    near = math.cos(min(math.pi, 3 * theta))  # leaders of two balls with a link
+    tight = F.col("r") <= theta / 2 - 1e-6
 
     found = None
     for attempt in range(attempts):
@@ -266,14 +272,15 @@ def near_embeddings(
         close = graph.where(F.col("cosine") >= near - SLACK).select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "cosine").groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
         side = lambda s: spread.select(F.col("ball").alias(s), F.col("r").alias(f"r_{s}"), F.col("rows").alias(f"rows_{s}"))  # noqa: B023, E731
         close = scratch.save(close.join(side("a"), "a").join(side("b"), "b").withColumn("angle", F.acos(F.least(F.lit(1.0), "cosine")) + F.col("r_a") + F.col("r_b")), "close")
-        whole = close.where(F.col("angle") <= math.acos(cosine) - 1e-6)
+        whole = close.where(F.col("angle") <= theta - 1e-6)
         packs = scratch.save(_members(parts), "packs")
-        pairs = close.where(F.col("angle") > math.acos(cosine) - 1e-6).select("a", "b")
-        pairs = pairs.join(packs.select(F.col("ball").alias("a"), F.col("own").alias("own_a")), "a").join(packs.select(F.col("ball").alias("b"), F.col("own").alias("own_b")), "b")
+        pairs = close.where(F.col("angle") > theta - 1e-6).select("a", "b").unionAll(spread.where(~tight).select(F.col("ball").alias("a"), F.col("ball").alias("b")))
+        side = lambda s: packs.select(*[F.col(c).alias(n + s) for c, n in (("ball", ""), ("own", "own_"), ("pack", "pack_"))])  # noqa: B023, E731
+        pairs = pairs.join(side("a"), "a").join(side("b"), "b").where("a <> b OR pack_a <= pack_b")
         compared = scratch.save(pairs.mapInArrow(_compare(cosine), "cid long, n long, a long, b long"), "compared")
         per_ball = whole.select(F.col("a").alias("ball"), F.col("rows_b").alias("n")).unionAll(whole.select(F.col("b").alias("ball"), F.col("rows_a").alias("n"))).groupBy("ball").agg(F.sum("n").alias("all_of"))
-        links = parts.join(spread.select("ball", "rows"), "ball").join(per_ball, "ball", "left").join(compared.groupBy("cid").agg(F.sum("n").alias("some")), "cid", "left")
-        links = links.select("cid", "ball", "label", "vector", (F.col("rows") - 1 + F.coalesce("all_of", F.lit(0)) + F.coalesce("some", F.lit(0))).cast("long").alias("n_links"))
+        links = parts.join(spread.select("ball", F.when(tight, F.col("rows") - 1).otherwise(0).alias("inside")), "ball").join(per_ball, "ball", "left").join(compared.groupBy("cid").agg(F.sum("n").alias("some")), "cid", "left")
+        links = links.select("cid", "ball", "label", "vector", (F.col("inside") + F.coalesce("all_of", F.lit(0)) + F.coalesce("some", F.lit(0))).cast("long").alias("n_links"))
         links = scratch.save(links, "links")
         seen = _audit(classes, queries, cosine).join(links.select("cid", "n_links"), "cid").agg(F.sum("truth"), F.sum(F.least("truth", "n_links"))).first()
         if not seen[0] or seen[1] >= goal * seen[0]:
