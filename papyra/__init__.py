@@ -1,0 +1 @@
+"""Spark-native analytics over a bibliographic document library."""
