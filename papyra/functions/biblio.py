@@ -18,7 +18,7 @@ VERSION_LABELS = {"published": "Published", "workingPaper": "Working Paper", "pr
 def split_authors(authors: Column) -> Column:
     """Authors at semicolons where there are any, else at ' and ' and ' & '."""
     at = F.when(authors.contains(";"), F.split(authors, ";")).otherwise(F.split(authors, r"\s+and\s+|\s+&\s+"))
-    return F.filter(F.transform(at, F.trim), lambda a: a != "")
+    return F.filter(F.transform(at, lambda x: F.trim(x)), lambda a: a != "")
 
 
 def surname(author: Column) -> Column:

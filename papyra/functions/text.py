@@ -70,7 +70,7 @@ def cjk_bigrams(value: Column) -> Column:
     """Neighbouring pairs of all CJK characters (U+3400 to U+9FFF), joined across gaps; a single one alone."""
     own = F.filter(F.split(F.regexp_replace(value, r"[^\u3400-\u9FFF]", ""), ""), lambda c: c != "")
     n = F.size(own)
-    pairs = F.zip_with(F.slice(own, 1, F.greatest(n - 1, F.lit(0))), F.slice(own, 2, F.greatest(n - 1, F.lit(0))), F.concat)
+    pairs = F.zip_with(F.slice(own, 1, F.greatest(n - 1, F.lit(0))), F.slice(own, 2, F.greatest(n - 1, F.lit(0))), lambda a, b: F.concat(a, b))
     return F.when(n <= 1, own).otherwise(pairs)
 
 
@@ -83,7 +83,7 @@ def page_text(value: Column) -> Column:
     """Unix line ends, words hyphenated over a line end joined, lines trimmed, one pass of blank-line collapsing."""
     text = F.regexp_replace(value, "\r\n?", "\n")
     text = F.replace(text, F.lit("-\n"), F.lit(""))
-    text = F.array_join(F.transform(F.split(text, "\n"), F.trim), "\n")
+    text = F.array_join(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), "\n")
     return F.trim(F.replace(text, F.lit("\n\n\n"), F.lit("\n\n")))
 
 
@@ -118,6 +118,6 @@ def palette_index(name: Column, colours: int = 6) -> Column:
 
 def edit_issue_notes(notes: Column, note: str, add: bool) -> Column:
     """A ；-separated list with ``note`` appended (once) or removed."""
-    own = F.filter(F.transform(F.split(F.coalesce(notes, F.lit("")), "；"), F.trim), lambda x: (x != "") & (x != note))
+    own = F.filter(F.transform(F.split(F.coalesce(notes, F.lit("")), "；"), lambda x: F.trim(x)), lambda x: (x != "") & (x != note))
     own = F.array_append(own, F.lit(note)) if add else own
     return F.array_join(own, "；")

@@ -29,6 +29,10 @@ def metadata_text(*fields: Column) -> Column:
     return F.concat_ws("\n", *[F.nullif(f.cast("string"), F.lit("")) for f in fields])
 
 
+def _holds(term: str):
+    return lambda field: field.contains(term)
+
+
 def text_matches(fields: Column, query: str, mode: str) -> Column:
     """Whether an array of normalised fields matches.
 
@@ -40,7 +44,7 @@ def text_matches(fields: Column, query: str, mode: str) -> Column:
     if mode == "exactPhrase":
         phrase = phrase_of(query)
         return F.exists(fields, lambda f: f.contains(phrase)) if phrase else F.lit(False)
-    tests = [F.exists(fields, lambda f, t=t: f.contains(t)) for t in query_terms(query)]
+    tests = [F.exists(fields, _holds(t)) for t in query_terms(query)]
     if not tests:
         return F.lit(False)
     return reduce((lambda a, b: a & b) if mode == "allTerms" else (lambda a, b: a | b), tests)
@@ -108,7 +112,7 @@ def can_mark_reviewed(missing_file: str = "missing file") -> Column:
 
 def group_hits(groups: dict[str, tuple[int, Column]], terms: list[str]) -> Column:
     """array<struct<weight, hits, name>> of field groups (name -> weight, normalised fields)."""
-    hits = lambda own: sum((F.exists(own, lambda f, t=t: f.contains(t)).cast("int") for t in terms), F.lit(0))
+    hits = lambda own: sum((F.exists(own, _holds(t)).cast("int") for t in terms), F.lit(0))
     return F.array(*[F.struct(F.lit(w).alias("weight"), hits(own).alias("hits"), F.lit(n).alias("name")) for n, (w, own) in groups.items()])
 
 

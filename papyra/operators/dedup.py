@@ -7,6 +7,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from papyra.functions.identifiers import identifier_key
 from papyra.functions.text import jaccard, token_set, tokens
@@ -16,7 +17,7 @@ IDENTIFIERS = ("doi", "nber", "ssrn", "arxiv", "repec")
 FNV_OFFSET, FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _simhash(words: pd.Series) -> pd.Series:
     known: dict[str, np.ndarray] = {}
     bits = np.arange(64, dtype=np.uint64)

@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from papyra.functions.text import fold, jaccard, token_set
 from papyra.functions.values import minmax
@@ -53,7 +54,7 @@ def normalized(v: Column, dimensions: int) -> Column:
     return F.when(sound, F.transform(v, lambda x: x.cast("double") / norm(v)))
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(T.ArrayType(T.FloatType()))
 def half_precision(v: pd.Series) -> pd.Series:
     """Vectors as they come back from 16-bit storage."""
     return v.map(lambda x: None if x is None else np.asarray(x, np.float16).astype(np.float32))
