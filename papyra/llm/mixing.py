@@ -229,7 +229,7 @@ def words_taken(mixed: Mix) -> DataFrame:
 def mixed_texts(mixed: Mix, docs: DataFrame) -> DataFrame:
     """shard, slot, source, doc_id, first_word, n_words, text: the mix itself, a row for each piece of a slot."""
     per_doc = mixed.pieces.groupBy("sid", "start").agg(F.collect_list(F.struct("shard", "slot", "first_word", "n_words")).alias("pieces"))
-    named = mixed.docs.select("sid", "start", "doc_id", "source", "tie").join(per_doc, ["sid", "start"])
+    named = mixed.docs.where("size > 0").select("sid", "start", "doc_id", "source", "tie").join(per_doc, ["sid", "start"])
     # of rows with one doc_id and text any one will do: they are numbered alike on both sides
     number = F.row_number().over(Window.partitionBy("doc_id", "tie").orderBy("source"))
     named = named.withColumn("k", number).drop("sid", "start")
