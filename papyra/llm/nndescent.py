@@ -116,7 +116,7 @@ def first_lists(nodes: DataFrame, seeds: range, bits: int, k: int) -> DataFrame:
     out = None
     for seed in seeds:
         coded = _buckets(nodes, seed, bits)
-        turn = Window.partitionBy("bucket").orderBy(F.element_at("vector", 1 + seed % 7), "cid")
+        turn = Window.partitionBy("bucket").orderBy(F.try_element_at("vector", F.lit(1 + seed % 7)), "cid")
         for step in (1, 2, 3):
             near = coded.select("cid", "vector", F.lead("cid", step).over(turn).alias("q"), F.lead("vector", step).over(turn).alias("vector_q"))
             pairs = near.where("q IS NOT NULL").select(F.col("cid").alias("p"), "q", "vector", "vector_q")
@@ -158,8 +158,8 @@ def descend(nodes: DataFrame, edges: DataFrame, near: float, k: int, scratch: Sc
         around = _best(graph.select("p", "q", "cosine", "fresh").unionAll(reverse), sizes, 2 * k).drop("rank", "cosine")
         kth = graph.groupBy(F.col("p").alias("q")).agg(F.when(F.count("*") >= k, F.min("cosine")).otherwise(F.lit(-2.0)).alias("kth"))
         rows = around.join(nodes.select(F.col("cid").alias("q"), "vector"), "q").join(kth, "q", "left").withColumn("kth", F.coalesce("kth", F.lit(-2.0)))
-        rows = rows.withColumn("g", F.pmod(F.xxhash64("p"), F.lit(groups)))
-        found = rows.groupBy("g").applyInArrow(_local_join, "p long, q long, cosine double").withColumn("fresh", F.lit(True))
+        rows = rows.withColumn("g", F.pmod(F.xxhash64("p"), F.lit(groups))).withColumn("d", F.size("vector"))
+        found = rows.groupBy("g", "d").applyInArrow(_local_join, "p long, q long, cosine double").withColumn("fresh", F.lit(True))
         old = graph.select("p", "q", "cosine", F.lit(False).alias("fresh"))
         nxt = scratch.save(_best(old.unionAll(found.select("p", "q", "cosine", "fresh")), sizes, k), "graph")
         scratch.drop(graph)
