@@ -60,9 +60,10 @@ def mark_reviewed(works: DataFrame, eligible: Column) -> DataFrame:
     return works.withColumn("marked", F.coalesce(eligible & F.col("needs_review"), F.lit(False))).withColumn("needs_review", F.when(eligible, F.lit(False)).otherwise(F.col("needs_review")))
 
 
-def add_tags(bridge: DataFrame, works: DataFrame, tags: DataFrame) -> DataFrame:
-    """The bridge with every tag on every work, each once.  Both selections are a user's, so small."""
-    return bridge.select("work_id", "tag").union(works.select("work_id").crossJoin(F.broadcast(tags.select("tag").limit(1000)))).distinct()
+def add_tags(bridge: DataFrame, works: DataFrame, tags: list[str]) -> DataFrame:
+    """The bridge with each of a user's tags on every work, each once."""
+    added = works.select("work_id", F.explode(F.array(*[F.lit(t) for t in tags])).alias("tag"))
+    return bridge.select("work_id", "tag").union(added).distinct()
 
 
 def remove_tags(bridge: DataFrame, works: DataFrame, tags: DataFrame) -> DataFrame:

@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from papyra.functions import text as tx
 from papyra.functions import values as va
-from papyra.operators import catalog, dedup, fts, ledger, reconcile, retrieval, state
-from papyra.operators.chunking import chunk_pages, margin_lines
+from papyra.operators import catalog, fts, retrieval
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}

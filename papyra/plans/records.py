@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papyra.functions import biblio, identifiers
 from papyra.functions import text as tx
 from papyra.functions import values as va
-from papyra.operators import dedup, ledger, reconcile, retrieval, state
+from papyra.operators import dedup, ledger, reconcile, state
 from papyra.operators.chunking import chunk_pages, extractable, margin_lines
-from papyra.plans.catalogue import FOLD, ORACLES, QUERIES, W, chunks, jaccard_sql, query, read, tokens_sql, vectors, works
+from papyra.plans.catalogue import ORACLES, QUERIES, W, chunks, jaccard_sql, query, read, tokens_sql, works
 from papyra.sources import files
 from papyra.sources.bibtex import parse_bibtex
 
@@ -442,7 +442,7 @@ def tags_add_remove(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
     own = lambda s: docs.where(F.col("source") == s).select(F.col("doc_id").alias("work_id"))
     bridge = docs.select(F.col("doc_id").alias("work_id"), F.col("lang").alias("tag"))
-    added = state.add_tags(bridge, own("src1"), literal(spark, [("new",)], "tag string"))
+    added = state.add_tags(bridge, own("src1"), ["new"])
     return state.remove_tags(added, own("src2"), literal(spark, [("fr",)], "tag string"))
 
 
