@@ -27,8 +27,8 @@ BROADCAST_BYTES = 16 << 20
 SHARD_SLOTS = 2048
 
 
-def permute(index: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """A pseudorandom permutation of 0..size-1 for each key: a Feistel network, walked until in range."""
+def permute(index: np.ndarray, size: np.ndarray, key: np.ndarray, inverse: bool = False) -> np.ndarray:
+    """A pseudorandom permutation of 0..size-1 for each key, or its inverse: a Feistel network, walked until in range."""
     bits = np.maximum(2, np.ceil(np.log2(np.maximum(size, 2))).astype(np.int64))
     half = ((bits + 1) // 2).astype(np.uint64)
     mask = (U(1) << half) - U(1)
@@ -36,9 +36,10 @@ def permute(index: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray:
     left = np.arange(len(index))
     while len(left):
         h, m, k = half[left], mask[left], key.astype(np.uint64)[left]
+        scramble = lambda v, step: mix(v * U(0x9E3779B97F4A7C15) + k + U(step)) & m  # noqa: B023, E731
         a, b = x[left] >> h, x[left] & m
-        for step in range(4):
-            a, b = b, a ^ (mix(b * U(0x9E3779B97F4A7C15) + k + U(step)) & m)
+        for step in range(3, -1, -1) if inverse else range(4):
+            a, b = (b ^ scramble(a, step), a) if inverse else (b, a ^ scramble(b, step))
         x[left] = (a << h) | b
         inside = x[left] < size.astype(np.uint64)[left]
         out[left[inside]] = x[left[inside]].astype(np.int64)
@@ -114,7 +115,7 @@ def _quotas(sources: pd.DataFrame, block: int, seed: int) -> pd.DataFrame:
     s["rest"] = quota % size
     last = s["blocks"].to_numpy() - 1
     # where, in the pass that is not whole, the source's last and shorter block comes
-    where = np.array([_place(int(b), int(l), int(k)) for b, l, k in zip(s["blocks"], last, _keys(s["sid"].to_numpy(), s["passes"].to_numpy(), seed), strict=True)], dtype=np.int64)
+    where = permute(last, s["blocks"].to_numpy(), _keys(s["sid"].to_numpy(), s["passes"].to_numpy(), seed), inverse=True)
     short = block - (size - last * block)
     slots = -(-s["rest"].to_numpy() // block)
     slots = np.where(where < slots, -(-(s["rest"].to_numpy() + short) // block), slots)
@@ -127,16 +128,6 @@ def _keys(sid: np.ndarray, passes: np.ndarray, seed: int) -> np.ndarray:
     return mix(sid.astype(np.uint64) * U(0x9E3779B97F4A7C15) + passes.astype(np.uint64) * U(0xC2B2AE3D27D4EB4F) + U(seed))
 
 
-def _place(size: int, value: int, key: int) -> int:
-    """The index that permute() sends to value, found over the source's block numbers."""
-    for lo in range(0, size, 1 << 20):
-        index = np.arange(lo, min(size, lo + (1 << 20)))
-        at = np.flatnonzero(permute(index, np.full(len(index), size), np.full(len(index), key, np.uint64)) == value)
-        if len(at):
-            return lo + int(at[0])
-    raise AssertionError("not a permutation")
-
-
 def mix_sources(
     docs: DataFrame, *, weights: tuple[int, ...] = (3, 1, 2), total_share: float = 1.5, most: float = 2.0, block_words: int = 512, seed: int = 3
 ) -> Mix:

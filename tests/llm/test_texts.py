@@ -220,3 +220,14 @@ def test_toxicity_on_held_out_rows(spark, sf_dir):
     assert got.where("doc_id IS NULL").first()["held_out"] is False
     one = score_toxicity(docs.limit(5), labels.where("toxic = 0"))
     assert one.count() == 5
+
+
+def test_permutations_and_their_inverse():
+    import numpy as np
+
+    from papyra.llm.mixing import permute
+
+    for n in (1, 2, 3, 17, 1000, 4097):
+        i, size, key = np.arange(n), np.full(n, n), np.full(n, 99, np.uint64)
+        out = permute(i, size, key)
+        assert sorted(out) == list(range(n)) and (permute(out, size, key, inverse=True) == i).all()
