@@ -93,8 +93,9 @@ def is_valid_part(text: Column, number: Column) -> Column:
 
 
 def part_count_reply(reply: Column) -> Column:
-    n = F.expr("try_cast(trim({0}) AS INT)".format("reply")) if isinstance(reply, str) else reply.try_cast("int")
-    return F.when(n.between(1, 99), n)
+    """A reply that is a whole number from 1 to 99; else null."""
+    n = F.trim(reply).try_cast("int")
+    return F.when(F.trim(reply).rlike(r"^\d+$") & n.between(1, 99), n)
 
 
 def minmax(value: Column, over) -> Column:
@@ -113,3 +114,47 @@ def simhash_similarity(a: Column, b: Column) -> Column:
 
 def page_description(first: Column, last: Column) -> Column:
     return F.when(first == last, F.format_string("第 %d 页", first)).otherwise(F.format_string("第 %d–%d 页", first, last))
+
+
+def strength_schedule(steps: Column, start: int = 1, most: int = 5, every: int = 3) -> Column:
+    """The strength after each successful part of an ordered array of strengths used.
+
+    ``every`` successes at the current strength raise it by one, up to ``most``; a step with a
+    greater strength jumps there and counts anew.
+    """
+    state = lambda s, n: F.struct(s.alias("strength"), n.alias("run"))
+
+    def step(acc: Column, used: Column) -> Column:
+        jumped = used > acc["strength"]
+        run = F.when(jumped, F.lit(1)).otherwise(acc["run"] + 1)
+        base = F.greatest(acc["strength"], used)
+        up = (run >= every) & (base < most)
+        return state(F.when(up, base + 1).otherwise(base), F.when(up, F.lit(0)).otherwise(run))
+
+    return F.aggregate(steps, state(F.lit(start), F.lit(0)), step)["strength"]
+
+
+def clamped(value: Column, low: float, high: float) -> Column:
+    return F.least(F.greatest(value, F.lit(low)), F.lit(high))
+
+
+def fraction_completed(done: Column, total: Column) -> Column:
+    return F.when(total > 0, clamped(done / total, 0.0, 1.0)).otherwise(F.lit(0.0))
+
+
+def evidence_fields(*fields: Column) -> Column:
+    """The present ones of a record's evidence fields."""
+    return F.array_compact(F.array(*fields))
+
+
+def only_pages_differ(original: Column, corrected: Column) -> Column:
+    """Whether two records, maps of field -> struct(value, status, confidence, pages, evidence), differ in pages alone."""
+    rest = lambda m: F.array_sort(F.transform(F.map_entries(m), lambda e: F.struct(e["key"].alias("key"), e["value"]["value"].alias("v"), e["value"]["status"].alias("s"), e["value"]["confidence"].alias("c"), e["value"]["evidence"].alias("e"))))
+    pages = lambda m: F.array_sort(F.transform(F.map_entries(m), lambda e: F.struct(e["key"].alias("key"), e["value"]["pages"].alias("p"))))
+    return (rest(original) == rest(corrected)) & (pages(original) != pages(corrected))
+
+
+def chosen_correction(original: Column, corrected: Column, n: Column) -> Column:
+    """The corrected record where it differs in pages alone and all its pages exist; else the original."""
+    valid = ~F.exists(F.map_values(corrected), lambda f: F.coalesce(has_invalid_pages(f["pages"], n), F.lit(False)))
+    return F.when(corrected.isNotNull() & only_pages_differ(original, corrected) & valid, corrected).otherwise(original)

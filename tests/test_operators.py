@@ -237,3 +237,15 @@ def test_streams(spark, tmp_path):
     rows = spark.createDataFrame([(k, "bad" if k == 3 else "x" * k) for k in range(6)], "chunk_id int, text string").coalesce(1)
     got = {r["chunk_id"]: (r["vector"], r["error"]) for r in upkeep.embed_batches(rows, embed).collect()}
     assert got[3] == (None, "no") and got[5] == ([5.0], None)
+
+
+def test_small_rules(spark):
+    df = spark.createDataFrame([([1, 1, 1, 2, 2, 2],), ([1, 4, 4, 4],), ([],)], "s array<int>")
+    assert [r[0] for r in df.select(values.strength_schedule(F.col("s"))).collect()] == [3, 5, 1]
+    got = [r[0] for r in spark.createDataFrame([("7",), (" 100 ",), ("x",), ("1.0",)], "r string").select(values.part_count_reply(F.col("r"))).collect()]
+    assert got == [7, None, None, None]
+    assert one(spark, values.fraction_completed(F.col("a"), F.col("b")), a=3, b=4) == 0.75 and one(spark, values.fraction_completed(F.col("a"), F.col("b")), a=3, b=0) == 0.0
+    field = "map<string,struct<value:string,status:string,confidence:double,pages:array<int>,evidence:string>>"
+    rows = [({"a": ("x", "explicit", 1.0, [9], "e")}, {"a": ("x", "explicit", 1.0, p, "e")} if ok else {"a": ("y", "explicit", 1.0, [1], "e")}) for p, ok in (([2], True), ([7], True), ([1], False))]
+    df = spark.createDataFrame(rows, f"o {field}, c {field}")
+    assert [r[0]["a"]["pages"] for r in df.select(values.chosen_correction(F.col("o"), F.col("c"), F.lit(5))).collect()] == [[2], [9], [9]]
