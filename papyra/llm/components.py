@@ -22,7 +22,8 @@ def _star(edges: DataFrame, small: bool) -> DataFrame:
         out = joined.select(F.col("v").alias("a"), "m").unionAll(least.select(F.col("u").alias("a"), "m"))
     else:
         out = joined.where("v > u").select(F.col("v").alias("a"), "m")
-    return out.where("a <> m").select(F.col("a").alias("u"), F.col("m").alias("v")).distinct()
+    out = out.where("a <> m").select(F.col("a").alias("u"), F.col("m").alias("v"))
+    return out.distinct() if small else out
 
 
 def connected_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60) -> DataFrame:

@@ -19,9 +19,12 @@ is hot.
 from __future__ import annotations
 
 import math
+import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,7 +32,7 @@ from papyra.llm.kernel import U, mix, words
 from papyra.llm.scratch import Scratch
 
 #: Text bytes of a block of documents, and of the corpus for each range of n-grams.
-BLOCK_BYTES, RANGE_BYTES = 8 << 20, 16 << 20
+BLOCK_BYTES, RANGE_BYTES = 8 << 20, 6 << 20
 END, BEGIN = U(0x5BD1E995A3F4C2B7), U(0xE6546B64C1B3A54D)
 
 
@@ -121,35 +124,74 @@ class Automaton:
         return out
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """The bytes of an array of integers, first bytes first: sorted keys and small counts then compress well."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T[::-1]).tobytes()
+
+
+def _integers(raw: bytes, kind: type) -> np.ndarray:
+    own = np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(own[::-1].T).view(kind).ravel()
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each block of a task's documents: an id, and the documents as a compressed Arrow stream."""
+    options = pa.ipc.IpcWriteOptions(compression="zstd")
+
+    def row(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, held[0].schema, options=options) as writer:
+            writer.write_table(pa.Table.from_batches(held).combine_chunks())
+        return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "docs"])
+
+    held, size = [], 0
+    for whole in batches:
+        for lo in range(0, whole.num_rows, 64):
+            part = whole.slice(lo, 64)
+            held.append(part)
+            size += pc.sum(pc.binary_length(part.column("text"))).as_py() or 0
+            if size >= BLOCK_BYTES:
+                yield row(held)
+                held, size = [], 0
+    if held:
+        yield row(held)
+
+
+def _documents(raw: bytes) -> pa.Table:
+    return pa.ipc.open_stream(raw).read_all()
+
+
 def _ask(order: int, ranges: int):
     edges = [(b << 64) // ranges for b in range(1, ranges)]
 
-    def run(table: pa.Table) -> pa.Table:
-        grams = Grams(table.column("text"), order)
-        use = ~table.column("held_out").to_numpy()
-        block = table.column("block")[0].as_py()
-        rows: list[tuple] = []
-        for k in range(1, order + 1):
-            keys, n = grams.keys[k - 1], grams.counts(k, use)
-            cut = np.searchsorted(keys, np.array(edges, np.uint64))
-            for b, (lo, hi) in enumerate(zip([0, *cut], [*cut, len(keys)], strict=True)):
-                if lo < hi:
-                    rows.append((b, block, k, keys[lo:hi].tobytes(), n[lo:hi].astype(np.int64).tobytes()))
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["range", "block", "k", "keys", "n"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, raw in zip(batch.column("block").to_pylist(), batch.column("docs").to_pylist(), strict=True):
+                table = _documents(raw)
+                grams = Grams(table.column("text"), order)
+                use = ~table.column("held_out").to_numpy()
+                rows: list[tuple] = []
+                for k in range(1, order + 1):
+                    keys, n = grams.keys[k - 1], grams.counts(k, use).astype(np.int32)
+                    cut = np.searchsorted(keys, np.array(edges, np.uint64))
+                    for b, (lo, hi) in enumerate(zip([0, *cut], [*cut, len(keys)], strict=True)):
+                        if lo < hi:
+                            rows.append((b, block, k, _planes(keys[lo:hi]), _planes(n[lo:hi])))
+                kinds = [pa.int64(), pa.string(), pa.int32(), pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["range", "block", "k", "keys", "n"])
 
     return run
 
 
 def _answer(table: pa.Table) -> pa.Table:
-    """Totals of each n-gram in the order it was asked; block -1 has the range's distinct words and their sum."""
+    """Totals of each n-gram in the order it was asked; block '' has the range's distinct words and their sum."""
     out: list[tuple] = []
     order, own = np.array(table.column("k").to_pylist()), table.column("range")[0].as_py()
     blocks = table.column("block").to_pylist()
     for k in np.unique(order):
         rows = np.flatnonzero(order == k)
-        keys = [np.frombuffer(table.column("keys")[int(r)].as_py(), np.uint64) for r in rows]
-        n = np.concatenate([np.frombuffer(table.column("n")[int(r)].as_py(), np.int64) for r in rows])
+        keys = [_integers(table.column("keys")[int(r)].as_py(), np.uint64) for r in rows]
+        n = np.concatenate([_integers(table.column("n")[int(r)].as_py(), np.int32) for r in rows]).astype(np.int64)
         every = np.concatenate(keys)
         by = np.argsort(every, kind="stable")
         new = np.concatenate([[True], every[by][1:] != every[by][:-1]])
@@ -157,22 +199,23 @@ def _answer(table: pa.Table) -> pa.Table:
         reply = np.empty(len(every), np.int64)
         reply[by] = totals[np.cumsum(new) - 1]
         if k == 1:
-            out.append((own, -1, 0, np.array([np.count_nonzero(totals), totals.sum()], np.int64).tobytes()))
+            out.append((own, "", 0, _planes(np.array([np.count_nonzero(totals), totals.sum()], np.int64))))
         at = 0
         for r, part in zip(rows, keys, strict=True):
-            out.append((own, blocks[r], int(k), reply[at : at + len(part)].tobytes()))
+            out.append((own, blocks[r], int(k), _planes(reply[at : at + len(part)])))
             at += len(part)
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+    kinds = [pa.int64(), pa.string(), pa.int32(), pa.binary()]
     return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["range", "block", "k", "totals"])
 
 
 def _score(order: int, n_docs: int, n_tokens: int, n_types: int, mass: float):
-    def run(docs: pa.Table, replies: pa.Table) -> pa.Table:
+    def run(block: pa.Table, replies: pa.Table) -> pa.Table:
+        docs = _documents(block.column("docs")[0].as_py())
         grams = Grams(docs.column("text"), order)
         parts: dict[int, list[tuple[int, bytes]]] = {k: [] for k in range(1, order + 1)}
         for b, k, totals in zip(replies.column("range").to_pylist(), replies.column("k").to_pylist(), replies.column("totals").to_pylist(), strict=True):
             parts[k].append((b, totals))
-        counts = [np.concatenate([np.frombuffer(x, np.int64) for _, x in sorted(parts[k])]) if parts[k] else np.zeros(0, np.int64) for k in range(1, order + 1)]
+        counts = [np.concatenate([_integers(x, np.int64) for _, x in sorted(parts[k])]) if parts[k] else np.zeros(0, np.int64) for k in range(1, order + 1)]
         model = Automaton(grams, counts, n_docs, n_tokens, n_types, mass)
         first = grams.index[0]
         add = lambda x: np.bincount(grams.doc, x, len(grams.size))
@@ -194,16 +237,16 @@ def score_texts(docs: DataFrame, held_out: Column, *, order: int = 2, mass: floa
     spark: SparkSession = docs.sparkSession
     scratch = Scratch(spark, "lm")
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    blocks = scratch.save(plain.mapInArrow(_blocks, "block string, docs binary"), "blocks")
     size = plain.agg(F.sum(F.octet_length("text") + 1), F.count_if(~F.col("held_out"))).first()
     total, n_docs = size[0] or 0, size[1]
-    blocks, ranges = max(1, math.ceil(total / BLOCK_BYTES)), max(1, math.ceil(total / RANGE_BYTES))
-    dealt = plain.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
-    asked = dealt.groupBy("block").applyInArrow(_ask(order, ranges), "range long, block long, k int, keys binary, n binary")
-    answers = scratch.save(asked.groupBy("range").applyInArrow(_answer, "range long, block long, k int, totals binary"), "answers")
+    ranges = max(1, math.ceil(total / RANGE_BYTES))
+    asked = blocks.mapInArrow(_ask(order, ranges), "range long, block string, k int, keys binary, n binary")
+    answers = scratch.save(asked.groupBy("range").applyInArrow(_answer, "range long, block string, k int, totals binary"), "answers")
     n_types = n_tokens = 0
-    for r in answers.where("block = -1").select("totals").collect():  # one row a range
-        own = np.frombuffer(r["totals"], np.int64)
+    for r in answers.where("block = ''").select("totals").collect():  # one row a range
+        own = _integers(r["totals"], np.int64)
         n_types, n_tokens = n_types + int(own[0]), n_tokens + int(own[1])
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    both = dealt.groupBy("block").cogroup(answers.where("block >= 0").groupBy("block"))
+    both = blocks.groupBy("block").cogroup(answers.where("block <> ''").groupBy("block"))
     return both.applyInArrow(_score(order, n_docs, n_tokens, n_types, mass), schema)

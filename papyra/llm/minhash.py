@@ -25,6 +25,10 @@ from papyra.llm.scratch import Scratch
 
 ROWS = 4
 MISS = 1e-6
+#: Documents on each side of a tile that is compared in full.
+TILE = 256
+#: Ids (16 bytes each) up to which they may be broadcast.
+BROADCAST_IDS = 2_000_000
 
 
 def band_count(threshold: float) -> int:
@@ -115,10 +119,15 @@ def _confirm(size: int, percent: int):
     return run
 
 
+def _texts(docs: DataFrame, ids: DataFrame, scratch: Scratch) -> DataFrame:
+    """The rows of docs with these ids, written.  Up to BROADCAST_IDS ids go to the texts; beyond, both are shuffled."""
+    ids = scratch.save(ids.distinct(), "ids")
+    return scratch.save(docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi"), "texts")
+
+
 def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int, scratch: Scratch) -> DataFrame:
     """The pairs (u, v) whose whole sets are similar enough; texts are fetched for these documents only."""
-    needed = pairs.select(F.col("u").alias("doc_id")).unionAll(pairs.select(F.col("v").alias("doc_id"))).distinct()
-    texts = scratch.save(docs.join(needed, "doc_id", "left_semi"), "texts")
+    texts = _texts(docs, pairs.select(F.col("u").alias("doc_id")).unionAll(pairs.select(F.col("v").alias("doc_id"))), scratch)
     left = pairs.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("text_u")), "u")
     both = left.join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("text_v")), "v")
     # an id that stands for several texts must not take one text for another
@@ -128,6 +137,64 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int, scrat
     return out
 
 
+def _tile(size: int, percent: int, least: int):
+    def run(table: pa.Table) -> pa.Table:
+        batch = table.combine_chunks().to_batches()[0]
+        rep, component, n = (batch.column(c).to_numpy() for c in ("rep", "component", "n"))
+        straggler = batch.column("straggler").to_numpy(zero_copy_only=False).astype(bool)
+        sign = batch.column("sign").flatten().to_numpy().reshape(len(rep), -1)
+        sets: list[np.ndarray] = [None] * len(rep)
+        for found in words(batch.column("text")):
+            for row, shingles in shingle_sets(found, size):
+                sets[row] = shingles
+        members = np.flatnonzero(~straggler)
+        out = []
+        for x in np.flatnonzero(straggler):
+            may = (component[members] != component[x]) & (100 * np.minimum(n[members], n[x]) >= percent * np.maximum(n[members], n[x]))
+            at = members[may]
+            at = at[np.count_nonzero(sign[at] == sign[x], axis=1) >= least]
+            for y in at:
+                a, b = (sets[x], sets[y]) if len(sets[x]) <= len(sets[y]) else (sets[y], sets[x])
+                both = int(np.count_nonzero(b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a))
+                if 100 * both >= percent * (len(a) + len(b) - both):
+                    out.append((rep[x], rep[y]))
+        u, v = zip(*out, strict=True) if out else ((), ())
+        return pa.table([pa.array(np.maximum(u, v).astype(np.int64) if out else [], pa.int64()), pa.array(np.minimum(u, v).astype(np.int64) if out else [], pa.int64())], ["u", "v"])
+
+    return run
+
+
+def _families_confirmed(apart: DataFrame, named: DataFrame, docs: DataFrame, size: int, percent: int, bands: int, scratch: Scratch) -> DataFrame:
+    """Links (u, v) within families: documents connected by the buckets that hold them.
+
+    apart has rep, first (the least document of a bucket) and component.  In each family
+    the members outside its largest component (stragglers) are compared with every member
+    of another component.  The comparison goes in tiles of TILE by TILE documents, so
+    neither a task's size nor the number of rows follows the pairs.
+    """
+    family = connected_components(apart.select(F.col("rep").alias("u"), F.col("first").alias("v")), scratch)
+    own = apart.select("rep", "component").distinct().join(family.select(F.col("node").alias("rep"), F.col("component").alias("family")), "rep")
+    own = scratch.save(own, "families")
+    sizes = own.groupBy("family", "component").agg(F.count("*").alias("c"))
+    largest = sizes.groupBy("family").agg(F.max(F.struct("c", "component")).alias("top"), F.sum("c").alias("members"))
+    largest = largest.select("family", F.col("top.component").alias("giant"), "members", (F.col("members") - F.col("top.c")).alias("stragglers")).where("stragglers > 0")
+    own = own.join(largest, "family")
+    texts = _texts(docs, own.select(F.col("rep").alias("doc_id")), scratch)
+    own = own.join(named.select(F.col("doc_id").alias("rep"), "n", "sign"), "rep").join(texts.withColumnRenamed("doc_id", "rep"), "rep")
+    tiles = lambda c: F.ceil(F.col(c) / TILE).cast("int")
+    number = F.xxhash64("rep", F.lit(1))
+    every = lambda c: F.explode(F.sequence(F.lit(0), tiles(c) - 1))
+    columns = ["family", "rep", "component", "n", "sign", "text"]
+    rows = own.select(*columns, F.lit(False).alias("straggler"), F.pmod(number, tiles("members")).cast("int").alias("i"), every("stragglers").alias("j"))
+    loose = own.where("component <> giant").select(*columns, F.lit(True).alias("straggler"), F.pmod(number, tiles("stragglers")).cast("int").alias("j"), every("members").alias("i"))
+    p = percent / 100
+    least = math.floor(bands * ROWS * p - 6.5 * math.sqrt(bands * ROWS * p * (1 - p)))
+    both = rows.unionByName(loose).groupBy("family", "i", "j")
+    out = scratch.save(both.applyInArrow(_tile(size, percent, least), "u long, v long").distinct(), "links")
+    scratch.drop(texts)
+    return out
+
+
 def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id long, text string).
 
@@ -157,22 +224,12 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80) ->
     links = _confirmed(tried, docs, shingle, percent, scratch)
     labels = scratch.save(connected_components(links, scratch), "labels")
 
-    # round two: what a bucket still holds apart is compared in full
+    # round two: families of documents that share buckets but are not all linked are compared in full
     part = reps.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    part = scratch.save(part, "parts")
-    apart = part.groupBy("band").agg(F.count("*").alias("members"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("members > 2 AND lo <> hi")
-    rest = part.join(apart.select("band"), "band").join(named.select(F.col("doc_id").alias("rep"), "n", "sign"), ["rep", "n"])
-    p = percent / 100
-    least = math.floor(bands * ROWS * p - 6.5 * math.sqrt(bands * ROWS * p * (1 - p)))
-    side = lambda s: rest.select("band", *[F.col(c).alias(c + s) for c in ("rep", "n", "component", "sign")])
-    agree = F.size(F.filter(F.zip_with("sign_u", "sign_v", lambda x, y: x == y), lambda x: x))
-    crossing = side("_u").join(side("_v"), "band").where("component_u <> component_v AND rep_u < rep_v")
-    crossing = crossing.where(fits(F.col("n_u"), F.col("n_v"))).where(agree >= least)
-    crossing = crossing.select(F.col("rep_u").alias("u"), F.col("rep_v").alias("v")).distinct()
-    done = tried.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    more = scratch.save(crossing.join(done, ["u", "v"], "left_anti"), "crossing")
-    if not more.isEmpty():
-        further = _confirmed(more, docs, shingle, percent, scratch)
+    lowest = part.groupBy("band").agg(F.count("*").alias("members"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("rep").alias("first"))
+    apart = scratch.save(part.join(lowest.where("members > 2 AND lo <> hi").select("band", "first"), "band").select("rep", "first", "component").distinct(), "apart")
+    if not apart.isEmpty():
+        further = _families_confirmed(apart, named, docs, shingle, percent, bands, scratch)
         if not further.isEmpty():
             labels = scratch.save(connected_components(links.unionAll(further), scratch), "labels")
 

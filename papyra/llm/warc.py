@@ -26,32 +26,57 @@ GAP, RUN = 1 << 16, 4 << 20
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "
 
 
-def base32_sha1(text: Column) -> Column:
-    """Upper-case base32 of the SHA-1 of a string's UTF-8 bytes: four groups of 40 bits, 5 bits a letter."""
-    digest, letters = F.sha1(text.cast("binary")), F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
-    out = []
+def base32(digest: Column) -> Column:
+    """Upper-case base32 of 40 hex digits: four groups of 40 bits, 5 bits a letter."""
+    letters, out = F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), []
     for k in range(4):
         group = F.conv(F.substring(digest, 10 * k + 1, 10), 16, 10).cast("long")
         out += [letters.substr((F.shiftright(group, 35 - 5 * i).bitwiseAND(31) + 1).cast("int"), F.lit(1)) for i in range(8)]
     return F.concat(*out)
 
 
-def classify(pages: DataFrame) -> DataFrame:
-    """page_id, url, payload_digest, payload_bytes, record_type, refers_to of each page, without its html.
+def digests(pages: DataFrame) -> DataFrame:
+    """page_id, url, payload_bytes, payload_digest, payload_hash: each page without its html."""
+    payload = F.coalesce(F.col("html"), F.lit(""))
+    # the hash is a column before its letters are taken, so that it is computed once
+    narrow = pages.select("page_id", "url", F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha1(payload.cast("binary")).alias("hex"), F.xxhash64(payload).alias("payload_hash"))
+    return narrow.select("page_id", "url", "payload_bytes", base32(F.col("hex")).alias("payload_digest"), "payload_hash")
+
+
+def classify(narrow: DataFrame) -> DataFrame:
+    """The rows of digests() with record_type and refers_to.
 
     The response is the smallest page_id of a digest; its rows, should an id recur, are all
     responses.  A null page_id comes after all others.
     """
-    payload = F.coalesce(F.col("html"), F.lit(""))
-    narrow = pages.select("page_id", "url", base32_sha1(payload).alias("payload_digest"), F.octet_length(payload).cast("long").alias("payload_bytes"))
     first = narrow.groupBy("payload_digest", "payload_bytes").agg(F.min("page_id").alias("first_id"))
     both = narrow.join(first, ["payload_digest", "payload_bytes"])
     revisit = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     return both.select(
-        "page_id", "url", "payload_digest", "payload_bytes", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("first_id")).alias("refers_to")
+        "page_id", "url", "payload_digest", "payload_bytes", "payload_hash", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("first_id")).alias("refers_to")
     )
 
 
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Html compressed, as it goes through the one shuffle that moves it."""
+    codec = pa.Codec("zstd", 3)
+    for batch in batches:
+        packed = [codec.compress(h.encode(), asbytes=True) for h in batch.column("html").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("_p"), batch.column("_u"), batch.column("_h"), pa.array(packed, pa.binary())], ["_p", "_u", "_h", "packed"])
+
+
+def _unpack(names: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd")
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 512):
+                batch = whole.slice(lo, 512)
+                html = [codec.decompress(x, decompressed_size=n, asbytes=True).decode() if n else "" for x, n in zip(batch.column("packed").to_pylist(), batch.column("payload_bytes").to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(html, pa.string())], [*names, "html"])
+
+    return run
+
+
 def _clean(value: Column) -> Column:
     """A header value: control characters would end the header."""
     return F.regexp_replace(value, r"[\x00-\x1F\x7F]", "%20")
@@ -63,13 +88,16 @@ def _name(page_id: Column) -> Column:
 
 def write_archives(pages: DataFrame, path: str, scratch: Scratch, *, date: str = "2024-01-01T00:00:00Z") -> None:
     """One record for each row of pages (page_id, url, html); null html is an empty payload."""
-    kinds = scratch.save(classify(pages), "kinds")
+    kinds = scratch.save(classify(scratch.save(digests(pages), "digests")), "kinds")
     # only responses need their html: it is shuffled once, and rows alike in everything meet one row here
-    marked = kinds.where("record_type = 'response'").dropDuplicates(["page_id", "url", "payload_digest"])
-    whole = pages.select(F.col("page_id").alias("_p"), F.col("url").alias("_u"), "html").withColumn("_d", base32_sha1(F.coalesce("html", F.lit(""))))
-    same = F.col("page_id").eqNullSafe(F.col("_p")) & F.col("url").eqNullSafe(F.col("_u")) & (F.col("payload_digest") == F.col("_d"))
-    rows = marked.join(whole, same).select(*kinds.columns, "html")
-    rows = rows.unionByName(kinds.where("record_type = 'revisit'").withColumn("html", F.lit(None).cast("string")))
+    marked = kinds.where("record_type = 'response'").dropDuplicates(["page_id", "url", "payload_hash"])
+    whole = pages.select(F.col("page_id").alias("_p"), F.col("url").alias("_u"), F.xxhash64(F.coalesce("html", F.lit(""))).alias("_h"), F.coalesce("html", F.lit("")).alias("html"))
+    whole = whole.mapInArrow(_pack, "_p long, _u string, _h long, packed binary")
+    same = F.col("page_id").eqNullSafe(F.col("_p")) & F.col("url").eqNullSafe(F.col("_u")) & (F.col("payload_hash") == F.col("_h"))
+    names = ["page_id", "url", "payload_digest", "payload_bytes", "record_type", "refers_to"]
+    rows = marked.join(whole, same).select(*names, "packed")
+    rows = rows.mapInArrow(_unpack(names), kinds.select(*names, F.lit("").alias("html")).schema)
+    rows = rows.unionByName(kinds.where("record_type = 'revisit'").select(*names, F.lit(None).cast("string").alias("html")))
     body = F.when(F.col("record_type") == "response", F.concat(F.lit(HTTP), F.col("payload_bytes").cast("string"), F.lit(END), F.coalesce("html", F.lit("")))).otherwise("")
     size = F.octet_length("body").cast("string")
 
