@@ -32,16 +32,27 @@ from papyra.llm.kernel import U, mix, words
 from papyra.llm.scratch import Scratch
 
 #: Text bytes of a block of documents, and of the corpus for each range of n-grams.
-BLOCK_BYTES, RANGE_BYTES = 8 << 20, 6 << 20
+BLOCK_BYTES, RANGE_BYTES = 4 << 20, 6 << 20
 END, BEGIN = U(0x5BD1E995A3F4C2B7), U(0xE6546B64C1B3A54D)
 
 
+def _distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys in order, a position of each, and the number of each position's key."""
+    by = np.argsort(key).astype(np.int32)
+    key = key[by]
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    number = np.empty(len(by), np.int32)
+    number[by] = np.cumsum(new, dtype=np.int32) - 1
+    return key[new], by[new], number
+
+
 class Grams:
     """The tokens of a block of texts and its distinct n-grams of each order."""
 
     def __init__(self, texts: pa.Array, order: int):
         tokens, sizes = [], []
-        for found in words(texts):
+        for found in words(texts, chunk=1 << 18):
             own, n = found.hash, np.diff(found.bounds)
             # one end after the words of each text
             tokens.append(np.insert(own, found.bounds[1:], END))
@@ -49,9 +60,11 @@ class Grams:
         token = np.concatenate(tokens) if tokens else np.zeros(0, np.uint64)
         self.size = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
         self.start = np.cumsum(self.size) - self.size
-        self.doc = np.repeat(np.arange(len(self.size)), self.size)
+        del tokens
+        # positions in a block fit 32 bits, which halves what a task holds
+        self.doc = np.repeat(np.arange(len(self.size), dtype=np.int32), self.size)
         self.order = order
-        place = np.arange(len(token)) - self.start[self.doc]
+        place = np.arange(len(token), dtype=np.int32) - self.start.astype(np.int32)[self.doc]
         before = np.empty_like(token)
         before[1:] = token[:-1]
         before[self.start] = BEGIN
@@ -61,13 +74,14 @@ class Grams:
         self.at: list[np.ndarray] = []
         key = token
         for k in range(1, order + 1):
-            has = np.flatnonzero(place >= k - 2)
-            keys, first, inverse = np.unique(key[has], return_index=True, return_inverse=True)
-            index = np.full(len(token), -1, np.int64)
-            index[has] = inverse
+            has = np.flatnonzero(place >= k - 2).astype(np.int32)
+            keys, at, number = _distinct(key[has])
+            index = np.full(len(token), -1, np.int32)
+            index[has] = number
             self.keys.append(keys)
             self.index.append(index)
-            self.at.append(has[first])
+            self.at.append(has[at])
+            del keys, at, number, index, has
             if k == 1:
                 key = mix(before * U(0x9E3779B97F4A7C15) + token)
             elif k < order:
