@@ -26,6 +26,8 @@ from papyra.llm.scratch import Scratch
 
 CHUNK = 512
 SLACK = 1e-7
+#: Pairs found after which a group's task removes repeated ones.
+HELD_PAIRS = 1 << 21
 
 
 def _unit(column: pa.Array) -> np.ndarray:
@@ -125,6 +127,15 @@ def first_lists(nodes: DataFrame, seeds: range, bits: int, k: int) -> DataFrame:
     return edges.unionAll(edges.select(F.col("q").alias("p"), F.col("p").alias("q"), "cosine", "fresh"))
 
 
+def _distinct(p: list[np.ndarray], q: list[np.ndarray], value: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
+    """Each pair (p, q) once; its cosine is the same wherever it was found, but for rounding."""
+    a, b, c = np.concatenate(p), np.concatenate(q), np.concatenate(value)
+    order = np.lexsort((b, a))
+    a, b, c = a[order], b[order], c[order]
+    new = np.concatenate([[True], (np.diff(a) != 0) | (np.diff(b) != 0)]) if len(a) else np.zeros(0, bool)
+    return [a[new]], [b[new]], [c[new]]
+
+
 def _local_join(table: pa.Table) -> pa.Table:
     """Compare the neighbours of each node of a group, where one of the two is new and beats a list."""
     table = table.combine_chunks()
@@ -133,6 +144,7 @@ def _local_join(table: pa.Table) -> pa.Table:
     order = np.argsort(p, kind="stable")
     cut = np.flatnonzero(np.concatenate([[True], np.diff(p[order]) != 0, [True]]))
     left, right, value = [], [], []
+    held = 0
     for a, b in zip(cut[:-1], cut[1:], strict=True):
         at = order[a:b]
         if len(at) < 2 or not fresh[at].any():
@@ -142,6 +154,12 @@ def _local_join(table: pa.Table) -> pa.Table:
         left.append(q[at][i])
         right.append(q[at][j])
         value.append(s[i, j])
+        held += len(i)
+        if held > HELD_PAIRS:
+            left, right, value = _distinct(left, right, value)
+            held = 0
+    if left:
+        left, right, value = _distinct(left, right, value)
     join = lambda parts, kind: pa.array(np.concatenate(parts) if parts else np.zeros(0, kind))
     return pa.table([join(left, np.int64), join(right, np.int64), join(value, np.float64)], ["p", "q", "cosine"])
 
@@ -150,14 +168,21 @@ def descend(nodes: DataFrame, edges: DataFrame, near: float, k: int, scratch: Sc
     """The neighbour lists after NN-descent, and the sizes of those that were doubled."""
     count = nodes.count()
     groups = max(1, math.ceil(count / group_rows))
-    sizes = None
+    sizes, grown = None, None
     graph = scratch.save(_best(edges, None, k), "graph")
     for _ in range(max_rounds):
         # a node takes part with its list and with the best of those that list it
         reverse = graph.select(F.col("q").alias("p"), F.col("p").alias("q"), "cosine", "fresh")
         around = _best(graph.select("p", "q", "cosine", "fresh").unionAll(reverse), sizes, 2 * k).drop("rank", "cosine")
-        kth = graph.groupBy(F.col("p").alias("q")).agg(F.when(F.count("*") >= k, F.min("cosine")).otherwise(F.lit(-2.0)).alias("kth"))
+        # a list with room takes anything; one that was doubled only what is near
+        kth = graph.groupBy(F.col("p").alias("q")).agg(F.count("*").alias("n"), F.min("cosine").alias("worst"))
+        kth = kth.withColumn("k", F.lit(k)) if sizes is None else kth.join(sizes.withColumnRenamed("p", "q"), "q", "left").withColumn("k", F.coalesce("k", F.lit(k)))
+        kth = kth.select("q", F.when(F.col("n") >= F.col("k"), F.col("worst")).when(F.col("k") > k, F.lit(near - SLACK)).otherwise(F.lit(-2.0)).alias("kth"))
         rows = around.join(nodes.select(F.col("cid").alias("q"), "vector"), "q").join(kth, "q", "left").withColumn("kth", F.coalesce("kth", F.lit(-2.0)))
+        if grown is not None:
+            # what was compared with a full list before is compared again with the doubled one
+            rows = rows.join(grown.select(F.col("p").alias("q"), F.lit(True).alias("again")), "q", "left")
+            rows = rows.withColumn("fresh", F.col("fresh") | F.coalesce("again", F.lit(False))).drop("again")
         rows = rows.withColumn("g", F.pmod(F.xxhash64("p"), F.lit(groups))).withColumn("d", F.size("vector"))
         found = rows.groupBy("g", "d").applyInArrow(_local_join, "p long, q long, cosine double").withColumn("fresh", F.lit(True))
         old = graph.select("p", "q", "cosine", F.lit(False).alias("fresh"))

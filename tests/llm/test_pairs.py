@@ -1,5 +1,6 @@
 """Near-duplicates, embeddings and components against brute force."""
 
+import math
 import random
 import re
 from itertools import combinations
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from papyra.llm.components import connected_components
 from papyra.llm.minhash import band_count, near_duplicates
-from papyra.llm.nndescent import near_embeddings
+from papyra.llm.nndescent import descend, first_lists, near_embeddings
 from papyra.llm.scratch import Scratch, shared_dir
 
 
@@ -149,3 +150,24 @@ def test_registered_query_on_a_table(spark, sf_dir):
     want = brute_texts(rows, 3, 85)[1]
     # links to longer texts aside, of which there are few, components agree
     assert sum(got[i] != c for i, c in want.items()) <= 0.02 * len(want)
+
+
+def dense_label(n, dim, spread, seed):
+    """n unit vectors about one direction, at an angle of about ``spread`` from it."""
+    rng = np.random.default_rng(seed)
+    x = np.eye(dim)[0] + spread * rng.standard_normal((n, dim)) / np.sqrt(dim)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def test_doubled_lists_take_farther_neighbours(spark):
+    x = dense_label(300, 12, 0.36, 8)
+    near = math.cos(3 * math.acos(0.98))
+    cosines = x @ x.T
+    want = {(a, b) for a in range(300) for b in range(300) if a != b and cosines[a, b] >= near}
+    assert len(want) > 40 * 300 and np.median(cosines) < 0.95
+    nodes = spark.createDataFrame([(k, 1, v) for k, v in enumerate(x.tolist())], "cid long, label long, vector array<double>")
+    scratch = Scratch(spark, "t")
+    nodes = scratch.save(nodes, "nodes")
+    graph = descend(nodes, first_lists(nodes, range(50, 53), 4, 10), near, 10, scratch, 10)[0]
+    got = {(r["p"], r["q"]) for r in graph.where(graph.cosine >= near).collect()}
+    assert len(got & want) >= 0.99 * len(want)
