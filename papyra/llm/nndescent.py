@@ -6,8 +6,10 @@
 2. NN-descent over the leaders of each label: lists start from hyperplane buckets, and each
    round compares the neighbours of a node with each other, where one of them is new.  A
    list full of neighbours near enough for a link is doubled.
-3. Recall is audited: a bounded set of query vectors is compared with all vectors; below
-   the goal, more hyperplanes and longer lists follow.
+   Nodes whose lists are still full at the end are compared with all leaders of their label.
+3. Recall is audited: a bounded set of query vectors is compared with all vectors, and each
+   counts alike, by the classes it is linked with; below the goal, more hyperplanes and
+   longer lists follow, and at last all leaders of a label are compared.
 4. Ball pairs near enough are compared member by member in double precision.
 """
 
@@ -165,7 +167,7 @@ def _local_join(table: pa.Table) -> pa.Table:
 
 
 def descend(nodes: DataFrame, edges: DataFrame, near: float, k: int, scratch: Scratch, max_rounds: int, group_rows: int = 2000) -> tuple[DataFrame, DataFrame | None]:
-    """The neighbour lists after NN-descent, and the sizes of those that were doubled."""
+    """The neighbour lists after NN-descent, and the nodes p whose lists were still full at the end."""
     count = nodes.count()
     groups = max(1, math.ceil(count / group_rows))
     sizes, grown = None, None
@@ -198,7 +200,34 @@ def descend(nodes: DataFrame, edges: DataFrame, near: float, k: int, scratch: Sc
             sizes = grown if sizes is None else scratch.save(grown.unionAll(sizes.join(grown, "p", "left_anti")), "sizes")
         if graph.where("fresh").count() <= 0.002 * count * k and not saturated:
             break
-    return graph, sizes
+    return graph, grown.select("p") if grown is not None and saturated else None
+
+
+def all_near(nodes: DataFrame, chosen: DataFrame | None, near: float, scratch: Scratch) -> DataFrame:
+    """Edges (p, q, cosine, fresh) from the chosen nodes, or all, to every node of their label with a cosine of at least ``near``.
+
+    Labels are cut into tiles of about CHUNK nodes, and pairs of tiles are dealt out alone,
+    so the work on a large label spreads over many tasks.
+    """
+    key = ["label", "d"]
+    nodes = nodes.select("cid", "label", "vector", F.size("vector").alias("d"))
+    counts = nodes.groupBy(*key).agg(F.ceil(F.count("*") / CHUNK).alias("tiles"))
+    tiled = scratch.save(nodes.join(F.broadcast(counts), key).withColumn("tile", F.pmod(F.xxhash64("cid"), F.col("tiles"))), "tiled")
+    own = tiled if chosen is None else tiled.join(chosen.select(F.col("p").alias("cid")).distinct(), "cid", "left_semi")
+    pack = lambda rows, side: rows.groupBy(*key, F.col("tile").alias(f"tile_{side}")).agg(F.collect_list(F.struct("cid", "vector")).alias(f"own_{side}"))
+    mine, others = scratch.save(pack(own, "a"), "tiles"), scratch.save(pack(tiled, "b"), "tiles")
+    pairs = mine.select(*key, "tile_a").join(others.select(*key, "tile_b"), key)
+    pairs = pairs.join(mine, [*key, "tile_a"]).join(others, [*key, "tile_b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for k in range(whole.num_rows):
+                (p, x), (q, y) = ((side.field("cid").to_numpy(), _unit(side.field("vector"))) for side in (whole.column(c).slice(k, 1).flatten() for c in ("own_a", "own_b")))
+                s = x @ y.T
+                i, j = np.nonzero((s >= near) & (p[:, None] != q[None, :]))
+                yield pa.RecordBatch.from_arrays([pa.array(p[i]), pa.array(q[j]), pa.array(s[i, j]), pa.array(np.zeros(len(i), bool))], ["p", "q", "cosine", "fresh"])
+
+    return scratch.save(pairs.select("own_a", "own_b").mapInArrow(run, "p long, q long, cosine double, fresh boolean"), "all_near")
 
 
 def _members(parts: DataFrame) -> DataFrame:
@@ -211,7 +240,7 @@ def _members(parts: DataFrame) -> DataFrame:
 
 
 def _compare(cosine: float):
-    """Rows (cid, n, a, b): how many rows of the other pack a class is linked with; of its own pack, itself left out."""
+    """Rows (cid, n, c, a, b): how many rows and classes of the other pack a class is linked with; of its own pack, itself left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -226,18 +255,21 @@ def _compare(cosine: float):
                 hit = xa @ xb.T >= cosine
                 if a == b and batch.column("pack_a")[0].as_py() == batch.column("pack_b")[0].as_py():
                     np.fill_diagonal(hit, True)
-                    ids, n = ia, hit @ mb - 1
+                    ids, n, c = ia, hit @ mb - 1, hit.sum(axis=1) - 1
                 else:
-                    ids, n = np.concatenate([ia, ib]), np.concatenate([hit @ mb, hit.T @ ma])
+                    ids, n, c = np.concatenate([ia, ib]), np.concatenate([hit @ mb, hit.T @ ma]), np.concatenate([hit.sum(axis=1), hit.sum(axis=0)])
                 keep = n > 0
                 size = int(keep.sum())
-                yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(n[keep].astype(np.int64)), pa.array([a] * size, pa.int64()), pa.array([b] * size, pa.int64())], ["cid", "n", "a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(n[keep].astype(np.int64)), pa.array(c[keep].astype(np.int64)), pa.array([a] * size, pa.int64()), pa.array([b] * size, pa.int64())], ["cid", "n", "c", "a", "b"])
 
     return run
 
 
 def _audit(classes: DataFrame, queries: int, cosine: float) -> DataFrame:
-    """cid, truth: the links of up to ``queries`` query classes, found by comparing them with all classes."""
+    """cid, truth: the classes linked with each of up to ``queries`` query classes, found by comparing them with all classes.
+
+    Classes and not rows are counted, so a group of many copies weighs no more than a single vector.
+    """
     chosen = classes.where("pmod(cid, 100) = 0").orderBy(F.xxhash64("cid")).limit(queries).collect()
     by: dict[tuple[int, int], list] = {}
     for r in chosen:
@@ -246,16 +278,16 @@ def _audit(classes: DataFrame, queries: int, cosine: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            label, m = batch.column("label").to_numpy(), batch.column("m").to_numpy()
+            label = batch.column("label").to_numpy()
             for at, x in _lengths(batch, "vector"):
                 for (own, dim), (ids, v) in packed.items():
                     mine = np.flatnonzero(label[at] == own)
                     if dim == x.shape[1] and len(mine):
                         unit = v / np.linalg.norm(v, axis=1, keepdims=True)
-                        n = (unit @ x[mine].T >= cosine) @ m[at[mine]]
+                        n = (unit @ x[mine].T >= cosine).sum(axis=1)
                         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n.astype(np.int64))], ["cid", "n"])
 
-    return classes.select("label", "m", "vector").mapInArrow(run, "cid long, n long").groupBy("cid").agg((F.sum("n") - 1).alias("truth"))
+    return classes.select("label", "vector").mapInArrow(run, "cid long, n long").groupBy("cid").agg((F.sum("n") - 1).alias("truth"))
 
 
 def near_embeddings(
@@ -267,8 +299,9 @@ def near_embeddings(
     precision, is at least ``cosine``.  Vectors that are null, zero, or hold null or
     non-finite components link with nothing, nor do vectors of different lengths or rows with a
     null vec_id (their component_id is null, kept is true).  n_links counts other rows;
-    repeated rows are vectors of their own with one id.  ``queries`` bounds the audit.
-    Other columns are ignored.
+    repeated rows are vectors of their own with one id.  ``queries`` bounds the audit; the
+    mean recall of its classes must reach ``goal``, or else, after ``attempts``, the
+    leaders of each label are all compared with each other.  Other columns are ignored.
     """
     spark: SparkSession = rows.sparkSession
     scratch = Scratch(spark, "nndescent")
@@ -281,7 +314,7 @@ def near_embeddings(
     classes = scratch.save(classes.withColumn("vec", F.col("cid")).withColumn("cid", F.when(number == 1, F.col("cid")).otherwise(F.xxhash64("cid", number))), "classes")
     ball = balls(classes, cosine, scratch)
     parts = scratch.save(classes.join(ball, "cid"), "parts")
-    spread = parts.groupBy("ball").agg(F.max("r").alias("r"), F.sum("m").alias("rows"))
+    spread = parts.groupBy("ball").agg(F.max("r").alias("r"), F.sum("m").alias("rows"), F.count("*").alias("size"))
     nodes = scratch.save(classes.select("cid", "label", "vector").join(spread.select(F.col("ball").alias("cid")), "cid"), "nodes")
     unit = F.transform("vector", lambda x: x / F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, y: s + y * y)))
     nodes = scratch.save(nodes.withColumn("vector", unit), "nodes")
@@ -290,26 +323,36 @@ def near_embeddings(
     tight = F.col("r") <= theta / 2 - 1e-6
 
     found = None
-    for attempt in range(attempts):
-        edges = first_lists(nodes, range(50 + 10 * attempt, 50 + 10 * attempt + planes * (attempt + 1)), bits, k)
-        graph, _ = descend(nodes, edges if found is None else edges.unionAll(found.select("p", "q", "cosine", "fresh")), near, k * 2**attempt, scratch, max_rounds)
-        found = graph
+    for attempt in range(attempts + 1):
+        if attempt < attempts:
+            edges = first_lists(nodes, range(50 + 10 * attempt, 50 + 10 * attempt + planes * (attempt + 1)), bits, k)
+            graph, full = descend(nodes, edges if found is None else edges.unionAll(found.select("p", "q", "cosine", "fresh")), near, k * 2**attempt, scratch, max_rounds)
+            found = graph
+            if full is not None:
+                graph = graph.select("p", "q", "cosine", "fresh").unionAll(all_near(nodes, full, near - SLACK, scratch))
+        else:
+            graph = all_near(nodes, None, near - SLACK, scratch)
         close = graph.where(F.col("cosine") >= near - SLACK).select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "cosine").groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
-        side = lambda s: spread.select(F.col("ball").alias(s), F.col("r").alias(f"r_{s}"), F.col("rows").alias(f"rows_{s}"))  # noqa: B023, E731
+        side = lambda s: spread.select(F.col("ball").alias(s), F.col("r").alias(f"r_{s}"), F.col("rows").alias(f"rows_{s}"), F.col("size").alias(f"size_{s}"))  # noqa: B023, E731
         close = scratch.save(close.join(side("a"), "a").join(side("b"), "b").withColumn("angle", F.acos(F.least(F.lit(1.0), "cosine")) + F.col("r_a") + F.col("r_b")), "close")
         whole = close.where(F.col("angle") <= theta - 1e-6)
         packs = scratch.save(_members(parts), "packs")
         pairs = close.where(F.col("angle") > theta - 1e-6).select("a", "b").unionAll(spread.where(~tight).select(F.col("ball").alias("a"), F.col("ball").alias("b")))
         side = lambda s: packs.select(*[F.col(c).alias(n + s) for c, n in (("ball", ""), ("own", "own_"), ("pack", "pack_"))])  # noqa: B023, E731
         pairs = pairs.join(side("a"), "a").join(side("b"), "b").where("a <> b OR pack_a <= pack_b")
-        compared = scratch.save(pairs.mapInArrow(_compare(cosine), "cid long, n long, a long, b long"), "compared")
-        per_ball = whole.select(F.col("a").alias("ball"), F.col("rows_b").alias("n")).unionAll(whole.select(F.col("b").alias("ball"), F.col("rows_a").alias("n"))).groupBy("ball").agg(F.sum("n").alias("all_of"))
-        links = parts.join(spread.select("ball", F.when(tight, F.col("rows") - 1).otherwise(0).alias("inside")), "ball").join(per_ball, "ball", "left").join(compared.groupBy("cid").agg(F.sum("n").alias("some")), "cid", "left")
-        links = links.select("cid", "ball", "label", "vector", (F.col("inside") + F.coalesce("all_of", F.lit(0)) + F.coalesce("some", F.lit(0))).cast("long").alias("n_links"))
+        compared = scratch.save(pairs.mapInArrow(_compare(cosine), "cid long, n long, c long, a long, b long"), "compared")
+        other = lambda s, o: whole.select(F.col(s).alias("ball"), F.col(f"rows_{o}").alias("n"), F.col(f"size_{o}").alias("c"))  # noqa: B023, E731
+        per_ball = other("a", "b").unionAll(other("b", "a")).groupBy("ball").agg(F.sum("n").alias("all_of"), F.sum("c").alias("all_c"))
+        inside = spread.select("ball", F.when(tight, F.col("rows") - 1).otherwise(0).alias("inside"), F.when(tight, F.col("size") - 1).otherwise(0).alias("inside_c"))
+        links = parts.join(inside, "ball").join(per_ball, "ball", "left").join(compared.groupBy("cid").agg(F.sum("n").alias("some"), F.sum("c").alias("some_c")), "cid", "left")
+        total = lambda *parts: sum((F.coalesce(p, F.lit(0)) for p in parts), F.lit(0)).cast("long")
+        links = links.select("cid", "ball", "label", "vector", total("inside", "all_of", "some").alias("n_links"), total("inside_c", "all_c", "some_c").alias("n_classes"))
         links = scratch.save(links, "links")
-        seen = _audit(classes, queries, cosine).join(links.select("cid", "n_links"), "cid").agg(F.sum("truth"), F.sum(F.least("truth", "n_links"))).first()
-        if not seen[0] or seen[1] >= goal * seen[0]:
-            break
+        if attempt < attempts:
+            seen = _audit(classes, queries, cosine).where("truth > 0").join(links.select("cid", "n_classes"), "cid")
+            recall = seen.agg(F.avg(F.least("truth", "n_classes") / F.col("truth"))).first()[0]
+            if recall is None or recall >= goal:
+                break
     joins = whole.select("a", "b").unionAll(compared.select("a", "b").distinct())
     # ids of classes, then of balls: a ball's members are linked, and so are balls with a link
     edges = joins.select(F.col("a").alias("u"), F.col("b").alias("v"))

@@ -171,3 +171,15 @@ def test_doubled_lists_take_farther_neighbours(spark):
     graph = descend(nodes, first_lists(nodes, range(50, 53), 4, 10), near, 10, scratch, 10)[0]
     got = {(r["p"], r["q"]) for r in graph.where(graph.cosine >= near).collect()}
     assert len(got & want) >= 0.99 * len(want)
+
+
+def test_groups_of_copies_do_not_hide_lost_links(spark):
+    x = dense_label(60, 3, 0.5, 3)
+    rows = [(100 * (k + 1), v, 1) for k, v in enumerate(x.tolist())]
+    # copies of one vector hold most links, and first lists alone (no rounds) miss others
+    rows += [(100000 + k, rows[0][1], 1) for k in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r for r in near_embeddings(df, k=2, bits=2, planes=1, max_rounds=0, attempts=1).collect()}
+    n, component = brute_vectors(rows, 0.98)
+    assert {i: r["n_links"] for i, r in got.items()} == n
+    assert {i: r["component_id"] for i, r in got.items()} == component
