@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,6 +133,20 @@ def test_leaks_whole_and_paraphrased(spark):
     assert benchmark_leaks(df, benchmark.limit(0)).count() == 0
 
 
+def test_leaks_of_more_items_than_the_rank(spark):
+    rng = np.random.default_rng(12)
+    share = 1 / np.arange(1, 2001) ** 0.8
+    text = lambda n: [f"v{k}" for k in rng.choice(2000, n, p=share / share.sum())]
+    sizes = [9, 20, 20, 20, 300] * 16
+    items = [(k, text(n)) for k, n in enumerate(sizes)]
+    # each item verbatim among words like its own
+    docs = [(k, " ".join(text(44) + item + text(44))) for k, item in items]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    benchmark = spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in benchmark_leaks(df, benchmark, rank=32).collect()}
+    assert got >= {(k, k) for k, _ in items}, len([k for k, _ in items if (k, k) in got])
+
+
 def test_subsequence():
     def brute(a, b):
         row = [0] * (len(b) + 1)
