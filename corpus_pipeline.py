@@ -33,17 +33,23 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_boilerplate_lines(docs).select(docs.columns)
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with _key, a hash of the whole row: equal rows have one key, others (but for a collision of 64 bits) not; it is never null."""
+    return docs.withColumn("_key", F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in docs.columns]))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates; of rows with one doc_id, one."""
-    kept = near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(docs.columns).unionAll(docs.where("doc_id IS NULL"))
+    """One document of each group of near-duplicates; of equal rows, one.  A doc_id may be null or have several texts."""
+    keyed = _keyed(docs)
+    kept = near_duplicates(keyed.select(F.col("_key").alias("doc_id"), "text")).where("kept").select(F.col("doc_id").alias("_key")).distinct()
+    return keyed.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    leaks = benchmark_leaks(docs, _table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(docs.columns)
+    keyed = _keyed(docs)
+    leaks = benchmark_leaks(keyed.select(F.col("_key").alias("doc_id"), "text"), _table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_key")).distinct()
+    return keyed.join(leaks, "_key", "left_anti").select(docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
