@@ -9,7 +9,9 @@ only ever compared for equality, so counts keyed by them are counts of words.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes handled at once; one longer text is handled alone.
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 U = np.uint64
 
 _rng = np.random.default_rng(20240917)
@@ -49,6 +51,29 @@ def powers(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
+def release() -> None:
+    """Hand freed memory back to the system: workers are reused, and what each keeps adds up over a pipeline's stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A task's function over batches that releases memory after each batch it returns and at its end."""
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterator) -> Iterator:
+        for out in run(batches):
+            yield out
+            del out
+            release()
+        release()
+
+    return wrapped
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers whose high and low bits all depend on all of x."""
     x = x ^ (x >> U(30))

@@ -11,19 +11,28 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder named by spark.checkpoint.dir; where that is unset, a temporary one in local mode, an error on a cluster."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is unset: name a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="papyra-")
         atexit.register(shutil.rmtree, named, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
 
+#: Bytes of an Arrow batch, where the session has Spark's default: rows may be whole long texts.
+BATCH_SETTING, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20, 8 << 20
+
+
 class Scratch:
     """Written tables of one run, under a path of their own."""
 
     def __init__(self, spark: SparkSession, name: str):
+        if spark.conf.get(BATCH_SETTING).rstrip("b") == str(BATCH_DEFAULT):
+            spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
         self.spark, self.root, self.count = spark, f"{shared_dir(spark)}/papyra/{name}-{uuid.uuid4().hex}", 0
 
     def path(self, name: str) -> str:

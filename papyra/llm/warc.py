@@ -17,12 +17,15 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from papyra.llm.scratch import Scratch
+from papyra.llm.kernel import lean
+from papyra.llm.scratch import Scratch, bytes_in
 
 END = "\r\n\r\n"
 READ = 1 << 20
 #: Ranges nearer than GAP are read together, in runs of RUN bytes at most unless one record is longer.
 GAP, RUN = 1 << 16, 4 << 20
+#: Bytes of archives that one task reads, and of the table of repeated payloads that may be broadcast.
+TASK_BYTES, BROADCAST_BYTES, SALTS = 16 << 20, 16 << 20, 64
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "
 
 
@@ -35,46 +38,61 @@ def base32(digest: Column) -> Column:
     return F.concat(*out)
 
 
-def digests(pages: DataFrame) -> DataFrame:
-    """page_id, url, payload_bytes, payload_digest, payload_hash: each page without its html."""
+def repeated_payloads(pages: DataFrame) -> DataFrame:
+    """payload_digest, payload_bytes, first_id: payloads of several records, with the smallest page_id that has each.
+
+    Digests alone are shuffled, and are combined before; a null page_id is none, so
+    payloads that only rows without an id have are left out.
+    """
     payload = F.coalesce(F.col("html"), F.lit(""))
-    # the hash is a column before its letters are taken, so that it is computed once
-    narrow = pages.select("page_id", "url", F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha1(payload.cast("binary")).alias("hex"), F.xxhash64(payload).alias("payload_hash"))
-    return narrow.select("page_id", "url", "payload_bytes", base32(F.col("hex")).alias("payload_digest"), "payload_hash")
+    narrow = pages.select("page_id", F.sha1(payload.cast("binary")).alias("hex"), F.octet_length(payload).cast("long").alias("payload_bytes"))
+    counted = narrow.groupBy("hex", "payload_bytes").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n"))
+    return counted.where("n > 1 AND first_id IS NOT NULL").select("hex", "payload_bytes", "first_id")
 
 
-def classify(narrow: DataFrame) -> DataFrame:
-    """The rows of digests() with record_type and refers_to.
+def classify(pages: DataFrame, scratch: Scratch, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """page_id, url, html, payload_bytes, payload_digest, record_type, refers_to of every row of pages.
 
-    The response is the smallest page_id of a digest; its rows, should an id recur, are all
-    responses.  A null page_id comes after all others.
+    The response is the smallest page_id of a payload; its rows, should an id recur, are all
+    responses.  A null page_id comes after all others.  The table of repeated payloads goes
+    to the pages where its size on disk allows, so html is not shuffled; else pages meet
+    it in a join, html compressed, and as one payload may be a third of all pages, each payload's
+    row is there once for each of SALTS parts of the pages.
     """
-    first = narrow.groupBy("payload_digest", "payload_bytes").agg(F.min("page_id").alias("first_id"))
-    both = narrow.join(first, ["payload_digest", "payload_bytes"])
+    repeated = scratch.save(repeated_payloads(pages), "repeated")
+    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
+    # the digest is a column before its letters are taken, so that it is computed once
+    rows = rows.select("*", F.octet_length("html").cast("long").alias("payload_bytes"), F.sha1(F.col("html").cast("binary")).alias("hex"))
+    if bytes_in(pages.sparkSession, repeated.scratch_path) <= broadcast_bytes:
+        both = rows.join(F.broadcast(repeated), ["hex", "payload_bytes"], "left")
+    else:
+        part = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")
+        packed = rows.withColumn("part", part).mapInArrow(_pack, "page_id long, url string, payload_bytes long, hex string, part int, packed binary")
+        salted = repeated.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        both = packed.join(salted, ["hex", "payload_bytes", "part"], "left").drop("part")
+        both = both.mapInArrow(_unpack, "page_id long, url string, payload_bytes long, hex string, first_id long, html string")
     revisit = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     return both.select(
-        "page_id", "url", "payload_digest", "payload_bytes", "payload_hash", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("first_id")).alias("refers_to")
-    )
+        "page_id", "url", "html", "payload_bytes", base32(F.col("hex")).alias("payload_digest"),
+        F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("first_id")).alias("refers_to"),
+    )
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Html compressed, as it goes through the one shuffle that moves it."""
-    codec = pa.Codec("zstd", 3)
+    """Html compressed, as it goes through a shuffle."""
+    codec, names = pa.Codec("zstd", 3), ["page_id", "url", "payload_bytes", "hex", "part"]
     for batch in batches:
         packed = [codec.compress(h.encode(), asbytes=True) for h in batch.column("html").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("_p"), batch.column("_u"), batch.column("_h"), pa.array(packed, pa.binary())], ["_p", "_u", "_h", "packed"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(packed, pa.binary())], [*names, "packed"])
 
 
-def _unpack(names: list[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = pa.Codec("zstd")
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 512):
-                batch = whole.slice(lo, 512)
-                html = [codec.decompress(x, decompressed_size=n, asbytes=True).decode() if n else "" for x, n in zip(batch.column("packed").to_pylist(), batch.column("payload_bytes").to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(html, pa.string())], [*names, "html"])
-
-    return run
+def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    codec, names = pa.Codec("zstd"), ["page_id", "url", "payload_bytes", "hex", "first_id"]
+    for whole in batches:
+        for lo in range(0, whole.num_rows, 512):
+            batch = whole.slice(lo, 512)
+            html = [codec.decompress(x, decompressed_size=n, asbytes=True).decode() if n else "" for x, n in zip(batch.column("packed").to_pylist(), batch.column("payload_bytes").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(html, pa.string())], [*names, "html"])
 
 
 def _clean(value: Column) -> Column:
@@ -86,19 +104,10 @@ def _name(page_id: Column) -> Column:
     return F.concat(F.lit("<urn:page:"), F.coalesce(page_id.cast("string"), F.lit("null")), F.lit(">"))
 
 
-def write_archives(pages: DataFrame, path: str, scratch: Scratch, *, date: str = "2024-01-01T00:00:00Z") -> None:
+def write_archives(pages: DataFrame, path: str, scratch: Scratch, *, date: str = "2024-01-01T00:00:00Z", broadcast_bytes: int = BROADCAST_BYTES) -> None:
     """One record for each row of pages (page_id, url, html); null html is an empty payload."""
-    kinds = scratch.save(classify(scratch.save(digests(pages), "digests")), "kinds")
-    # only responses need their html: it is shuffled once, and rows alike in everything meet one row here
-    marked = kinds.where("record_type = 'response'").dropDuplicates(["page_id", "url", "payload_hash"])
-    whole = pages.select(F.col("page_id").alias("_p"), F.col("url").alias("_u"), F.xxhash64(F.coalesce("html", F.lit(""))).alias("_h"), F.coalesce("html", F.lit("")).alias("html"))
-    whole = whole.mapInArrow(_pack, "_p long, _u string, _h long, packed binary")
-    same = F.col("page_id").eqNullSafe(F.col("_p")) & F.col("url").eqNullSafe(F.col("_u")) & (F.col("payload_hash") == F.col("_h"))
-    names = ["page_id", "url", "payload_digest", "payload_bytes", "record_type", "refers_to"]
-    rows = marked.join(whole, same).select(*names, "packed")
-    rows = rows.mapInArrow(_unpack(names), kinds.select(*names, F.lit("").alias("html")).schema)
-    rows = rows.unionByName(kinds.where("record_type = 'revisit'").select(*names, F.lit(None).cast("string").alias("html")))
-    body = F.when(F.col("record_type") == "response", F.concat(F.lit(HTTP), F.col("payload_bytes").cast("string"), F.lit(END), F.coalesce("html", F.lit("")))).otherwise("")
+    rows = classify(pages, scratch, broadcast_bytes)
+    body = F.when(F.col("record_type") == "response", F.concat(F.lit(HTTP), F.col("payload_bytes").cast("string"), F.lit(END), F.col("html"))).otherwise("")
     size = F.octet_length("body").cast("string")
 
     def header(name: str, value: Column) -> Column:
@@ -173,15 +182,18 @@ def index_archives(spark: SparkSession, path: str) -> DataFrame:
 
 
 def coalesce_ranges(index: DataFrame) -> DataFrame:
-    """path, start, stop, ranges: sorted ranges of each archive, merged into runs."""
-    order = Window.partitionBy("path").orderBy("offset")
+    """path, start, stop, ranges: sorted ranges of each archive, merged into runs.
+
+    A run never crosses a multiple of RUN, so cells of RUN bytes are sorted alone, however
+    large an archive is.
+    """
+    rows = index.withColumn("_cell", F.floor(F.col("offset") / RUN))
+    order = Window.partitionBy("path", "_cell").orderBy("offset")
     stop = F.lag(F.col("offset") + F.col("length")).over(order)
-    far = (F.col("offset") - stop > GAP) | stop.isNull()
-    rows = index.withColumn("_jump", far.cast("long"))
-    # a run never crosses a multiple of RUN, which bounds it without looking back
-    rows = rows.withColumn("_run", F.sum("_jump").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_cell", F.floor(F.col("offset") / RUN))
+    rows = rows.withColumn("_jump", ((F.col("offset") - stop > GAP) | stop.isNull()).cast("long"))
+    rows = rows.withColumn("_run", F.sum("_jump").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     ranges = F.sort_array(F.collect_list(F.struct("offset", "length")))
-    return rows.groupBy("path", "_run", "_cell").agg(F.min("offset").alias("start"), F.max(F.col("offset") + F.col("length")).alias("stop"), ranges.alias("ranges")).select("path", "start", "stop", "ranges")
+    return rows.groupBy("path", "_cell", "_run").agg(F.min("offset").alias("start"), F.max(F.col("offset") + F.col("length")).alias("stop"), ranges.alias("ranges")).select("path", "start", "stop", "ranges")
 
 
 def read_records(index: DataFrame) -> DataFrame:
@@ -191,6 +203,7 @@ def read_records(index: DataFrame) -> DataFrame:
     those of its header.  A revisit has no payload; its header has both of the full payload.
     """
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["page_id", "url", "record_type", "refers_to", "payload", "payload_bytes", "payload_digest"]
         kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.string()]
@@ -202,7 +215,9 @@ def read_records(index: DataFrame) -> DataFrame:
                 rows = [_record(bytes(raw[r["offset"] - start : r["offset"] - start + r["length"]])) for r in ranges]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    runs = coalesce_ranges(index)
+    # an index row stands for many bytes: runs are dealt out by the bytes they read, in the order of the archives
+    total = index.agg(F.sum("length")).first()[0] or 0
+    runs = coalesce_ranges(index).repartitionByRange(max(1, -(-total // TASK_BYTES)), "path", "start").sortWithinPartitions("path", "start")
     return runs.mapInArrow(run, "page_id long, url string, record_type string, refers_to long, payload binary, payload_bytes long, payload_digest string")
 
 
@@ -225,13 +240,13 @@ def _record(raw: bytes) -> tuple[int | None, str | None, str, int | None, bytes
     return _id(found["warc-record-id"]), found.get("warc-target-uri"), found["warc-type"], _id(found.get("warc-refers-to")), payload, size, digest
 
 
-def archive_round_trip(pages: DataFrame) -> DataFrame:
+def archive_round_trip(pages: DataFrame, *, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Write every row of pages to archives in the shared folder, index them, and read all records back.
 
     Other columns of pages are ignored; the result is as read_records() gives it.
     """
     scratch = Scratch(pages.sparkSession, "warc")
     path = scratch.path("archives")
-    write_archives(pages.select("page_id", "url", "html"), path, scratch)
+    write_archives(pages.select("page_id", "url", "html"), path, scratch, broadcast_bytes=broadcast_bytes)
     index = scratch.save(index_archives(pages.sparkSession, path), "index")
     return read_records(index)

@@ -19,9 +19,10 @@ def digest(html):
     return base64.b32encode(hashlib.sha1((html or "").encode()).digest()).decode()
 
 
-def test_round_trip(spark):
+@pytest.mark.parametrize("broadcast_bytes", [1 << 20, -1])
+def test_round_trip(spark, broadcast_bytes):
     df = spark.createDataFrame([(*p, "y") for p in PAGES], "page_id long, url string, html string, payload string")
-    got = archive_round_trip(df).collect()
+    got = archive_round_trip(df, broadcast_bytes=broadcast_bytes).collect()
     first = {}
     for i, _, h in PAGES:
         if i is not None:
