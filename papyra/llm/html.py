@@ -18,6 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from papyra.llm.kernel import lean
 from papyra.llm.scratch import Scratch, bytes_in
 
 BROADCAST_BYTES = 32 << 20
@@ -28,16 +29,21 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = ("script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noembed", "noframes", "template", "svg", "math")
 BLOCK = frozenset("""address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer
 form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody tfoot thead tr ul caption""".split())
-NOT_ARTICLE = frozenset("head nav footer aside form button select option optgroup datalist input label menu dialog search object applet canvas audio video map".split())
+NOT_ARTICLE = frozenset("head nav footer aside form button select option optgroup datalist input menu dialog search object applet canvas audio video map".split())
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre dd dt tr td th figcaption caption".split())
+PARAGRAPH = frozenset("p blockquote pre dd div section".split())
 HEADINGS = frozenset("h1 h2 h3 hgroup".split())
+WALLS = frozenset(("article", "main", "body"))
 CELL = frozenset(("td", "th", "br"))
-# Words of class, id and role attributes that mark what is not the article.
+# Class, id and role words that mark what is not the article, and words that may stand beside them in one name.
 CHROME = frozenset("""nav navbar navigation menu menus submenu topbar masthead footer sidebar sidenav aside rail ad ads adv advert adverts
 advertisement advertising adsense adslot sponsor sponsored sponsorship promo promotion promoted banner cookie cookies consent gdpr notice notices alert
 popup modal overlay toast newsletter subscribe subscription signup login share sharing social related recommended recommendations
 comment comments commentlist disqus respond replies breadcrumb breadcrumbs pagination pager widget widgets skip toolbar
 contentinfo complementary navigationbar taboola outbrain""".split())
+BESIDE = frozenset("""area bar block bottom box button buttons container field form global group header head heading holder icons inner item items left line
+link links list main message outer page panel policy popup post posts primary right row secondary section site slot small sticky
+stories story text the thread title to top unit user wrap wrapper""".split())
 CLOSED_BY_BLOCK = frozenset("""address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3
 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul""".split())
 #: Start tag -> open elements that it ends.
@@ -45,10 +51,10 @@ ENDS = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr", "td"
 SCOPE = frozenset("html body table td th caption button article section div main aside nav footer header form ul ol dl blockquote".split())
 
 TOKEN = re.compile(
-    r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S
+    r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S
 )
 ATTRIBUTE = re.compile(r"([^\s=/\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-CAMEL = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+PIECES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 HOST = re.compile(r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)")
 RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in RAW}
 
@@ -58,16 +64,24 @@ def host_of(url: str | None) -> str:
     return found.group(1).lower() if found else ""
 
 
+def _marks_chrome(token: str) -> bool:
+    """Whether a whole class, id or role name is one of CHROME, or is made of such words and BESIDE ones."""
+    if token.lower() in CHROME:
+        return True
+    pieces = [w.lower() for w in PIECES.findall(token)]
+    return any(w in CHROME for w in pieces) and all(w in CHROME or w in BESIDE for w in pieces)
+
+
 def _is_chrome(tag: str, attributes: str) -> bool:
     if tag in NOT_ARTICLE:
         return True
-    if not attributes or tag in ("html", "body", "main"):
+    if not attributes or tag in ("html", "body", "main", "article"):
         return False
     for m in ATTRIBUTE.finditer(attributes):
         name = m.group(1).lower()
         value = m.group(2) or m.group(3) or m.group(4) or ""
         if name in ("class", "id", "role"):
-            if any(w.lower() in CHROME for w in CAMEL.findall(value)):
+            if any(_marks_chrome(w) for w in value.split()):
                 return True
         elif name == "hidden" or name == "aria-hidden" and value.lower() == "true":
             return True
@@ -77,7 +91,11 @@ def _is_chrome(tag: str, attributes: str) -> bool:
 
 
 class Page:
-    """The block elements of a page, with subtree hashes, and its blocks of text."""
+    """The block elements of a page, with subtree hashes, and its blocks of text.
+
+    Reading takes time in proportion to the page: open elements are known by name and
+    place, so no tag looks through the elements that are open.
+    """
 
     def __init__(self, html: str):
         self.tag: list[str] = []
@@ -87,9 +105,13 @@ class Page:
         self.blocks: list[tuple[int, str]] = []
         self._parts: list[list[str]] = []
         self._stack: list[tuple[str, int, bool]] = []  # name, block element or its parent, not the article
+        self._open_at: dict[str, list[int]] = {}  # places in the stack, by name
+        self._scopes: list[int] = []
+        self._walls: list[int] = []  # places that an inline end tag does not reach beyond
         self._text: list[str] = []
         self._dropping = 0
         self._heads = 0  # open page headers of an article, of which only headings count
+        self._headings = 0
         self._open("html-root", "", True)
         self._read(html)
         while self._stack:
@@ -114,14 +136,14 @@ class Page:
                 self._end(name)
                 continue
             self._start(name, found.group(3) or found.group(6) or "")
-            if name in RAW_END and not html[found.start() : at].endswith("/>"):
+            if name in RAW_END and not html[at - 2 : at] == "/>":
                 over = RAW_END[name].search(html, at)
                 stop = over.start() if over else end
                 shut = html.find(">", stop)
                 at = shut + 1 if over and shut >= 0 else end
 
     def _chars(self, text: str) -> None:
-        if self._dropping or self._heads and not any(t in HEADINGS for t, _, _ in self._stack):
+        if self._dropping or self._heads and not self._headings:
             if not text.isspace():
                 self._parts[self._stack[-1][1]].append(text)
             return
@@ -154,10 +176,23 @@ class Page:
                     chrome = True
             parent = len(self.tag) - 1
         self._dropping += chrome
+        self._headings += name in HEADINGS
+        place = len(self._stack)
+        self._open_at.setdefault(name, []).append(place)
+        if name in SCOPE:
+            self._scopes.append(place)
+        if name in WALLS:
+            self._walls.append(place)
         self._stack.append((name, parent, chrome))
 
     def _close(self) -> None:
         name, element, chrome = self._stack.pop()
+        self._open_at[name].pop()
+        if name in SCOPE:
+            self._scopes.pop()
+        if name in WALLS:
+            self._walls.pop()
+        self._headings -= name in HEADINGS
         if self.tag[element] == name and (not self._stack or self._stack[-1][1] != element):
             self._flush(element)
             self.hash[element] = xxhash.xxh64_intdigest("\x1f".join((name, *self._parts[element])).encode("utf-8", "surrogatepass"))
@@ -182,75 +217,100 @@ class Page:
                 self._end_any(("h1", "h2", "h3", "h4", "h5", "h6"))
         self._open(name, attributes, name in BLOCK)
 
+    def _last(self, name: str) -> int:
+        places = self._open_at.get(name)
+        return places[-1] if places else 0
+
+    def _shut(self, place: int) -> None:
+        while len(self._stack) > place:
+            self._close()
+
     def _end_any(self, names: tuple[str, ...]) -> None:
-        for k in range(len(self._stack) - 1, 0, -1):
-            name = self._stack[k][0]
-            if name in names:
-                while len(self._stack) > k:
-                    self._close()
-                return
-            if name in SCOPE:
-                return
+        place = max(self._last(n) for n in names)
+        if place and place >= (self._scopes[-1] if self._scopes else 0):
+            self._shut(place)
 
     def _end(self, name: str) -> None:
-        for k in range(len(self._stack) - 1, 0, -1):
-            if self._stack[k][0] == name:
-                while len(self._stack) > k:
-                    self._close()
-                return
-            if self._stack[k][0] in ("article", "main", "body") and name not in BLOCK:
-                return
+        place = self._last(name)
+        if place and (name in BLOCK or place >= (self._walls[-1] if self._walls else 0)):
+            self._shut(place)
+
+    def _candidate(self, element: int) -> bool:
+        """Whether an element may be deleted for recurring."""
+        tag = self.tag[element]
+        return tag not in ("html-root", "html", "body", "article", "main") and not (self.within[element] and tag in PROSE)
 
     def candidates(self) -> set[int]:
-        """Subtrees that may be deleted for recurring."""
-        return {h for t, h, w in zip(self.tag[1:], self.hash[1:], self.within[1:], strict=True) if h and t not in ("html", "body", "article", "main") and not (w and t in PROSE)}
+        return {h for k, h in enumerate(self.hash) if h and self._candidate(k)}
 
     def text(self, template: set[int]) -> str:
-        best = max((self.within[owner] for owner, _ in self.blocks), default=0)
+        """The blocks that are left, in page order.
+
+        They come from articles, else from a main, else from the body; but a wider scope
+        is taken if twice as much prose is in it, as where an article element is a teaser.
+        If nothing is left without the template, paragraphs of prose stay.
+        """
         gone: list[bool] = []
-        for t, p, h, w in zip(self.tag, self.parent, self.hash, self.within, strict=True):
-            own = h in template and t not in ("html-root", "html", "body", "article", "main") and not (w and t in PROSE)
-            gone.append(own or p >= 0 and gone[p])
-        return "\n".join(x for owner, x in self.blocks if self.within[owner] == best and not gone[owner])
+        for k, parent in enumerate(self.parent):
+            gone.append(self.hash[k] in template and self._candidate(k) or parent >= 0 and gone[parent])
+        left = [(owner, x) for owner, x in self.blocks if not gone[owner]]
+        if not left:
+            left = [(owner, x) for owner, x in self.blocks if self._is_prose(owner, x)]
+        scope = max((self.within[owner] for owner, _ in left), default=0)
+        for wider in range(scope - 1, -1, -1):
+            prose = [0, 0]
+            for owner, x in left:
+                if self.within[owner] >= wider and self._is_prose(owner, x):
+                    prose[self.within[owner] >= scope] += len(x)
+            if prose[0] > 2 * prose[1]:
+                scope = wider
+        return "\n".join(x for owner, x in left if self.within[owner] >= scope)
+
+    def _is_prose(self, owner: int, text: str) -> bool:
+        return self.tag[owner] in PARAGRAPH and len(text) >= 80
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
+@lean
 def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (host, subtree, n): pages of a batch that hold the subtree; a null subtree counts the pages."""
-    for batch in batches:
-        n: dict[tuple[str, int | None], int] = {}
-        for url, html in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
-            host = host_of(url)
-            n[host, None] = n.get((host, None), 0) + 1
-            for h in Page(html or "").candidates():
-                key = (host, _signed(h))
-                n[key] = n.get(key, 0) + 1
-        hosts, subtrees = [k[0] for k in n], [k[1] for k in n]
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(subtrees, pa.int64()), pa.array(list(n.values()), pa.int64())], ["host", "subtree", "n"])
+    """Rows (host, page, subtrees): a hash of the whole page, and its distinct subtrees."""
+    for whole in batches:
+        for lo in range(0, whole.num_rows, 512):
+            batch = whole.slice(lo, 512)
+            html = batch.column("html").to_pylist()
+            hosts = [host_of(u) for u in batch.column("url").to_pylist()]
+            own = [_signed(xxhash.xxh64_intdigest(h or "")) for h in html]
+            subtrees = [[_signed(x) for x in Page(h or "").candidates()] for h in html]
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(own, pa.int64()), pa.array(subtrees, pa.list_(pa.int64()))], ["host", "page", "subtrees"])
 
 
 def site_templates(pages: DataFrame, ratio: float, min_pages: int) -> DataFrame:
-    """host, subtrees: those on at least ``ratio`` of the host's pages and on ``min_pages``.
+    """host, subtrees: those on at least ``ratio`` of the host's distinct pages and on ``min_pages``.
 
-    Counts are combined in each task before the shuffle.  A host's list is at most (mean
-    elements of a page) / ratio long, however many pages it has.
+    Copies of one page count once, so that copying does not make an article a template.
+    Counts are combined in each task before they are shuffled.  A host's list is at most
+    (mean elements of a page) / ratio long, however many pages it has.
     """
-    counts = pages.select("url", "html").mapInArrow(_subtrees, "host string, subtree long, n long").groupBy("host", "subtree").agg(F.sum("n").alias("n"))
+    parsed = pages.select("url", "html").mapInArrow(_subtrees, "host string, page long, subtrees array<long>")
+    distinct = parsed.groupBy("host", "page").agg(F.first("subtrees").alias("subtrees"))
+    # a null subtree counts the pages
+    counts = distinct.select("host", F.explode(F.concat("subtrees", F.array(F.lit(None).cast("long")))).alias("subtree")).groupBy("host", "subtree").agg(F.count("*").alias("n"))
     often = counts.where((F.col("n") >= min_pages) & F.col("subtree").isNotNull())
     totals = counts.where("subtree IS NULL").select("host", F.col("n").alias("pages"))
     return often.join(totals, "host").where(F.col("n") >= ratio * F.col("pages")).groupBy("host").agg(F.collect_list("subtree").alias("subtrees"))
 
 
-def main_text(pages: DataFrame, *, ratio: float = 0.3, min_pages: int = 5) -> DataFrame:
+def main_text(pages: DataFrame, *, ratio: float = 0.3, min_pages: int = 3) -> DataFrame:
     """page_id, url, text, n_chars for every row of pages (page_id, url, html).
 
-    Text comes from the article elements, else from main, else from the body.  Null or empty
-    html, and pages without an article text, give an empty text.  Pages with a null or odd
-    url share a host of their own.  Repeated rows count as pages.  Other columns are
-    ignored.  Unclosed and crossing tags are read as browsers roughly do.
+    Text comes from the article elements, else from main, else from the body (Page.text has
+    the exceptions).  Null or empty html, and pages without an article text, give an empty
+    text.  Pages with a null or odd url share a host of their own.  Repeated rows are one
+    page in the counts.  Other columns are ignored.  Unclosed and crossing tags are read as
+    browsers roughly do.
     """
     spark = pages.sparkSession
     scratch = Scratch(spark, "html")
@@ -266,6 +326,7 @@ def main_text(pages: DataFrame, *, ratio: float = 0.3, min_pages: int = 5) -> Da
         left = left.withColumn("_salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
         joined = left.join(salted, ["_host", "_salt"], "left")
 
+    @lean
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for lo in range(0, whole.num_rows, 512):

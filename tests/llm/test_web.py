@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import time
 
 import pytest
 
@@ -88,3 +89,39 @@ def test_site_templates(spark):
     assert got[3]["text"] == "story 3" and got[20]["text"] == "Subscribe here\nstory 20\nAll rights kept"
     assert got[33]["text"] == "same line\np 3"  # an article's paragraphs stay, however often they recur
     assert (got[50]["text"], got[51]["text"], got[52]["n_chars"]) == ("", "", 1) and len(got) == len(rows)
+
+
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ('<div class="content has-sidebar"><p>Story text</p></div>', "Story text"),
+        ('<article class="post with-comments"><p>Story</p></article>', "Story"),
+        ('<div class="social-science"><p>Story</p></div>', "Story"),
+        ('<div class="cookie-banner">We use cookies</div><p>Story</p><div id="site-footer">end</div><section class="commentList">me too</section>', "Story"),
+        ("<article><p>Teaser</p></article><div id='content'><p>" + "A long story. " * 20 + "</p></div>", "Teaser\n" + ("A long story. " * 20).strip()),
+        ("<p>Press the <label>red</label> button</p>", "Press the red button"),
+        ("<article><header><span>by me</span><h1>Title</h1></header><p>Body</p></article>", "Title\nBody"),
+        ("<div><i>a<article><b>b</i>c</b></article></div>", "bc"),
+        ("<ul><li>one<li>two</ul><table><tr><td>x<td>y</table>", "one\ntwo\nx y"),
+    ],
+)
+def test_roles_of_elements(html, text):
+    assert Page(html).text(set()) == text
+
+
+@pytest.mark.parametrize("html", ["<b>" * 150_000 + "</i>" * 150_000, "<article><header>" + "<span>x" * 150_000, "<i><article>" + "<b>" * 100_000 + "</i>" * 200_000, "<p>" * 300_000, "<a \"'>" * 150_000, "<div class='a b'>" * 60_000])
+def test_long_odd_pages_take_linear_time(html):
+    begin = time.process_time()
+    Page(html).candidates()
+    assert time.process_time() - begin < 8
+
+
+def test_copies_do_not_make_a_template(spark):
+    story = "<body><div class='menu'>Home</div><div><p>{}</p></div><div>Shared legal line of this host</div></body>"
+    rows = [(k, "http://h/x", story.format("The very same story")) for k in range(6)] + [(10 + k, "http://h/x", story.format(f"Other story {k}")) for k in range(8)]
+    rows += [(30, None, None), (31, "http://h/y", ""), (30, "http://h/x", story.format("Other story 0"))]
+    df = spark.createDataFrame([(*r, "t") for r in rows], "page_id long, url string, html string, text string")
+    got = sorted((r["page_id"], r["text"], r["n_chars"]) for r in main_text(df).collect())
+    want = [(i, "The very same story", 19) for i in range(6)] + [(10 + k, f"Other story {k}", 13) for k in range(8)] + [(30, "", 0), (31, "", 0), (30, "Other story 0", 13)]
+    assert got == sorted(want)
+    assert main_text(df.limit(0)).collect() == []
