@@ -15,11 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyra.llm.kernel import U, Words, mix, words
+from papyra.llm.kernel import U, Words, lean, mix, words
 from papyra.llm.scratch import Scratch
 
-#: Target ids (16 bytes each) up to which they may be broadcast.
-BROADCAST_IDS = 2_000_000
+#: Target ids up to which they may be broadcast: about 30 MB as a hash table.
+BROADCAST_IDS = 250_000
 
 
 def _buckets(found: Words, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -39,6 +39,7 @@ def bucket_counts(docs: DataFrame, buckets: int) -> np.ndarray:
     """
     piece = 1024
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, buckets), np.int64)
         for batch in batches:
@@ -76,6 +77,7 @@ def log_weights(docs: DataFrame, counts: np.ndarray, smoothing: float) -> DataFr
     """
     raw, buckets, totals = counts.astype(np.int64).tobytes(), counts.shape[1], counts.sum(axis=1)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of_target, of_all = np.frombuffer(raw, np.int64).reshape(2, buckets)
         for batch in batches:
@@ -132,9 +134,9 @@ def resample(
     """doc_id, n_words, log_weight, sample_key of the fraction of docs that is drawn.
 
     docs has doc_id and text; target_ids names the documents whose texts the sample should
-    be like.  The log weight is a mean over the text's n-grams times their number up to 100, so
-    that a long text is not decided by its length alone; the noise is a fixed function of
-    doc_id, text and seed, so reruns agree.  Null and empty texts have weight 0 and take
+    be like.  The log weight is the whole text's log ratio, so a long text is drawn or left
+    with more certainty than a short one; the noise is a fixed function of doc_id, text and
+    seed, so reruns agree.  Null and empty texts have weight 0 and take
     part; rows with a null doc_id take part, too; repeated rows are drawn on their own but
     have one key.  Without target texts all weights are 0.  Other columns are ignored.
     """
@@ -149,9 +151,7 @@ def resample(
     if not counts[0].any():
         counts[0] = counts[1]
     weighed = log_weights(marked, counts, smoothing)
-    grams = F.greatest(F.lit(1), 2 * F.col("n_words") - 1)
-    scaled = F.col("log_weight") * F.least(F.lit(100.0) / grams, F.lit(1.0))
     uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "tie"), 11) + 0.5) / F.lit(float(1 << 53))
-    keyed = scratch.save(weighed.withColumn("log_weight", scaled).withColumn("sample_key", F.col("log_weight") - F.log(-F.log(uniform))), "keys")
+    keyed = scratch.save(weighed.withColumn("sample_key", F.col("log_weight") - F.log(-F.log(uniform))), "keys")
     k = round(fraction * keyed.count())
     return take_largest(keyed, "sample_key", k).drop("tie") if k else keyed.limit(0).drop("tie")
