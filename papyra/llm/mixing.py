@@ -19,12 +19,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from papyra.llm.kernel import NOT_SPACE, U, mix, string_views, word_counts
+from papyra.llm.kernel import NOT_SPACE, U, lean, mix, string_views, word_counts
 from papyra.llm.scratch import Scratch, bytes_in
 
 #: Bytes up to which the table of sources may be broadcast; a plain join beyond.
 BROADCAST_BYTES = 16 << 20
-SHARD_SLOTS = 2048
+#: Slots of an output shard, and those that one task fills.
+SHARD_SLOTS, TASK_SLOTS = 2048, 1 << 15
 
 
 def permute(index: np.ndarray, size: np.ndarray, key: np.ndarray, inverse: bool = False) -> np.ndarray:
@@ -97,6 +98,7 @@ class Mix:
 def _sized(docs: DataFrame) -> DataFrame:
     """doc_id, source, size, tie; tie tells apart documents that share an id."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             size = pa.array(word_counts(batch.column("text")))
@@ -167,35 +169,44 @@ def mix_sources(
 
     drawn = spark.range(shards).mapInPandas(draw, "sid long, shard long, n long, place long")
     drawn = scratch.save(running_starts(drawn, "sid", ["shard"], "n", "first", scratch), "drawn")
-    # a source that was drawn too rarely fills shards of its own at the end
-    have = {r["sid"]: r["n"] for r in drawn.groupBy("sid").agg(F.sum("n").alias("n")).collect()}
-    extra, at = [], 0
-    for sid, slots in zip(plan["sid"].tolist(), plan["slots"].tolist(), strict=True):
-        first = min(have.get(sid, 0), slots)
-        while first < slots:
-            n = min(slots - first, SHARD_SLOTS - at % SHARD_SLOTS)
-            extra.append((sid, shards + at // SHARD_SLOTS, n, at % SHARD_SLOTS, first))
-            first, at = first + n, at + n
-    columns = "sid long, shard long, n long, place long, first long"
-    drawn = drawn.select("sid", "shard", "n", "place", "first").unionAll(spark.createDataFrame(extra, columns))
+    # a source drawn too often leaves holes at its end; one drawn too rarely fills holes, dealt out by one more permutation
+    have = {r["sid"]: r["n"] for r in drawn.groupBy("sid").agg(F.sum("n").alias("n")).collect()}  # a row for each source
+    plan["have"] = np.array([have.get(s, 0) for s in plan["sid"].tolist()], np.int64)
 
+    @lean
     def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         where = {int(s): k for k, s in enumerate(plan["sid"])}
+        over, under = np.maximum(plan["have"] - plan["slots"], 0), np.maximum(plan["slots"] - plan["have"], 0)
+        first_hole, filled = np.cumsum(over) - over, np.cumsum(under)
         for pdf in batches:
             for sid, shard, n, place, first in pdf[["sid", "shard", "n", "place", "first"]].itertuples(index=False):
                 k = where[sid]
-                i = np.arange(first, min(first + n, plan["slots"][k]))
+                i = np.arange(first, first + n)
+                source = np.full(n, k)
+                hole = np.flatnonzero(i >= plan["slots"][k])
+                if len(hole):
+                    at = permute(first_hole[k] + i[hole] - plan["slots"][k], np.full(len(hole), over.sum()), np.full(len(hole), seed, np.uint64))
+                    source[hole] = np.searchsorted(filled, at, side="right")
+                    left = source[hole] < len(filled)
+                    other = source[hole[left]]
+                    i[hole[left]] = plan["slots"][other] - (filled[other] - at[left])
+                    slot_at = np.delete(np.arange(n), hole[~left])
+                    i, source = i[slot_at], source[slot_at]
+                else:
+                    slot_at = np.arange(n)
                 if not len(i):
                     continue
-                blocks, size = plan["blocks"][k], plan["source_size"][k]
+                blocks, size, sids = plan["blocks"][source], plan["source_size"][source], plan["sid"][source]
                 turn, index = i // blocks, i % blocks
-                block = permute(index, np.full(len(i), blocks), _keys(np.full(len(i), sid), turn, seed))
+                block = permute(index, blocks, _keys(sids, turn, seed))
                 length = np.minimum(block_words, size - block * block_words)
-                before = index * block_words - (plan["where"][k] < index) * (blocks * block_words - size)
-                take = np.where(turn < plan["passes"][k], length, np.clip(plan["rest"][k] - before, 0, length))
-                slot = permute(place + np.arange(len(i)), np.full(len(i), SHARD_SLOTS), np.full(len(i), shard + seed, np.uint64))
-                yield pd.DataFrame({"sid": sid, "block": block, "shard": shard, "slot": slot, "take": take})[take > 0]
+                before = index * block_words - (plan["where"][source] < index) * (blocks * block_words - size)
+                take = np.where(turn < plan["passes"][source], length, np.clip(plan["rest"][source] - before, 0, length))
+                slot = permute(place + slot_at, np.full(len(i), SHARD_SLOTS), np.full(len(i), shard + seed, np.uint64))
+                yield pd.DataFrame({"sid": sids, "block": block, "shard": shard, "slot": slot, "take": take})[take > 0]
 
+    # one small file holds the draws of all shards: they are dealt out before slots are made of them
+    drawn = drawn.select("sid", "shard", "n", "place", "first").repartition(max(1, -(-total // TASK_SLOTS)), "shard")
     slots = drawn.mapInPandas(fill, "sid long, block long, shard long, slot long, take long")
     b = F.lit(block_words)
     spans = placed.where("size > 0").select("sid", "start", "size", F.explode(F.sequence(_div("start", b), _div(F.col("start") + F.col("size") - 1, b))).alias("block"))
@@ -229,10 +240,11 @@ def mixed_texts(mixed: Mix, docs: DataFrame) -> DataFrame:
     same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.tie") == F.col("b.tie")) & (F.col("a.k") == F.col("b.k"))
     both = named.alias("a").join(texts.alias("b"), same).select("a.doc_id", "a.source", "a.pieces", "b.text")
 
+    @lean
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for lo in range(0, whole.num_rows, 256):
-                batch = whole.slice(lo, 256)
+            for lo in range(0, whole.num_rows, 64):
+                batch = whole.slice(lo, 64)
                 data, offsets = string_views(batch.column("text"))
                 rows, out = [], []
                 for k, pieces in enumerate(batch.column("pieces").to_pylist()):
