@@ -18,7 +18,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyra.llm.kernel import WORD_BYTE, Words, hash_words, mix, words
+from papyra.llm.kernel import WORD_BYTE, Words, hash_words, lean, mix, words
 from papyra.llm.scratch import Scratch
 
 # Insults and slurs-free abuse words of the four corpus languages.
@@ -39,7 +39,6 @@ LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t"
 FOLDS = 4
 #: Bytes of the two word beginnings that are learned besides whole words.
 BEGINNINGS = (4, 5)
-MAX_LEXICON = 20_000
 FEATURES = (
     "log_words", "seed_density", "seed_hits", "learned_density", "learned_hits", "learned_sum", "learned_max",
     "begin_density", "begin_sum", "begin_max", "you_near", "you_rate", "capital_rate", "shout_rate", "punctuation_rate",
@@ -57,6 +56,7 @@ def _units(found: Words) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
+@lean
 def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each unit of a batch: in how many of its documents of each fold and class it occurs."""
     for batch in batches:
@@ -84,7 +84,8 @@ def learn_lexicons(train: DataFrame, seen: dict[int, int]) -> list[tuple[np.ndar
     clean = sum(F.col(f"c{2 * f}") for f in range(FOLDS))
     n_toxic, n_clean = (sum(seen.get(2 * f + y, 0) for f in range(FOLDS)) for y in (1, 0))
     odds = (toxic + 0.5) * (n_clean + 1.0) / ((clean + 0.5) * (n_toxic + 1.0))
-    chosen = wide.where((toxic >= 3) & (odds >= 6)).orderBy((odds * toxic).desc(), "unit").limit(MAX_LEXICON)
+    # the training rows are bounded, and so is what they have in common
+    chosen = wide.where((toxic >= 3) & (odds >= 6))
     rows = np.array([tuple(r) for r in chosen.collect()], dtype=np.int64).reshape(-1, 1 + 2 * FOLDS)
     rows = rows[np.argsort(rows[:, 0].view(np.uint64))]
     out = []
@@ -155,13 +156,14 @@ def features(found: Words, table: tuple[np.ndarray, np.ndarray], seed: np.ndarra
     capitals = np.concatenate([[0], np.cumsum(upper)])
     shout = (capitals[found.end] - capitals[found.start] == found.end - found.start) & (found.end - found.start > 2)
     obfuscated = np.zeros(n)
-    for k in np.flatnonzero(masked):  # few: only signs between letters
-        row = int(np.searchsorted(found.offsets, k, side="right")) - 1
-        lo, hi = k, k
-        while lo > found.offsets[row] and raw[lo - 1] > 32 and k - lo < 30:
-            lo -= 1
-        while hi < found.offsets[row + 1] and raw[hi] > 32 and hi - k < 30:
-            hi += 1
+    # tokens between white space that hold such a sign, each once and whole
+    at = np.flatnonzero(masked)
+    space = np.flatnonzero(raw <= 32)
+    begin, stop = np.union1d(space + 1, found.offsets[:-1]), np.union1d(space, found.offsets[1:])
+    starts, one = np.unique(begin[np.searchsorted(begin, at, side="right") - 1], return_index=True)
+    ends = stop[np.searchsorted(stop, at[one], side="right")]
+    rows = np.searchsorted(found.offsets, starts, side="right") - 1
+    for row, lo, hi in zip(rows.tolist(), starts.tolist(), ends.tolist(), strict=True):
         token = raw[lo:hi].tobytes().decode("utf-8", "ignore").lower()
         plain = ["".join(c for c in form if c.isalpha()) for form in (token, token.translate(LEET))]
         forms = hash_words([p for p in plain if p])
@@ -181,6 +183,7 @@ def with_features(docs: DataFrame, lexicons: list[tuple[np.ndarray, np.ndarray]]
     schema = docs.select(*[F.col(c) for c in keep], F.array().cast("array<double>").alias("features")).schema
     tables = [(k.tobytes(), w.tobytes()) for k, w in lexicons]
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = [(np.frombuffer(k, np.uint64), np.frombuffer(w)) for k, w in tables]
         seed, you = np.unique(hash_words(SEED_LEXICON)), np.unique(hash_words(SECOND_PERSON))
@@ -204,12 +207,12 @@ def with_features(docs: DataFrame, lexicons: list[tuple[np.ndarray, np.ndarray]]
     return docs.select(*columns).mapInArrow(run, schema)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, max_train_rows: int, max_train_bytes: int) -> DataFrame:
+def training_rows(docs: DataFrame, labels: DataFrame, max_train_rows: int) -> DataFrame:
     """doc_id, text, toxic, fold: labelled rows outside the held-out fifth, at most about max_train_rows.
 
     Where there are more, those with the smallest hash of doc_id are taken.  A doc_id that
     is labelled more than once counts as toxic if any label says so; null labels say nothing.
-    Texts beyond max_train_bytes are left to scoring alone, which bounds the sample's bytes.
+    Texts are whole, however long.
     """
     marked = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     marked = marked.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
@@ -218,12 +221,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_train_rows: int, max_t
         bound = int(max_train_rows / total * 2**32)
         marked = marked.where((F.xxhash64("doc_id").bitwiseAND(2**32 - 1)) < bound)
     fold = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(FOLDS)).cast("int").alias("fold")
-    plain = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") <= max_train_bytes)
+    plain = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     return plain.join(F.broadcast(marked) if total <= max_train_rows * 2 else marked, "doc_id").select("doc_id", "text", "toxic", fold)
 
 
 def score_toxicity(
-    docs: DataFrame, labels: DataFrame, *, max_train_rows: int = 20_000, max_train_bytes: int = 200_000, trees: int = 20, depth: int = 3, seed: int = 11
+    docs: DataFrame, labels: DataFrame, *, max_train_rows: int = 20_000, trees: int = 20, depth: int = 3, seed: int = 11
 ) -> DataFrame:
     """All rows of docs with held_out, score (0 to 1) and predicted.
 
@@ -236,7 +239,7 @@ def score_toxicity(
     scratch = Scratch(spark, "toxicity")
     docs = docs.drop("held_out", "score", "predicted", "features", "fold", "toxic")
     keep = docs.columns
-    train = scratch.save(training_rows(docs, labels, max_train_rows, max_train_bytes), "train")
+    train = scratch.save(training_rows(docs, labels, max_train_rows), "train")
     seen = {2 * r["fold"] + r["toxic"]: r["n"] for r in train.groupBy("fold", "toxic").agg(F.count("*").alias("n")).collect()}
     both = all(sum(seen.get(2 * f + y, 0) for f in range(FOLDS)) for y in (0, 1))
     if not both:

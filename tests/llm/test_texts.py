@@ -246,3 +246,15 @@ def test_permutations_and_their_inverse():
         i, size, key = np.arange(n), np.full(n, n), np.full(n, 99, np.uint64)
         out = permute(i, size, key)
         assert sorted(out) == list(range(n)) and (permute(out, size, key, inverse=True) == i).all()
+
+
+def test_obfuscated_tokens_are_whole():
+    import pyarrow as pa
+
+    from papyra.llm.kernel import WORD_BYTE, hash_words, words
+    from papyra.llm.toxicity import FEATURES, SEED_LEXICON, features
+
+    seed, you = np.unique(hash_words(SEED_LEXICON)), np.unique(hash_words(["you"]))
+    texts = ["such an id1ot", "i-d.i.o.t", "x" * 40 + ".y plain", "", None, "1 st.upid and m0ron\nl.o.s.e.r", "a.b" * 200_000]
+    got = [features(f, (np.zeros(0, np.uint64), np.zeros(0)), seed, you) for f in words(pa.array(texts), WORD_BYTE, chunk=1 << 30)]
+    assert np.concatenate(got)[:, FEATURES.index("obfuscated_hits")].tolist() == [1, 1, 0, 0, 0, 3, 0]
