@@ -258,3 +258,53 @@ def test_obfuscated_tokens_are_whole():
     texts = ["such an id1ot", "i-d.i.o.t", "x" * 40 + ".y plain", "", None, "1 st.upid and m0ron\nl.o.s.e.r", "a.b" * 200_000]
     got = [features(f, (np.zeros(0, np.uint64), np.zeros(0)), seed, you) for f in words(pa.array(texts), WORD_BYTE, chunk=1 << 30)]
     assert np.concatenate(got)[:, FEATURES.index("obfuscated_hits")].tolist() == [1, 1, 0, 0, 0, 3, 0]
+
+
+def test_leaks_against_brute_force(spark):
+    """Verbatim, reworded and scattered items among many: found exactly where a search over all places finds them."""
+    rng = np.random.default_rng(21)
+    share = 1 / np.arange(1, 3001) ** 0.7
+    text = lambda n: [f"v{k}" for k in rng.choice(3000, n, p=share / share.sum())]
+    items = [(k, text(int(n))) for k, n in enumerate(rng.integers(10, 60, 40))]
+    docs = []
+    for k, item in items:
+        lost = rng.random(len(item))
+        lost[-max(3, len(item) // 5) :] = 1  # its answer stays
+        reworded = [f"other{rng.integers(1000)}" if x < 0.3 else w for w, x in zip(item, lost, strict=True)]
+        docs += [(3 * k, text(30) + item + text(50)), (3 * k + 1, text(40) + reworded + text(20)), (3 * k + 2, text(20) + item[: len(item) // 2] + text(60))]
+
+    def common(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(row[j] + 1 if x == y else max(row[j + 1], new[-1]))
+            row = new
+        return row[-1]
+
+    def leaks(doc, item):
+        n, tail = len(item), item[-max(3, len(item) // 5) :]
+        if len(set(doc) & set(item)) < 0.5 * len(set(item)):
+            return False
+        for at in range(0, len(doc), max(2, n // 8)):
+            window = doc[at : at + n + n // 2]
+            c = common(item, window)
+            if 10 * c >= 8 * n or 10 * c >= 6 * n and 2 * common(tail, window) >= len(tail):
+                return True
+        return False
+
+    want = {(d, k) for d, doc in docs for k, item in items if leaks(doc, item)}
+    df = spark.createDataFrame([(d, " ".join(x)) for d, x in docs] * 2, "doc_id long, text string")  # repeated rows give repeated results
+    got = collections.Counter((r["doc_id"], r["item_id"]) for r in benchmark_leaks(df, spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string")).collect())
+    assert set(got) == want and set(got.values()) == {2}
+
+
+def test_every_verbatim_item_of_a_large_benchmark_is_found(spark):
+    rng = np.random.default_rng(22)
+    share = 1 / np.arange(1, 20_001) ** 0.8
+    text = lambda n: [f"v{k}" for k in rng.choice(20_000, n, p=share / share.sum())]
+    items = [(k, text(int(n))) for k, n in enumerate(rng.choice([10, 20, 40, 80, 150, 300, 500], 1000))]
+    df = spark.createDataFrame([(k, " ".join(text(25) + item + text(25))) for k, item in items] + [(-1, " ".join(text(60_000)))], "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in benchmark_leaks(df, spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string")).collect()}
+    assert {(k, k) for k, _ in items} <= got, sorted({(k, k) for k, _ in items} - got)[:9]
+    assert not [d for d, _ in got if d == -1]
