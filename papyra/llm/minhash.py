@@ -20,15 +20,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from papyra.llm.components import connected_components
-from papyra.llm.kernel import U, mix, shingle_sets, words
+from papyra.llm.kernel import U, lean, mix, shingle_sets, words
 from papyra.llm.scratch import Scratch
 
 ROWS = 4
 MISS = 1e-6
 #: Documents on each side of a tile that is compared in full.
 TILE = 256
-#: Ids (16 bytes each) up to which they may be broadcast.
-BROADCAST_IDS = 2_000_000
+#: Ids up to which they may be broadcast: about 30 MB as a hash table.
+BROADCAST_IDS = 250_000
 
 
 def band_count(threshold: float) -> int:
@@ -54,6 +54,7 @@ def signature(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _sign(bands: int, size: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = _permutations(bands * ROWS // 2)
         number = np.arange(bands, dtype=np.uint64)
@@ -87,6 +88,7 @@ def _sign(bands: int, size: int):
 
 
 def _confirm(size: int, percent: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, last_set = None, None
         for whole in batches:

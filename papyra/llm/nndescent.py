@@ -7,14 +7,15 @@
    round compares the neighbours of a node with each other, where one of them is new.  A
    list full of neighbours near enough for a link is doubled.
    Nodes whose lists are still full at the end are compared with all leaders of their label.
-3. Recall is audited: a bounded set of query vectors is compared with all vectors, and each
-   counts alike, by the classes it is linked with; below the goal, more hyperplanes and
+3. Recall is audited: the vectors whose id is divisible by 100 are compared with all vectors, and
+   each counts alike, by the classes it is linked with; below the goal, more hyperplanes and
    longer lists follow, and at last all leaders of a label are compared.
 4. Ball pairs near enough are compared member by member in double precision.
 """
 
 from __future__ import annotations
 
+import logging
 import math
 from collections.abc import Iterator
 
@@ -24,12 +25,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from papyra.llm.components import connected_components
+from papyra.llm.kernel import lean
 from papyra.llm.scratch import Scratch
 
 CHUNK = 512
 SLACK = 1e-7
 #: Pairs found after which a group's task removes repeated ones.
 HELD_PAIRS = 1 << 21
+#: Vectors that more than this many rows, and more than one in this many rows, share are common.
+COMMON = 1000
+LOG = logging.getLogger(__name__)
 
 
 def _unit(column: pa.Array) -> np.ndarray:
@@ -67,6 +72,7 @@ def _angles(pairs: DataFrame, a: str, b: str, keep: list[str], least: float = -2
     """Columns keep with the cosine of the vector columns a and b, where it is at least ``least``."""
     schema = pairs.select(*keep, F.lit(0.0).alias("cosine")).schema
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for lo in range(0, whole.num_rows, 4096):
@@ -166,7 +172,7 @@ def _local_join(table: pa.Table) -> pa.Table:
     return pa.table([join(left, np.int64), join(right, np.int64), join(value, np.float64)], ["p", "q", "cosine"])
 
 
-def descend(nodes: DataFrame, edges: DataFrame, near: float, k: int, scratch: Scratch, max_rounds: int, group_rows: int = 2000) -> tuple[DataFrame, DataFrame | None]:
+def descend(nodes: DataFrame, edges: DataFrame, near: float, k: int, scratch: Scratch, max_rounds: int, group_rows: int = 500) -> tuple[DataFrame, DataFrame | None]:
     """The neighbour lists after NN-descent, and the nodes p whose lists were still full at the end."""
     count = nodes.count()
     groups = max(1, math.ceil(count / group_rows))
@@ -203,31 +209,42 @@ def descend(nodes: DataFrame, edges: DataFrame, near: float, k: int, scratch: Sc
     return graph, grown.select("p") if grown is not None and saturated else None
 
 
-def all_near(nodes: DataFrame, chosen: DataFrame | None, near: float, scratch: Scratch) -> DataFrame:
-    """Edges (p, q, cosine, fresh) from the chosen nodes, or all, to every node of their label with a cosine of at least ``near``.
+def _tile_pairs(nodes: DataFrame, chosen: DataFrame | None, scratch: Scratch) -> DataFrame:
+    """own_a, own_b: tiles of the chosen nodes, or all, each beside every tile of its label and vector length.
 
-    Labels are cut into tiles of about CHUNK nodes, and pairs of tiles are dealt out alone,
-    so the work on a large label spreads over many tasks.
+    Tiles hold about CHUNK nodes, and pairs of tiles are dealt out alone, so the work on a
+    large label spreads over many tasks.
     """
     key = ["label", "d"]
     nodes = nodes.select("cid", "label", "vector", F.size("vector").alias("d"))
     counts = nodes.groupBy(*key).agg(F.ceil(F.count("*") / CHUNK).alias("tiles"))
-    tiled = scratch.save(nodes.join(F.broadcast(counts), key).withColumn("tile", F.pmod(F.xxhash64("cid"), F.col("tiles"))), "tiled")
-    own = tiled if chosen is None else tiled.join(chosen.select(F.col("p").alias("cid")).distinct(), "cid", "left_semi")
+    tiled = scratch.save(nodes.join(counts, key).withColumn("tile", F.pmod(F.xxhash64("cid"), F.col("tiles"))), "tiled")
+    own = tiled if chosen is None else tiled.join(chosen.select("cid").distinct(), "cid", "left_semi")
     pack = lambda rows, side: rows.groupBy(*key, F.col("tile").alias(f"tile_{side}")).agg(F.collect_list(F.struct("cid", "vector")).alias(f"own_{side}"))
     mine, others = scratch.save(pack(own, "a"), "tiles"), scratch.save(pack(tiled, "b"), "tiles")
+    scratch.drop(tiled)
     pairs = mine.select(*key, "tile_a").join(others.select(*key, "tile_b"), key)
-    pairs = pairs.join(mine, [*key, "tile_a"]).join(others, [*key, "tile_b"])
+    return pairs.join(mine, [*key, "tile_a"]).join(others, [*key, "tile_b"]).select("own_a", "own_b")
+
+
+def _products(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(ids, ids, cosines) of each pair of tiles."""
+    for whole in batches:
+        for k in range(whole.num_rows):
+            (p, x), (q, y) = ((side.field("cid").to_numpy(), _unit(side.field("vector"))) for side in (whole.column(c).slice(k, 1).flatten() for c in ("own_a", "own_b")))
+            yield p, q, x @ y.T
+
+
+def all_near(nodes: DataFrame, chosen: DataFrame | None, near: float, scratch: Scratch) -> DataFrame:
+    """Edges (p, q, cosine, fresh) from the chosen nodes, or all, to every node of their label with a cosine of at least ``near``."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for k in range(whole.num_rows):
-                (p, x), (q, y) = ((side.field("cid").to_numpy(), _unit(side.field("vector"))) for side in (whole.column(c).slice(k, 1).flatten() for c in ("own_a", "own_b")))
-                s = x @ y.T
-                i, j = np.nonzero((s >= near) & (p[:, None] != q[None, :]))
-                yield pa.RecordBatch.from_arrays([pa.array(p[i]), pa.array(q[j]), pa.array(s[i, j]), pa.array(np.zeros(len(i), bool))], ["p", "q", "cosine", "fresh"])
+        for p, q, s in _products(batches):
+            i, j = np.nonzero((s >= near) & (p[:, None] != q[None, :]))
+            yield pa.RecordBatch.from_arrays([pa.array(p[i]), pa.array(q[j]), pa.array(s[i, j]), pa.array(np.zeros(len(i), bool))], ["p", "q", "cosine", "fresh"])
 
-    return scratch.save(pairs.select("own_a", "own_b").mapInArrow(run, "p long, q long, cosine double, fresh boolean"), "all_near")
+    return scratch.save(_tile_pairs(nodes, chosen, scratch).mapInArrow(run, "p long, q long, cosine double, fresh boolean"), "all_near")
 
 
 def _members(parts: DataFrame) -> DataFrame:
@@ -242,6 +259,7 @@ def _members(parts: DataFrame) -> DataFrame:
 def _compare(cosine: float):
     """Rows (cid, n, c, a, b): how many rows and classes of the other pack a class is linked with; of its own pack, itself left out."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for k in range(whole.num_rows):
@@ -265,33 +283,25 @@ def _compare(cosine: float):
     return run
 
 
-def _audit(classes: DataFrame, queries: int, cosine: float) -> DataFrame:
-    """cid, truth: the classes linked with each of up to ``queries`` query classes, found by comparing them with all classes.
+def _audit(classes: DataFrame, cosine: float, scratch: Scratch) -> DataFrame:
+    """cid, truth: the classes linked with each query class (id divisible by 100), by comparing it with all classes of its label.
 
-    Classes and not rows are counted, so a group of many copies weighs no more than a single vector.
+    Classes and not rows are counted, so a group of many copies weighs no more than a single
+    vector.  Links are confirmed ones, so fewer than the truth are pairs not found.
     """
-    chosen = classes.where("pmod(cid, 100) = 0").orderBy(F.xxhash64("cid")).limit(queries).collect()
-    by: dict[tuple[int, int], list] = {}
-    for r in chosen:
-        by.setdefault((r["label"], len(r["vector"])), []).append(r)
-    packed = {key: (np.array([r["cid"] for r in rows]), np.array([r["vector"] for r in rows], float)) for key, rows in by.items()}
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            label = batch.column("label").to_numpy()
-            for at, x in _lengths(batch, "vector"):
-                for (own, dim), (ids, v) in packed.items():
-                    mine = np.flatnonzero(label[at] == own)
-                    if dim == x.shape[1] and len(mine):
-                        unit = v / np.linalg.norm(v, axis=1, keepdims=True)
-                        n = (unit @ x[mine].T >= cosine).sum(axis=1)
-                        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n.astype(np.int64))], ["cid", "n"])
+        for p, q, s in _products(batches):
+            n = ((s >= cosine) & (p[:, None] != q[None, :])).sum(axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(p), pa.array(n.astype(np.int64))], ["cid", "n"])
 
-    return classes.select("label", "vector").mapInArrow(run, "cid long, n long").groupBy("cid").agg((F.sum("n") - 1).alias("truth"))
+    pairs = _tile_pairs(classes, classes.where("pmod(cid, 100) = 0"), scratch)
+    return scratch.save(pairs.mapInArrow(run, "cid long, n long").groupBy("cid").agg(F.sum("n").alias("truth")), "truth")
 
 
 def near_embeddings(
-    rows: DataFrame, *, cosine: float = 0.98, k: int = 10, bits: int = 8, planes: int = 3, max_rounds: int = 10, goal: float = 0.97, queries: int = 512, attempts: int = 3
+    rows: DataFrame, *, cosine: float = 0.98, k: int = 10, bits: int = 8, planes: int = 3, max_rounds: int = 10, goal: float = 0.97, attempts: int = 3
 ) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of rows (vec_id, embedding, label).
 
@@ -299,9 +309,10 @@ def near_embeddings(
     precision, is at least ``cosine``.  Vectors that are null, zero, or hold null or
     non-finite components link with nothing, nor do vectors of different lengths or rows with a
     null vec_id (their component_id is null, kept is true).  n_links counts other rows;
-    repeated rows are vectors of their own with one id.  ``queries`` bounds the audit; the
-    mean recall of its classes must reach ``goal``, or else, after ``attempts``, the
-    leaders of each label are all compared with each other.  Other columns are ignored.
+    repeated rows are vectors of their own with one id.  The mean recall of the query
+    classes, which is logged, must reach ``goal``, or else, after ``attempts``, the leaders
+    of each label are all compared with each other.  Components beyond 1e150, and vectors
+    without one beyond 1e-150, count as non-finite and zero.  Other columns are ignored.
     """
     spark: SparkSession = rows.sparkSession
     scratch = Scratch(spark, "nndescent")
@@ -322,14 +333,14 @@ def near_embeddings(
     near = math.cos(min(math.pi, 3 * theta))  # leaders of two balls with a link
     tight = F.col("r") <= theta / 2 - 1e-6
 
-    found = None
+    found = truth = None
     for attempt in range(attempts + 1):
         if attempt < attempts:
             edges = first_lists(nodes, range(50 + 10 * attempt, 50 + 10 * attempt + planes * (attempt + 1)), bits, k)
             graph, full = descend(nodes, edges if found is None else edges.unionAll(found.select("p", "q", "cosine", "fresh")), near, k * 2**attempt, scratch, max_rounds)
             found = graph
             if full is not None:
-                graph = graph.select("p", "q", "cosine", "fresh").unionAll(all_near(nodes, full, near - SLACK, scratch))
+                graph = graph.select("p", "q", "cosine", "fresh").unionAll(all_near(nodes, full.select(F.col("p").alias("cid")), near - SLACK, scratch))
         else:
             graph = all_near(nodes, None, near - SLACK, scratch)
         close = graph.where(F.col("cosine") >= near - SLACK).select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "cosine").groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
@@ -349,8 +360,10 @@ def near_embeddings(
         links = links.select("cid", "ball", "label", "vector", total("inside", "all_of", "some").alias("n_links"), total("inside_c", "all_c", "some_c").alias("n_classes"))
         links = scratch.save(links, "links")
         if attempt < attempts:
-            seen = _audit(classes, queries, cosine).where("truth > 0").join(links.select("cid", "n_classes"), "cid")
+            truth = _audit(classes, cosine, scratch) if truth is None else truth
+            seen = truth.where("truth > 0").join(links.select("cid", "n_classes"), "cid")
             recall = seen.agg(F.avg(F.least("truth", "n_classes") / F.col("truth"))).first()[0]
+            LOG.info("recall of the query classes: %s", recall)
             if recall is None or recall >= goal:
                 break
     joins = whole.select("a", "b").unionAll(compared.select("a", "b").distinct())
@@ -360,8 +373,15 @@ def near_embeddings(
     least = parts.join(labels.withColumnRenamed("node", "ball"), "ball", "left").withColumn("group", F.coalesce("component", "ball"))
     of_group = least.groupBy("group").agg(F.min("vec").alias("component_id"))
     of_ball = least.select("ball", "group").distinct().join(of_group, "group").select("ball", "component_id")
-    named = links.join(of_ball, "ball").select(F.col("label").alias("_l"), F.col("vector").alias("_v"), "n_links", "component_id")
-    out = rows.join(named, (F.col("label") == F.col("_l")) & (F.col("vector") == F.col("_v")), "left")
+    named = links.join(of_ball, "ball").join(classes.select("cid", "m"), "cid")
+    named = scratch.save(named.select(F.col("label").alias("_l"), F.col("vector").alias("_v"), "m", "n_links", "component_id"), "named")
+    # fewer than COMMON vectors can each be that share of the rows: they go to the rows, the others meet them in a shuffle
+    bar = max(COMMON, -(-(classes.agg(F.sum("m")).first()[0] or 0) // COMMON))
+    same = (F.col("label") == F.col("_l")) & (F.col("vector") == F.col("_v"))
+    common = rows.join(F.broadcast(named.where(F.col("m") > bar)), same, "left")
+    fields = ["vec_id", "n_links", "component_id"]
+    rest = common.where("m IS NULL").select("vec_id", "vector", "label").join(named.where(F.col("m") <= bar), same, "left")
+    out = common.where("m IS NOT NULL").select(*fields).unionAll(rest.select(*fields))
     known = F.col("vec_id").isNotNull()
     out = out.select("vec_id", F.when(known, F.coalesce("n_links", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("n_links"), F.when(known, F.coalesce("component_id", "vec_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
