@@ -22,14 +22,14 @@ def tokens(text):
     return re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m.group().lower(), (text or "").encode())) + [b"\n"]
 
 
-@pytest.mark.parametrize("order", [1, 2, 3])
+@pytest.mark.parametrize("order", [1, 2, 3, 5])
 def test_automaton_equals_brute_force(spark, monkeypatch, order):
-    monkeypatch.setattr(lm, "BLOCK_BYTES", 300)
-    monkeypatch.setattr(lm, "RANGE_BYTES", 500)
+    monkeypatch.setattr(lm, "LANE", 7)
     rng, mass = random.Random(order), 3.0
     rows = [(k, " ".join(rng.choice("a b c D e\n").strip() or "x" for _ in range(rng.randrange(0, 30)))) for k in range(60)] + [(60, None), (61, ""), (62, "new words only")]
+    rows += [(70 + k, "z y x " * 4 + "rare pair here " * k) for k in range(6)] + [(80, "a b c a b c " * 40)]
     held = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
-    got = {r["doc_id"]: r for r in lm.score_texts(spark.createDataFrame([(i, t, 1.0) for i, t in rows], "doc_id long, text string, score double"), held, order=order, mass=mass).collect()}
+    got = {r["doc_id"]: r for r in lm.score_texts(spark.createDataFrame([(i, t, 1.0) for i, t in rows], "doc_id long, text string, score double"), held, order=order, masses=(mass,), block_bytes=300, range_bytes=500).collect()}
     assert len(got) == len(rows)
     own = {i: tokens(t) for i, t in rows}
     out = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in rows}
@@ -54,12 +54,20 @@ def test_automaton_equals_brute_force(spark, monkeypatch, order):
         assert got[i]["score"] == pytest.approx(sum(math.log10(p(tuple(s[max(0, e - order + 1) : e]), s[e])) for e in range(1, len(s))))
 
 
+def test_model_of_null_and_repeated_ids(spark):
+    rows = [(None, "a b a b"), (1, "a b c"), (1, "a b c"), (2, None), (None, None), (3, "c " * 3000)]
+    df = spark.createDataFrame([(*r, "t") for r in rows], "doc_id long, text string, n_known string")
+    got = [(r["doc_id"], r["n_tokens"], r["train_tokens"]) for r in lm.score_texts(df, F.lit(None).cast("boolean")).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, [(i, len(tokens(t)), 3016) for i, t in rows]))
+    assert lm.score_texts(df.limit(0), F.lit(False)).count() == 0
+
+
 def test_model_is_a_distribution(spark):
     """Over all known words and one unknown, the probabilities after a history sum to one."""
     docs = [(1, "a b a c"), (2, "b a")]
     probes = [(10 + k, f"a {w}") for k, w in enumerate(["a", "b", "c", "zzz"])]
     df = spark.createDataFrame(docs + probes + [(30, "a"), (31, "")], "doc_id long, text string")
-    got = {r["doc_id"]: r for r in lm.score_texts(df, F.col("doc_id") >= 10, mass=2.0).collect()}
+    got = {r["doc_id"]: r for r in lm.score_texts(df, F.col("doc_id") >= 10, order=2, masses=(2.0,)).collect()}
     # words after "a", then an end of the text: the end's share is what the text "a" itself has
     def share(i, w):
         return 10 ** (got[i]["score"] - start) / end[w]
