@@ -5,16 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# What identifiers look like.
+# What identifiers, years and lines that end a header look like, and the words that decide a version's type.
 DOI = r"(?i)10\.\d{4,9}/[-._;()/:A-Z0-9]+"
-NBER = r"(?i)\bNBER\s+Working\s+Paper(?:\s+(?:Series|No\.?|Number|#))*\s*#?\s*(\d{3,6})\b"
-ARXIV = r"(?i)\barXiv:\s*(\d{4}\.\d{4,5}(?:v\d+)?)"
-REPEC = r"(?i)\b(RePEc:[a-z0-9]+:[a-z0-9]+:[^\s,;)]+)"
-SSRN_URL = r"(?i)ssrn\.com/(?:abstract=|sol3/papers\.cfm\?abstract_id=)(\d+)"
-SSRN_TEXT = r"(?i)\bSSRN[-_ #:]*(\d{5,8})\b"
-SSRN_STEM = r"(?i)^ssrn[-_ ](\d+)$"
-YEAR_LABELLED = r"(?i)(?:published|publication date|this version|first version|draft|revised|copyright|©|\(c\))[^0-9\n]{0,40}((?:19|20)\d{2})"
-YEAR_MONTH = r"(?i)\b(?:january|february|march|april|may|june|july|august|september|october|november|december)\s+(?:\d{1,2},\s*)?((?:19|20)\d{2})\b"
+NBER = r"(?i)NBER\s+Working\s+Paper\s+(?:No\.?\s*)?(\d{3,6})"
+ARXIV = r"(?i)arXiv\s*:\s*([0-9]{4}\.[0-9]{4,5}(?:v\d+)?)"
+REPEC = r"(?i)(RePEc:[A-Za-z0-9:_\-\.]+)"
+SSRN_URL = r"(?i)(?:papers\.)?ssrn\.com/[^\s]*?(?:abstract_id=|abstract=)(\d{5,10})"
+SSRN_TEXT = r"(?i)SSRN\s+(?:ID\s*)?(\d{5,10})"
+SSRN_STEM = r"(?i)^ssrn[-_ ](\d{5,10})$"
+YEAR_LABELLED = r"(?i)(?:published|publication|revised|revision|draft|date|copyright|©)\s*[:;,\-]?\s*((?:19|20)\d{2})"
+YEAR_MONTH = r"(?i)(?:january|february|march|april|may|june|july|august|september|october|november|december)\s+((?:19|20)\d{2})"
+WORKING_PAPER, PREPRINT, ANNOTATED = "working paper", "preprint", "annotated"
+ANCHORS = ("first version:", "this version:", "latest version:", "revised:", "draft:")
 
 
 def _first(text: Column, pattern: str, group: int = 1) -> Column:
@@ -52,18 +54,21 @@ def extract_ssrn(text: Column, stem: Column) -> Column:
 
 
 def publication_year(text: Column, this_year: int) -> Column:
-    """The first labelled year, else the first after a month, from 1900 to next year; of 20,000 characters."""
+    """The first labelled year, else the first after a month's name, from 1900 to next year; of 20,000 characters."""
     head = F.substring(text, 1, 20_000)
     valid = lambda y: F.when(y.between(1900, this_year + 1), y)
     return F.coalesce(*[valid(_first(head, p).cast("int")) for p in (YEAR_LABELLED, YEAR_MONTH)])
 
 
-def version_type(text: Column, doi: Column, working_ids: Column, arxiv: Column, annotated: Column) -> Column:
-    """annotated, workingPaper, preprint, published or unknown, in this order; of 30,000 characters."""
-    head = F.lower(F.substring(text, 1, 30_000))
-    working = working_ids.isNotNull() | head.contains("working paper") | head.contains("discussion paper")
-    preprint = arxiv.isNotNull() | head.contains("preprint")
-    return F.when(annotated, "annotated").when(working, "workingPaper").when(preprint, "preprint").when(doi.isNotNull(), "published").otherwise("unknown")
+def version_type(text: Column, doi: Column, working_ids: Column, arxiv: Column) -> Column:
+    """annotatedCopy, workingPaper, preprint, published or unknown, in this order; of 30,000 characters.
+
+    ``working_ids`` is not null where an NBER or SSRN number is known.
+    """
+    head = F.lower(F.substring(F.coalesce(text, F.lit("")), 1, 30_000))
+    working = working_ids.isNotNull() | head.contains(WORKING_PAPER)
+    preprint = arxiv.isNotNull() | head.contains(PREPRINT)
+    return F.when(head.contains(ANNOTATED), "annotatedCopy").when(working, "workingPaper").when(preprint, "preprint").when(doi.isNotNull(), "published").otherwise("unknown")
 
 
 def identifier_key(kind: str, value: Column) -> Column:
@@ -92,26 +97,41 @@ def needs_path_normalization(path: Column, category: Column, year: Column, folde
     return (F.size(parts) < 4) | (F.slice(parts, F.greatest(F.size(parts) - 3, F.lit(1)), 4) != F.array(category, year, folder, filename))
 
 
-def header_score(page: Column) -> Column:
-    """How much a page looks like a title page."""
-    low = F.lower(page)
-    has = lambda p, n: F.when(p, n).otherwise(0)
-    return has(low.contains("abstract"), 2) + has(low.contains("isbn"), 2) + has(extract_doi(page).isNotNull(), 1) + has(low.contains("ssrn"), 1) + has(low.contains("nber"), 1)
+def _trimmed(value: Column) -> Column:
+    return F.regexp_replace(value, r"^\s+|\s+$", "")
 
 
-def header_title_authors(page: Column) -> Column:
-    """struct(title, authors): the lines above the anchor (abstract, a version or draft line), or the first eight.
+def header_title_authors(page: Column, stem: Column | None = None) -> Column:
+    """struct(title, authors) of a page's header: the lines above the first anchor line, or the first eight.
 
-    The last line that reads like names is the authors; up to four of the others are the title.
+    An anchor is a line that is "abstract" or begins with a version label.  The last header line with a
+    dagger, or that begins with "by ", is the authors; the first four of the others are the
+    title, unless it is the file's stem.
     """
-    lines = F.filter(F.transform(F.split(page, "\n"), lambda x: F.trim(F.regexp_replace(x, r"\*+", ""))), lambda x: x != "")
-    anchor = lambda x: x.rlike(r"(?i)^(abstract\b|first version|this version|current version|.*\bdraft\b)")
+    lines = F.filter(F.transform(F.split(page, r"\r\n|[\n\r\x0B\x0C\u0085\u2028\u2029]"), _trimmed), lambda x: x != "")
+    low = lambda x: F.lower(x)
+    anchor = lambda x: (low(x) == "abstract") | low(x).rlike("^(" + "|".join(ANCHORS) + ")")
     places = F.filter(F.transform(lines, lambda x, i: F.when(anchor(x), i)), lambda i: i.isNotNull())
-    n = F.coalesce(F.get(places, F.lit(0)), F.least(F.size(lines), F.lit(8)))
-    head = F.slice(lines, 1, n)
-    names = lambda x: x.rlike(r"^[\p{Lu}][\p{L}.'’-]+(\s+[\p{Lu}][\p{L}.'’-]*)+(\s*(,|;|&|\band\b)\s*[\p{Lu}][\p{L}.'’-]*(\s+[\p{Lu}][\p{L}.'’-]*)*)*$")
-    with_place = F.filter(F.transform(head, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda s: (s["i"] > 0) & names(s["x"]))
-    author = F.try_element_at(with_place, F.lit(-1))
-    title = F.filter(head, lambda x, i: author.isNull() | (i < author["i"]))
-    joined = F.regexp_replace(author["x"], r"\s*(,|&|\band\b)\s*", "; ")
-    return F.struct(F.nullif(F.array_join(F.slice(title, 1, 4), " "), F.lit("")).alias("title"), joined.alias("authors"))
+    head = F.slice(lines, 1, F.coalesce(F.get(places, F.lit(0)), F.least(F.size(lines), F.lit(8))))
+    names = lambda x: x.contains("†") | x.contains("‡") | low(x).startswith("by ")
+    at = F.array_max(F.filter(F.transform(head, lambda x, i: F.when(names(x), i)), lambda i: i.isNotNull()))
+    title = F.slice(F.filter(head, lambda x, i: at.isNull() | (i != at)), 1, 4)
+    title = F.regexp_replace(F.array_join(title, " "), r"^[\s*]+|[\s*]+$", "")
+    usable = (title != "") & (F.lit(True) if stem is None else ~F.coalesce(F.lower(title) == F.lower(stem), F.lit(False)))
+    return F.struct(F.when(usable, title).alias("title"), header_authors(F.get(head, at)).alias("authors"))
+
+
+def header_authors(line: Column) -> Column:
+    """The names of an author line: those before a dagger or an asterisk, or else the whole line without "by"."""
+    plain = F.regexp_replace(line, r"(?i)^by\s+", "")
+    marked = F.filter(F.transform(F.regexp_extract_all(plain, F.lit("([^†‡*]+)[†‡*]"), 1), _trimmed), lambda x: x != "")
+    cleaned = F.nullif(_trimmed(F.regexp_replace(plain, "[†‡*]", "")), F.lit(""))
+    return F.when(F.size(marked) > 0, F.array_join(marked, "; ")).otherwise(cleaned)
+
+
+def header_score(page: Column, title: Column, authors: Column) -> Column:
+    """How much a page looks like a title page: 2 for a title, 4 for authors, and words of its first 10,000 characters."""
+    low = F.lower(F.substring(page, 1, 10_000))
+    has = lambda p, n: F.when(p, n).otherwise(0)
+    named = low.contains("doi") | low.contains("ssrn") | low.contains("nber")
+    return has(title.isNotNull(), 2) + has(authors.isNotNull(), 4) + has(low.contains("abstract"), 2) + has(low.contains("isbn"), 2) + has(named, 1)

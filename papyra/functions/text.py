@@ -18,9 +18,9 @@ QUOTES = {'"': '"', "“": "”", "”": "”"}
 
 
 def fold(value: Column) -> Column:
-    """Lower case, without marks, full-width forms made narrow."""
+    """Lower case, without marks, full-width forms made narrow; plain ASCII is only lower-cased."""
     narrow = F.translate(value, WIDE, NARROW)
-    return F.translate(F.lower(narrow), MARKED, PLAIN)
+    return F.when(value.rlike(r"[^\x00-\x7F]"), F.translate(F.lower(narrow), MARKED, PLAIN)).otherwise(F.lower(value))
 
 
 def normalize(value: Column) -> Column:
@@ -79,6 +79,12 @@ def searchable(value: Column) -> Column:
     return F.concat_ws(" ", F.array(normalize(value)), cjk_bigrams(value))
 
 
+def index_tokens(value: Column) -> Column:
+    """The tokens of searchable(): those of the text, then its CJK bigrams, looked for only where there is such a character."""
+    pairs = F.when(value.rlike(r"[\u3400-\u9FFF]"), cjk_bigrams(value)).otherwise(F.array().cast("array<string>"))
+    return F.concat(tokens(value, 0), pairs)
+
+
 def page_text(value: Column) -> Column:
     """Unix line ends, words hyphenated over a line end joined, lines trimmed, one pass of blank-line collapsing."""
     text = F.regexp_replace(value, "\r\n?", "\n")

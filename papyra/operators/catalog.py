@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -156,3 +157,20 @@ def chips(marks: DataFrame, tags: DataFrame, total: int = 3) -> DataFrame:
     own = Window.partitionBy("work_id")
     ranked = every.withColumn("position", F.row_number().over(own.orderBy("kind", F.when(F.col("kind") == 0, F.col("key").cast("int")), "key"))).withColumn("overflow", F.greatest(F.lit(0), F.count("*").over(own) - total))
     return ranked.where(F.col("position") <= total).select("work_id", "name", "position", "overflow")
+
+
+def positions(rows: DataFrame, order: list[Column]) -> DataFrame:
+    """rows with ``position`` (long, from 1) in the order, which must be total; no task sees all rows.
+
+    Rows are sorted over all tasks, and numbered within each; what a task adds is the number
+    of rows in those before it.  The sorted rows are kept, as both steps must see one
+    partitioning.
+    """
+    dealt = rows.orderBy(*order).withColumn("_id", F.monotonically_increasing_id()).persist(StorageLevel.DISK_ONLY)
+    part = F.shiftright("_id", 33)
+    # one row for each task
+    counts = dealt.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select("_part", before.alias("_before"))
+    out = dealt.withColumn("_part", part).join(F.broadcast(counts), "_part")
+    return out.withColumn("position", F.col("_before") + F.col("_id").bitwiseAND((1 << 33) - 1) + 1).drop("_id", "_part", "_before")

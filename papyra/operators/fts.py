@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from papyra.functions.text import phrase_of, query_terms, searchable, tokens
+from papyra.functions.text import index_tokens, phrase_of, query_terms, searchable
 
 K1, B = 1.2, 0.75
 CJK = re.compile(r"[㐀-鿿]")
@@ -64,8 +64,8 @@ def bm25(chunks: DataFrame, match: Match, text: str = "text") -> DataFrame:
     statistics, one row, are broadcast.
     """
     phrases = match.phrases
-    own = tokens(searchable(F.coalesce(F.col(text), F.lit(""))))
-    rows = chunks.withColumn("_dl", F.size(own)).withColumn("_joined", F.concat(F.lit(" "), F.array_join(own, "  "), F.lit(" ")))
+    rows = chunks.withColumn("_own", index_tokens(F.coalesce(F.col(text), F.lit(""))))
+    rows = rows.select(*chunks.columns, F.size("_own").alias("_dl"), F.concat(F.lit(" "), F.array_join("_own", "  "), F.lit(" ")).alias("_joined"))
     rows = rows.select(*chunks.columns, "_dl", *[_frequency(F.col("_joined"), F.length("_joined"), p).alias(f"_tf{i}") for i, p in enumerate(phrases)])
     stats = rows.agg(F.count("*").alias("_n"), F.avg("_dl").alias("_avg"), *[F.count_if(F.col(f"_tf{i}") > 0).alias(f"_df{i}") for i in range(len(phrases))])
     at, tests = 0, []
@@ -123,7 +123,7 @@ def work_matches(hits: DataFrame, passages: int = 3) -> DataFrame:
 
 def build_postings(chunks: DataFrame) -> DataFrame:
     """term, chunk_id, work_id, tf, dl: an index to keep as a table, partitioned by term hash."""
-    own = chunks.select("chunk_id", "work_id", tokens(searchable(F.coalesce("text", F.lit("")))).alias("own")).withColumn("dl", F.size("own"))
+    own = chunks.select("chunk_id", "work_id", index_tokens(F.coalesce("text", F.lit(""))).alias("own")).withColumn("dl", F.size("own"))
     return own.select("chunk_id", "work_id", "dl", F.explode("own").alias("term")).groupBy("term", "chunk_id", "work_id", "dl").agg(F.count("*").cast("int").alias("tf"))
 
 

@@ -290,7 +290,9 @@ def smart_search(spark, sf_dir, depth: str = "fast", asked: int = 10):
     semantic = retrieval.ranking(near, "work_id", F.col("score").desc(), F.col("chunk_id"))
     meta = retrieval.metadata_ranking(own.withColumnRenamed("year", "publication_year"), text, tx.query_terms(text), limits.channel)
     metadata = retrieval.ranking(meta, "work_id", F.col("score").desc(), F.col("work_id"))
-    fused = retrieval.fuse([keyword, semantic, metadata], "work_id", limits.fused).withColumnRenamed("score", "fusion")
+    # at most limits.fused rows: the channels are computed once, and what follows reads the texts of these works only
+    best = retrieval.fuse([keyword, semantic, metadata], "work_id", limits.fused).withColumnRenamed("score", "fusion").collect()
+    fused = spark.createDataFrame(best, "work_id long, fusion double")
     body = retrieval.rerank_text(F.col("title"), F.lit(None).cast("string"), F.col("year"), F.col("doi"), F.substring("text", 1, 1400), F.col("abstract_text"))
     rows = own.join(F.broadcast(fused), "work_id").withColumn("raw", retrieval.rerank_score(text, body)).select("work_id", "title", "year", "doi", "duplicate_of", "raw", "fusion", F.length(body).alias("size"))
     ranked = [r.asDict() for r in rows.orderBy(F.round("fusion", 12).desc(), "work_id").collect()]  # at most limits.fused rows
@@ -395,21 +397,19 @@ def match_reason(spark, sf_dir):
     return works(spark, sf_dir).select("work_id", catalog.match_reason(groups, "the src1", "allTerms").alias("reason"))
 
 
-@query("library_sort", f"WITH {W} SELECT work_id, row_number() OVER (ORDER BY doi IS NULL, doi DESC, title, work_id) AS position FROM works ORDER BY position LIMIT 200")
+@query("library_sort", f"WITH {W} SELECT work_id, row_number() OVER (ORDER BY doi IS NULL, doi DESC, title, work_id) AS position FROM works")
 def library_sort(spark, sf_dir):
     order = catalog.library_order("doi", descending=True)
-    top = works(spark, sf_dir).orderBy(*order).limit(200)
-    return top.select("work_id", F.row_number().over(Window.orderBy(*order)).cast("bigint").alias("position"))
+    return catalog.positions(works(spark, sf_dir).select("work_id", "title", "doi"), order).select("work_id", "position")
 
 
 PRIO = "CASE priority WHEN 'three' THEN 3 WHEN 'two' THEN 2 WHEN 'one' THEN 1 WHEN 'completed' THEN -1 ELSE 0 END"
 
 
-@query("priority_sort", f"WITH {W} SELECT work_id, row_number() OVER (ORDER BY {PRIO} DESC, year, title, work_id) AS position FROM works ORDER BY position LIMIT 200")
+@query("priority_sort", f"WITH {W} SELECT work_id, row_number() OVER (ORDER BY {PRIO} DESC, year, title, work_id) AS position FROM works")
 def priority_sort(spark, sf_dir):
     order = catalog.library_order("year", priority="priority")
-    top = works(spark, sf_dir).orderBy(*order).limit(200)
-    return top.select("work_id", F.row_number().over(Window.orderBy(*order)).cast("bigint").alias("position"))
+    return catalog.positions(works(spark, sf_dir).select("work_id", "title", "year", "priority"), order).select("work_id", "position")
 
 
 @query("combined_order", f"WITH {W} SELECT work_id, round(CASE WHEN m > 0 THEN 2 + m / 100.0 ELSE 0 END + CASE WHEN p THEN 1 ELSE 0 END, 6) AS score FROM (SELECT work_id, 100 * contains({norm_sql('title')}, 'the')::INT AS m, contains({norm_sql('text')}, 'idiot') AS p FROM works)")

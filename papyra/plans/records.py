@@ -332,20 +332,116 @@ def golden(name: str, rows: list[tuple], schema: str, columns, expected: list[tu
     ORACLES[name] = f"SELECT * FROM {values_sql(expected, names)}"
 
 
-golden(
-    "doi_normalise", [(1, "https://doi.org/10.1234/ABC.567)."), (2, "not-a-doi"), (3, " doi:10.1/x;"), (4, None)], "id int, v string",
-    lambda: ("id", identifiers.normalized_doi(F.col("v")).alias("doi")), [(1, "10.1234/abc.567"), (2, None), (3, "10.1/x"), (4, None)], "id, doi",
-)
-golden(
-    "identifier_extract", [(1, "see 10.1234/ABC.5 and arXiv:2101.00001v2", "ssrn-123"), (2, "NBER Working Paper No. 12345, RePEc:nbr:nberwo:1", "x"), (3, "https://ssrn.com/abstract=987654", "x")], "id int, v string, stem string",
-    lambda: ("id", identifiers.extract_doi(F.col("v")).alias("doi"), identifiers.extract_nber(F.col("v")).alias("nber"), identifiers.extract_arxiv(F.col("v")).alias("arxiv"), identifiers.extract_ssrn(F.col("v"), F.col("stem")).alias("ssrn"), identifiers.extract_repec(F.col("v")).alias("repec")),
-    [(1, "10.1234/abc.5", None, "2101.00001v2", "123", None), (2, None, "12345", None, None, "RePEc:nbr:nberwo:1"), (3, None, None, None, "987654", None)], "id, doi, nber, arxiv, ssrn, repec",
-)
-golden("year_extract", [(1, "Published online: 2019"), (2, "March 3, 2007 draft"), (3, "no year"), (4, "Copyright 1850")], "id int, v string", lambda: ("id", identifiers.publication_year(F.col("v"), 2025).alias("year")), [(1, 2019), (2, 2007), (3, None), (4, None)], "id, year")
-golden(
-    "version_type", [(1, "x", None, None, None, True), (2, "NBER Working Paper", None, None, None, False), (3, "x", None, None, "2101.1", False), (4, "x", "10.1/a", None, None, False), (5, "x", None, None, None, False)], "id int, v string, doi string, w string, a string, n boolean",
-    lambda: ("id", identifiers.version_type(F.col("v"), F.col("doi"), F.col("w"), F.col("a"), F.col("n")).alias("type")), [(1, "annotated"), (2, "workingPaper"), (3, "preprint"), (4, "published"), (5, "unknown")], "id, type",
-)
+
+# Endings that are set behind the texts, one for each remainder of doc_id; # stands for the id.
+NOTES = [
+    " see https://doi.org/10.1234/ABC.#).", " doi:10.55555/x;", " NBER Working Paper No. 1#", " NBER Working Paper 2#", " NBER  Working Paper Series 3#", " arXiv : 2101.12345v2", " RePEc:nbr:nberwo:#,",
+    " https://papers.ssrn.com/sol3/papers.cfm?abstract_id=10000#", " ssrn.com/abstract=123", " SSRN ID 55555#", " ssrn 5000#", " SSRN 123", " Published: 2019", " Published online: 2019", " March 2007", " March 3, 2007 version",
+    " Copyright 1850", " © 2031", " draft2001; May 1999", " an annotated copy", " a Working Paper", " PREPRINT", "",
+]
+STEMS = ["ssrn-10000#", "ssrn_123", "My File #", "SSRN 7000#", "old-ssrn-10000#"]
+
+
+def noted(spark, sf_dir) -> DataFrame:
+    """documents with one of NOTES behind each text, and a file's stem."""
+    pick = lambda own: F.replace(F.element_at(F.array(*[F.lit(x) for x in own]), (F.col("doc_id") % len(own) + 1).cast("int")), F.lit("#"), F.col("doc_id").cast("string"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.concat("text", pick(NOTES)).alias("v"), pick(STEMS).alias("stem"))
+
+
+def _quoted(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+def _pick_sql(own: list[str]) -> str:
+    return f"replace([{', '.join(map(_quoted, own))}][doc_id % {len(own)} + 1], '#', CAST(doc_id AS VARCHAR))"
+
+
+def _first_sql(value: str, pattern: str, group: int = 1) -> str:
+    return f"nullif(regexp_extract({value}, {_quoted(pattern)}, {group}), '')"
+
+
+def _doi_sql(value: str) -> str:
+    """A DOI in lower case without prefixes and closing signs."""
+    out = f"lower(trim({value}))"
+    for prefix in ("https://doi.org/", "http://doi.org/", "doi:"):
+        out = f"regexp_replace({out}, '^{prefix}', '')"
+    out = f"trim({out}, ' .,:;)]}}>' || chr(10) || chr(9))"
+    return f"CASE WHEN starts_with({out}, '10.') THEN {out} END"
+
+
+N = f"n AS (SELECT doc_id, text || {_pick_sql(NOTES)} AS v, {_pick_sql(STEMS)} AS stem FROM documents)"
+_SSRN = f"coalesce({_first_sql('v', identifiers.SSRN_URL)}, {_first_sql('v', identifiers.SSRN_TEXT)}, {_first_sql('stem', identifiers.SSRN_STEM)})"
+_IDS = {"doi": _doi_sql(_first_sql("v", identifiers.DOI, 0)), "nber": _first_sql("v", identifiers.NBER), "arxiv": _first_sql("v", identifiers.ARXIV), "ssrn": _SSRN, "repec": _first_sql("v", identifiers.REPEC)}
+
+
+@query("identifier_extract", f"WITH {N} SELECT doc_id, {', '.join(f'{x} AS {k}' for k, x in _IDS.items())} FROM n")
+def identifier_extract(spark, sf_dir):
+    v = F.col("v")
+    own = {"doi": identifiers.extract_doi(v), "nber": identifiers.extract_nber(v), "arxiv": identifiers.extract_arxiv(v), "ssrn": identifiers.extract_ssrn(v, F.col("stem")), "repec": identifiers.extract_repec(v)}
+    return noted(spark, sf_dir).select("doc_id", *[x.alias(k) for k, x in own.items()])
+
+
+@query("doi_normalise", f"WITH d AS (SELECT doc_id, ['https://doi.org/10.1/A' || doc_id || ').', ' doi:10.2/x;', 'http://doi.org/' || doc_id, 'not-a-doi', 'DOI: 10.3/' || doc_id, NULL][doc_id % 6 + 1] AS v FROM documents) SELECT doc_id, {_doi_sql('v')} AS doi FROM d")
+def doi_normalise(spark, sf_dir):
+    own = F.array(F.concat(F.lit("https://doi.org/10.1/A"), F.col("doc_id"), F.lit(").")), F.lit(" doi:10.2/x;"), F.concat(F.lit("http://doi.org/"), F.col("doc_id")), F.lit("not-a-doi"), F.concat(F.lit("DOI: 10.3/"), F.col("doc_id")), F.lit(None))
+    return read(spark, sf_dir, "documents").select("doc_id", identifiers.normalized_doi(F.element_at(own, (F.col("doc_id") % 6 + 1).cast("int"))).alias("doi"))
+
+
+def _year_sql(pattern: str) -> str:
+    y = f"TRY_CAST({_first_sql('substring(v, 1, 20000)', pattern)} AS INTEGER)"
+    return f"CASE WHEN {y} BETWEEN 1900 AND 2026 THEN {y} END"
+
+
+@query("year_extract", f"WITH {N} SELECT doc_id, coalesce({_year_sql(identifiers.YEAR_LABELLED)}, {_year_sql(identifiers.YEAR_MONTH)}) AS year FROM n")
+def year_extract(spark, sf_dir):
+    return noted(spark, sf_dir).select("doc_id", identifiers.publication_year(F.col("v"), 2025).alias("year"))
+
+
+@query(
+    "version_type",
+    f"""WITH {N}, k AS (SELECT doc_id, lower(substring(v, 1, 30000)) AS low, {', '.join(f'{_IDS[c]} AS {c}' for c in ('doi', 'nber', 'ssrn', 'arxiv'))} FROM n)
+SELECT doc_id, CASE WHEN contains(low, 'annotated') THEN 'annotatedCopy' WHEN nber IS NOT NULL OR ssrn IS NOT NULL OR contains(low, 'working paper') THEN 'workingPaper'
+  WHEN arxiv IS NOT NULL OR contains(low, 'preprint') THEN 'preprint' WHEN doi IS NULL THEN 'unknown' ELSE 'published' END AS type FROM k""",
+)
+def version_type(spark, sf_dir):
+    v = F.col("v")
+    working = F.coalesce(identifiers.extract_nber(v), identifiers.extract_ssrn(v, F.col("stem")))
+    return noted(spark, sf_dir).select("doc_id", identifiers.version_type(v, identifiers.extract_doi(v), working, identifiers.extract_arxiv(v)).alias("type"))
+
+
+# Headers that are set before the texts; the last is none.
+HEADERS = ["Trade and\nits Effects*\nSeyed M. Hosseini† Guy Lichtinger‡\nFirst Version: 2025\n", " by Jane Doe \nOn Tariffs\n\nABSTRACT\nISBN 1, doi\n", "Abstract\n", "My File\nDraft: SSRN\n", "A\nB\nC\nBy J. Roe*, A. Poe*\nD\nE\nRevised: 2\n", ""]
+
+
+@query(
+    "header_inference",
+    rf"""WITH v AS (SELECT doc_id, [{', '.join(_quoted(h).replace(chr(10), "' || chr(10) || '") for h in HEADERS)}][doc_id % {len(HEADERS)} + 1] || text AS v FROM documents),
+l AS (SELECT *, list_filter(list_transform(string_split_regex(v, '\r\n|[\n\r]'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS lines FROM v),
+a AS (SELECT *, list_position(list_transform(lines, lambda x: lower(x) = 'abstract' OR regexp_matches(lower(x), '^({'|'.join(identifiers.ANCHORS)})')), true) AS anchor FROM l),
+h AS (SELECT *, lines[1:coalesce(nullif(anchor, 0) - 1, least(len(lines), 8))] AS head FROM a),
+p AS (SELECT *, list_max(list_filter(range(1, len(head) + 1), lambda i: contains(head[i], '†') OR contains(head[i], '‡') OR starts_with(lower(head[i]), 'by '))) AS who FROM h),
+q AS (SELECT *, list_transform(list_filter(range(1, len(head) + 1), lambda i: who IS NULL OR i <> who)[1:4], lambda i: head[i]) AS own, regexp_replace(head[who], '(?i)^by\s+', '') AS plain FROM p),
+r AS (SELECT *, regexp_replace(array_to_string(own, ' '), '^[\s*]+|[\s*]+$', '', 'g') AS t, list_filter(list_transform(regexp_extract_all(plain, '([^†‡*]+)[†‡*]', 1), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS marked FROM q),
+e AS (SELECT *, CASE WHEN t <> '' AND lower(t) <> 'my file' THEN t END AS title, CASE WHEN len(marked) > 0 THEN array_to_string(marked, '; ') ELSE nullif(regexp_replace(regexp_replace(plain, '[†‡*]', '', 'g'), '^\s+|\s+$', '', 'g'), '') END AS authors, lower(substring(v, 1, 10000)) AS low FROM r)
+SELECT doc_id, title, authors, CAST((title IS NOT NULL)::INT * 2 + (authors IS NOT NULL)::INT * 4 + contains(low, 'abstract')::INT * 2 + contains(low, 'isbn')::INT * 2 + (contains(low, 'doi') OR contains(low, 'ssrn') OR contains(low, 'nber'))::INT AS INTEGER) AS score FROM e""",
+)
+def header_inference(spark, sf_dir):
+    page = F.concat(F.element_at(F.array(*[F.lit(h) for h in HEADERS]), (F.col("doc_id") % len(HEADERS) + 1).cast("int")), F.col("text"))
+    rows = read(spark, sf_dir, "documents").select("doc_id", page.alias("v")).withColumn("found", identifiers.header_title_authors(F.col("v"), F.lit("My File")))
+    return rows.select("doc_id", "found.title", "found.authors", identifiers.header_score(F.col("v"), F.col("found.title"), F.col("found.authors")).cast("int").alias("score"))
+
+
+@query(
+    "path_safety",
+    """WITH p AS (SELECT doc_id, ['', '/', '~', '../', 'a//', './', 'x/..', 'dir/'][doc_id % 8 + 1] || source || CASE WHEN doc_id % 3 = 0 THEN '/' || lang || '.pdf' WHEN doc_id % 3 = 1 THEN '' ELSE '/..' END AS v FROM documents)
+SELECT doc_id, v IS NOT NULL AND v <> '' AND NOT starts_with(v, '/') AND NOT starts_with(v, '~') AND len(list_filter(string_split(v, '/'), lambda c: c IN ('', '.', '..'))) = 0 AS safe FROM p""",
+)
+def path_safety(spark, sf_dir):
+    before = F.element_at(F.array(*[F.lit(x) for x in ("", "/", "~", "../", "a//", "./", "x/..", "dir/")]), (F.col("doc_id") % 8 + 1).cast("int"))
+    after = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("/"), F.col("lang"), F.lit(".pdf"))).when(F.col("doc_id") % 3 == 1, "").otherwise("/..")
+    return read(spark, sf_dir, "documents").select("doc_id", identifiers.path_is_safe(F.concat(before, F.col("source"), after)).alias("safe"))
+
+
 _AUTHORS = [(1, "Doe, Jane", 2020), (2, "Jane Doe; John Roe", 2021), (3, "Jane Doe; John Roe; Ann Poe", 2022), (4, "", 2020), (5, "Jane Doe", None)]
 golden("author_year", _AUTHORS, "id int, a string, y int", lambda: ("id", biblio.author_year(F.col("a"), F.col("y")).alias("ref"), biblio.author_prefix(F.col("a")).alias("prefix")),
        [(1, "Doe (2020)", "Doe"), (2, "Doe & Roe (2021)", "Doe & Roe"), (3, "Doe, Roe et al (2022)", "Doe et al."), (4, None, "Unknown Author"), (5, None, "Doe")], "id, ref, prefix")
@@ -371,9 +467,7 @@ golden("budget_allows", [(1, 1.0, 0.0), (2, 1.0, 2.0), (3, 2.0, 2.0)], "id int,
 golden("outline_parts", [(1, "# Part 1\n# Part 2：x\n# Part 3"), (2, "# Part 1\n# Part 3"), (3, "1. a\n2. b")], "id int, v string", lambda: ("id", va.part_count(F.col("v")).alias("parts")), [(1, 3), (2, None), (3, 2)], "id, parts")
 golden("cjk_bigrams", [(1, "财政政策"), (2, "a 财 b 政"), (3, "x"), (4, "财")], "id int, v string", lambda: ("id", F.array_join(tx.cjk_bigrams(F.col("v")), " ").alias("pairs")), [(1, "财政 政政 政策"), (2, "财政"), (3, ""), (4, "财")], "id, pairs")
 golden("page_text", [(1, "inter-\r\nnational\r\n a \n\n\n\nb")], "id int, v string", lambda: ("id", tx.page_text(F.col("v")).alias("text")), [(1, "international\na\n\n\nb")], "id, text")
-golden("path_safety", [(1, "a/b.pdf"), (2, "/a"), (3, "a/../b"), (4, "~/x"), (5, "a//b"), (6, None)], "id int, v string", lambda: ("id", identifiers.path_is_safe(F.col("v")).alias("safe")), [(1, True), (2, False), (3, False), (4, False), (5, False), (6, False)], "id, safe")
 golden("simhash_similarity", [(1, "ffffffffffffffff", "fffffffffffffffe"), (2, "zz", "00"), (3, "0000000000000000", "ffffffffffffffff")], "id int, a string, b string", lambda: ("id", va.simhash_similarity(F.col("a"), F.col("b")).alias("s")), [(1, 0.984375), (2, 0.0), (3, 0.0)], "id, s")
-golden("header_inference", [(1, "The Effects of Trade\nSeyed M. Hosseini and Guy Lichtinger*\nAbstract\nWe study")], "id int, v string", lambda: ("id", identifiers.header_title_authors(F.col("v"))["title"].alias("title"), identifiers.header_title_authors(F.col("v"))["authors"].alias("authors")), [(1, "The Effects of Trade", "Seyed M. Hosseini; Guy Lichtinger")], "id, title, authors")
 golden("explicit_values", [(1, " x ", "explicit", 0.9), (2, "Unknown", "explicit", 1.0), (3, "x", "inferred", 1.0), (4, "x", "explicit", 0.5)], "id int, v string, s string, c double", lambda: ("id", va.explicit_value(F.col("v"), F.col("s"), F.col("c")).alias("value")), [(1, "x"), (2, None), (3, None), (4, None)], "id, value")
 golden("billed_output", [(1, 5, 20, 10), (2, None, None, 3), (3, 30, 20, 10)], "id int, c int, t int, p int", lambda: ("id", va.billed_output(F.col("c"), F.col("t"), F.col("p")).alias("n")), [(1, 10), (2, 0), (3, 30)], "id, n")
 
