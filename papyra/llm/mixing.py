@@ -212,7 +212,8 @@ def mix_sources(
     spans = placed.where("size > 0").select("sid", "start", "size", F.explode(F.sequence(_div("start", b), _div(F.col("start") + F.col("size") - 1, b))).alias("block"))
     low = F.greatest(F.col("start"), F.col("block") * b)
     spans = spans.select("sid", "start", "block", (low - F.col("start")).alias("first_word"), (low - F.col("block") * b).alias("o"), (F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * b) - low).alias("len"))
-    pieces = slots.join(spans, ["sid", "block"]).withColumn("n_words", F.greatest(F.lit(0), F.least("len", F.col("take") - F.col("o"))))
+    # Spark takes the slots for as small as the draws they are made of, and would broadcast them
+    pieces = slots.hint("merge").join(spans, ["sid", "block"]).withColumn("n_words", F.greatest(F.lit(0), F.least("len", F.col("take") - F.col("o"))))
     return Mix(placed, pieces.where("n_words > 0").select("sid", "start", "shard", "slot", "first_word", "n_words"))
 
 
