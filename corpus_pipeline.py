@@ -1,7 +1,12 @@
 """The corpus pipeline: toxicity, line dedup, near-dedup, decontamination, mixing.
 
 Each stage takes (spark, docs, sf_dir); run() writes what a stage returns as Parquet in the
-shared folder and gives it to the next.  All stages but the last return the columns of documents.
+shared folder and gives it to the next.  All stages but the last return the columns of documents,
+whatever other columns there are.  A null or empty text is a document without words: it is
+scored as such, holds no line, links with nothing, leaks nothing and is never drawn.  Null
+doc_ids and sources are values like others, and rows that share a doc_id are told apart by
+the whole row.  Repeated rows stay, but for near_dedup, which leaves one.  An empty table
+gives an empty one.
 """
 
 from __future__ import annotations
@@ -65,7 +70,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("mixing", mixing),
 ]
 
-#: Trees, signatures and the latent space have no SQL form; the stages are tested one by one.
+#: Trees, signatures and the latent space have no SQL form; tests/llm tests the stages one by one.
 ORACLE_SQL: str | None = None
 
 
