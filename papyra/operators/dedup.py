@@ -17,28 +17,40 @@ IDENTIFIERS = ("doi", "nber", "ssrn", "arxiv", "repec")
 FNV_OFFSET, FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3
 
 
+def _fnv1a(words: list[str]) -> np.ndarray:
+    """The 64-bit FNV-1a hash of each word, one byte position of all words at a time."""
+    own = [w.encode() for w in words]
+    size = np.fromiter(map(len, own), np.int64, len(own))
+    start, buffer = np.cumsum(size) - size, np.frombuffer(b"".join(own), np.uint8)
+    order = np.argsort(-size, kind="stable")
+    longer = np.searchsorted(-size[order], -np.arange(size.max(initial=0)), "left")
+    h = np.full(len(own), FNV_OFFSET, np.uint64)
+    for at, n in enumerate(longer):
+        active = order[:n]
+        h[active] = (h[active] ^ buffer[start[active] + at]) * np.uint64(FNV_PRIME)
+    return h
+
+
 @F.pandas_udf(T.StringType())
 def _simhash(words: pd.Series) -> pd.Series:
-    known: dict[str, np.ndarray] = {}
+    """Votes are looked up by the number of a word among the batch's distinct words, so no loop runs over words."""
+    own = [w for w in words if w is not None and len(w)]
+    if not own:
+        return pd.Series([None] * len(words), dtype=object)
     bits = np.arange(64, dtype=np.uint64)
+    codes, distinct = pd.factorize(np.concatenate(own))
+    votes = ((_fnv1a(list(distinct))[:, None] >> bits) & np.uint64(1)).astype(np.int8) * 2 - 1
+    ends = np.cumsum([len(w) for w in own])
+    texts = iter(zip(np.concatenate([[0], ends[:-1]]), ends))
 
-    def votes(word: str) -> np.ndarray:
-        if word not in known:
-            h = FNV_OFFSET
-            for byte in word.encode():
-                h = ((h ^ byte) * FNV_PRIME) & 0xFFFFFFFFFFFFFFFF
-            known[word] = ((np.uint64(h) >> bits) & np.uint64(1)).astype(np.int32) * 2 - 1
-        return known[word]
-
-    def one(own: np.ndarray | None) -> str | None:
-        if own is None or not len(own):
+    def one(present: bool) -> str | None:
+        if not present:
             return None
-        total = np.zeros(64, np.int64)
-        for w in own:
-            total += votes(w)
+        lo, hi = next(texts)
+        total = votes[codes[lo:hi]].sum(0, dtype=np.int64)
         return f"{int(((total >= 0).astype(np.uint64) << bits).sum()):016x}"
 
-    return words.map(one)
+    return words.map(lambda w: one(w is not None and len(w) > 0))
 
 
 def simhash64(text: Column, most: int = 50_000) -> Column:
@@ -62,7 +74,7 @@ def duplicate_cascade(imported: DataFrame, library: DataFrame, best_from: float
     steps = [("sha", F.col("sha256"))] + [(k, identifier_key(k, F.col(k))) for k in IDENTIFIERS] + [("print", F.col("fingerprint"))]
     for name, key in steps:
         out = out.withColumn("_key", key).join(first_by_key(library, key, "pos", "id", f"_{name}"), "_key", "left").drop("_key")
-    scored = similar_pairs(imported, library, best_from)
+    scored = similar_pairs(imported, _first_two_alike(library), best_from)
     rank = F.row_number().over(Window.partitionBy("left_id").orderBy(F.col("score").desc(), "right_pos"))
     best = scored.withColumn("_rank", rank).where("_rank = 1").select(F.col("left_id").alias("id"), F.col("right_id").alias("_similar"))
     out = out.join(best, "id", "left")
@@ -71,14 +83,33 @@ def duplicate_cascade(imported: DataFrame, library: DataFrame, best_from: float
     return out.select("id", decision.alias("decision"), F.coalesce("_sha", by_id, "_print", "_similar").alias("matched"))
 
 
+def _first_two_alike(works: DataFrame) -> DataFrame:
+    """The first two works of each equal content: the best match of any work is one of them, the second where the first is itself."""
+    alike = Window.partitionBy("title", "authors", "year", "fingerprint").orderBy("pos", "id")
+    return works.where("title IS NOT NULL").withColumn("_n", F.row_number().over(alike)).where("_n <= 2").drop("_n")
+
+
+def _rarest_first(sides: DataFrame, share: float) -> DataFrame:
+    """side, id, token: of each title as many of its rarest tokens as two titles with a Jaccard of ``share`` cannot all differ in."""
+    own = sides.select("side", "id", F.size("t").alias("n"), F.explode("t").alias("token"))
+    known = own.groupBy("token").agg(F.count("*").alias("df"))
+    ranked = own.join(known, "token").groupBy("side", "id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("all"))
+    shared = F.greatest(F.ceil(F.lit(share) * F.col("n") - 1e-9), F.lit(1)).cast("int")
+    return ranked.select("side", "id", F.explode(F.slice("all", F.lit(1), F.col("n") - shared + 1)).alias("x")).select("side", "id", "x.token")
+
+
 def similar_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     """left_id, right_id, right_pos, score of pairs that share a title token and score at least ``least``.
 
-    Without a shared token a pair cannot reach 0.66, so the token join loses none.
+    All but the titles give 0.45 at most, so titles need a Jaccard of (least - 0.45) / 0.55:
+    candidates meet on the rarest tokens of either title only, and common words make no pairs.
     """
     side = lambda df, s: df.select(*[F.col(c).alias(f"{s}_{c}") for c in ("id", "pos", "title", "authors", "year", "fingerprint")], token_set(F.col("title"), 1).alias(f"{s}_t"), token_set(F.col("authors"), 1).alias(f"{s}_a"))
     a, b = side(left, "left"), side(right, "right")
-    keys = a.select("left_id", F.explode("left_t").alias("token")).join(b.select("right_id", F.explode("right_t").alias("token")), "token").where("left_id <> right_id").select("left_id", "right_id").distinct()
+    both = a.select(F.lit("left").alias("side"), F.col("left_id").alias("id"), F.col("left_t").alias("t")).unionAll(b.select(F.lit("right").alias("side"), F.col("right_id").alias("id"), F.col("right_t").alias("t")))
+    rare = _rarest_first(both, (least - 0.45) / 0.55)
+    of = lambda s: rare.where(F.col("side") == s).select("token", F.col("id").alias(f"{s}_id"))
+    keys = of("left").join(of("right"), "token").where("left_id <> right_id").select("left_id", "right_id").distinct()
     pairs = keys.join(a, "left_id").join(b, "right_id")
     years = F.when(F.col("left_year").isNull() | F.col("right_year").isNull(), 0.4).when(F.abs(F.col("left_year") - F.col("right_year")) <= 1, 1.0).otherwise(0.0)
     prints = F.coalesce(simhash_similarity(F.col("left_fingerprint"), F.col("right_fingerprint")), F.lit(0.0))
@@ -87,11 +118,20 @@ def similar_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
 
 
 def identifier_links(works: DataFrame) -> DataFrame:
-    """id, linked: the first other work with an equal DOI, one side's verified, or another equal identifier."""
+    """id, linked: the first other work with an equal DOI, one side's verified, or another equal identifier.
+
+    The first other work of a key is its first or second, so each key gives one row instead
+    of all its pairs; a DOI that isn't verified needs a verified one.
+    """
     own = works.select("id", "pos", "doi_verified", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), identifier_key(k, F.col(k)).alias("key")) for k in IDENTIFIERS])).alias("k")).select("id", "pos", "doi_verified", "k.*").where("key IS NOT NULL")
-    a, b = own.alias("a"), own.alias("b")
-    same = a.join(b, F.col("a.key") == F.col("b.key")).where("a.id <> b.id AND (a.kind <> 'doi' OR a.doi_verified OR b.doi_verified)")
-    return same.groupBy(F.col("a.id").alias("id")).agg(F.min_by(F.col("b.id"), F.col("b.pos")).alias("linked"))
+    work = F.struct("pos", "id")
+    first = Window.partitionBy("key").orderBy("pos", "id")
+    two = own.withColumn("_n", F.row_number().over(first)).where("_n <= 2").groupBy("key").agg(F.min(work).alias("one"), F.max(F.when(F.col("_n") == 2, work)).alias("two"))
+    sure = own.where("doi_verified").groupBy("key").agg(F.min(work).alias("sure"))
+    other = F.when(F.col("one.id") != F.col("id"), F.col("one")).otherwise(F.col("two"))
+    found = F.when((F.col("kind") != "doi") | F.col("doi_verified"), other).otherwise(F.col("sure"))
+    same = own.join(two, "key").join(sure, "key", "left").select("id", found.alias("found")).where("found IS NOT NULL")
+    return same.groupBy("id").agg(F.min("found")["id"].alias("linked"))
 
 
 def duplicate_versions(works: DataFrame) -> DataFrame:
@@ -100,7 +140,9 @@ def duplicate_versions(works: DataFrame) -> DataFrame:
     keep = lambda df: df.select(F.least("a.id", "b.id").alias("left_id"), F.greatest("a.id", "b.id").alias("right_id"))
     doi = keep(a.join(b, F.col("a.doi") == F.col("b.doi")).where("a.id < b.id"))
     linked = keep(a.join(b, F.col("a.duplicate_of") == F.col("b.id")).where("a.id <> b.id"))
-    titled = keep(a.join(b, F.col("a.title") == F.col("b.title")).where("a.title <> '' AND a.id < b.id AND abs(a.year - b.year) <= 1"))
+    # each title also stands in the years beside its own, so that title and year are both keys of the join
+    near = works.where("title <> ''").withColumn("year", F.explode(F.array(*[F.col("year") + d for d in (-1, 0, 1)]))).alias("b")
+    titled = keep(a.join(near, (F.col("a.title") == F.col("b.title")) & (F.col("a.year") == F.col("b.year"))).where("a.id < b.id"))
     return doi.unionAll(linked).unionAll(titled).distinct()
 
 

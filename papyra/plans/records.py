@@ -442,13 +442,8 @@ def path_safety(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", identifiers.path_is_safe(F.concat(before, F.col("source"), after)).alias("safe"))
 
 
-_AUTHORS = [(1, "Doe, Jane", 2020), (2, "Jane Doe; John Roe", 2021), (3, "Jane Doe; John Roe; Ann Poe", 2022), (4, "", 2020), (5, "Jane Doe", None)]
-golden("author_year", _AUTHORS, "id int, a string, y int", lambda: ("id", biblio.author_year(F.col("a"), F.col("y")).alias("ref"), biblio.author_prefix(F.col("a")).alias("prefix")),
-       [(1, "Doe (2020)", "Doe"), (2, "Doe & Roe (2021)", "Doe & Roe"), (3, "Doe, Roe et al (2022)", "Doe et al."), (4, None, "Unknown Author"), (5, None, "Doe")], "id, ref, prefix")
 golden("filename", [(1, "A: Study/2", "Doe, Jane; Roe, J; Poe, A", 2024, True, "raw.pdf"), (2, "T", "X", 2000, False, "my *file.PDF")], "id int, t string, a string, y int, c boolean, o string",
        lambda: ("id", biblio.archive_filename(F.col("t"), F.col("a"), F.col("y"), F.col("c"), F.col("o"), F.lit("")).alias("name")), [(1, "Doe et al. - 2024 - A Study 2.pdf"), (2, "my file.pdf")], "id, name")
-golden("citation_key", [(1, "José Álvarez; Jane Doe; Alice Jones", 2024, "The Effects of Trade"), (2, "Doe", 2024, "Paper")], "id int, a string, y int, t string",
-       lambda: ("id", biblio.citation_key(F.col("a"), F.col("y"), F.col("t")).alias("key")), [(1, "AlvarezDJ2024Effects"), (2, "Doe2024Paper")], "id, key")
 golden("bibtex_entry", [(1, "Doe2024Paper", "A & B", "Jane Doe; J Roe", 2024, "Jrnl", None), (2, "k", "", "x", 2000, None, None)], "id int, k string, t string, a string, y int, j string, d string",
        lambda: ("id", biblio.bibtex_entry(F.col("k"), F.lit("article"), F.col("t"), F.col("a"), F.col("y"), F.col("j"), F.col("d")).alias("entry")),
        [(1, "@article{Doe2024Paper,\n  title = {A \\& B},\n  author = {Jane Doe and J Roe},\n  year = {2024},\n  journal = {Jrnl}\n}"), (2, None)], "id, entry")
@@ -456,20 +451,6 @@ golden("bibtex_diff", [(1, "Trade", "Doe", 2000, "10.1/a", "J", "Trade and", "Do
        "id int, t string, a string, y int, d string, j string, ot string, oa string, oy int, od string, oj string",
        lambda: ("id", F.array_join(F.transform(biblio.record_differences({"title": F.col("t"), "authors": F.col("a"), "year": F.col("y"), "doi": F.col("d"), "journal": F.col("j")}, {"title": F.col("ot"), "authors": F.col("oa"), "year": F.col("oy"), "doi": F.col("od"), "journal": F.col("oj")}), lambda x: x["field"]), ",").alias("fields")),
        [(1, "title,authors,year,doi"), (2, "")], "id, fields")
-golden("tag_normalise", [(1, ["  Labor  economics", "labor Economics", "", "Trade"])], "id int, v array<string>", lambda: ("id", F.array_join(tx.tag_names(F.col("v")), "|").alias("tags")), [(1, "Labor economics|Trade")], "id, tags")
-golden("evidence_pages", [(1, [3, 1, 3, 9, 0], 5), (2, [1, 2], 5)], "id int, v array<int>, n int", lambda: ("id", va.evidence_pages(F.col("v"), F.col("n")).alias("pages"), va.has_invalid_pages(F.col("v"), F.col("n")).alias("invalid")), [(1, [1, 3], True), (2, [1, 2], False)], "id, pages, invalid")
-golden("priority_map", [(1, '{"a":1,"b":9}', "c", 2), (2, None, "a", 3), (3, '{"a":1,"b":2}', "a", None)], "id int, j string, k string, v int", lambda: ("id", F.array_join(F.array_sort(F.transform(F.map_entries(va.set_priority(F.col("j"), F.col("k"), F.col("v"))), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ",").alias("map")), [(1, "a=1,c=2"), (2, "a=3"), (3, "b=2")], "id, map")
-golden("json_dates", [(1, [[2019, 3]]), (2, [])], "id int, v array<array<int>>", lambda: ("id", va.latest_year(F.col("v")).alias("year")), [(1, 2019), (2, None)], "id, year")
-_RATES = {"lite": (0.1, 0.025, 0.4), "regular": (1.25, 0.31, 10.0), "large": (2.5, 0.625, 15.0)}
-golden("pricing", [(1, 100_000, 0, 1000, 0.0, "lite"), (2, 100_000, 50_000, 1000, 0.0, "note"), (3, 300_000, 0, 1000, 2e6, "note")], "id int, i int, c int, o int, s double, b string",
-       lambda: ("id", R6(va.note_cost(F.col("i"), F.col("c"), F.col("o"), F.col("s"), _RATES, F.col("b"))).alias("usd")), [(1, 0.0104), (2, 0.088), (3, 9.765)], "id, usd")
-golden("budget_allows", [(1, 1.0, 0.0), (2, 1.0, 2.0), (3, 2.0, 2.0)], "id int, s double, b double", lambda: ("id", va.within_budget(F.col("s"), F.col("b")).alias("allowed")), [(1, True), (2, True), (3, False)], "id, allowed")
-golden("outline_parts", [(1, "# Part 1\n# Part 2：x\n# Part 3"), (2, "# Part 1\n# Part 3"), (3, "1. a\n2. b")], "id int, v string", lambda: ("id", va.part_count(F.col("v")).alias("parts")), [(1, 3), (2, None), (3, 2)], "id, parts")
-golden("cjk_bigrams", [(1, "财政政策"), (2, "a 财 b 政"), (3, "x"), (4, "财")], "id int, v string", lambda: ("id", F.array_join(tx.cjk_bigrams(F.col("v")), " ").alias("pairs")), [(1, "财政 政政 政策"), (2, "财政"), (3, ""), (4, "财")], "id, pairs")
-golden("page_text", [(1, "inter-\r\nnational\r\n a \n\n\n\nb")], "id int, v string", lambda: ("id", tx.page_text(F.col("v")).alias("text")), [(1, "international\na\n\n\nb")], "id, text")
-golden("simhash_similarity", [(1, "ffffffffffffffff", "fffffffffffffffe"), (2, "zz", "00"), (3, "0000000000000000", "ffffffffffffffff")], "id int, a string, b string", lambda: ("id", va.simhash_similarity(F.col("a"), F.col("b")).alias("s")), [(1, 0.984375), (2, 0.0), (3, 0.0)], "id, s")
-golden("explicit_values", [(1, " x ", "explicit", 0.9), (2, "Unknown", "explicit", 1.0), (3, "x", "inferred", 1.0), (4, "x", "explicit", 0.5)], "id int, v string, s string, c double", lambda: ("id", va.explicit_value(F.col("v"), F.col("s"), F.col("c")).alias("value")), [(1, "x"), (2, None), (3, None), (4, None)], "id, value")
-golden("billed_output", [(1, 5, 20, 10), (2, None, None, 3), (3, 30, 20, 10)], "id int, c int, t int, p int", lambda: ("id", va.billed_output(F.col("c"), F.col("t"), F.col("p")).alias("n")), [(1, 10), (2, 0), (3, 30)], "id, n")
 
 
 @query("batch_keys", "SELECT * FROM (VALUES (1, 'Doe2024Paper', 'Doe2024Paperb'), (2, 'Doe2024Paper', 'Doe2024Paperc'), (3, 'Doe2024Papera', 'Doe2024Papera')) t(pos, key, \"unique\")")

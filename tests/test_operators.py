@@ -125,6 +125,45 @@ def test_duplicate_cascade(spark):
     assert got == {"a": ("exactFile", "L1"), "b": ("possibleDuplicate", "L1"), "c": ("sameWork", "L1"), "d": ("similar", "L1"), "e": ("newWork", None)}
 
 
+def test_similar_pairs_against_all_pairs(spark):
+    rng = random.Random(3)
+    words = ["the", "of", "wage", "trade", "tax", "labor", "policy", "growth"]
+    rows = [(i, i, " ".join(rng.sample(words, rng.randint(0, 5))), rng.choice(["Doe", "Roe", ""]), rng.choice([2000, 2001, 2005, None]), rng.choice(["00000000000000ff", "ffffffffffffffff", None])) for i in range(60)]
+    works = spark.createDataFrame(rows, "id int, pos int, title string, authors string, year int, fingerprint string")
+
+    def share(a, b):
+        a, b = ({w for w in x.lower().split() if len(w) > 1} for x in (a, b))
+        return len(a & b) / len(a | b) if a and b else 0.0
+
+    def score(a, b):
+        years = 0.4 if a[4] is None or b[4] is None else float(abs(a[4] - b[4]) <= 1)
+        prints = 0.0 if a[5] is None or b[5] is None else 1 - (int(a[5], 16) ^ int(b[5], 16)).bit_count() / 64
+        return 0.55 * share(a[2], b[2]) + 0.2 * share(a[3], b[3]) + 0.1 * years + 0.15 * prints
+
+    for least in (0.66, 0.8):
+        want = {(a[0], b[0]) for a in rows for b in rows if a[0] != b[0] and share(a[2], b[2]) > 0 and score(a, b) >= least}
+        assert want and {(r["left_id"], r["right_id"]) for r in dedup.similar_pairs(works, works, least).collect()} == want
+
+
+def test_cascade_takes_another_work_of_equal_content(spark):
+    none = "cast(null as string)"
+    works = spark.range(4).selectExpr("id", "id as pos", f"{none} as sha256", *[f"{none} as {c}" for c in ("doi", "nber", "ssrn", "arxiv", "repec", "fingerprint")], "'Minimum wage effects' as title", "'Doe' as authors", "2000 as year")
+    assert {r["id"]: r["matched"] for r in dedup.duplicate_cascade(works, works).collect()} == {0: 1, 1: 0, 2: 0, 3: 0}
+
+
+def test_identifier_links_against_all_pairs(spark):
+    rng = random.Random(5)
+    pick = lambda own: rng.choice([*own, None])
+    rows = [(i, rng.randrange(1000), pick("ab"), pick([True, False]), pick("xyz"), None, " ", None) for i in range(40)]
+    got = {r["id"]: r["linked"] for r in dedup.identifier_links(spark.createDataFrame(rows, "id int, pos int, doi string, doi_verified boolean, nber string, ssrn string, arxiv string, repec string")).collect()}
+    want = {}
+    for a in rows:
+        own = [b for b in rows if b[0] != a[0] and ((a[2] and a[2] == b[2] and (a[3] or b[3])) or (a[4] and a[4] == b[4]))]
+        if own:
+            want[a[0]] = min(own, key=lambda b: (b[1], b[0]))[0]
+    assert want and got == want
+
+
 def test_simhash_by_hand(spark):
     def fnv(word):
         h = 0xCBF29CE484222325
