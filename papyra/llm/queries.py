@@ -15,6 +15,7 @@ from papyra.llm.minhash import near_duplicates
 from papyra.llm.mixing import mix_sources, words_taken
 from papyra.llm.nndescent import near_embeddings
 from papyra.llm.resample import resample
+from papyra.llm.suffixdedup import remove_repeats
 from papyra.llm.toxicity import score_toxicity
 from papyra.llm.warc import archive_round_trip
 
@@ -68,6 +69,12 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_boilerplate_lines(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    digest = {"n_removed": removed, "n_spans": F.size("spans").cast("long"), "kept_sha256": F.sha2("kept", 256)}
+    return remove_repeats(_table(spark, sf_dir, "documents"), 200, digest)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_lm_score": op2_lm_score,
@@ -79,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_html": op9_html,
     "op10_line_dedup": op10_line_dedup,
+    "op11_suffix_dedup": op11_suffix_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {

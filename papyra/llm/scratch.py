@@ -47,6 +47,15 @@ class Scratch:
         out.scratch_path = path
         return out
 
+    def bucketed(self, df: DataFrame, keys: list[str], name: str) -> DataFrame:
+        """Write df in buckets by keys and read it back: joins by all of them then leave its rows where they are."""
+        table, path = f"papyra_{name}_{uuid.uuid4().hex}", self.path(name)
+        buckets = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        df.write.format("parquet").option("path", path).option("compression", "zstd").bucketBy(buckets, *keys).saveAsTable(table)
+        out = self.spark.table(table)
+        out.scratch_path = path
+        return out
+
     def drop(self, df: DataFrame) -> None:
         """Delete a saved table that nothing reads any more."""
         delete(self.spark, df.scratch_path)
