@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papyra.llm.decontam import benchmark_leaks
+from papyra.llm.divergence import source_divergence
 from papyra.llm.html import main_text
 from papyra.llm.linededup import drop_boilerplate_lines
 from papyra.llm.lm import score_texts
@@ -17,6 +18,7 @@ from papyra.llm.nndescent import near_embeddings
 from papyra.llm.resample import resample
 from papyra.llm.suffixdedup import remove_repeats
 from papyra.llm.toxicity import score_toxicity
+from papyra.llm.vectorcode import compress_vectors, with_label_error
 from papyra.llm.warc import archive_round_trip
 
 
@@ -75,6 +77,16 @@ def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents"), 200, digest)
 
 
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(_table(spark, sf_dir, "documents"))
+
+
+def op13_heap_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, books = compress_vectors(_table(spark, sf_dir, "embeddings"))
+    digits = F.array_join(F.transform("entries", lambda x: F.lower(F.lpad(F.hex(x), 2, "0"))), "")
+    return with_label_error(codes).select("vec_id", digits.alias("code"), "error", "label_error", F.lit(books.sha256()).alias("codebooks_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_lm_score": op2_lm_score,
@@ -87,9 +99,29 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_html": op9_html,
     "op10_line_dedup": op10_line_dedup,
     "op11_suffix_dedup": op11_suffix_dedup,
+    "op12_divergence": op12_divergence,
+    "op13_heap_lloyd": op13_heap_lloyd,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op12_divergence": r"""
+WITH doc AS (SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+tok AS (SELECT d, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM doc),
+kept AS (SELECT lang, term, count(*) AS total FROM tok GROUP BY lang, term HAVING count(DISTINCT d) >= 3),
+lang AS (SELECT l.lang, count(k.term) AS v, coalesce(sum(k.total), 0) AS n FROM (SELECT DISTINCT lang FROM doc) l LEFT JOIN kept k ON k.lang = l.lang GROUP BY l.lang),
+cnt AS (SELECT t.lang, t.source, t.term, count(*) AS c FROM tok t JOIN kept k ON k.lang = t.lang AND k.term = t.term GROUP BY t.lang, t.source, t.term),
+grp AS (SELECT g.lang, g.source, coalesce(sum(c.c), 0) AS n FROM (SELECT DISTINCT lang, source FROM doc) g LEFT JOIN cnt c ON c.lang = g.lang AND c.source = g.source GROUP BY g.lang, g.source),
+share AS (SELECT g.lang, g.source, k.term, coalesce(c.c, 0) AS c,
+  1 + (1000000000::HUGEINT * (coalesce(c.c, 0) + 1)) // (g.n + l.v)::HUGEINT AS p, 1 + (1000000000::HUGEINT * (k.total + 1)) // (l.n + l.v)::HUGEINT AS q
+  FROM grp g JOIN lang l ON l.lang = g.lang JOIN kept k ON k.lang = g.lang LEFT JOIN cnt c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+pairs AS (SELECT a.lang, a.source, b.source AS item, CAST(sum((a.p - b.p) * (a.p - b.p) // b.p) AS BIGINT) AS value
+  FROM share a JOIN share b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+pair AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(p.value, 0) AS value FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source),
+term AS (SELECT lang, source, 'term' AS part, term AS item, CAST((p - q) * (p - q) // q AS BIGINT) AS value FROM share WHERE c > 0 AND p > q),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM (SELECT * FROM pair UNION ALL SELECT * FROM term))
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 200
+""",
     "op10_line_dedup": """
 WITH page AS (SELECT doc_id, source, text, list_distinct(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '')) AS lines FROM documents),
 one AS (SELECT source, coalesce(text, '') AS text, any_value(lines) AS lines FROM page GROUP BY source, coalesce(text, '')),

@@ -200,9 +200,11 @@ def _pieces(column: pa.Array, length: int) -> Iterator[tuple[np.ndarray, ...]]:
         behind = np.minimum.accumulate(padded[:, ::-1], axis=1)[:, ::-1].ravel()[:n]
         anchor = (np.minimum(ahead, behind) & U(0xFFFFFF)).astype(np.int64)
 
+        first, last = (int(np.searchsorted(offsets, x, side="right")) - 1 for x in (lo, lo + n - 1))
+        held = np.diff(np.clip(offsets[first : last + 2], lo, lo + n))
         place = np.arange(lo, lo + n)
-        row = np.searchsorted(offsets, place, side="right") - 1
-        valid = offsets[row + 1] - place >= length
+        row = np.repeat(np.arange(first, last + 1), held)
+        valid = np.repeat(offsets[first + 1 : last + 2], held) - place >= length
         turns = np.ones(n, bool)
         turns[1:] = (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])
         begins, ends = valid & turns, valid.copy()
