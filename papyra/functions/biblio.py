@@ -12,7 +12,10 @@ from papyra.functions.text import MARKED, PLAIN, fold, jaccard, token_set
 TITLE_STOPWORDS = ("a", "an", "the", "of", "on", "in", "and", "for", "to", "from", "with", "by")
 # How a LaTeX special is escaped.
 LATEX = {"\\": r"\textbackslash{}", "{": r"\{", "}": r"\}", "$": r"\$", "&": r"\&", "%": r"\%", "#": r"\#", "_": r"\_", "~": r"\textasciitilde{}", "^": r"\textasciicircum{}"}
-VERSION_LABELS = {"published": "Published", "workingPaper": "Working Paper", "preprint": "Preprint", "annotated": "Annotated", "supplement": "Supplement", "unknown": "Unknown"}
+# How types are called in file names and in what the library shows.
+VERSION_LABELS = {"published": "正式发表版", "workingPaper": "工作论文", "acceptedManuscript": "录用稿", "preprint": "预印本", "supplement": "补充材料", "annotatedCopy": "带标注副本"}
+DOCUMENT_TYPES = {"article": "article 期刊论文", "workingPaper": "working paper 工作论文", "book": "book 书籍", "bookChapter": "book chapter 书籍章节", "report": "report 研究报告", "thesis": "thesis 学位论文", "other": "other 其他"}
+VERSION_TYPES = {"published": "published 发表版", "workingPaper": "working paper 工作论文", "acceptedManuscript": "accepted manuscript 录用稿", "preprint": "preprint 预印本", "supplement": "supplement 补充材料", "annotatedCopy": "annotated copy 批注副本"}
 
 
 def split_authors(authors: Column) -> Column:
@@ -52,9 +55,27 @@ def archive_filename(title: Column, authors: Column, year: Column, confirmed: Co
     return F.when(confirmed, structured).otherwise(F.concat(sanitized(F.regexp_replace(original, r"(?i)\.pdf$", ""), "Untitled", 120), F.lit(".pdf")))
 
 
+def _named(names: dict[str, str], raw: Column) -> Column:
+    return F.create_map(*[F.lit(x) for kv in names.items() for x in kv])[raw]
+
+
 def version_label(raw: Column) -> Column:
-    pairs = [F.lit(x) for kv in VERSION_LABELS.items() for x in kv]
-    return F.coalesce(F.create_map(*pairs)[raw], F.lit("Unknown"))
+    """A version's type as file names have it."""
+    return F.coalesce(_named(VERSION_LABELS, raw), F.lit("其他版本"))
+
+
+def document_type_name(raw: Column) -> Column:
+    return F.coalesce(_named(DOCUMENT_TYPES, raw), raw, F.lit(""))
+
+
+def version_type_name(raw: Column) -> Column:
+    return F.coalesce(_named(VERSION_TYPES, raw), raw)
+
+
+def identifier_notes(nber: Column, ssrn: Column, arxiv: Column, repec: Column) -> Column:
+    """An array of 'NBER n', 'SSRN n', 'arXiv n', 'RePEc h' for the identifiers that are there, each on one line."""
+    one = lambda label, c: F.when(F.coalesce(F.trim(c), F.lit("")) != "", F.concat(F.lit(label + " "), F.trim(F.regexp_replace(c, r"\s+", " "))))
+    return F.array_compact(F.array(one("NBER", nber), one("SSRN", ssrn), one("arXiv", arxiv), one("RePEc", repec)))
 
 
 def latin(value: Column) -> Column:

@@ -127,3 +127,20 @@ def edit_issue_notes(notes: Column, note: str, add: bool) -> Column:
     own = F.filter(F.transform(F.split(F.coalesce(notes, F.lit("")), "；"), lambda x: F.trim(x)), lambda x: (x != "") & (x != note))
     own = F.array_append(own, F.lit(note)) if add else own
     return F.array_join(own, "；")
+
+
+def natural_key(value: Column) -> Column:
+    """A sort key in the order that people expect: letters by their folded form, runs of digits by their number.
+
+    Digits sort before letters, as their code points do; equal keys are the caller's to tell apart.
+    """
+    runs = F.regexp_extract_all(fold(F.coalesce(value, F.lit(""))), F.lit(r"(\d+|\D+)"), F.lit(1))
+    number = lambda r: F.regexp_replace(r, "^0+(?=.)", "")
+    return F.array_join(F.transform(runs, lambda r: F.when(r.rlike(r"^\d"), F.concat(F.lpad(F.length(number(r)).cast("string"), 3, "0"), number(r))).otherwise(r)), "")
+
+
+def natural_tags(values: Column) -> Column:
+    """Names collapsed and trimmed, without case-insensitive repeats (the first stays), in natural order."""
+    clean = F.filter(F.transform(values, lambda v: F.trim(F.regexp_replace(v, r"\s+", " "))), lambda v: v != "")
+    first = F.filter(clean, lambda v, i: F.array_position(F.transform(clean, F.lower), F.lower(v)) == i + 1)
+    return F.transform(F.array_sort(F.transform(first, lambda v: F.struct(natural_key(v).alias("k"), v.alias("v")))), lambda x: x["v"])

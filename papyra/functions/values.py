@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from papyra.functions.identifiers import normalized_doi
+from papyra.functions.text import tokens
+
 MILLION = 1_000_000.0
 
 
@@ -158,3 +161,39 @@ def chosen_correction(original: Column, corrected: Column, n: Column) -> Column:
     """The corrected record where it differs in pages alone and all its pages exist; else the original."""
     valid = ~F.exists(F.map_values(corrected), lambda f: F.coalesce(has_invalid_pages(f["pages"], n), F.lit(False)))
     return F.when(corrected.isNotNull() & only_pages_differ(original, corrected) & valid, corrected).otherwise(original)
+
+
+def long_document(pages: Column, threshold: int = 200, policy: str = "excerpt", excerpt: int = 60) -> Column:
+    """struct(skip, page_limit) for a document of so many pages: beyond the threshold it is skipped, or only its first pages are read."""
+    long = pages > (threshold if threshold > 0 else 200)
+    limit = F.when(long & F.lit(policy != "skip"), F.lit(excerpt if excerpt > 0 else 60))
+    return F.struct((long & F.lit(policy == "skip")).alias("skip"), limit.alias("page_limit"))
+
+
+def crossref_checked(verified: Column, doi: Column, source: Column) -> Column:
+    """Whether the current DOI is the verified one; where either is missing, whether the metadata came from Crossref."""
+    a, b = normalized_doi(verified), normalized_doi(doi)
+    return F.coalesce(a == b, F.lower(source) == "crossref")
+
+
+def metrics_match(asked_doi: Column, asked_journal: Column, doi: Column, journal: Column) -> Column:
+    """Whether journal metrics that were asked for still belong to a record: by DOI, or by journal name where none was asked for."""
+    name = lambda c: F.array_join(F.filter(tokens(F.coalesce(c, F.lit(""))), lambda t: t != ""), " ")
+    return F.when(asked_doi.isNotNull(), F.coalesce(normalized_doi(doi) == asked_doi, F.lit(False))).otherwise(F.coalesce(name(journal) == name(asked_journal), F.lit(False)) & asked_journal.isNotNull())
+
+
+#: Smart lists without an id, and those that carry one.
+SMART_LISTS = ("all", "needsReview", "possibleDuplicates", "aiQueue", "recent", "multipleVersions", "missingDOI", "unanalyzed")
+KEYED_LISTS = ("category", "project")
+
+
+def smart_list_value(kind: Column, key: Column) -> Column:
+    """The stored form of a smart list: its name, or category:<id> and project:<id>."""
+    return F.when(kind.isin(*KEYED_LISTS), F.concat(kind, F.lit(":"), F.upper(key))).otherwise(kind)
+
+
+def smart_list_of(value: Column) -> Column:
+    """struct(kind, key) of a stored form; null where it names no list or carries no UUID."""
+    kind, key = F.split_part(value, F.lit(":"), F.lit(1)), F.substr(value, F.instr(value, ":") + 1)
+    keyed = kind.isin(*KEYED_LISTS) & value.contains(":") & key.rlike("^[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$")
+    return F.when(value.isin(*SMART_LISTS), F.struct(value.alias("kind"), F.lit(None).cast("string").alias("key"))).when(keyed, F.struct(kind.alias("kind"), F.upper(key).alias("key")))

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from papyra.functions.text import normalize, phrase_of, query_terms, scoring_terms
 from papyra.functions.values import priority_rank
+from papyra.sources.kept import save
 
 SCOPES = ("all", "title", "authors", "bibliographic", "research", "identifiers", "files")
 ONLY_PAGE_WARNING = "页码"
@@ -162,11 +162,10 @@ def chips(marks: DataFrame, tags: DataFrame, total: int = 3) -> DataFrame:
 def positions(rows: DataFrame, order: list[Column]) -> DataFrame:
     """rows with ``position`` (long, from 1) in the order, which must be total; no task sees all rows.
 
-    Rows are sorted over all tasks, and numbered within each; what a task adds is the number
-    of rows in those before it.  The sorted rows are kept, as both steps must see one
-    partitioning.
+    Sorted parts, written once to the shared folder, are numbered each for itself from the number
+    of rows in the parts before it.
     """
-    dealt = rows.orderBy(*order).withColumn("_id", F.monotonically_increasing_id()).persist(StorageLevel.DISK_ONLY)
+    dealt = save(rows.orderBy(*order).withColumn("_id", F.monotonically_increasing_id()), "sorted")
     part = F.shiftright("_id", 33)
     # one row for each task
     counts = dealt.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))

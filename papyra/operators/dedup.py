@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from papyra.functions.biblio import split_authors, surname
 from papyra.functions.identifiers import identifier_key
-from papyra.functions.text import jaccard, token_set, tokens
+from papyra.functions.text import fold, jaccard, token_set, tokens
 from papyra.functions.values import simhash_similarity
 
 IDENTIFIERS = ("doi", "nber", "ssrn", "arxiv", "repec")
@@ -162,6 +163,17 @@ def best_remote_match(local: DataFrame, candidates: DataFrame, title_from: float
     return rows.withColumn("_rank", rank).where("_rank = 1").select("id", "candidate_id", "similarity")
 
 
+def surname_match(local: DataFrame, candidates: DataFrame, title_from: float = 0.72, surnames_from: float = 0.5) -> DataFrame:
+    """id, candidate_id, similarity: as best_remote_match(), but authors are compared by the sets of their folded surnames."""
+    names = lambda c: F.array_distinct(F.transform(split_authors(F.coalesce(c, F.lit(""))), lambda a: fold(surname(a))))
+    rows = local.select("id", F.col("title").alias("t"), F.col("authors").alias("a"), F.col("year").alias("y")).join(candidates, "id")
+    rows = rows.withColumn("similarity", jaccard(token_set(F.col("t"), 1), token_set(F.col("title"), 1)))
+    has = (F.trim(F.coalesce("a", F.lit(""))) != "") & (F.coalesce("authors", F.lit("")) != "")
+    kept = rows.where((F.col("similarity") >= title_from) & (~has | (jaccard(names(F.col("a")), names(F.col("authors"))) >= surnames_from)) & F.coalesce(F.abs(F.col("y") - F.col("year")) <= 1, F.lit(True)))
+    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.col("similarity").desc(), "candidate_id"))
+    return kept.withColumn("_rank", rank).where("_rank = 1").select("id", "candidate_id", "similarity")
+
+
 def unambiguous_journal(local: DataFrame, candidates: DataFrame, least: float = 0.72, margin: float = 0.08, sure: float = 0.98) -> DataFrame:
     """id, candidate_id, similarity: the best journal unless the next is within the margin of an unsure best.
 

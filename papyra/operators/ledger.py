@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from papyra.sources.kept import running_total
+
 
 def union_kinds(**tables: DataFrame) -> DataFrame:
     """Fact tables on top of each other with their name as ``kind``."""
@@ -68,8 +70,8 @@ def outcome_counts(rows: DataFrame, column: str = "outcome") -> DataFrame:
 
 def batch_outcomes(items: DataFrame, budget: float) -> DataFrame:
     """outcome, n of items in order (pos, cost, ok): once the budget is spent the rest is skipped."""
-    before = F.coalesce(F.sum("cost").over(Window.orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    return outcome_counts(items.withColumn("outcome", F.when(before >= budget, "skipped").when(F.col("ok"), "completed").otherwise("failed")))
+    rows = running_total(items, ["pos"], F.col("cost"), "before")
+    return outcome_counts(rows.withColumn("outcome", F.when(F.col("before") >= budget, "skipped").when(F.col("ok"), "completed").otherwise("failed")))
 
 
 def index_statistics(documents: DataFrame, chunks: DataFrame, vectors: DataFrame, failures: DataFrame, signature: str, stage: str) -> DataFrame:

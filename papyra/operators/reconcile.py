@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from papyra.sources.kept import running_count, save
+
 
 def missing_file_matches(known: DataFrame, found: DataFrame) -> DataFrame:
     """id, old_path, new_path of known files whose path vanished.
@@ -39,11 +42,113 @@ def safe_folders(files: DataFrame) -> DataFrame:
     return files.select("work_id").distinct().join(bad, "work_id", "left_anti")
 
 
-def unique_names(names: DataFrame) -> DataFrame:
-    """names (pos, name) with ``unique``: repeats get (2), (3), ... before the extension, in order."""
-    n = F.row_number().over(Window.partitionBy(F.lower("name")).orderBy("pos"))
-    numbered = F.concat(F.regexp_replace("name", r"(\.[^.]*)?$", ""), F.format_string(" (%d)", n), F.regexp_extract("name", r"(\.[^.]*)?$", 0))
-    return names.withColumn("unique", F.when(n == 1, F.col("name")).otherwise(numbered))
+#: Endings of the files that belong to an article; a name fits if all of them fit into LONGEST bytes of UTF-8.
+COMPANIONS = (".pdf", ".md", ".assets", "-精读笔记.md", "-精读笔记.assets")
+LONGEST = 255
+_ROOM = LONGEST - max(len(c.encode()) for c in COMPANIONS)
+#: Stems of more bytes than this may be cut when a number is added, and then meet others.
+_CUT = _ROOM - len(" (999999999)")
+
+
+def cut_utf8(value: str, most: int) -> str:
+    """The characters of value, in order, as long as each fits into ``most`` bytes; one that does not is left out, and shorter ones after it may still fit."""
+    if len(value.encode()) <= most:
+        return value
+    out, room = [], most
+    for c in value:
+        n = len(c.encode())
+        if n <= room:
+            out.append(c)
+            room -= n
+        if not room:
+            break
+    return "".join(out)
+
+
+def _candidate(stem: str, number: int) -> str:
+    suffix = "" if number == 1 else f" ({number})"
+    return cut_utf8(stem, _ROOM - len(suffix.encode())) + suffix
+
+
+class _Folder:
+    """Names that are taken among related ones, case aside."""
+
+    def __init__(self, taken: list[str]):
+        self.names = {n.lower() for n in taken}
+        self.next: dict[str, int] = {}
+
+    def free(self, stem: str) -> bool:
+        return not any((stem + c).lower() in self.names for c in COMPANIONS)
+
+    def allocate(self, stem: str) -> tuple[str, int]:
+        """The first candidate whose own and companions' names are free, and its number; names are only ever added, so a stem's numbers only grow."""
+        number = self.next.get(stem.lower(), 1)
+        while not self.free(_candidate(stem, number)):
+            number += 1
+        self.next[stem.lower()] = number + 1
+        out = _candidate(stem, number)
+        self.names.update((out + c).lower() for c in COMPANIONS)
+        return out, number
+
+
+def unique_names(names: DataFrame, taken: DataFrame | None = None) -> DataFrame:
+    """names (pos, name and, if there are several, folder) with ``unique``, a name of its own in its folder.
+
+    Files are PDFs and come in order of pos: each takes its name, or the first of name (2), name (3), ... whose
+    own name and companions' (notes and assets) nobody has, case aside: neither one of ``taken`` (folder, name) nor
+    an earlier file (pos is unique in a folder; a null name is an empty one).  Characters of a stem are left out where they do not fit, so that the longest companion fits into 255 bytes.
+
+    Stems can only meet others that differ in numbers and companion endings, or beyond the length where they
+    are cut; such families are dealt out and each goes through in order.  In a family all of whose stems are short,
+    a stem's files beyond the largest number that stands in any of the family's names cannot meet another name: they count
+    on from there, which needs no order in one place.  So a name that very many files share is counted, not gathered.
+    """
+    rows = names if "folder" in names.columns else names.withColumn("folder", F.lit(""))
+    rows = rows.withColumn("_stem", F.regexp_replace(F.coalesce("name", F.lit("")), r"(?i)\.pdf$", "")).withColumn("_low", F.lower("_stem")).withColumn("_root", _root(F.col("_low")))
+    long = F.greatest(F.octet_length("_stem"), F.octet_length("_low")) > _CUT
+    stems = rows.groupBy("folder", "_root", "_low").agg(F.max(long).alias("_long"), F.max(_largest_number(F.col("_low"))).alias("_number"))
+    family = stems.groupBy("folder", "_root").agg(F.count("*").alias("_stems"), F.max("_long").alias("_long"), F.max("_number").alias("_number"))
+    if taken is None:
+        held = rows.select("folder", "_root", "name").limit(0)
+    else:
+        bare = F.regexp_replace(F.lower("name"), r"(\.pdf|\.md|\.assets)$", "")
+        held = (taken if "folder" in taken.columns else taken.withColumn("folder", F.lit(""))).select("folder", _root(bare).alias("_root"), "name", _largest_number(bare).alias("_number"))
+        most = held.groupBy("folder", "_root").agg(F.max("_number").alias("_held"))
+        family = family.join(most, ["folder", "_root"], "left").withColumn("_number", F.greatest("_number", "_held")).withColumn("_stems", F.when(F.col("_held").isNull(), F.col("_stems")).otherwise(2)).drop("_held")
+    # a stem's files in order, numbered over sorted parts, so that no stem is one task's
+    counted = running_count(rows, ["folder", "_low"], "pos", "_at").join(family, ["folder", "_root"])
+    simple = counted.where("_stems = 1 AND NOT _long").withColumn("_n", F.col("_at"))
+    mixed = counted.where("_stems > 1 OR _long")
+    early = mixed.where("_long OR _at <= _number + 1")
+    kind = dict(rows.dtypes)
+
+    def fold(files: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        own, out = _Folder(list(held["name"])), []
+        for row in files.sort_values("pos").itertuples():
+            stem, number = own.allocate(row.stem)
+            out.append((row.folder, row.low, row.pos, stem + ".pdf", number, row.at))
+        return pd.DataFrame(out, columns=["folder", "_low", "pos", "unique", "_number_now", "_at"])
+
+    small = early.select("folder", "_root", F.col("_low").alias("low"), F.col("_stem").alias("stem"), "pos", F.col("_at").alias("at"))
+    folded = small.groupBy("folder", "_root").cogroup(held.select("folder", "_root", "name").groupBy("folder", "_root"))
+    folded = save(folded.applyInPandas(fold, f"folder {kind['folder']}, _low string, pos {kind['pos']}, unique string, _number_now long, _at long"), "folded")
+    shift = folded.groupBy("folder", "_low").agg((F.max("_number_now") - F.max("_at")).alias("_shift"))
+    late = mixed.where("NOT _long AND _at > _number + 1").join(shift, ["folder", "_low"]).withColumn("_n", F.col("_at") + F.col("_shift"))
+    columns = [*names.columns, "unique"]
+    numbered = F.concat("_stem", F.when(F.col("_n") > 1, F.concat(F.lit(" ("), F.col("_n").cast("string"), F.lit(")"))).otherwise(F.lit("")), F.lit(".pdf"))
+    first = early.drop("_at").join(folded.select("folder", "_low", "pos", "unique"), ["folder", "_low", "pos"])
+    return simple.withColumn("unique", numbered).select(columns).unionByName(late.withColumn("unique", numbered).select(columns)).unionByName(first.select(columns))
+
+
+def _root(low: Column) -> Column:
+    """What stems that can meet have in common: without numbers and companion endings, as often as there are any; of long ones what no cut takes away."""
+    bare = F.regexp_replace(low, r"(( \(\d+\))|(-精读笔记))+$", "")
+    return F.when(F.octet_length(bare) > 2 * _CUT - _ROOM, F.substring(bare, 1, _CUT // 4)).otherwise(bare)
+
+
+def _largest_number(low: Column) -> Column:
+    digits = F.regexp_extract_all(low, F.lit(r" \((\d{1,9})\)"), F.lit(1))
+    return F.coalesce(F.array_max(F.transform(digits, lambda x: x.cast("int"))), F.lit(0))
 
 
 def companion_paths(path) -> dict:

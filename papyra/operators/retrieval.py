@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -107,13 +108,46 @@ def metadata_ranking(works: DataFrame, query: str, terms: list[str], limit: int)
     return works.select("work_id", score.alias("score")).where("score > 0").orderBy(F.col("score").desc(), "work_id").limit(limit)
 
 
+def rescaled(rows: DataFrame, by: str, score: str) -> DataFrame:
+    """rows with ``relative``: scores rescaled to 0..1 within each ``by``, 1 where all are equal.
+
+    Bounds are combined before a shuffle and joined back, so a group may hold any share of the rows.
+    """
+    bounds = rows.groupBy(F.col(by).alias("_by")).agg(F.min(score).alias("_low"), F.max(score).alias("_high"))
+    value = F.when(F.col("_high") - F.col("_low") <= 2.220446049250313e-16, F.lit(1.0)).otherwise((F.col(score) - F.col("_low")) / (F.col("_high") - F.col("_low")))
+    return rows.join(bounds, F.col(by).eqNullSafe(F.col("_by"))).withColumn("relative", value).drop("_by", "_low", "_high")
+
+
+def select_passages(passages: DataFrame, most: int, characters: int, priority: int = 0, by: str = "query") -> DataFrame:
+    """query, position, passage: what each query sends to the reranker, under a limit of passages and a budget of characters.
+
+    passages has query, work (the place of its work, from 1), depth (its place in the work, from 1), passage (an id) and
+    size.  First come the first passages of the ``priority`` best works (of half of ``most`` at most), then
+    those works' second ones, skipping what does not fit; then the first passages of the other works up to the
+    first that does not fit; then of each work one more, the first that fits.
+
+    A query's lists are bounded by the fused limit of a search, so one row holds them, and the order is
+    folded over with what is left of the budget as its state; queries are dealt out.
+    """
+    reserved = max(0, min(priority, most // 2))
+    first = F.when(F.col("depth") == 1, F.when(F.col("work") <= reserved, 1).otherwise(3)).when((F.col("depth") == 2) & (F.col("work") <= reserved), 2).otherwise(4)
+    row = F.struct(first.alias("step"), "work", "depth", "passage", F.col("size").cast("long").alias("size"))
+    ordered = passages.groupBy(by).agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    fold = f"""aggregate(rows,
+      named_struct('left', CAST({characters} AS BIGINT), 'taken', CAST(array() AS ARRAY<STRING>), 'ended', false, 'done', 0),
+      (s, x) -> CASE WHEN size(s.taken) < {most} AND x.size <= s.left AND NOT array_contains(s.taken, CAST(x.passage AS STRING)) AND NOT (x.step = 3 AND s.ended) AND NOT (x.step = 4 AND s.done = x.work)
+        THEN named_struct('left', s.left - x.size, 'taken', array_append(s.taken, CAST(x.passage AS STRING)), 'ended', s.ended, 'done', IF(x.step = 4, CAST(x.work AS INT), s.done))
+        ELSE named_struct('left', s.left, 'taken', s.taken, 'ended', s.ended OR x.step = 3, 'done', s.done) END).taken"""
+    return ordered.select(by, F.posexplode(F.expr(fold)).alias("position", "passage"))
+
+
 def select_for_rerank(works: list[list[tuple[str, int]]], passages: int, characters: int, priority: int = 0) -> list[str]:
     """Passage ids chosen under a passage limit and a character budget, from fused works in order.
 
     works: for each its (id, length) passages.  First the first passages of the works with
     priority, then their second ones, skipping what doesn't fit; then first passages of the
     others, up to the first that doesn't fit; then one more of each work, the first that fits.
-    At most a few hundred passages, so this runs on the driver.
+    The rule for one query on plain lists; select_passages() is its form on a table of many queries.
     """
     chosen: list[str] = []
     left = characters
@@ -159,9 +193,35 @@ def relative_scores(rows: DataFrame, score: str = "raw") -> DataFrame:
     return rows.withColumn("relative", minmax(F.col(score), Window.partitionBy()))
 
 
+def collapse_ranked(ranked: DataFrame, limit: int, by: str = "query") -> DataFrame:
+    """query, work_id, place of the best ``limit`` works of each query without versions of one already kept.
+
+    ranked has query, place, work_id, doi, duplicate_of, title, year.  Two works are versions of each other
+    if they share a DOI, one is marked as the other's duplicate, or their titles are equal and
+    their years at most one apart.  Such pairs are found by equi-joins within a query, whose list is bounded by
+    the fused limit; then each list is folded over in its order, a work being kept if none of
+    its versions was.
+    """
+    own = ranked.select(by, "place", "work_id", F.nullif("doi", F.lit("")).alias("doi"), "duplicate_of", F.nullif("title", F.lit("")).alias("title"), "year")
+    left = own.select(by, *[F.col(c).alias(f"_{c}") for c in own.columns if c != by])
+    same = [
+        own.join(left.select(by, "_place", F.col("_doi").alias("doi")), [by, "doi"]).where("_place < place"),
+        own.join(left.select(by, "_place", F.col("_work_id").alias("duplicate_of")), [by, "duplicate_of"]).where("_place <> place"),
+        own.join(left.select(by, "_place", "_year", F.col("_title").alias("title")), [by, "title"]).where("_place < place AND abs(year - _year) <= 1"),
+    ]
+    pairs = reduce(DataFrame.unionByName, [s.select(by, F.greatest("place", "_place").alias("place"), F.least("place", "_place").alias("_place")) for s in same])
+    versions = pairs.groupBy(by, "place").agg(F.collect_set("_place").alias("earlier"))
+    rows = own.join(versions, [by, "place"], "left").groupBy(by).agg(F.array_sort(F.collect_list(F.struct("place", "work_id", "earlier"))).alias("rows"))
+    fold = f"""aggregate(rows, CAST(array() AS ARRAY<INT>),
+      (s, x) -> IF(size(s) < {limit} AND NOT coalesce(arrays_overlap(s, x.earlier), false), array_append(s, CAST(x.place AS INT)), s))"""
+    kept = rows.select(by, F.expr(f"filter(rows, x -> array_contains({fold}, x.place))").alias("kept"))
+    return kept.select(by, F.explode("kept").alias("k")).select(by, "k.work_id", "k.place")
+
+
 def collapse_versions(ranked: list[dict], limit: int) -> list:
     """Work ids in order without versions of one already kept: same DOI, a link either way, or
-    years at most one apart with equal titles.  ranked is bounded by the fused limit."""
+    years at most one apart with equal titles.  The rule on plain lists; collapse_ranked() is its form
+    on a table of many queries."""
 
     def same(a: dict, b: dict) -> bool:
         if a.get("doi") and a.get("doi") == b.get("doi"):

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from papyra.functions.identifiers import normalized_doi
+from papyra.sources.kept import save
+
 
 def changed_documents(snapshots: DataFrame, documents: DataFrame, schema: int) -> DataFrame:
     """Snapshots whose text must be indexed: new, another version, hash or schema, or pending."""
@@ -85,23 +88,72 @@ def unused(dimension: DataFrame, bridge: DataFrame, work: object, key: str) -> D
     return dimension.join(bridge.where(F.col("work_id") == F.lit(work)).select(key), key, "left_anti")
 
 
+def final_targets(mapping: DataFrame) -> DataFrame:
+    """source, target, steps of a mapping (source, target) followed to its end: chains lead to the last work.
+
+    Of several targets of a source the smallest counts; one to itself is none.  On a cycle the smallest id stays and the others go into it.
+    Ends are found by doubling: each round goes twice as far, so rounds are the logarithm of the
+    longest chain, and each is a join of the mapping with itself.
+    """
+    one = mapping.where("source <> target").groupBy("source").agg(F.min("target").alias("target"))
+    table = save(one, "mapping")
+    most = max(1, table.count()).bit_length()
+
+    def doubled(table: DataFrame) -> DataFrame:
+        """Each source's target 2**most steps on or at the end of its chain, with the steps to it and the least id on the way."""
+        now = table.withColumn("steps", F.lit(1).cast("long")).withColumn("least", F.least("source", "target"))
+        for _ in range(most):
+            on = now.select(F.col("source").alias("target"), F.col("target").alias("_on"), F.col("steps").alias("_steps"), F.col("least").alias("_least"))
+            joined = now.join(on, "target", "left")
+            after = save(joined.select("source", F.coalesce("_on", "target").alias("target"), (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps"), F.least("least", "_least").alias("least"), F.col("_on").isNotNull().alias("_moved")), "steps")
+            now = after.drop("_moved")
+            if not after.where("_moved").take(1):
+                break
+        return now
+
+    ends = doubled(table)
+    # an end that is a source itself lies on a cycle, and going on from there passes all of it
+    cycles = ends.join(ends.select(F.col("target").alias("source")).distinct(), "source", "left_semi").groupBy("least").agg(F.count("*")).select(F.col("least").alias("source"))
+    if cycles.take(1):
+        ends = doubled(save(table.join(cycles, "source", "left_anti"), "mapping"))
+    return ends.select("source", "target", "steps")
+
+
 def merge_works(works: DataFrame, mapping: DataFrame, fill: list[str]) -> DataFrame:
-    """works after each source went into its target: null fields filled, links repointed, sources gone.
+    """works after each source went into its target, chains of merges into the last one; sources are gone.
 
-    mapping has source and target.  A link to a source leads to its target, one to itself ends.
+    mapping has source and target.  Null ``fill`` fields of a target take the value of the nearest source that has one (of
+    equally near ones the smallest value).  A link to a source leads to its final target, one to itself ends.
     """
-    gone = mapping.select(F.col("source").alias("work_id"), "target")
-    donors = works.join(gone, "work_id").groupBy("target").agg(*[F.min(c).alias(f"_{c}") for c in fill]).withColumnRenamed("target", "work_id")
+    ends = final_targets(mapping)
+    gone = ends.select(F.col("source").alias("work_id"), "target", "steps")
+    nearest = lambda c: F.min(F.when(F.col(c).isNotNull(), F.struct("steps", c)))[c].alias(f"_{c}")
+    donors = works.join(gone, "work_id").groupBy("target").agg(*[nearest(c) for c in fill]).withColumnRenamed("target", "work_id")
     kept = works.join(gone.select("work_id"), "work_id", "left_anti").join(donors, "work_id", "left")
-    kept = kept.join(mapping.select(F.col("source").alias("duplicate_of"), F.col("target").alias("_to")), "duplicate_of", "left")
+    kept = kept.join(ends.select(F.col("source").alias("duplicate_of"), F.col("target").alias("_to")), "duplicate_of", "left")
     link = F.coalesce("_to", "duplicate_of")
     link = F.when(link == F.col("work_id"), None).otherwise(link)
     return kept.select(*[F.coalesce(c, f"_{c}").alias(c) if c in fill else link.alias(c) if c == "duplicate_of" else F.col(c) for c in works.columns])
 
 
+def tombstones(mapping: DataFrame) -> DataFrame:
+    """work_id, merged_into: works that merges took away, for the registry of deleted works."""
+    return final_targets(mapping).select(F.col("source").alias("work_id"), F.col("target").alias("merged_into"))
+
+
+def merged_priorities(priorities: DataFrame, mapping: DataFrame) -> DataFrame:
+    """project, work_id, priority after merges: each work's place in a project moves to its final target, the stronger priority stays.
+
+    Completed is stronger than any rank, then three, two, one, none.
+    """
+    rank = F.when(F.col("priority") == "completed", 4).when(F.col("priority") == "three", 3).when(F.col("priority") == "two", 2).when(F.col("priority") == "one", 1).otherwise(0)
+    moved = priorities.join(final_targets(mapping).select(F.col("source").alias("work_id"), "target"), "work_id", "left")
+    return moved.select("project", F.coalesce("target", "work_id").alias("work_id"), "priority", rank.alias("_rank")).groupBy("project", "work_id").agg(F.max_by("priority", "_rank").alias("priority"))
+
+
 def repoint(table: DataFrame, mapping: DataFrame, key: str = "work_id") -> DataFrame:
-    """Rows of sources under their targets, without repeats that this makes."""
-    out = table.join(mapping.select(F.col("source").alias(key), "target"), key, "left")
+    """Rows of sources under their final targets, without repeats that this makes."""
+    out = table.join(final_targets(mapping).select(F.col("source").alias(key), "target"), key, "left")
     return out.select(*[F.coalesce("target", key).alias(key) if c == key else F.col(c) for c in table.columns]).distinct()
 
 
@@ -119,10 +171,56 @@ def promote_version(versions: DataFrame, selected: object) -> DataFrame:
     return out.select(*[F.when(F.col("_now"), F.col("file_version_id") == F.lit(selected)).otherwise(F.col(c)).alias(c) if c == "is_preferred" else F.col(c) for c in versions.columns])
 
 
-def reset_work(works: DataFrame, selected: Column) -> DataFrame:
-    """Selected works as if just imported: extracted fields are cleared, tags and strong identifiers stay."""
-    cleared = {"doi", "journal", "abstract_text", "publisher", "category"}
-    return works.select(*[F.when(selected, None).otherwise(F.col(c)).alias(c) if c in cleared else F.when(selected, F.lit(True)).otherwise(F.col(c)).alias(c) if c == "needs_review" else F.col(c) for c in works.columns])
+def reset_work(works: DataFrame, versions: DataFrame, selected: Column) -> DataFrame:
+    """Selected works as if just imported: bibliographic fields are cleared and the title is the preferred file's name.
+
+    Tags, strong identifiers other than the DOI and history stay; only an open duplicate still needs a review.
+    versions has work_id and original_filename of the preferred versions.
+    """
+    own = works.join(versions.select("work_id", F.regexp_replace("original_filename", r"(?i)\.[a-z0-9]+$", "").alias("_stem")), "work_id", "left")
+    cleared = {c: F.lit(None) for c in ("year", "journal", "abstract_text", "doi", "document_type", "isbn", "publisher", "conflict_note")}
+    cleared |= {"title": F.coalesce("_stem", "title"), "authors": F.lit(""), "metadata_confirmed": F.lit(False), "metadata_source": F.lit("pendingAI"), "needs_review": F.col("duplicate_of").isNotNull(), "category": F.lit("Uncategorized")}
+    return own.select(*[F.when(selected, cleared[c]).otherwise(F.col(c)).alias(c) if c in cleared else F.col(c) for c in works.columns])
+
+
+def mark_unindexable(documents: DataFrame, chunks: DataFrame, failures: DataFrame, bad: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents, chunks, failures) after the works of ``bad`` (work_id, message) could not be read.
+
+    Their chunks go, their documents are kept as unindexable with the message, and a failure of the extraction
+    stage takes the place of the one with the same key.
+    """
+    own = bad.groupBy("work_id").agg(F.max("message").alias("_message"))
+    marked = documents.join(own, "work_id", "left")
+    hit = F.col("_message").isNotNull()
+    marked = marked.select(*[F.when(hit, {"status": F.lit("unindexable"), "error_message": F.col("_message")}[c]).otherwise(F.col(c)).alias(c) if c in ("status", "error_message") else F.col(c) for c in documents.columns])
+    key = failure_key(F.lit("extraction"), F.lit(None).cast("string"), F.lit(None), F.col("work_id"))
+    new = own.select(key.alias("key"), F.lit("extraction").alias("stage"), "work_id", F.col("_message").alias("message"))
+    kept = failures.join(new.select("key"), "key", "left_anti").select(new.columns)
+    return marked, remove_works(chunks, own), kept.unionByName(new)
+
+
+def remove_everywhere(works: DataFrame, **tables: DataFrame) -> dict[str, DataFrame]:
+    """Every table without the rows of these works (work_id)."""
+    return {name: remove_works(table, works) for name, table in tables.items()}
+
+
+def manual_edit(works: DataFrame, edited: Column) -> DataFrame:
+    """Works after a user changed fields: the source is manual and confirmed, and a DOI that Crossref had verified is remembered."""
+    remembered = F.when(F.col("verified_doi").isNull() & (F.lower("metadata_source") == "crossref"), normalized_doi(F.col("doi"))).otherwise(F.col("verified_doi"))
+    now = {"verified_doi": remembered, "metadata_source": F.lit("manual"), "metadata_confirmed": F.lit(True)}
+    return works.select(*[F.when(edited, now[c]).otherwise(F.col(c)).alias(c) if c in now else F.col(c) for c in works.columns])
+
+
+def refresh_outcomes(works: DataFrame, answers: DataFrame, fields: list[str]) -> DataFrame:
+    """works after a batch of remote lookups, with ``outcome``: updated, not found or failed.
+
+    answers has work_id, failed and the fields; no row is not found.  Only updated works change, by the fields that were found.
+    """
+    own = answers.select("work_id", F.coalesce("failed", F.lit(False)).alias("_failed"), *[F.col(c).alias(f"_{c}") for c in fields])
+    joined = works.join(own, "work_id", "left")
+    outcome = F.when(F.col("_failed").isNull(), "not found").when(F.col("_failed"), "failed").otherwise("updated")
+    take = lambda c: F.when(F.col("_failed") == F.lit(False), F.coalesce(f"_{c}", c)).otherwise(F.col(c)).alias(c)
+    return joined.select(*[take(c) if c in fields else F.col(c) for c in works.columns], outcome.alias("outcome"))
 
 
 def merge_metadata(works: DataFrame, remote: DataFrame, overwrite: list[str], fill: list[str]) -> DataFrame:
@@ -166,12 +264,6 @@ def next_order(rows: DataFrame, column: str) -> DataFrame:
     return rows.agg((F.coalesce(F.max(column), F.lit(-1)) + 1).alias("next"))
 
 
-def restore(manifest: DataFrame, tombstones: DataFrame) -> DataFrame:
-    """Rows of works from a nested manifest, without deleted ones; interrupted jobs come back failed."""
-    works = manifest.select(F.explode_outer("works").alias("w")).select("w.*").join(tombstones.select("work_id"), "work_id", "left_anti")
-    return works.withColumn("category", F.coalesce("category", F.lit("Uncategorized")))
-
-
 def nest_manifest(works: DataFrame, versions: DataFrame) -> DataFrame:
     """work_id and its versions as a sorted array of structs, works without versions included."""
     own = versions.groupBy("work_id").agg(F.array_sort(F.collect_list(F.struct("version_id", "status"))).alias("versions"))

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from papyra.functions import text as tx
-from papyra.functions import values as va
-from papyra.operators import catalog, fts, retrieval
+from papyra.operators import catalog, fts, retrieval, search
+from papyra.operators.chunking import chunk_pages
+from papyra.operators.index import KeptIndex
+from papyra.sources.kept import changed_at, kept_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -75,6 +78,25 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("work_id"), "text")
 
 
+def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents cut into passages: chunk_id is the work's id and the passage's number, from 1,000,000 apart."""
+    pages = read(spark, sf_dir, "documents").select("doc_id", F.lit(1).alias("page"), "text")
+    return chunk_pages(pages).select((F.col("doc_id") * 1_000_000 + F.col("ordinal")).alias("chunk_id"), F.col("doc_id").alias("work_id"), "text")
+
+
+def kept_index(spark: SparkSession, sf_dir: str, name: str, rows: Callable[[SparkSession, str], DataFrame]) -> KeptIndex:
+    """The index of a table's chunks, kept in the shared folder and built again only when the table's files change."""
+    told = f"{spark.sparkContext.applicationId} {sf_dir} {changed_at(spark, f'{sf_dir}/documents.parquet')}"
+    index = KeptIndex(spark, f"{kept_dir(spark)}/papyra/index-{name}-{hashlib.sha256(told.encode()).hexdigest()[:24]}")
+    if not index.generations():
+        index.update(rows(spark, sf_dir))
+    return index
+
+
+def text_index(spark: SparkSession, sf_dir: str) -> KeptIndex:
+    return kept_index(spark, sf_dir, "texts", chunks)
+
+
 def bm25_sql(query_text: str, mode: str, limit: int | None, cap: int | None = None, scope: str = "true") -> str:
     match = fts.match_expression(query_text, mode)
     tf = ", ".join(f"CAST((length(j) - length(replace(j, ' {'  '.join(p)} ', ''))) / {len('  '.join(p)) + 2} AS INTEGER) AS tf{i}" for i, p in enumerate(match.phrases))
@@ -99,23 +121,23 @@ _hits = lambda df: df.select("work_id", "chunk_id", F.round("relevance", 6).alia
 
 @query("fts_any_term_topk", bm25_sql(ANY, "anyTerm", 100))
 def fts_any_term_topk(spark, sf_dir):
-    return _hits(fts.keyword_search(chunks(spark, sf_dir), ANY, "anyTerm", 100))
+    return _hits(text_index(spark, sf_dir).search(ANY, "anyTerm", 100))
 
 
 @query("fts_exact_phrase", bm25_sql(PHRASE, "exactPhrase", 100))
 def fts_exact_phrase(spark, sf_dir):
-    return _hits(fts.keyword_search(chunks(spark, sf_dir), PHRASE, "exactPhrase", 100))
+    return _hits(text_index(spark, sf_dir).search(PHRASE, "exactPhrase", 100))
 
 
 @query("fts_all_terms_query", bm25_sql(ALL, "allTerms", 100))
 def fts_all_terms_query(spark, sf_dir):
-    return _hits(fts.keyword_search(chunks(spark, sf_dir), ALL, "allTerms", 100))
+    return _hits(text_index(spark, sf_dir).search(ALL, "allTerms", 100))
 
 
 @query("fts_scoped_capped", bm25_sql(ANY, "anyTerm", 50, 3, "work_id IN ('src1', 'src2', 'src3', 'src4')"))
 def fts_scoped_capped(spark, sf_dir):
     allowed = chunks(spark, sf_dir).where(F.col("work_id").isin("src1", "src2", "src3", "src4")).select("work_id")
-    return _hits(fts.keyword_search(chunks(spark, sf_dir), ANY, "anyTerm", 50, allowed, 3))
+    return _hits(text_index(spark, sf_dir).search(ANY, "anyTerm", 50, allowed, 3))
 
 
 @query(
@@ -124,7 +146,7 @@ def fts_scoped_capped(spark, sf_dir):
 SELECT h.* FROM h JOIN w ON h.work_id = w.work_id WHERE contains(whole, 'idiot') AND contains(whole, 'the') AND contains(whole, 'loser')""",
 )
 def fts_all_terms(spark, sf_dir):
-    return _hits(fts.search_all_terms(chunks(spark, sf_dir), ALL))
+    return _hits(text_index(spark, sf_dir).search_all_terms(ALL))
 
 
 @query(
@@ -133,14 +155,20 @@ def fts_all_terms(spark, sf_dir):
 SELECT work_id, max(relevance) AS score, list(chunk_id ORDER BY rk) AS passages FROM r WHERE rk <= 3 GROUP BY work_id""",
 )
 def fts_work_matches(spark, sf_dir):
-    return fts.work_matches(_hits(fts.keyword_search(chunks(spark, sf_dir), ANY, "anyTerm", 100)))
+    return fts.work_matches(_hits(text_index(spark, sf_dir).search(ANY, "anyTerm", 100)))
 
 
 @query("fts_postings", bm25_sql(ANY, "anyTerm", 100))
 def fts_postings(spark, sf_dir):
-    postings = fts.build_postings(chunks(spark, sf_dir))
-    sizes = chunks(spark, sf_dir).select("chunk_id", F.size(tx.tokens(F.col("text"))).alias("dl"))
-    return _hits(fts.search_postings(postings, sizes, tx.query_terms(ANY), 100))
+    """The same rows from an index that was built of other texts and then brought up to date, works added, changed and taken away."""
+    now = chunks(spark, sf_dir)
+    index = KeptIndex(spark, f"{text_index(spark, sf_dir).root}-updated")
+    if not index.generations():
+        odd = F.pmod(F.xxhash64("work_id"), F.lit(4))
+        old = now.where(odd < 3).withColumn("text", F.when(odd == 0, F.concat(F.lit("worthless stale words "), "text")).otherwise(F.col("text")))
+        index.update(old.unionByName(now.where(odd == 1).withColumn("work_id", F.concat(F.lit("gone"), "work_id")).withColumn("chunk_id", -1 - F.col("chunk_id"))))
+        index.sync(now)
+    return _hits(index.search(ANY, "anyTerm", 100))
 
 
 @query(
@@ -148,7 +176,7 @@ def fts_postings(spark, sf_dir):
     f"SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({tokens_sql('text')}) AS term FROM documents) GROUP BY doc_id, term) GROUP BY term",
 )
 def postings_index(spark, sf_dir):
-    return fts.build_postings(chunks(spark, sf_dir)).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    return text_index(spark, sf_dir).live("postings").groupBy("term").agg(F.count("*").alias("df"), F.sum(F.size("positions")).alias("cf"))
 
 
 # ---- vectors and fusion -----------------------------------------------------------------
@@ -222,6 +250,22 @@ def fused_work_ranking(spark, sf_dir):
     return retrieval.fuse(_two_rankings(spark, sf_dir), "work_id", 30).withColumn("score", F.round("score", 9))
 
 
+@query(
+    "fused_channels",
+    f"""WITH {W}, kwh AS (SELECT chunk_id AS work_id, relevance FROM ({bm25_sql("worthless the", "anyTerm", 100).replace("round(s, 6)", "s")})), {PROBE}, seh AS (SELECT vec_id AS work_id, {DOT} AS s FROM embeddings e, q ORDER BY s DESC, vec_id LIMIT 100),
+meh AS (SELECT work_id, 10 * contains({FOLD.format("concat_ws(chr(10), title, abstract_text, CAST(year AS VARCHAR), doi)")}, 'worthless')::INT + 10 * contains({FOLD.format("concat_ws(chr(10), title, abstract_text, CAST(year AS VARCHAR), doi)")}, 'the')::INT + 100 * contains({FOLD.format('title')}, 'worthless the')::INT AS s FROM works ORDER BY s DESC, work_id LIMIT 100),
+r AS (SELECT work_id, row_number() OVER (ORDER BY relevance DESC, work_id) AS rank FROM kwh UNION ALL SELECT work_id, row_number() OVER (ORDER BY s DESC, work_id) FROM seh UNION ALL SELECT work_id, row_number() OVER (ORDER BY s DESC, work_id) FROM meh WHERE s > 0)
+SELECT work_id, round(s, 9) AS score FROM (SELECT work_id, sum(1.0 / (60 + rank)) AS s FROM r GROUP BY work_id) ORDER BY round(s, 12) DESC, work_id LIMIT 30""",
+)
+def fused_channels(spark, sf_dir):
+    """The three channels of a search, each over all documents, fused: keyword hits, vector hits and metadata."""
+    hits = text_index(spark, sf_dir).search("worthless the", "anyTerm", 100).select(F.col("chunk_id").alias("work_id"), "relevance")
+    near = retrieval.vector_topk(vectors(spark, sf_dir).withColumn("work_id", F.col("chunk_id")), probe(spark, sf_dir), 100, None)
+    meta = retrieval.metadata_ranking(works(spark, sf_dir).withColumnRenamed("year", "publication_year"), "worthless the", ["worthless", "the"], 100)
+    ranks = [retrieval.ranking(df, "work_id", F.col(c).desc(), F.col("work_id")) for df, c in ((hits, "relevance"), (near, "score"), (meta, "score"))]
+    return retrieval.fuse(ranks, "work_id", 30).withColumn("score", F.round("score", 9))
+
+
 META = f"{FOLD.format('concat_ws(chr(10), title, abstract_text, CAST(year AS VARCHAR), doi)')}"
 
 
@@ -236,8 +280,8 @@ def metadata_ranking(spark, sf_dir):
 
 @query("minmax_rescale", "SELECT vec_id, round(CASE WHEN hi - lo <= 2.220446049250313e-16 THEN 1.0 ELSE (s - lo) / (hi - lo) END, 6) AS relative FROM (SELECT vec_id, s, min(s) OVER (PARTITION BY label) AS lo, max(s) OVER (PARTITION BY label) AS hi FROM (SELECT vec_id, label, embedding[1]::DOUBLE AS s FROM embeddings))")
 def minmax_rescale(spark, sf_dir):
-    rows = read(spark, sf_dir, "embeddings").withColumn("s", F.col("embedding")[0].cast("double"))
-    return rows.select("vec_id", F.round(va.minmax(F.col("s"), Window.partitionBy("label")), 6).alias("relative"))
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding")[0].cast("double").alias("s"))
+    return retrieval.rescaled(rows, "label", "s").select("vec_id", F.round("relative", 6).alias("relative"))
 
 
 @query("relevance_tier", "SELECT vec_id, CASE WHEN abs(embedding[1]::DOUBLE) * 4 >= 0.5 THEN 'solid' ELSE 'marginal' END AS tier FROM embeddings")
@@ -270,44 +314,64 @@ def excerpt(spark, sf_dir):
 # ---- smart search -----------------------------------------------------------------------
 
 
-@query("rerank_select")
+RERANK = """l AS (SELECT l_orderkey, l_quantity, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) AS INTEGER) AS depth FROM lineitem),
+p AS (SELECT o.o_custkey AS query, CAST(dense_rank() OVER (PARTITION BY o.o_custkey ORDER BY o.o_totalprice DESC, o.o_orderkey) AS INTEGER) AS work, l.depth,
+  CAST(o.o_orderkey * 100 + l.depth AS VARCHAR) AS passage, CAST(l.l_quantity * 40 AS BIGINT) AS size FROM orders o JOIN l ON l.l_orderkey = o.o_orderkey),
+s AS (SELECT *, CASE WHEN depth = 1 AND work <= 5 THEN 1 WHEN depth = 2 AND work <= 5 THEN 2 WHEN depth = 1 THEN 3 ELSE 4 END AS step FROM p),
+o AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY step, work, depth) AS seq FROM s)"""
+
+
+@query(
+    "rerank_select",
+    f"""WITH RECURSIVE {RERANK}, w(query, seq, left_, n, ended, done, took, passage) AS (
+  SELECT query, 0::BIGINT, 9000::BIGINT, 0, false, 0, false, '' FROM (SELECT DISTINCT query FROM o)
+  UNION ALL
+  SELECT query, seq, CASE WHEN ok THEN left_ - size ELSE left_ END, CASE WHEN ok THEN n + 1 ELSE n END, ended OR (step = 3 AND NOT ok), CASE WHEN ok AND step = 4 THEN work ELSE done END, ok, passage
+  FROM (SELECT o.query, o.seq, o.size, o.step, o.work, o.passage, w.left_, w.n, w.ended, w.done, w.n < 12 AND o.size <= w.left_ AND NOT (o.step = 3 AND w.ended) AND NOT (o.step = 4 AND w.done = o.work) AS ok
+    FROM w JOIN o ON o.query = w.query AND o.seq = w.seq + 1))
+SELECT query, CAST(row_number() OVER (PARTITION BY query ORDER BY seq) - 1 AS INTEGER) AS position, passage FROM w WHERE took""",
+)
 def rerank_select(spark, sf_dir):
-    rows = retrieval.fuse(_two_rankings(spark, sf_dir), "work_id", 30)
-    sizes = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("work_id"), "n_chars").join(F.broadcast(rows), "work_id").orderBy(F.round("score", 12).desc(), "work_id").collect()
-    chosen = retrieval.select_for_rerank([[(str(r["work_id"]), r["n_chars"])] for r in sizes], 30, 45_000)
-    return spark.createDataFrame([(i, c) for i, c in enumerate(chosen)], "position int, passage string")
+    """Each customer as a query: its orders are the works, by price, and their lines the passages, five works with a second one reserved."""
+    depth = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"))
+    lines = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), depth.alias("depth"), (F.col("l_quantity") * 40).cast("bigint").alias("size"))
+    place = F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.col("o_totalprice").desc(), "o_orderkey"))
+    orders = read(spark, sf_dir, "orders").join(lines.select("o_orderkey").distinct(), "o_orderkey", "left_semi").select(F.col("o_custkey").alias("query"), "o_orderkey", place.alias("work"))
+    rows = orders.join(lines, "o_orderkey").select("query", "work", "depth", (F.col("o_orderkey") * 100 + F.col("depth")).cast("string").alias("passage"), "size")
+    return retrieval.select_passages(rows, 12, 9000, 5)
 
 
 @query("smart_search")
 def smart_search(spark, sf_dir, depth: str = "fast", asked: int = 10):
-    """Keyword, vector and metadata channels, fused; candidates reranked by token overlap; versions collapsed."""
-    limits, text = retrieval.DEPTHS[depth], ANY
-    own = works(spark, sf_dir)
-    docs = own.select("work_id", F.col("work_id").alias("chunk_id"), "text")
-    hits = fts.keyword_search(docs, text, "anyTerm", limits.channel)
-    keyword = retrieval.ranking(hits, "work_id", F.col("relevance").desc(), F.col("chunk_id"))
-    near = retrieval.vector_topk(vectors(spark, sf_dir).withColumn("work_id", F.col("chunk_id")), probe(spark, sf_dir), limits.channel, 2)
-    semantic = retrieval.ranking(near, "work_id", F.col("score").desc(), F.col("chunk_id"))
-    meta = retrieval.metadata_ranking(own.withColumnRenamed("year", "publication_year"), text, tx.query_terms(text), limits.channel)
-    metadata = retrieval.ranking(meta, "work_id", F.col("score").desc(), F.col("work_id"))
-    # at most limits.fused rows: the channels are computed once, and what follows reads the texts of these works only
-    best = retrieval.fuse([keyword, semantic, metadata], "work_id", limits.fused).withColumnRenamed("score", "fusion").collect()
-    fused = spark.createDataFrame(best, "work_id long, fusion double")
-    body = retrieval.rerank_text(F.col("title"), F.lit(None).cast("string"), F.col("year"), F.col("doi"), F.substring("text", 1, 1400), F.col("abstract_text"))
-    rows = own.join(F.broadcast(fused), "work_id").withColumn("raw", retrieval.rerank_score(text, body)).select("work_id", "title", "year", "doi", "duplicate_of", "raw", "fusion", F.length(body).alias("size"))
-    ranked = [r.asDict() for r in rows.orderBy(F.round("fusion", 12).desc(), "work_id").collect()]  # at most limits.fused rows
-    chosen = set(retrieval.select_for_rerank([[(str(r["work_id"]), r["size"])] for r in ranked], limits.passages, limits.characters))
-    scored = retrieval.relative_scores(rows.where(F.col("work_id").cast("string").isin(*chosen)))
-    order = [r.asDict() for r in scored.orderBy(F.col("relative").desc(), F.round("fusion", 12).desc(), "work_id").collect()]
-    kept = retrieval.collapse_versions(order, retrieval.result_limit(asked))
-    return scored.where(F.col("work_id").isin(*kept)).select("work_id", "title", F.round(F.col("relative") + F.col("fusion") * 1e-6, 9).alias("score"), retrieval.tier(F.col("relative")).alias("tier"))
-
-
-@query("version_collapse")
+    """Keyword, vector and metadata channels over kept passages; see operators.search."""
+    own = works(spark, sf_dir).withColumnRenamed("year", "publication_year")
+    near = vectors(spark, sf_dir).select(F.col("chunk_id").alias("work_id"), (F.col("chunk_id") * 1_000_000).alias("chunk_id"), "vector")
+    return search.smart_search(kept_index(spark, sf_dir, "passages", passages), near, own, ANY, probe(spark, sf_dir), depth, asked)
+
+
+@query(
+    "version_collapse",
+    """WITH RECURSIVE r AS (SELECT c_nationkey * 7 + c_custkey % 7 AS query, CAST(row_number() OVER (PARTITION BY c_nationkey * 7 + c_custkey % 7 ORDER BY c_acctbal DESC, c_custkey) AS INTEGER) AS place, c_custkey AS work_id,
+  CASE WHEN c_custkey % 5 <> 0 THEN '10.1/' || (c_custkey // 7) % 9 END AS doi, CASE WHEN c_custkey % 4 = 3 THEN c_custkey - 7 END AS duplicate_of, c_mktsegment AS title, CAST(1990 + (c_custkey // 7) % 20 AS INTEGER) AS year FROM customer),
+w(query, place, kept, work_id, took) AS (
+  SELECT DISTINCT query, 0, []::BIGINT[], 0::BIGINT, false FROM r
+  UNION ALL
+  SELECT query, place, CASE WHEN ok THEN list_append(kept, work_id) ELSE kept END, work_id, ok FROM (
+    SELECT w.query, r.place, w.kept, r.work_id, len(w.kept) < 4 AND NOT EXISTS (SELECT 1 FROM r k WHERE k.query = r.query AND list_contains(w.kept, k.work_id)
+      AND (k.doi = r.doi OR k.duplicate_of = r.work_id OR r.duplicate_of = k.work_id OR (k.title = r.title AND abs(k.year - r.year) <= 1))) AS ok
+    FROM w JOIN r ON r.query = w.query AND r.place = w.place + 1))
+SELECT query, work_id, place FROM w WHERE took""",
+)
 def version_collapse(spark, sf_dir):
-    rows = works(spark, sf_dir).orderBy("year", "work_id").limit(100).select("work_id", "title", "year", "doi", "duplicate_of")
-    kept = retrieval.collapse_versions([r.asDict() for r in rows.collect()], 20)
-    return spark.createDataFrame([(k,) for k in kept], "work_id long")
+    """Ranked lists of all customers; DOIs, duplicate links, titles and years are dealt so that versions meet in them."""
+    number = F.floor(F.col("c_custkey") / 7)
+    by = (F.col("c_nationkey") * 7 + F.col("c_custkey") % 7).alias("query")
+    rows = read(spark, sf_dir, "customer").select(
+        by, F.row_number().over(Window.partitionBy(F.col("c_nationkey") * 7 + F.col("c_custkey") % 7).orderBy(F.col("c_acctbal").desc(), "c_custkey")).alias("place"), F.col("c_custkey").alias("work_id"),
+        F.when(F.col("c_custkey") % 5 != 0, F.concat(F.lit("10.1/"), number % 9)).alias("doi"), F.when(F.col("c_custkey") % 4 == 3, F.col("c_custkey") - 7).alias("duplicate_of"),
+        F.col("c_mktsegment").alias("title"), (1990 + number % 20).cast("int").alias("year"),
+    )
+    return retrieval.collapse_ranked(rows, 4)
 
 
 # ---- catalog ----------------------------------------------------------------------------

@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyra.functions import biblio, identifiers
+from papyra.functions import identifiers
 from papyra.functions import text as tx
 from papyra.functions import values as va
 from papyra.operators import dedup, ledger, reconcile, state
 from papyra.operators.chunking import chunk_pages, extractable, margin_lines
 from papyra.plans.catalogue import ORACLES, QUERIES, W, chunks, jaccard_sql, query, read, tokens_sql, works
 from papyra.sources import files
-from papyra.sources.bibtex import parse_bibtex
 
 __all__ = ["ORACLES", "QUERIES"]
 R6 = lambda c: F.round(c, 6)
@@ -311,28 +310,6 @@ def literal(spark, rows: list[tuple], schema: str) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
-def values_sql(rows: list[tuple], names: str) -> str:
-    def one(v) -> str:
-        if v is None:
-            return "NULL"
-        if isinstance(v, str):
-            return "'" + v.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
-        if isinstance(v, float):
-            return f"CAST({v} AS DOUBLE)"
-        if isinstance(v, list):
-            return "[" + ", ".join(one(x) for x in v) + "]"
-        return str(v)
-
-    return f"(VALUES {', '.join('(' + ', '.join(one(v) for v in r) + ')' for r in rows)}) t({names})"
-
-
-def golden(name: str, rows: list[tuple], schema: str, columns, expected: list[tuple], names: str) -> None:
-    """A query over literal rows, whose SQL states the expected values."""
-    QUERIES[name] = lambda spark, _sf_dir: literal(spark, rows, schema).select(*columns())
-    ORACLES[name] = f"SELECT * FROM {values_sql(expected, names)}"
-
-
-
 # Endings that are set behind the texts, one for each remainder of doc_id; # stands for the id.
 NOTES = [
     " see https://doi.org/10.1234/ABC.#).", " doi:10.55555/x;", " NBER Working Paper No. 1#", " NBER Working Paper 2#", " NBER  Working Paper Series 3#", " arXiv : 2101.12345v2", " RePEc:nbr:nberwo:#,",
@@ -442,29 +419,6 @@ def path_safety(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", identifiers.path_is_safe(F.concat(before, F.col("source"), after)).alias("safe"))
 
 
-golden("filename", [(1, "A: Study/2", "Doe, Jane; Roe, J; Poe, A", 2024, True, "raw.pdf"), (2, "T", "X", 2000, False, "my *file.PDF")], "id int, t string, a string, y int, c boolean, o string",
-       lambda: ("id", biblio.archive_filename(F.col("t"), F.col("a"), F.col("y"), F.col("c"), F.col("o"), F.lit("")).alias("name")), [(1, "Doe et al. - 2024 - A Study 2.pdf"), (2, "my file.pdf")], "id, name")
-golden("bibtex_entry", [(1, "Doe2024Paper", "A & B", "Jane Doe; J Roe", 2024, "Jrnl", None), (2, "k", "", "x", 2000, None, None)], "id int, k string, t string, a string, y int, j string, d string",
-       lambda: ("id", biblio.bibtex_entry(F.col("k"), F.lit("article"), F.col("t"), F.col("a"), F.col("y"), F.col("j"), F.col("d")).alias("entry")),
-       [(1, "@article{Doe2024Paper,\n  title = {A \\& B},\n  author = {Jane Doe and J Roe},\n  year = {2024},\n  journal = {Jrnl}\n}"), (2, None)], "id, entry")
-golden("bibtex_diff", [(1, "Trade", "Doe", 2000, "10.1/a", "J", "Trade and", "Doe; Roe", 2001, None, "J"), (2, "A b", "X", 2000, None, None, "a B", "x", 2000, None, None)],
-       "id int, t string, a string, y int, d string, j string, ot string, oa string, oy int, od string, oj string",
-       lambda: ("id", F.array_join(F.transform(biblio.record_differences({"title": F.col("t"), "authors": F.col("a"), "year": F.col("y"), "doi": F.col("d"), "journal": F.col("j")}, {"title": F.col("ot"), "authors": F.col("oa"), "year": F.col("oy"), "doi": F.col("od"), "journal": F.col("oj")}), lambda x: x["field"]), ",").alias("fields")),
-       [(1, "title,authors,year,doi"), (2, "")], "id, fields")
-
-
-@query("batch_keys", "SELECT * FROM (VALUES (1, 'Doe2024Paper', 'Doe2024Paperb'), (2, 'Doe2024Paper', 'Doe2024Paperc'), (3, 'Doe2024Papera', 'Doe2024Papera')) t(pos, key, \"unique\")")
-def batch_keys(spark, _sf_dir):
-    return files.unique_keys(literal(spark, [(1, "Doe2024Paper"), (2, "Doe2024Paper"), (3, "Doe2024Papera")], "pos int, key string"))
-
-
-@query("bibtex_parse", "SELECT * FROM (VALUES (1, 'article', 'k1', 'A {B} c', 'Doe, J'), (2, NULL, NULL, NULL, NULL)) t(id, kind, key, title, author)")
-def bibtex_parse(spark, _sf_dir):
-    rows = literal(spark, [(1, '@article{k1, title = {A {B} c}, Author = "Doe, J", year = 2020}'), (2, "@article{broken, title = {x}")], "id int, v string")
-    own = rows.withColumn("e", parse_bibtex("v"))
-    return own.select("id", F.col("e")["@type"].alias("kind"), F.col("e")["@key"].alias("key"), F.col("e")["title"].alias("title"), F.col("e")["author"].alias("author"))
-
-
 @query("bibtex_document", "SELECT string_agg(n_name, chr(10) || chr(10) ORDER BY n_nationkey) || chr(10) AS document FROM nation")
 def bibtex_document(spark, sf_dir):
     return files.bibtex_document(read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("pos"), F.col("n_name").alias("content")))
