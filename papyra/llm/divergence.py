@@ -36,6 +36,8 @@ RARE_GROUPS = 64
 #: Terms of a chunk and groups of a block of the dense tiles.
 CHUNK_TERMS = 512
 BLOCK_GROUPS = 64
+#: Languages whose sizes, a row each, may be broadcast.
+BROADCAST_LANGS = 100_000
 #: Counted rows that a task holds before it gives them away.
 HELD = 400_000
 
@@ -230,7 +232,9 @@ def source_divergence(docs: DataFrame, min_docs: int = 3, top_terms: int = 200)
     # heavy terms: chunks of about CHUNK_TERMS terms, blocks of about BLOCK_GROUPS groups
     dense = posts.where("heavy")
     chunks = dense.where("lead").groupBy("lang").agg(F.ceil(F.count("*") / CHUNK_TERMS).cast("int").alias("chunks"))
-    place = chunks.join(sizes, "lang").select("lang", "chunks", F.ceil(F.col("sources") / BLOCK_GROUPS).cast("int").alias("blocks"))
+    place = scratch.save(chunks.join(sizes, "lang").select("lang", "chunks", F.ceil(F.col("sources") / BLOCK_GROUPS).cast("int").alias("blocks")), "place")
+    if place.count() <= BROADCAST_LANGS:  # else a join that splits large languages
+        place = F.broadcast(place)
     block = F.pmod(F.xxhash64("source"), F.col("blocks")).cast("int").alias("block")
     chunked = dense.join(place, "lang").select("lang", F.pmod(F.xxhash64("term"), F.col("chunks")).cast("int").alias("chunk"), block, "source", "term", "p", "base", "lead")
     chunked = scratch.save(chunked, "chunked")
