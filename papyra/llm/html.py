@@ -41,9 +41,11 @@ advertisement advertising adsense adslot sponsor sponsored sponsorship promo pro
 popup modal overlay toast newsletter subscribe subscription signup login share sharing social related recommended recommendations
 comment comments commentlist disqus respond replies breadcrumb breadcrumbs pagination pager widget widgets skip toolbar
 contentinfo complementary navigationbar taboola outbrain""".split())
-BESIDE = frozenset("""area bar block bottom box button buttons container field form global group header head heading holder icons inner item items left line
-link links list main message outer page panel policy popup post posts primary right row secondary section site slot small sticky
-stories story text the thread title to top unit user wrap wrapper""".split())
+BESIDE = frozenset("""area article articles author avatar bar block body bottom box button buttons container content count entry field form global group header head
+heading holder icons info inner item items js law left line link links list main message meta outer page panel policy popup post posts primary reply right row
+secondary section site slot small sticky stories story text the thread title to top unit user v wrap wrapper x""".split())
+# Words of CHROME that a page may also set around its story.
+UNSURE = frozenset("aside rail banner notice notices alert popup modal overlay toast share sharing widget widgets skip complementary".split())
 CLOSED_BY_BLOCK = frozenset("""address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3
 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul""".split())
 #: Start tag -> open elements that it ends.
@@ -64,30 +66,36 @@ def host_of(url: str | None) -> str:
     return found.group(1).lower() if found else ""
 
 
-def _marks_chrome(token: str) -> bool:
-    """Whether a whole class, id or role name is one of CHROME, or is made of such words and BESIDE ones."""
-    if token.lower() in CHROME:
-        return True
-    pieces = [w.lower() for w in PIECES.findall(token)]
-    return any(w in CHROME for w in pieces) and all(w in CHROME or w in BESIDE for w in pieces)
+#: What a name says of its element: nothing, that it is beside the article unless it holds it, that it is not the article.
+ARTICLE_OR_NONE, BESIDE_ARTICLE, NO_ARTICLE = 0, 1, 2
 
 
-def _is_chrome(tag: str, attributes: str) -> bool:
+def _marks_chrome(token: str) -> int:
+    """Whether a whole class, id or role name is one of CHROME, or is made of such words and BESIDE ones; BESIDE_ARTICLE if all of those are UNSURE."""
+    low = token.lower()
+    pieces = [low] if low in CHROME else [w.lower() for w in PIECES.findall(token)]
+    own = [w for w in pieces if w in CHROME]
+    if not own or not all(w in CHROME or w in BESIDE for w in pieces):
+        return ARTICLE_OR_NONE
+    return BESIDE_ARTICLE if all(w in UNSURE for w in own) else NO_ARTICLE
+
+
+def _is_chrome(tag: str, attributes: str) -> int:
     if tag in NOT_ARTICLE:
-        return True
+        return NO_ARTICLE
+    out = ARTICLE_OR_NONE
     if not attributes or tag in ("html", "body", "main", "article"):
-        return False
+        return out
     for m in ATTRIBUTE.finditer(attributes):
         name = m.group(1).lower()
         value = m.group(2) or m.group(3) or m.group(4) or ""
         if name in ("class", "id", "role"):
-            if any(_marks_chrome(w) for w in value.split()):
-                return True
+            out = max(out, *map(_marks_chrome, value.split()), ARTICLE_OR_NONE)
         elif name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
+            return NO_ARTICLE
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return False
+            return NO_ARTICLE
+    return out
 
 
 class Page:
@@ -102,6 +110,7 @@ class Page:
         self.parent: list[int] = []
         self.hash: list[int] = []
         self.within: list[int] = []  # 2 in an article, 1 in a main, else 0
+        self.beside: list[int] = []  # the outermost element around that a name sets beside the article, or -1
         self.blocks: list[tuple[int, str]] = []
         self._parts: list[list[str]] = []
         self._stack: list[tuple[str, int, bool]] = []  # name, block element or its parent, not the article
@@ -159,7 +168,10 @@ class Page:
 
     def _open(self, name: str, attributes: str, block: bool) -> None:
         parent = self._stack[-1][1] if self._stack else -1
-        chrome = _is_chrome(name, attributes)
+        mark = _is_chrome(name, attributes)
+        # what only a name sets beside the article is read, and judged by the prose that it holds
+        aside = block and mark == BESIDE_ARTICLE
+        chrome = mark != ARTICLE_OR_NONE and not aside
         if block:
             if parent >= 0:
                 self._flush(parent)
@@ -167,6 +179,8 @@ class Page:
             self.tag.append(name)
             self.parent.append(parent)
             self.hash.append(0)
+            around = self.beside[parent] if parent >= 0 else -1
+            self.beside.append(len(self.tag) - 1 if aside and around < 0 and not self._dropping else around)
             self.within.append(max(above, 2 if name == "article" else 1 if name == "main" or 'role="main"' in attributes else 0) if not self._dropping and not chrome else above)
             self._parts.append([])
             if name == "header":
@@ -248,14 +262,17 @@ class Page:
 
         They come from articles, else from a main, else from the body; but a wider scope
         is taken if twice as much prose is in it, as where an article element is a teaser.
-        If nothing is left without the template, paragraphs of prose stay.
+        If nothing is left without the template, paragraphs of prose stay.  No name that may mean
+        anything takes the element that holds nearly all of the page's prose.
         """
         gone: list[bool] = []
         for k, parent in enumerate(self.parent):
             gone.append(self.hash[k] in template and self._candidate(k) or parent >= 0 and gone[parent])
-        left = [(owner, x) for owner, x in self.blocks if not gone[owner]]
+        story = self._story()
+        own = [(owner, x) for owner, x in self.blocks if self.beside[owner] in (-1, story)]
+        left = [(owner, x) for owner, x in own if not gone[owner]]
         if not left:
-            left = [(owner, x) for owner, x in self.blocks if self._is_prose(owner, x)]
+            left = [(owner, x) for owner, x in own if self._is_prose(owner, x)]
         scope = max((self.within[owner] for owner, _ in left), default=0)
         for wider in range(scope - 1, -1, -1):
             prose = [0, 0]
@@ -266,6 +283,17 @@ class Page:
                 scope = wider
         return "\n".join(x for owner, x in left if self.within[owner] >= scope)
 
+    def _story(self) -> int:
+        """The element that a name sets beside the article though it holds the story: more than twice as much prose as there is text outside all such elements; or -1."""
+        outside, prose = 0, {}
+        for owner, x in self.blocks:
+            if self.beside[owner] < 0:
+                outside += len(x)
+            elif self._is_prose(owner, x):
+                prose[self.beside[owner]] = prose.get(self.beside[owner], 0) + len(x)
+        most = max(prose, key=lambda k: (prose[k], -k), default=-1)
+        return most if most >= 0 and prose[most] > 2 * outside else -1
+
     def _is_prose(self, owner: int, text: str) -> bool:
         return self.tag[owner] in PARAGRAPH and len(text) >= 80
 

@@ -103,6 +103,10 @@ def test_site_templates(spark):
         ("<article><header><span>by me</span><h1>Title</h1></header><p>Body</p></article>", "Title\nBody"),
         ("<div><i>a<article><b>b</i>c</b></article></div>", "bc"),
         ("<ul><li>one<li>two</ul><table><tr><td>x<td>y</table>", "one\ntwo\nx y"),
+        *[(f'<p>Story</p><div class="{c}"><p>{"not the story " * 12}</p></div>', "Story") for c in ("comment-body", "js-comments", "ad-300x250", "site-footer-v2", "related-articles", "cookie-law-info")],
+        *[(f'<div class="{c}"><h1>Title</h1><p>{"The story. " * 10}</p><p>{"More of it. " * 10}</p></div><nav>menu</nav>', "Title\n" + ("The story. " * 10).strip() + "\n" + ("More of it. " * 10).strip()) for c in ("alert", "share")],
+        ("<article><p>" + "The story. " * 10 + "</p><div class='share'><p>" + "Tell all of your friends about it. " * 4 + "</p></div></article>", ("The story. " * 10).strip()),
+        ("<p>Short</p><div class='comments'><p>" + "A long comment. " * 30 + "</p></div>", "Short"),
     ],
 )
 def test_roles_of_elements(html, text):
