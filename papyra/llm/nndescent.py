@@ -284,7 +284,7 @@ def _compare(cosine: float):
 
 
 def _audit(classes: DataFrame, cosine: float, scratch: Scratch) -> DataFrame:
-    """cid, truth: the classes linked with each query class (id divisible by 100), by comparing it with all classes of its label.
+    """cid, truth: the classes linked with each query class (of a vector whose id is divisible by 100), by comparing it with all classes of its label.
 
     Classes and not rows are counted, so a group of many copies weighs no more than a single
     vector.  Links are confirmed ones, so fewer than the truth are pairs not found.
@@ -296,7 +296,7 @@ def _audit(classes: DataFrame, cosine: float, scratch: Scratch) -> DataFrame:
             n = ((s >= cosine) & (p[:, None] != q[None, :])).sum(axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(p), pa.array(n.astype(np.int64))], ["cid", "n"])
 
-    pairs = _tile_pairs(classes, classes.where("pmod(cid, 100) = 0"), scratch)
+    pairs = _tile_pairs(classes, classes.where("asked"), scratch)
     return scratch.save(pairs.mapInArrow(run, "cid long, n long").groupBy("cid").agg(F.sum("n").alias("truth")), "truth")
 
 
@@ -310,16 +310,23 @@ def near_embeddings(
     non-finite components link with nothing, nor do vectors of different lengths or rows with a
     null vec_id (their component_id is null, kept is true).  n_links counts other rows;
     repeated rows are vectors of their own with one id.  The mean recall of the query
-    classes, which is logged, must reach ``goal``, or else, after ``attempts``, the leaders
-    of each label are all compared with each other.  Components beyond 1e150, and vectors
+    classes, those of vectors whose vec_id is divisible by 100, must reach ``goal``, or else, after ``attempts``, the
+    leaders of each label are all compared with each other; audited_near_embeddings() says what was measured.  Components beyond 1e150, and vectors
     without one beyond 1e-150, count as non-finite and zero.  Other columns are ignored.
     """
+    return audited_near_embeddings(rows, cosine=cosine, k=k, bits=bits, planes=planes, max_rounds=max_rounds, goal=goal, attempts=attempts)[0]
+
+
+def audited_near_embeddings(
+    rows: DataFrame, *, cosine: float = 0.98, k: int = 10, bits: int = 8, planes: int = 3, max_rounds: int = 10, goal: float = 0.97, attempts: int = 3
+) -> tuple[DataFrame, float | None]:
+    """near_embeddings() and the mean recall that its last audit measured; None where no query vector has a link."""
     spark: SparkSession = rows.sparkSession
     scratch = Scratch(spark, "nndescent")
     rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector"), F.col("label").cast("long").alias("label"))
     sound = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(1e150))) & F.exists("vector", lambda x: F.abs(x) > F.lit(1e-150))
     linked = rows.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.coalesce(sound, F.lit(False)))
-    classes = scratch.save(linked.groupBy("label", "vector").agg(F.min("vec_id").alias("cid"), F.count("*").alias("m")), "classes")
+    classes = scratch.save(linked.groupBy("label", "vector").agg(F.min("vec_id").alias("cid"), F.count("*").alias("m"), F.max(F.pmod("vec_id", F.lit(100)) == 0).alias("asked")), "classes")
     # one id with several vectors: a class is known by its id, so it keeps the id for one and makes others
     number = F.row_number().over(Window.partitionBy("cid").orderBy("label", "vector"))
     classes = scratch.save(classes.withColumn("vec", F.col("cid")).withColumn("cid", F.when(number == 1, F.col("cid")).otherwise(F.xxhash64("cid", number))), "classes")
@@ -333,7 +340,7 @@ def near_embeddings(
     near = math.cos(min(math.pi, 3 * theta))  # leaders of two balls with a link
     tight = F.col("r") <= theta / 2 - 1e-6
 
-    found = truth = None
+    found = truth = recall = None
     for attempt in range(attempts + 1):
         if attempt < attempts:
             edges = first_lists(nodes, range(50 + 10 * attempt, 50 + 10 * attempt + planes * (attempt + 1)), bits, k)
@@ -384,4 +391,4 @@ def near_embeddings(
     out = common.where("m IS NOT NULL").select(*fields).unionAll(rest.select(*fields))
     known = F.col("vec_id").isNotNull()
     out = out.select("vec_id", F.when(known, F.coalesce("n_links", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("n_links"), F.when(known, F.coalesce("component_id", "vec_id")).alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True))), recall

@@ -14,7 +14,7 @@ from papyra.llm.linededup import drop_boilerplate_lines
 from papyra.llm.lm import score_texts
 from papyra.llm.minhash import near_duplicates
 from papyra.llm.mixing import mix_sources, words_taken
-from papyra.llm.nndescent import near_embeddings
+from papyra.llm.nndescent import audited_near_embeddings
 from papyra.llm.resample import resample
 from papyra.llm.suffixdedup import remove_repeats
 from papyra.llm.toxicity import score_toxicity
@@ -51,7 +51,8 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_embeddings(_table(spark, sf_dir, "embeddings"))
+    rows, recall = audited_near_embeddings(_table(spark, sf_dir, "embeddings"))
+    return rows.withColumn("recall", F.lit(recall).cast("double"))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

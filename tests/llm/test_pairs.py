@@ -152,6 +152,26 @@ def test_registered_query_on_a_table(spark, sf_dir):
     assert sum(got[i] != c for i, c in want.items()) <= 0.02 * len(want)
 
 
+def test_registered_query_is_exact_on_the_whole_table(spark, sf_dir):
+    """Every document of the table, long ones included: sizes and components of all pairs that share a shingle, compared by sets."""
+    from papyra.llm.queries import op4_minhash
+
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
+    sets = {}
+    for i, text in rows:
+        w = re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m.group().lower(), (text or "").encode()))
+        sets[i] = {tuple(w[k : k + 3]) for k in range(len(w) - 2)} or ({tuple(w)} if w else set())
+    holders = {}
+    for i, own in sets.items():
+        for x in own:
+            holders.setdefault(x, []).append(i)
+    pairs = {p for own in holders.values() if len(own) > 1 for p in combinations(sorted(own), 2)}
+    links = [(a, b) for a, b in pairs if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    want = least_of_component(sets, links)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in op4_minhash(spark, sf_dir).collect()}
+    assert got == {i: (len(own), want[i], want[i] == i) for i, own in sets.items()}
+
+
 def dense_label(n, dim, spread, seed):
     """n unit vectors about one direction, at an angle of about ``spread`` from it."""
     rng = np.random.default_rng(seed)
@@ -183,3 +203,18 @@ def test_groups_of_copies_do_not_hide_lost_links(spark):
     n, component = brute_vectors(rows, 0.98)
     assert {i: r["n_links"] for i, r in got.items()} == n
     assert {i: r["component_id"] for i, r in got.items()} == component
+
+
+def test_audit_asks_every_query_vector(spark):
+    """Each id divisible by 100 is the copy of a vector with a smaller id: all of them are audited, and links that are lost are seen."""
+    from papyra.llm.nndescent import _audit, audited_near_embeddings
+
+    rng = np.random.default_rng(6)
+    pairs = [(v / np.linalg.norm(v)).tolist() for v in rng.standard_normal((99, 8))]
+    rows = [(100 * (k + 1), v, 1) for k, v in enumerate(pairs)] + [(100 * (k + 1) - 1, v, 1) for k, v in enumerate(pairs)]
+    rows += [(100 * (k + 1) - 50, (np.array(v) + 0.001 * rng.standard_normal(8)).tolist(), 1) for k, v in enumerate(pairs)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got, recall = audited_near_embeddings(df)
+    assert recall == 1.0 and {r["n_links"] for r in got.collect()} == {2}
+    classes = spark.createDataFrame([(100 * (k + 1) - 1, 1, v, True) for k, v in enumerate(pairs)], "cid long, label long, vector array<double>, asked boolean")
+    assert _audit(classes, 0.98, Scratch(spark, "t")).count() == 99
