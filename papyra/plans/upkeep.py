@@ -85,7 +85,7 @@ STEMS = ("paper", "Paper", "paper (2)", "paper (3)", "paper (2) (2)", "paper", "
 a(folder, seq, pos, stem, used, name) AS (
   SELECT DISTINCT folder, 0::BIGINT, NULL::BIGINT, '', CASE WHEN folder % 2 = 0 THEN ['paper (4)'] ELSE []::VARCHAR[] END, '' FROM f
   UNION ALL
-  SELECT folder, seq, pos, stem, list_append(used, lower(got)), got FROM (SELECT folder, seq, pos, stem, used, list_filter(list_transform(range(1, 300), k -> CASE WHEN k = 1 THEN substring(stem, 1, 235) ELSE substring(stem, 1, 235 - length(' (' || k || ')')) || ' (' || k || ')' END), c -> NOT list_contains(used, lower(c)))[1] AS got
+  SELECT folder, seq, pos, stem, list_append(used, lower(got)), got FROM (SELECT folder, seq, pos, stem, used, list_filter(list_transform(range(1, 300), lambda k: CASE WHEN k = 1 THEN substring(stem, 1, 235) ELSE substring(stem, 1, 235 - length(' (' || k || ')')) || ' (' || k || ')' END), lambda c: NOT list_contains(used, lower(c)))[1] AS got
     FROM (SELECT f.folder, f.seq, f.pos, f.stem, a.used FROM a JOIN f ON f.folder = a.folder AND f.seq = a.seq + 1)))
 SELECT folder, pos, name || '.pdf' AS "unique" FROM a WHERE seq > 0""",
 )
@@ -151,8 +151,8 @@ def index_retry(spark, sf_dir):
 # ---- streams' rules, over tables --------------------------------------------------------
 
 
-@query("retry_schedule", """WITH f AS (SELECT user_id AS item, event_id, ts AS at, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INTEGER) AS attempt FROM events WHERE event_type = 'error')
-SELECT item, event_id, attempt, at + to_milliseconds(CAST([2000, 5000, 12000][attempt] AS DOUBLE)) AS due, attempt > 3 AS given_up FROM f""")
+@query("retry_schedule", """WITH f AS (SELECT user_id AS item, event_id, ts, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INTEGER) AS attempt FROM events WHERE event_type = 'error')
+SELECT item, event_id, attempt, ts + to_milliseconds([2000, 5000, 12000][attempt]) AS due, attempt > 3 AS given_up FROM f""")
 def retry_schedule(spark, sf_dir):
     rows = read(spark, sf_dir, "events").where("event_type = 'error'").select(F.col("user_id").alias("item"), "event_id", F.struct("ts", "event_id").alias("_order"), F.col("ts").alias("at"))
     attempt = F.row_number().over(Window.partitionBy("item").orderBy("_order"))
@@ -290,7 +290,7 @@ def bibtex_diff(spark, sf_dir):
     "batch_keys",
     """WITH k AS (SELECT c_custkey AS pos, CASE WHEN c_custkey % 50 = 7 THEN c_mktsegment || c_nationkey || 'b' ELSE c_mktsegment || c_nationkey END AS key FROM customer),
 r AS (SELECT pos, key, lower(key) AS low, row_number() OVER (PARTITION BY lower(key) ORDER BY pos) AS at, count(*) OVER (PARTITION BY lower(key)) AS n FROM k),
-s AS (SELECT r.pos, r.key, r.n, list_filter(list_transform(range(1, 800), i -> CASE WHEN i <= 26 THEN chr(CAST(96 + i AS INTEGER)) ELSE chr(CAST(96 + (i - 1) // 26 AS INTEGER)) || chr(CAST(97 + (i - 1) % 26 AS INTEGER)) END), x -> NOT list_contains(t.every, r.low || x))[r.at] AS suffix
+s AS (SELECT r.pos, r.key, r.n, list_filter(list_transform(range(1, 800), lambda i: CASE WHEN i <= 26 THEN chr(CAST(96 + i AS INTEGER)) ELSE chr(CAST(96 + (i - 1) // 26 AS INTEGER)) || chr(CAST(97 + (i - 1) % 26 AS INTEGER)) END), lambda x: NOT list_contains(t.every, r.low || x))[r.at] AS suffix
   FROM r, (SELECT list(DISTINCT lower(key)) AS every FROM k) t)
 SELECT pos, key, CASE WHEN n > 1 THEN key || suffix ELSE key END AS "unique" FROM s""",
 )
@@ -339,7 +339,7 @@ def remote_match_crossref(spark, sf_dir):
     return dedup.best_remote_match(*_remote(spark, sf_dir)).select("id", "candidate_id", F.round("similarity", 6).alias("similarity"))
 
 
-NAMES = "list_transform(list_filter(list_transform(string_split(c_, ';'), x -> trim(x)), x -> x <> ''), x -> lower(CASE WHEN contains(x, ',') THEN trim(split_part(x, ',', 1)) ELSE string_split(x, ' ')[-1] END))"
+NAMES = "list_transform(list_filter(list_transform(string_split(c_, ';'), lambda x: trim(x)), lambda x: x <> ''), lambda x: lower(CASE WHEN contains(x, ',') THEN trim(split_part(x, ',', 1)) ELSE string_split(x, ' ')[-1] END))"
 
 
 @query("remote_match_surnames", best_sql("(ca = '' OR " + jaccard_sql(f"list_distinct({NAMES.replace('c_', 'la')})", f"list_distinct({NAMES.replace('c_', 'ca')})") + " >= 0.5)"))
@@ -349,7 +349,7 @@ def remote_match_surnames(spark, sf_dir):
 
 @query(
     "journal_match",
-    f"""WITH {REMOTE}, s AS (SELECT c.id, candidate_id, {jaccard_sql(f"list_filter(list_distinct({tokens_sql('l.title')}), x -> x <> 'the')", f"list_filter(list_distinct({tokens_sql('c.title')}), x -> x <> 'the')")} AS similarity FROM c JOIN l ON l.id = c.id),
+    f"""WITH {REMOTE}, s AS (SELECT c.id, candidate_id, {jaccard_sql(f"list_filter(list_distinct({tokens_sql('l.title')}), lambda x: x <> 'the')", f"list_filter(list_distinct({tokens_sql('c.title')}), lambda x: x <> 'the')")} AS similarity FROM c JOIN l ON l.id = c.id),
 r AS (SELECT *, row_number() OVER w AS rk, lead(similarity) OVER w AS nxt FROM s WHERE similarity >= 0.72 WINDOW w AS (PARTITION BY id ORDER BY similarity DESC, candidate_id))
 SELECT id, candidate_id, round(similarity, 6) AS similarity FROM r WHERE rk = 1 AND (nxt IS NULL OR similarity - nxt >= 0.08 OR similarity >= 0.98)""",
 )
@@ -432,7 +432,7 @@ TYPES = ("published", "workingPaper", "acceptedManuscript", "preprint", "supplem
 @query(
     "type_names",
     f"""SELECT p_partkey AS id, {dealt_sql('p_partkey', '正式发表版', '工作论文', '录用稿', '预印本', '补充材料', '带标注副本', '其他版本', '其他版本')} AS label, {dealt_sql('p_partkey', 'published 发表版', 'working paper 工作论文', 'accepted manuscript 录用稿', 'preprint 预印本', 'supplement 补充材料', 'annotated copy 批注副本', 'odd', None)} AS version,
-  {dealt_sql('p_partkey', 'article 期刊论文', 'thesis 学位论文', 'novel', '')} AS document, list_filter([{dealt_sql('p_partkey', 'NBER w1', None)}, {dealt_sql('p_partkey', None, 'SSRN 12 3', None)}, {dealt_sql('p_partkey', None, None, 'arXiv 1', 'arXiv 2')}, 'RePEc ' || p_name], x -> x IS NOT NULL) AS notes,
+  {dealt_sql('p_partkey', 'article 期刊论文', 'thesis 学位论文', 'novel', '')} AS document, list_filter([{dealt_sql('p_partkey', 'NBER w1', None)}, {dealt_sql('p_partkey', None, 'SSRN 12 3', None)}, {dealt_sql('p_partkey', None, None, 'arXiv 1', 'arXiv 2')}, 'RePEc ' || p_name], lambda x: x IS NOT NULL) AS notes,
   CASE WHEN p_size % 2 = 0 THEN '第 ' || p_size || ' 页' ELSE '第 ' || p_size || '–' || (p_size + 1) || ' 页' END AS pages FROM part""",
 )
 def type_names(spark, sf_dir):
@@ -444,14 +444,14 @@ def type_names(spark, sf_dir):
     )
 
 
-NATURAL = "list_aggregate(list_transform(regexp_extract_all(strip_accents(lower(c_)), '(\\d+|\\D+)'), r -> CASE WHEN regexp_matches(r, '^\\d') THEN lpad(CAST(length(regexp_replace(r, '^0+(\\d)', '\\1')) AS VARCHAR), 3, '0') || regexp_replace(r, '^0+(\\d)', '\\1') ELSE r END), 'string_agg', '')"
+NATURAL = "list_aggregate(list_transform(regexp_extract_all(strip_accents(lower(c_)), '(\\d+|\\D+)'), lambda r: CASE WHEN regexp_matches(r, '^\\d') THEN lpad(CAST(length(regexp_replace(r, '^0+(\\d)', '\\1')) AS VARCHAR), 3, '0') || regexp_replace(r, '^0+(\\d)', '\\1') ELSE r END), 'string_agg', '')"
 
 
 @query(
     "natural_tags",
     f"""WITH t AS (SELECT p_partkey AS id, [p_name || ' ' || (p_partkey % 30), upper(p_name) || '  ' || (p_partkey % 30), 'Étape 10', 'etape 9', ' étape 100 ', p_type || p_size, ''] AS tags FROM part),
-c AS (SELECT id, list_filter(list_transform(tags, x -> trim(regexp_replace(x, '\\s+', ' ', 'g'))), x -> x <> '') AS c FROM t),
-f AS (SELECT id, unnest(list_filter(c, (x, i) -> list_position(list_transform(c, y -> lower(y)), lower(x)) = i)) AS v FROM c)
+c AS (SELECT id, list_filter(list_transform(tags, lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> '') AS c FROM t),
+f AS (SELECT id, unnest(list_filter(c, lambda x, i: list_position(list_transform(c, lambda y: lower(y)), lower(x)) = i)) AS v FROM c)
 SELECT id, string_agg(v, '|' ORDER BY {NATURAL.replace('c_', 'v')}, v) AS tags FROM f GROUP BY id""",
 )
 def natural_tags(spark, sf_dir):
@@ -497,9 +497,9 @@ def valid_parts(spark, sf_dir):
     return read(spark, sf_dir, "conversations").select("conv_id", "turn", va.is_valid_part(text, turn).alias("valid"))
 
 
-@query("unused_tags", "SELECT DISTINCT l_returnflag AS tag FROM lineitem WHERE l_returnflag NOT IN (SELECT l_returnflag FROM lineitem WHERE l_orderkey = 1)")
+@query("unused_tags", "SELECT DISTINCT l_returnflag || l_linenumber AS tag FROM lineitem WHERE l_returnflag || l_linenumber NOT IN (SELECT l_returnflag || l_linenumber FROM lineitem WHERE l_orderkey = 1)")
 def unused_tags(spark, sf_dir):
-    lines = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("work_id"), F.col("l_returnflag").alias("tag"))
+    lines = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("work_id"), F.concat("l_returnflag", "l_linenumber").alias("tag"))
     return state.unused(lines.select("tag").distinct(), lines, 1, "tag")
 
 
