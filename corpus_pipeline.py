@@ -77,7 +77,13 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
     scratch = Scratch(spark, "pipeline")
-    docs = _table(spark, sf_dir, "documents")
+    docs = before = _table(spark, sf_dir, "documents")
     for name, stage in STAGES:
+        own = len(Scratch.made)
         docs = scratch.save(stage(spark, docs, sf_dir), name)
+        for inner in Scratch.made[own:]:  # what the stage wrote on its way
+            inner.remove()
+        if before is not docs and hasattr(before, "scratch_path"):
+            scratch.drop(before)
+        before = docs
     return docs

@@ -28,12 +28,15 @@ BATCH_SETTING, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesP
 
 
 class Scratch:
-    """Written tables of one run, under a path of their own."""
+    """Written tables of one run, under a path of their own.  ``made`` are those of this session that still stand."""
+
+    made: list[Scratch] = []
 
     def __init__(self, spark: SparkSession, name: str):
         if spark.conf.get(BATCH_SETTING).rstrip("b") == str(BATCH_DEFAULT):
             spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
         self.spark, self.root, self.count = spark, f"{shared_dir(spark)}/papyra/{name}-{uuid.uuid4().hex}", 0
+        Scratch.made.append(self)
 
     def path(self, name: str) -> str:
         self.count += 1
@@ -56,6 +59,11 @@ class Scratch:
         out.scratch_path = path
         return out
 
+    def remove(self) -> None:
+        """Delete all tables of the run."""
+        delete(self.spark, self.root)
+        Scratch.made.remove(self)
+
     def drop(self, df: DataFrame) -> None:
         """Delete a saved table that nothing reads any more."""
         delete(self.spark, df.scratch_path)

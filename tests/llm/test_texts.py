@@ -106,6 +106,35 @@ def test_resample_prefers_the_target(spark):
     assert resample(df, target.limit(0), fraction=0.1).count() == round(0.1 * len(rows))
 
 
+def test_weights_equal_brute_force(spark):
+    """Log ratios of all texts: null, empty, one word, very long, repeated rows, and equal texts under several ids, which tie."""
+    from papyra.llm.kernel import U, hash_words, mix
+
+    rng, buckets = random.Random(21), 128
+    rows = [(k, " ".join(rng.choice("a Bb c dd e f\n").strip() or "x" for _ in range(rng.randrange(2, 40)))) for k in range(60)]
+    rows += [(100, None), (101, ""), (102, "one"), (103, " ".join(rng.choice("abcdefgh") for _ in range(50_000))), (104, "tie tie"), (105, "tie tie"), (106, "tie tie"), rows[0], rows[0], (None, "no id")]
+    target = {k for k in range(0, 60, 3)} | {104}
+
+    def grams(text):
+        own = [w.decode() for w in tokens(text)[:-1]]
+        h = hash_words(own)
+        with np.errstate(over="ignore"):
+            pairs = mix(h[:-1] * U(0x9E3779B97F4A7C15) + h[1:]) if len(h) > 1 else h[:0]
+        return collections.Counter(int(x % U(buckets)) for x in [*h, *pairs])
+
+    own = [(i, grams(t)) for i, t in rows]
+    every, good = sum((c for _, c in own), collections.Counter()), sum((c for i, c in own if i in target), collections.Counter())
+    want = collections.Counter()
+    for i, c in own:
+        n, mine = c.total(), i in target
+        p = lambda b: (good[b] - mine * c[b] + 1) / (good.total() - mine * n + buckets)  # noqa: B023, E731
+        q = lambda b: (every[b] - c[b] + 1) / (every.total() - n + buckets)  # noqa: B023, E731
+        want[i, round(sum(k * (math.log(p(b)) - math.log(q(b))) for b, k in c.items()), 6)] += 1
+    df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, tie string").repartition(3)
+    got = resample(df, spark.createDataFrame([(i,) for i in target], "doc_id long"), fraction=1.0, buckets=buckets).collect()
+    assert collections.Counter((r["doc_id"], round(r["log_weight"], 6)) for r in got) == want
+
+
 def test_take_largest_is_exact(spark):
     rng = random.Random(2)
     rows = [(k, k % 3, rng.choice([0.0, 1.0, 1e-9, 1e9, rng.gauss(0, 1)])) for k in range(500)]
