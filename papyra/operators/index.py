@@ -144,6 +144,17 @@ class KeptIndex:
                 self._delete(name, g)
         return now
 
+    def compact_if_needed(self, dead_share: float = 0.2, force: bool = False) -> bool:
+        """Compact where so much of what was written no longer counts; says whether it did."""
+        own = self.generations()
+        if not own:
+            return False
+        added, dead = self._read("summary", own).agg(F.sum("added_tokens"), F.sum("dead_tokens")).first()
+        if not force and dead < dead_share * max(1, added):
+            return False
+        self.compact()
+        return True
+
     def _delete(self, name: str, generation: int) -> None:
         fs, at = hadoop(self.spark, f"{self.root}/{name}/generation={generation}")
         fs.delete(at, True)

@@ -157,6 +157,17 @@ def repoint(table: DataFrame, mapping: DataFrame, key: str = "work_id") -> DataF
     return out.select(*[F.coalesce("target", key).alias(key) if c == key else F.col(c) for c in table.columns]).distinct()
 
 
+# The categories that an empty library begins with, in order; the first is the system's own.
+DEFAULT_CATEGORIES = ("Uncategorized", "Labor", "Macro", "Public", "Development", "Econometrics", "Finance", "Trade", "IO", "Political Economy")
+
+
+def seeded_categories(categories: DataFrame) -> DataFrame:
+    """name, sort_order, is_system: the categories there are, or the default ones where there are none."""
+    seeds = categories.sparkSession.createDataFrame([(n, k, k == 0) for k, n in enumerate(DEFAULT_CATEGORIES)], "name string, sort_order int, is_system boolean")
+    own = categories.select("name", F.col("sort_order").cast("int").alias("sort_order"), "is_system")
+    return own.unionByName(seeds.join(categories.limit(1).select(F.lit(True).alias("_any")), F.lit(True), "left_anti"))
+
+
 def split_version(works: DataFrame, versions: DataFrame, version_id: object, new_work: object) -> DataFrame:
     """The new work made of one version: its own bibliographic fields first, then the work's."""
     own = versions.where(F.col("file_version_id") == F.lit(version_id)).join(works, "work_id")

@@ -325,6 +325,19 @@ def noted(spark, sf_dir) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", F.concat("text", pick(NOTES)).alias("v"), pick(STEMS).alias("stem"))
 
 
+# The patterns that the library's identifiers and years follow, written out for the SQL.
+DOI_PATTERN = r"(?i)10\.\d{4,9}/[-._;()/:A-Z0-9]+"
+NBER_PATTERN = r"(?i)NBER\s+Working\s+Paper\s+(?:No\.?\s*)?(\d{3,6})"
+ARXIV_PATTERN = r"(?i)arXiv\s*:\s*([0-9]{4}\.[0-9]{4,5}(?:v\d+)?)"
+REPEC_PATTERN = r"(?i)(RePEc:[A-Za-z0-9:_\-\.]+)"
+SSRN_URL_PATTERN = r"(?i)(?:papers\.)?ssrn\.com/[^\s]*?(?:abstract_id=|abstract=)(\d{5,10})"
+SSRN_TEXT_PATTERN = r"(?i)SSRN\s+(?:ID\s*)?(\d{5,10})"
+SSRN_STEM_PATTERN = r"(?i)^ssrn[-_ ](\d{5,10})$"
+YEAR_LABELLED_PATTERN = r"(?i)(?:published|publication|revised|revision|draft|date|copyright|©)\s*[:;,\-]?\s*((?:19|20)\d{2})"
+YEAR_MONTH_PATTERN = r"(?i)(?:january|february|march|april|may|june|july|august|september|october|november|december)\s+((?:19|20)\d{2})"
+ANCHORS_PATTERN = ('first version:', 'this version:', 'latest version:', 'revised:', 'draft:')
+
+
 def _quoted(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
 
@@ -347,8 +360,8 @@ def _doi_sql(value: str) -> str:
 
 
 N = f"n AS (SELECT doc_id, text || {_pick_sql(NOTES)} AS v, {_pick_sql(STEMS)} AS stem FROM documents)"
-_SSRN = f"coalesce({_first_sql('v', identifiers.SSRN_URL)}, {_first_sql('v', identifiers.SSRN_TEXT)}, {_first_sql('stem', identifiers.SSRN_STEM)})"
-_IDS = {"doi": _doi_sql(_first_sql("v", identifiers.DOI, 0)), "nber": _first_sql("v", identifiers.NBER), "arxiv": _first_sql("v", identifiers.ARXIV), "ssrn": _SSRN, "repec": _first_sql("v", identifiers.REPEC)}
+_SSRN = f"coalesce({_first_sql('v', SSRN_URL_PATTERN)}, {_first_sql('v', SSRN_TEXT_PATTERN)}, {_first_sql('stem', SSRN_STEM_PATTERN)})"
+_IDS = {"doi": _doi_sql(_first_sql("v", DOI_PATTERN, 0)), "nber": _first_sql("v", NBER_PATTERN), "arxiv": _first_sql("v", ARXIV_PATTERN), "ssrn": _SSRN, "repec": _first_sql("v", REPEC_PATTERN)}
 
 
 @query("identifier_extract", f"WITH {N} SELECT doc_id, {', '.join(f'{x} AS {k}' for k, x in _IDS.items())} FROM n")
@@ -369,7 +382,7 @@ def _year_sql(pattern: str) -> str:
     return f"CASE WHEN {y} BETWEEN 1900 AND 2026 THEN {y} END"
 
 
-@query("year_extract", f"WITH {N} SELECT doc_id, coalesce({_year_sql(identifiers.YEAR_LABELLED)}, {_year_sql(identifiers.YEAR_MONTH)}) AS year FROM n")
+@query("year_extract", f"WITH {N} SELECT doc_id, coalesce({_year_sql(YEAR_LABELLED_PATTERN)}, {_year_sql(YEAR_MONTH_PATTERN)}) AS year FROM n")
 def year_extract(spark, sf_dir):
     return noted(spark, sf_dir).select("doc_id", identifiers.publication_year(F.col("v"), 2025).alias("year"))
 
@@ -394,7 +407,7 @@ HEADERS = ["Trade and\nits Effects*\nSeyed M. Hosseini† Guy Lichtinger‡\nFir
     "header_inference",
     rf"""WITH v AS (SELECT doc_id, [{', '.join(_quoted(h).replace(chr(10), "' || chr(10) || '") for h in HEADERS)}][doc_id % {len(HEADERS)} + 1] || text AS v FROM documents),
 l AS (SELECT *, list_filter(list_transform(string_split_regex(v, '\r\n|[\n\r]'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS lines FROM v),
-a AS (SELECT *, list_position(list_transform(lines, lambda x: lower(x) = 'abstract' OR regexp_matches(lower(x), '^({'|'.join(identifiers.ANCHORS)})')), true) AS anchor FROM l),
+a AS (SELECT *, list_position(list_transform(lines, lambda x: lower(x) = 'abstract' OR regexp_matches(lower(x), '^({'|'.join(ANCHORS_PATTERN)})')), true) AS anchor FROM l),
 h AS (SELECT *, lines[1:coalesce(nullif(anchor, 0) - 1, least(len(lines), 8))] AS head FROM a),
 p AS (SELECT *, list_max(list_filter(range(1, len(head) + 1), lambda i: contains(head[i], '†') OR contains(head[i], '‡') OR starts_with(lower(head[i]), 'by '))) AS who FROM h),
 q AS (SELECT *, list_transform(list_filter(range(1, len(head) + 1), lambda i: who IS NULL OR i <> who)[1:4], lambda i: head[i]) AS own, regexp_replace(head[who], '(?i)^by\s+', '') AS plain FROM p),

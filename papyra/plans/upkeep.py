@@ -538,3 +538,73 @@ def author_lists(spark, sf_dir):
     person = lambda given, family: F.struct(given.alias("given"), family.alias("family"))
     one, two = person(F.lit("Jane"), F.col("c_name")), person(F.lit(None).cast("string"), F.lit("Roe"))
     return read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), va.author_list(F.when(F.col("c_custkey") % 2 == 0, F.array(one, two)).otherwise(F.array(two))).alias("authors"))
+
+
+@query(
+    "seed_categories",
+    """SELECT 'full' AS library, n_name AS name, n_nationkey AS sort_order, false AS is_system FROM nation
+UNION ALL SELECT 'empty', * FROM (VALUES ('Uncategorized', 0, true), ('Labor', 1, false), ('Macro', 2, false), ('Public', 3, false), ('Development', 4, false), ('Econometrics', 5, false), ('Finance', 6, false), ('Trade', 7, false), ('IO', 8, false), ('Political Economy', 9, false)) v""",
+)
+def seed_categories(spark, sf_dir):
+    there = read(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), F.col("n_nationkey").alias("sort_order"), F.lit(False).alias("is_system"))
+    parts = [state.seeded_categories(df).select(F.lit(kind).alias("library"), "name", "sort_order", "is_system") for kind, df in (("full", there), ("empty", there.where("sort_order < 0")))]
+    return parts[0].unionByName(parts[1])
+
+
+# ---- fingerprints and stored vectors, by SQL --------------------------------------------
+
+HALF = "2.0 ** (greatest(CAST(floor(log2(abs(x::DOUBLE))) AS INTEGER), -14) - 10)"
+ORACLES["vector_half_precision"] = f"SELECT vec_id, list_transform(embedding, lambda x: CAST(CASE WHEN x = 0 THEN 0 ELSE round_even(x::DOUBLE / {HALF}, 0) * {HALF} END AS FLOAT)) AS stored FROM embeddings"
+
+BITS = range(64)
+PRINTS = f"""t AS (SELECT doc_id, unnest(list_filter({tokens_sql('text')}, lambda x: length(x) > 2)[1:50000]) AS term FROM documents),
+w AS (SELECT term, list_reduce(list_prepend(14695981039346656037::UHUGEINT, list_transform(range(0, strlen(term)), lambda k: ('0x' || substring(hex(encode(term)), CAST(2 * k + 1 AS BIGINT), 2))::UHUGEINT)), lambda h, b: xor(h, b) * 1099511628211::UHUGEINT % 18446744073709551616::UHUGEINT)::UBIGINT AS h FROM (SELECT DISTINCT term FROM t)),
+v AS (SELECT doc_id, {', '.join(f'sum(CASE WHEN (h >> {b}) & 1 = 1 THEN n ELSE -n END) AS b{b}' for b in BITS)} FROM (SELECT doc_id, term, count(*) AS n FROM t GROUP BY doc_id, term) JOIN w USING (term) GROUP BY doc_id),
+f AS (SELECT d.doc_id, CASE WHEN v.doc_id IS NOT NULL THEN lower(lpad(to_hex(({' + '.join(f'(b{b} >= 0)::UHUGEINT * {2**b}::UHUGEINT' for b in BITS)})::UBIGINT), 16, '0')) END AS fingerprint FROM documents d LEFT JOIN v ON v.doc_id = d.doc_id)"""
+ORACLES["simhash64"] = f"WITH {PRINTS} SELECT * FROM f"
+ORACLES["simhash_near_dups"] = f"WITH {PRINTS} SELECT f.doc_id, g.first FROM f JOIN (SELECT fingerprint, min(doc_id) AS first FROM f GROUP BY fingerprint) g ON g.fingerprint = f.fingerprint WHERE f.doc_id <> g.first"
+
+
+# ---- duplicates by all steps ------------------------------------------------------------
+
+RECORDS = f"""r AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 40 = 1 THEN 'copy' || p_size ELSE 'file' || p_partkey END AS sha, CASE WHEN p_partkey % 30 = 2 THEN '10.1/' || p_size END AS doi,
+  CASE WHEN p_partkey % 4 <> 3 THEN substring(md5(p_name || p_partkey // 12), 1, 16) END AS fp, p_name || ' of ' || lower(p_type) || ' ' || lower(p_brand) AS title, p_brand || ' Doe' AS authors, CASE WHEN p_partkey % 9 <> 4 THEN CAST(1990 + p_size AS INTEGER) END AS year FROM part),
+x AS (SELECT *, list_distinct({tokens_sql('title', 1)}) AS t, list_distinct({tokens_sql('authors', 1)}) AS a FROM r), lib AS (SELECT * FROM x WHERE id % 3 = 0), imp AS (SELECT * FROM x WHERE id % 3 <> 0)"""
+
+
+@query(
+    "dup_cascade_titles",
+    f"""WITH {RECORDS}, s AS (SELECT imp.id, lib.id AS other, 0.55 * {jaccard_sql('imp.t', 'lib.t')} + 0.20 * {jaccard_sql('imp.a', 'lib.a')} + 0.10 * CASE WHEN imp.year IS NULL OR lib.year IS NULL THEN 0.4 WHEN abs(imp.year - lib.year) <= 1 THEN 1.0 ELSE 0.0 END
+  + 0.15 * CASE WHEN imp.fp IS NULL OR lib.fp IS NULL THEN 0.0 ELSE 1 - bit_count(xor(('0x' || imp.fp)::UBIGINT, ('0x' || lib.fp)::UBIGINT)) / 64.0 END AS score FROM imp, lib),
+b AS (SELECT id, first(other ORDER BY score DESC, other) AS other FROM (SELECT id, other, round(score, 9) AS score FROM s WHERE score >= 0.66 - 1e-12) GROUP BY id),
+g AS (SELECT imp.id, (SELECT min(id) FROM lib WHERE lib.sha = imp.sha) AS sha, (SELECT min(id) FROM lib WHERE lib.doi = imp.doi) AS doi, (SELECT min(id) FROM lib WHERE lib.fp = imp.fp) AS fp, b.other FROM imp LEFT JOIN b ON b.id = imp.id)
+SELECT id, CASE WHEN sha IS NOT NULL THEN 'exactFile' WHEN doi IS NOT NULL THEN 'possibleDuplicate' WHEN fp IS NOT NULL THEN 'sameWork' WHEN other IS NOT NULL THEN 'similar' ELSE 'newWork' END AS decision, coalesce(sha, doi, fp, other) AS matched FROM g""",
+)
+def dup_cascade_titles(spark, sf_dir):
+    """All five decisions: equal files, equal DOIs, equal fingerprints, similar records and new works."""
+    key = F.col("p_partkey")
+    none = lambda c: F.lit(None).cast("string").alias(c)
+    own = read(spark, sf_dir, "part").select(
+        key.alias("id"), key.alias("pos"), F.when(key % 40 == 1, F.concat(F.lit("copy"), "p_size")).otherwise(F.concat(F.lit("file"), key)).alias("sha256"), F.when(key % 30 == 2, F.concat(F.lit("10.1/"), "p_size")).alias("doi"), none("nber"), none("ssrn"), none("arxiv"), none("repec"),
+        F.when(key % 4 != 3, F.substring(F.md5(F.concat("p_name", F.floor(key / 12))), 1, 16)).alias("fingerprint"), F.concat("p_name", F.lit(" of "), F.lower("p_type"), F.lit(" "), F.lower("p_brand")).alias("title"), F.concat("p_brand", F.lit(" Doe")).alias("authors"),
+        F.when(key % 9 != 4, (1990 + F.col("p_size")).cast("int")).alias("year"),
+    )
+    return dedup.duplicate_cascade(own.where("id % 3 <> 0"), own.where("id % 3 = 0"))
+
+
+@query(
+    "duplicate_versions_doi",
+    """WITH w AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 3 <> 0 THEN '10.1/' || c_nationkey || '.' || c_custkey // 60 END AS doi, c_mktsegment || c_custkey // 40 AS title, CAST(1990 + c_nationkey AS INTEGER) AS year, CASE WHEN c_custkey % 8 = 5 THEN c_custkey // 2 END AS duplicate_of FROM customer)
+SELECT DISTINCT least(a.id, b.id) AS left_id, greatest(a.id, b.id) AS right_id FROM w a JOIN w b ON a.id <> b.id AND (a.doi = b.doi OR a.duplicate_of = b.id OR (a.title = b.title AND abs(a.year - b.year) <= 1))""",
+)
+def duplicate_versions_doi(spark, sf_dir):
+    key = F.col("c_custkey")
+    own = read(spark, sf_dir, "customer").select(key.alias("id"), F.when(key % 3 != 0, F.concat(F.lit("10.1/"), "c_nationkey", F.lit("."), F.floor(key / 60))).alias("doi"), F.concat("c_mktsegment", F.floor(key / 40)).alias("title"), (1990 + F.col("c_nationkey")).cast("int").alias("year"), F.when(key % 8 == 5, F.floor(key / 2)).alias("duplicate_of"))
+    return dedup.duplicate_versions(own)
+
+
+@query("promote_supplement", "SELECT l_orderkey AS work_id, l_orderkey * 10 + l_linenumber AS file_version_id, l_linenumber = 1 AS is_preferred FROM lineitem")
+def promote_supplement(spark, sf_dir):
+    """A supplement cannot be preferred: choosing one changes nothing."""
+    rows = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("work_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("file_version_id"), F.lit("supplement").alias("version_type"), (F.col("l_linenumber") == 1).alias("is_preferred"))
+    return state.promote_version(rows, 12).select("work_id", "file_version_id", "is_preferred")

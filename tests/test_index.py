@@ -93,6 +93,17 @@ def test_scope_and_all_terms(spark, tmp_path):
     assert {(r["chunk_id"], round(r["relevance"], 9)) for r in index.search_all_terms("alpha beta", 30).collect()} == want
 
 
+def test_compaction_when_a_fifth_is_dead(spark, tmp_path):
+    index = KeptIndex(spark, str(tmp_path / "index"))
+    assert not index.compact_if_needed()
+    index.update(table(spark, [(w, w, "alpha beta gamma delta") for w in range(10)]))
+    index.update(None, table(spark, [(0, 1, "")]))
+    assert not index.compact_if_needed()
+    index.update(None, table(spark, [(0, 2, "")]))
+    assert index.compact_if_needed() and len(index.generations()) == 1 and not index.compact_if_needed()
+    assert index.search("alpha").count() == 8 and index.size() == (8, 32)
+
+
 def test_empty_table(spark, tmp_path):
     index = KeptIndex(spark, str(tmp_path / "index"))
     index.update(table(spark, []))
