@@ -119,20 +119,3 @@ def work_matches(hits: DataFrame, passages: int = 3) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("work_id").orderBy(F.col("relevance").desc(), "chunk_id"))
     best = hits.withColumn("_rank", rank).where(F.col("_rank") <= passages)
     return best.groupBy("work_id").agg(F.max("relevance").alias("score"), F.transform(F.array_sort(F.collect_list(F.struct("_rank", "chunk_id"))), lambda x: x["chunk_id"]).alias("passages"))
-
-
-def build_postings(chunks: DataFrame) -> DataFrame:
-    """term, chunk_id, work_id, tf, dl: an index to keep as a table, partitioned by term hash."""
-    own = chunks.select("chunk_id", "work_id", index_tokens(F.coalesce("text", F.lit(""))).alias("own")).withColumn("dl", F.size("own"))
-    return own.select("chunk_id", "work_id", "dl", F.explode("own").alias("term")).groupBy("term", "chunk_id", "work_id", "dl").agg(F.count("*").cast("int").alias("tf"))
-
-
-def search_postings(postings: DataFrame, documents: DataFrame, terms: list[str], limit: int = 100, cap: int | None = None) -> DataFrame:
-    """Any-term BM25 from an index: reads the terms' postings only; documents has chunk_id and dl."""
-    stats = documents.agg(F.count("*").alias("n"), F.avg("dl").alias("avg"))
-    own = postings.where(F.col("term").isin(*terms))
-    df = own.groupBy("term").agg(F.count("*").alias("df"))
-    rows = own.join(df, "term").crossJoin(F.broadcast(stats))
-    idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg")))
-    return top_hits(rows.groupBy("work_id", "chunk_id").agg(F.sum(part).alias("relevance")), limit, cap)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from papyra.functions.identifiers import normalized_doi
+from papyra.operators.retrieval import normalized
 from papyra.sources.kept import save
 
 
@@ -210,6 +211,17 @@ def mark_unindexable(documents: DataFrame, chunks: DataFrame, failures: DataFram
     return marked, remove_works(chunks, own), kept.unionByName(new)
 
 
+def save_embeddings(vectors: DataFrame, failures: DataFrame, results: DataFrame, dimensions: int) -> tuple[DataFrame, DataFrame]:
+    """(vectors, failures) after results (chunk_id, vector) of a batch came in.
+
+    Sound ones, of so many finite numbers that are not all zero, take the place of the chunk's old vector, at unit
+    length, and clear its failures; others leave both as they are.  Of several results of a chunk the greatest counts.
+    """
+    unit = normalized(F.col("vector"), dimensions)
+    sound = results.select("chunk_id", unit.alias("vector")).where("vector IS NOT NULL").groupBy("chunk_id").agg(F.max("vector").alias("vector"))
+    return replace_rows(vectors.select("chunk_id", F.col("vector").cast("array<double>").alias("vector")), sound, "chunk_id"), failures.join(sound.select("chunk_id"), "chunk_id", "left_anti")
+
+
 def remove_everywhere(works: DataFrame, **tables: DataFrame) -> dict[str, DataFrame]:
     """Every table without the rows of these works (work_id)."""
     return {name: remove_works(table, works) for name, table in tables.items()}

@@ -119,6 +119,14 @@ ANY, ALL, PHRASE = "idiot worthless loser", "idiot the loser", '"of the"'
 _hits = lambda df: df.select("work_id", "chunk_id", F.round("relevance", 6).alias("relevance"))
 
 
+@query("index_build", f"SELECT count(*) AS chunks, CAST(sum(len(own)) AS BIGINT) AS tokens, CAST(sum(len(list_distinct(own))) AS BIGINT) AS postings FROM (SELECT {tokens_sql('text')} AS own FROM documents)")
+def index_build(spark, sf_dir):
+    """What the kept index of all texts holds; the first call of a session builds it."""
+    index = text_index(spark, sf_dir)
+    n, tokens = index.size()
+    return index.live("postings").agg(F.count("*").alias("postings")).select(F.lit(n).alias("chunks"), F.lit(tokens).alias("tokens"), "postings")
+
+
 @query("fts_any_term_topk", bm25_sql(ANY, "anyTerm", 100))
 def fts_any_term_topk(spark, sf_dir):
     return _hits(text_index(spark, sf_dir).search(ANY, "anyTerm", 100))

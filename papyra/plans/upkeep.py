@@ -148,6 +148,55 @@ def index_retry(spark, sf_dir):
     return state.retry_unindexable(state.mark_unindexable(*_index_tables(spark, sf_dir))[0]).select("work_id", "status")
 
 
+UNIT = "sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)))"
+
+
+def _saved_embeddings(spark, sf_dir):
+    """Vectors of even ids are there; a third of all comes in, some of them short, some zero."""
+    rows, key = read(spark, sf_dir, "embeddings"), F.col("vec_id")
+    there = rows.where(key % 2 == 0).select(key.alias("chunk_id"), F.col("embedding").alias("vector"))
+    vector = F.when(key % 9 == 3, F.slice("embedding", 1, 60)).when(key % 9 == 6, F.transform("embedding", lambda x: x * 0)).otherwise(F.col("embedding"))
+    failures = rows.where(key % 5 == 0).select(key.alias("chunk_id"), F.lit("embedding").alias("stage"))
+    return state.save_embeddings(there, failures, rows.where(key % 3 == 0).select(key.alias("chunk_id"), vector.alias("vector")), 64)
+
+
+@query("save_embeddings", f"SELECT vec_id AS chunk_id, round(CASE WHEN vec_id % 9 = 0 THEN embedding[1]::DOUBLE / {UNIT} ELSE embedding[1]::DOUBLE END, 9) AS first FROM embeddings WHERE vec_id % 9 = 0 OR vec_id % 2 = 0")
+def save_embeddings(spark, sf_dir):
+    return _saved_embeddings(spark, sf_dir)[0].select("chunk_id", F.round(F.col("vector")[0], 9).alias("first"))
+
+
+@query("embedding_failures", "SELECT vec_id AS chunk_id, 'embedding' AS stage FROM embeddings WHERE vec_id % 5 = 0 AND vec_id % 9 <> 0")
+def embedding_failures(spark, sf_dir):
+    return _saved_embeddings(spark, sf_dir)[1]
+
+
+@query("latest_versions", "SELECT user_id, event_type, max(event_id) AS event_id FROM events GROUP BY user_id, event_type")
+def latest_versions(spark, sf_dir):
+    rows = read(spark, sf_dir, "events").select("user_id", "event_type", "event_id")
+    return state.latest_wins(rows.where("event_id % 3 = 0"), rows.where("event_id % 3 <> 0"), ["user_id", "event_type"], "event_id")
+
+
+@query("orphan_tags", "SELECT DISTINCT p_type || p_size AS tag FROM part WHERE p_type || p_size NOT IN (SELECT p_type || p_size FROM part WHERE p_partkey % 4 = 0)")
+def orphan_tags(spark, sf_dir):
+    own = read(spark, sf_dir, "part").select("p_partkey", F.concat("p_type", "p_size").alias("tag"))
+    return state.orphan_tags(own.select("tag").distinct(), own.where("p_partkey % 4 = 0"))
+
+
+@query(
+    "small_values",
+    """SELECT event_id AS id, CASE WHEN event_id % 5 = 4 OR event_id % 7 = 4 THEN 'completed' WHEN event_id % 5 = 0 OR event_id % 7 = 0 THEN 'three' WHEN event_id % 5 = 1 OR event_id % 7 = 1 THEN 'two' WHEN event_id % 5 = 2 OR event_id % 7 = 2 THEN 'one' ELSE 'none' END AS priority,
+  round(CASE WHEN event_id % 11 = 0 THEN 0.0 ELSE least(1.0, (event_id % 20) / (event_id % 11)::DOUBLE) END, 9) AS done, CASE WHEN event_id % 3 = 0 AND event_id % 120 BETWEEN 1 AND 99 THEN CAST(event_id % 120 AS INTEGER) END AS parts,
+  'Emile & Co ' || event_type AS plain FROM events""",
+)
+def small_values(spark, sf_dir):
+    key = F.col("event_id")
+    reply = F.when(key % 3 == 0, F.concat(F.lit(" "), key % 120, F.lit("\n"))).when(key % 3 == 1, F.concat(F.lit("about "), key % 120)).otherwise(F.concat(key % 120, F.lit(".5")))
+    return read(spark, sf_dir, "events").select(
+        key.alias("id"), va.merged_priority(dealt(key, *PRIORITIES), dealt(key, *PRIORITIES, "none", None)).alias("priority"), F.round(va.fraction_completed(key % 20, key % 11), 9).alias("done"),
+        va.part_count_reply(reply).alias("parts"), biblio.plain_text(F.concat(F.lit("{\\'E}mile \\& \\textbf{Co}  "), "event_type")).alias("plain"),
+    )
+
+
 # ---- streams' rules, over tables --------------------------------------------------------
 
 

@@ -49,11 +49,6 @@ def read_manifest(spark: SparkSession, primary: str, backups: str, library: str
     return good.orderBy("_rank", F.col("_time").desc()).limit(1).drop("_rank", "_time")
 
 
-def write_manifest(manifest: DataFrame, path: str) -> None:
-    """One JSON file; the caller names a path with a time stamp and prunes by retain_newest()."""
-    manifest.coalesce(1).write.mode("overwrite").json(path)
-
-
 def stamp(ts: Column) -> Column:
     """ISO 8601 without colons."""
     return F.replace(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit(":"), F.lit("-"))

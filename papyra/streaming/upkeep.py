@@ -38,16 +38,6 @@ def index_stream(stream: DataFrame, index: KeptIndex, checkpoint: str, once: boo
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="5 seconds")).start()
 
 
-def export_latest(stream: DataFrame, key: str, order: str, export: Callable[[DataFrame], None], checkpoint: str, once: bool = False):
-    """Changes of a quiet period go out together, the last of each key only."""
-
-    def batch(df: DataFrame, _: int) -> None:
-        export(df.groupBy(key).agg(F.max_by(F.struct("*"), order).alias("_row")).select("_row.*"))
-
-    writer = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="750 milliseconds")).start()
-
-
 def embed_batches(chunks: DataFrame, embed: Callable[[list[str]], list[list[float]]], size: int = 20, most_failures: int = 3) -> DataFrame:
     """chunk_id, vector, error: batches of 20; a failed batch is tried item by item.
 
@@ -211,5 +201,3 @@ def server_events(lines: DataFrame) -> DataFrame:
     data = marked.where(F.col("line").startswith("data:")).withColumn("d", F.trim(F.substring("line", 6, 1 << 20)))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "d"))), lambda x: x["d"]), "\n")
     return data.groupBy("response", "event").agg(joined.alias("data")).where("data <> '[DONE]'")
-
-
