@@ -15,7 +15,7 @@ anchors, so a piece is only ever compared with the pieces of its anchor:
 * anchors that occur once have nothing that recurs, and an anchor whose pieces are all equal
   needs no order: these weights alone decide;
 * the other pieces go, by anchor, into collections of a bounded size, one transform each;
-* an anchor of different pieces is split by a longer anchor, once for all and, where it has very many,
+* an anchor of different pieces is split by a longer anchor, twice for all and, where it has very many,
   again and again, until its parts are small or the anchor is the whole string.
 
 No group is collected whole: copies are counted before a shuffle, and the largest thing a
@@ -39,6 +39,8 @@ from papyra.llm.scratch import Scratch
 ANCHOR = 64
 #: Different pieces of one anchor that one transform takes; beyond it the anchor is made longer.
 BUCKET = 2048
+#: Times that the anchors of several pieces are made longer, however few those are.
+LENGTHEN = 2
 #: Bytes of a collection, unless one anchor's pieces are more.
 COLLECTION = 1 << 20
 #: Bytes of text that are looked at together.
@@ -280,7 +282,7 @@ def _piece_runs(pieces: DataFrame, length: int, scratch: Scratch, depth: int = 0
     ``pieces`` is a saved table (anchor, piece, n, strings, at, wide, bytes), one row for each different piece:
     n of its copies, whose strings all hold the anchor, ``wide`` bytes at ``at``.
     """
-    bucket = BUCKET if depth else 1  # longer anchors once for all: most pieces that share 64 bytes share little more
+    bucket = BUCKET if depth >= LENGTHEN else 1  # most pieces that share 64 bytes share little more
     size = pieces.groupBy("anchor").agg(F.count("*").alias("different"), F.sum("n").alias("all"))
     counted = pieces.join(size.where("all >= 2"), "anchor")
     alone = counted.where("different = 1").select("anchor", "piece", F.array(F.struct(F.lit(0).alias("lo"), F.col("strings").alias("hi"))).cast(_RUNS).alias("runs"))
