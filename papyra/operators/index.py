@@ -95,6 +95,7 @@ class KeptIndex:
         rows = chunks.select("chunk_id", "work_id", F.size(own).alias("dl"), F.xxhash64("text").alias("digest"), "text")
         self._write(rows, "chunks", now)
 
+        chunks = self._read("chunks", [now])  # written once: what makes the chunks is not run again
         words = chunks.select("chunk_id", "work_id", own.alias("own")).select("chunk_id", "work_id", F.size("own").alias("dl"), F.posexplode("own").alias("at", "term"))
         postings = words.groupBy("term", "chunk_id", "work_id", "dl").agg(F.array_sort(F.collect_list("at")).alias("positions"))
         postings = postings.withColumn("bucket", (F.crc32("term") % self.buckets).cast("int"))
@@ -102,7 +103,7 @@ class KeptIndex:
         dealt = postings.repartitionByRange("bucket", "term", "chunk_id").sortWithinPartitions("bucket", "term", "chunk_id")
         self._write(dealt, "postings", now, "bucket")
 
-        added = self._read("chunks", [now]).agg(F.count("*").alias("added"), F.coalesce(F.sum("dl"), F.lit(0)).alias("added_tokens"))
+        added = chunks.agg(F.count("*").alias("added"), F.coalesce(F.sum("dl"), F.lit(0)).alias("added_tokens"))
         gone = chunks.select("work_id") if removed is None else chunks.select("work_id").union(removed.select("work_id"))
         if before:
             self._write(gone.distinct(), "dead", now)

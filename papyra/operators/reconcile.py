@@ -65,9 +65,9 @@ def cut_utf8(value: str, most: int) -> str:
     return "".join(out)
 
 
-def _candidate(stem: str, number: int) -> str:
+def _candidate(stem: str, ending: str, number: int) -> str:
     suffix = "" if number == 1 else f" ({number})"
-    return cut_utf8(stem, _ROOM - len(suffix.encode())) + suffix
+    return cut_utf8(stem, (_ROOM if ending == ".pdf" else LONGEST - len(ending.encode())) - len(suffix.encode())) + suffix
 
 
 class _Folder:
@@ -77,37 +77,42 @@ class _Folder:
         self.names = {n.lower() for n in taken}
         self.next: dict[str, int] = {}
 
-    def free(self, stem: str) -> bool:
-        return not any((stem + c).lower() in self.names for c in COMPANIONS)
-
-    def allocate(self, stem: str) -> tuple[str, int]:
-        """The first candidate whose own and companions' names are free, and its number; names are only ever added, so a stem's numbers only grow."""
-        number = self.next.get(stem.lower(), 1)
-        while not self.free(_candidate(stem, number)):
+    def allocate(self, stem: str, ending: str) -> tuple[str, int]:
+        """The first candidate whose name is free, a PDF's companions' too, and its number; names are only ever added, so a name's numbers only grow."""
+        key = (stem + ending).lower()
+        number = self.next.get(key, 1)
+        while True:
+            out = _candidate(stem, ending, number)
+            own = [(out + c).lower() for c in (COMPANIONS if ending == ".pdf" else (ending,))]
+            if self.names.isdisjoint(own):
+                break
             number += 1
-        self.next[stem.lower()] = number + 1
-        out = _candidate(stem, number)
-        self.names.update((out + c).lower() for c in COMPANIONS)
-        return out, number
+        self.next[key] = number + 1
+        self.names.update(own)
+        return out + ending, number
 
 
 def unique_names(names: DataFrame, taken: DataFrame | None = None) -> DataFrame:
     """names (pos, name and, if there are several, folder) with ``unique``, a name of its own in its folder.
 
-    Files are PDFs and come in order of pos: each takes its name, or the first of name (2), name (3), ... whose
-    own name and companions' (notes and assets) nobody has, case aside: neither one of ``taken`` (folder, name) nor
-    an earlier file (pos is unique in a folder; a null name is an empty one).  Characters of a stem are left out where they do not fit, so that the longest companion fits into 255 bytes.
+    Files come in order of pos: each takes its name, or the first of name (2), name (3), ... that nobody has, case
+    aside, neither one of ``taken`` (folder, name) nor an earlier file (pos is unique in a folder; a null name is an empty
+    one).  A PDF, which ends in .pdf then, also needs the names of its companions (notes and assets); others keep their ending.  Characters of a stem are left out where they do not fit, so that the longest companion fits into 255 bytes.
 
     Stems can only meet others that differ in numbers and companion endings, or beyond the length where they
     are cut; such families are dealt out and each goes through in order.  In a family all of whose stems are short,
-    a stem's files beyond the largest number that stands in any of the family's names cannot meet another name: they count
+    a PDF name's files beyond the largest number that stands in any of the family's names cannot meet another name: they count
     on from there, which needs no order in one place.  So a name that very many files share is counted, not gathered.
     """
     rows = names if "folder" in names.columns else names.withColumn("folder", F.lit(""))
-    rows = rows.withColumn("_stem", F.regexp_replace(F.coalesce("name", F.lit("")), r"(?i)\.pdf$", "")).withColumn("_low", F.lower("_stem")).withColumn("_root", _root(F.col("_low")))
-    long = F.greatest(F.octet_length("_stem"), F.octet_length("_low")) > _CUT
-    stems = rows.groupBy("folder", "_root", "_low").agg(F.max(long).alias("_long"), F.max(_largest_number(F.col("_low"))).alias("_number"))
-    family = stems.groupBy("folder", "_root").agg(F.count("*").alias("_stems"), F.max("_long").alias("_long"), F.max("_number").alias("_number"))
+    whole = F.coalesce("name", F.lit(""))
+    ending = F.when(F.lower(whole).endswith(".pdf"), ".pdf").otherwise(F.regexp_extract(whole, r"(?<=.)(\.[^./]+)$", 1))
+    rows = rows.withColumn("_ending", ending).withColumn("_stem", F.substring(whole, F.lit(1), F.length(whole) - F.length("_ending")))
+    rows = rows.withColumn("_low", F.lower(F.concat("_stem", "_ending"))).withColumn("_root", _root(F.lower("_stem")))
+    # what may be cut, and names whose numbers may meet a PDF's companions, go through in order
+    long = (F.greatest(F.octet_length("_stem"), F.octet_length("_low") - F.octet_length("_ending")) > _CUT) | (F.octet_length("_low") > LONGEST - 12)
+    stems = rows.groupBy("folder", "_root", "_low").agg(F.max(long).alias("_long"), F.max(F.col("_ending") != ".pdf").alias("_other"), F.max(_largest_number(F.col("_low"))).alias("_number"))
+    family = stems.groupBy("folder", "_root").agg(F.count("*").alias("_stems"), (F.max("_long") | ((F.count("*") > 1) & F.max("_other"))).alias("_long"), F.max("_number").alias("_number"))
     if taken is None:
         held = rows.select("folder", "_root", "name").limit(0)
     else:
@@ -125,17 +130,17 @@ def unique_names(names: DataFrame, taken: DataFrame | None = None) -> DataFrame:
     def fold(files: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         own, out = _Folder(list(held["name"])), []
         for row in files.sort_values("pos").itertuples():
-            stem, number = own.allocate(row.stem)
-            out.append((row.folder, row.low, row.pos, stem + ".pdf", number, row.at))
+            name, number = own.allocate(row.stem, row.ending)
+            out.append((row.folder, row.low, row.pos, name, number, row.at))
         return pd.DataFrame(out, columns=["folder", "_low", "pos", "unique", "_number_now", "_at"])
 
-    small = early.select("folder", "_root", F.col("_low").alias("low"), F.col("_stem").alias("stem"), "pos", F.col("_at").alias("at"))
+    small = early.select("folder", "_root", F.col("_low").alias("low"), F.col("_stem").alias("stem"), F.col("_ending").alias("ending"), "pos", F.col("_at").alias("at"))
     folded = small.groupBy("folder", "_root").cogroup(held.select("folder", "_root", "name").groupBy("folder", "_root"))
     folded = save(folded.applyInPandas(fold, f"folder {kind['folder']}, _low string, pos {kind['pos']}, unique string, _number_now long, _at long"), "folded")
     shift = folded.groupBy("folder", "_low").agg((F.max("_number_now") - F.max("_at")).alias("_shift"))
     late = mixed.where("NOT _long AND _at > _number + 1").join(shift, ["folder", "_low"]).withColumn("_n", F.col("_at") + F.col("_shift"))
     columns = [*names.columns, "unique"]
-    numbered = F.concat("_stem", F.when(F.col("_n") > 1, F.concat(F.lit(" ("), F.col("_n").cast("string"), F.lit(")"))).otherwise(F.lit("")), F.lit(".pdf"))
+    numbered = F.concat("_stem", F.when(F.col("_n") > 1, F.concat(F.lit(" ("), F.col("_n").cast("string"), F.lit(")"))).otherwise(F.lit("")), "_ending")
     first = early.drop("_at").join(folded.select("folder", "_low", "pos", "unique"), ["folder", "_low", "pos"])
     return simple.withColumn("unique", numbered).select(columns).unionByName(late.withColumn("unique", numbered).select(columns)).unionByName(first.select(columns))
 

@@ -17,17 +17,19 @@ def plain_names(rows, taken):
     for folder, name in taken:
         used.setdefault(folder, set()).add(name.lower())
     for folder, pos, name in sorted(rows, key=lambda r: r[1]):
-        own, stem, k = used.setdefault(folder, set()), name[:-4] if name.lower().endswith(".pdf") else name, 1
+        own, k = used.setdefault(folder, set()), 1
+        pdf, dot = name.lower().endswith(".pdf"), name.rfind(".")
+        stem, end = (name[:-4], ".pdf") if pdf else (name[:dot], name[dot:]) if 0 < dot < len(name) - 1 else (name, "")
         while True:
             suffix = "" if k == 1 else f" ({k})"
             base = ""
             for c in stem:
-                if len((base + c).encode()) <= 255 - len(suffix.encode()) - 20:
+                if len((base + c).encode()) <= 255 - len(suffix.encode()) - (20 if pdf else len(end.encode())):
                     base += c
-            every = [(base + suffix + e).lower() for e in (".pdf", ".md", ".assets", "-精读笔记.md", "-精读笔记.assets")]
+            every = [(base + suffix + e).lower() for e in ((".pdf", ".md", ".assets", "-精读笔记.md", "-精读笔记.assets") if pdf else (end,))]
             if not any(e in own for e in every):
                 own.update(every)
-                out[folder, pos] = base + suffix + ".pdf"
+                out[folder, pos] = base + suffix + end
                 break
             k += 1
     return out
@@ -40,13 +42,14 @@ def test_names_are_unique_in_order(spark, seed):
     stems = ["a", "A", "a (2)", "a (3)", "a (2) (2)", "a-精读笔记", "b", "b (7)", "é" * 130, "é" * 119 + "x", "x" * 300, "x" * 231 + " (2)", "x" * 222, "x" * 222 + " (2)", "lone"]
     rows = [("p", 0, "a.pdf"), ("p", 1, "a.pdf"), ("p", 2, "a (2).pdf"), ("p", 3, "n" * 300 + ".pdf"), ("p", 4, "n" * 300 + ".PDF")]
     rows += [(rng.choice("fg"), 10 + k, rng.choice(stems if k % 3 else ["a", "lone"]) + rng.choice([".pdf", ".PDF"])) for k in range(250)]
+    rows += [("m", 300 + k, rng.choice(["a", "a (2)", "b", "only", "z" * 250]) + rng.choice([".pdf", ".md", ".txt", ""])) for k in range(80)] + [("n", 400 + k, "notes.txt") for k in range(5)] + [("n", 410, ".hidden"), ("n", 411, "end.")]
     taken = [("f", "A (5).md"), ("f", "b-精读笔记.assets"), ("g", "lone (2).pdf"), ("h", "a.pdf")]
     rng.shuffle(rows)
     df = spark.createDataFrame([(f, p, n, 1) for f, p, n in rows], "folder string, pos long, name string, _at int").drop("_at")
     got = {(r["folder"], r["pos"]): r["unique"] for r in reconcile.unique_names(df, spark.createDataFrame(taken, "folder string, name string")).collect()}
     assert got == plain_names(rows, taken)
     assert got["p", 0] == "a.pdf" and got["p", 1] == "a (2).pdf" and got["p", 2] == "a (2) (2).pdf"
-    assert all(len(n[:-4].encode()) + 20 <= 255 for n in got.values()) and len({(k[0], n.lower()) for k, n in got.items()}) == len(rows)
+    assert all(len(n[:-4].encode()) + 20 <= 255 if n.endswith(".pdf") else len(n.encode()) <= 255 for n in got.values()) and len({(k[0], n.lower()) for k, n in got.items()}) == len(rows)
 
 
 def test_merges_over_chains_and_cycles(spark):
