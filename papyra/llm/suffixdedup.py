@@ -282,17 +282,19 @@ def _piece_runs(pieces: DataFrame, length: int, scratch: Scratch, depth: int = 0
     ``pieces`` is a saved table (anchor, piece, n, strings, at, wide, bytes), one row for each different piece:
     n of its copies, whose strings all hold the anchor, ``wide`` bytes at ``at``.
     """
-    bucket = BUCKET if depth >= LENGTHEN else 1  # most pieces that share 64 bytes share little more
     size = pieces.groupBy("anchor").agg(F.count("*").alias("different"), F.sum("n").alias("all"))
     counted = pieces.join(size.where("all >= 2"), "anchor")
-    alone = counted.where("different = 1").select("anchor", "piece", F.array(F.struct(F.lit(0).alias("lo"), F.col("strings").alias("hi"))).cast(_RUNS).alias("runs"))
-    few = counted.where(f"different BETWEEN 2 AND {bucket}").select("anchor", "piece", "n", "bytes")
-    ordered = few.repartition("anchor").sortWithinPartitions("anchor", "piece").mapInArrow(_sorted_runs(length), f"anchor long, piece long, runs {_RUNS}")
-    runs = alone.unionByName(ordered.where("size(runs) > 0"))
-
-    many = scratch.save(counted.where(f"different > {bucket}").select(pieces.columns), "many")
-    if not many.take(1):
-        return runs
+    runs = counted.where("different = 1").select("anchor", "piece", F.array(F.struct(F.lit(0).alias("lo"), F.col("strings").alias("hi"))).cast(_RUNS).alias("runs"))
+    if depth < LENGTHEN:  # most pieces that share 64 bytes share little more
+        runs = scratch.save(runs, "alone")
+        many = counted.where("different > 1").select(pieces.columns)
+    else:
+        few = counted.where(f"different BETWEEN 2 AND {BUCKET}").select("anchor", "piece", "n", "bytes")
+        ordered = few.repartition("anchor").sortWithinPartitions("anchor", "piece").mapInArrow(_sorted_runs(length), f"anchor long, piece long, runs {_RUNS}")
+        runs = runs.unionByName(ordered.where("size(runs) > 0"))
+        many = scratch.save(counted.where(f"different > {BUCKET}").select(pieces.columns), "many")
+        if not many.take(1):
+            return runs
     # strings that reach `half` bytes to the left of the anchor share that much more with it, the others as much on the right
     half = F.expr(f"CAST(({length} - wide + 1) DIV 2 AS INT)")
     left_strings = F.greatest(F.lit(0), F.least(F.col("strings"), F.col("at") - half + 1))
@@ -303,10 +305,12 @@ def _piece_runs(pieces: DataFrame, length: int, scratch: Scratch, depth: int = 0
     parts = many.select(F.col("anchor").alias("from_anchor"), F.col("piece").alias("from_piece"), "n", F.col("bytes").alias("whole"), F.posexplode(sides).alias("side", "part")).select("from_anchor", "from_piece", "n", "whole", "side", "part.*").where("strings > 0")
     parts = parts.withColumn("bytes", F.expr(f"substring(whole, shift + 1, strings + {length - 1})"))
     parts = parts.withColumn("anchor", F.xxhash64(F.lit(depth), "side", F.expr("substring(bytes, at + 1, wide)"))).withColumn("piece", F.xxhash64("bytes")).drop("whole", "side")
-    parts = scratch.save(parts, "parts")
+    links = scratch.save(parts.select("from_anchor", "from_piece", "shift", "anchor", "piece"), "links")
     finer = scratch.save(parts.groupBy("anchor", "piece", "strings", "at", "wide").agg(F.sum("n").alias("n"), F.first("bytes").alias("bytes")).select(pieces.columns), "finer")
+    if depth < LENGTHEN:  # nothing reads these bytes any more
+        scratch.drop(pieces)
     below = _piece_runs(finer, length, scratch, depth + 1)
-    back = parts.join(below, ["anchor", "piece"]).select("from_anchor", "from_piece", F.expr("transform(runs, r -> named_struct('lo', r.lo + shift, 'hi', r.hi + shift))").cast(_RUNS).alias("runs"))
+    back = links.join(below, ["anchor", "piece"]).select("from_anchor", "from_piece", F.expr("transform(runs, r -> named_struct('lo', r.lo + shift, 'hi', r.hi + shift))").cast(_RUNS).alias("runs"))
     whole = back.groupBy("from_anchor", "from_piece").agg(F.flatten(F.collect_list("runs")).cast(_RUNS).alias("runs"))  # two parts at most
     return runs.unionByName(whole.select(F.col("from_anchor").alias("anchor"), F.col("from_piece").alias("piece"), "runs"))
 
