@@ -33,3 +33,9 @@ def test_best_remote_match_on_copies(spark, copies):
     _, contents, cand = records._peers(spark, copies[0], 2)
     assert contents.count() <= 600  # not 2,400
     assert cand.groupBy("id", "title").count().where("count > 2").isEmpty()  # two of each title, not all copies
+
+
+def test_journal_match_unambiguous_on_copies(spark, copies):
+    same_as_sql(spark, copies, "journal_match_unambiguous")
+    _, _, cand = records._peers(spark, copies[0], 3)
+    assert cand.groupBy("id", "title").count().where("count > 3").isEmpty()
