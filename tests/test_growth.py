@@ -39,3 +39,20 @@ def test_journal_match_unambiguous_on_copies(spark, copies):
     same_as_sql(spark, copies, "journal_match_unambiguous")
     _, _, cand = records._peers(spark, copies[0], 3)
     assert cand.groupBy("id", "title").count().where("count > 3").isEmpty()
+
+
+def sets_made_above_join(df):
+    """Whether the plan splits texts in its last join or above it, where rows are pairs."""
+    lines = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    join = next(k for k, line in enumerate(lines) if "Join " in line)
+    return any("split(" in line for line in lines[: join + 1])
+
+
+def test_journal_match_without_broadcast(spark, copies):
+    """A table too large to be broadcast: the optimizer took the condition apart wrongly."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        same_as_sql(spark, copies, "journal_match")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert not sets_made_above_join(__spark_entry__.queries()["journal_match"](spark, copies[0]))
