@@ -56,3 +56,9 @@ def test_journal_match_without_broadcast(spark, copies):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert not sets_made_above_join(__spark_entry__.queries()["journal_match"](spark, copies[0]))
+
+
+@pytest.mark.parametrize("name", ["remote_match_surnames", "remote_match_crossref"])
+def test_remote_match_sets_are_made_once(spark, copies, name):
+    same_as_sql(spark, copies, name)
+    assert not sets_made_above_join(__spark_entry__.queries()[name](spark, copies[0]))
