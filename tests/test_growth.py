@@ -62,3 +62,11 @@ def test_journal_match_without_broadcast(spark, copies):
 def test_remote_match_sets_are_made_once(spark, copies, name):
     same_as_sql(spark, copies, name)
     assert not sets_made_above_join(__spark_entry__.queries()[name](spark, copies[0]))
+
+
+def test_remote_match_deals_rows_out_before_sets(spark, copies):
+    """Candidates come in as few tasks as their file has row groups; sets are made behind the exchange."""
+    plan = __spark_entry__.queries()["remote_match_crossref"](spark, copies[0])._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    dealt = [k for k, line in enumerate(plan) if "RepartitionByExpression" in line]
+    assert len(dealt) == 2
+    assert not any("[^\\p{L}\\p{N}]+" in line for line in plan[dealt[-1] :])
