@@ -145,7 +145,14 @@ def record_differences(local: dict[str, Column], online: dict[str, Column], same
 
 
 def alphabetic_suffix(n: Column) -> Column:
-    """0 -> '', 1 -> a ... 26 -> z, 27 -> aa ...: bijective base 26."""
-    digit = lambda k: F.char(F.lit(97) + k)
-    m = n - 1
-    return F.when(n <= 0, "").when(n <= 26, digit(m)).otherwise(F.concat(digit(F.floor(m / 26) - 1), digit(m % 26)))
+    """0 -> '', 1 -> a ... 26 -> z, 27 -> aa ... 702 -> zz, 703 -> aaa ...: bijective base 26, of seven letters at most."""
+    out = F.lit("")
+    for size in range(1, 8):
+        first = (26**size - 1) // 25  # the least number of so many letters
+        out = F.when(n >= first, F.concat(*[F.char(F.lit(97) + F.floor((n - first) / 26**k) % 26) for k in reversed(range(size))])).otherwise(out)
+    return out
+
+
+def suffix_number(suffix: Column) -> Column:
+    """The number whose alphabetic_suffix() this is; suffix has small letters only."""
+    return F.aggregate(F.filter(F.split(suffix, ""), lambda c: c != ""), F.lit(0).cast("long"), lambda n, c: n * 26 + F.ascii(c) - 96)

@@ -95,18 +95,16 @@ def unique_keys(entries: DataFrame) -> DataFrame:
 
     Suffixes are dealt in order; a key with a suffix that some entry has as its own is passed over.
     """
-    from papyra.functions.biblio import alphabetic_suffix
+    from papyra.functions.biblio import alphabetic_suffix, suffix_number
 
     own = F.lower("key")
-    n = F.count("*").over(Window.partitionBy(own))
-    at = F.row_number().over(Window.partitionBy(own).orderBy("pos"))
+    n = F.count("*").over(Window.partitionBy("_low"))
+    at = F.row_number().over(Window.partitionBy("_low").orderBy("pos"))
     marked = entries.withColumn("_low", own).withColumn("_n", n).withColumn("_at", at)
-    # what a suffix could collide with: other keys that begin with this one
-    taken = entries.select(own.alias("_taken")).distinct()
-    repeats = marked.where("_n > 1").select("_low", "_n").distinct()
-    free = repeats.join(taken, F.col("_taken").startswith(F.col("_low")) & (F.length("_taken") > F.length("_low")), "left").groupBy("_low", "_n").agg(F.collect_set("_taken").alias("_others"))
-    # as many spare suffixes as there are keys to collide with
-    dealt = F.filter(F.transform(F.sequence(F.lit(1), F.col("_n").cast("int") + F.size("_others")), alphabetic_suffix), lambda s: ~F.array_contains("_others", F.concat("_low", s)))
-    free = free.select("_low", dealt.alias("_dealt"))
-    out = marked.join(free, "_low", "left")
-    return out.withColumn("unique", F.when(F.col("_n") > 1, F.concat("key", F.get("_dealt", F.col("_at") - 1))).otherwise(F.col("key"))).drop("_low", "_n", "_at", "_dealt")
+    # a key with one to seven letters taken off its end: what it holds a suffix of
+    ends = F.filter(F.transform(F.sequence(F.lit(1), F.lit(7)), lambda k: F.struct(F.substr("_taken", F.lit(1), F.length("_taken") - k).alias("_low"), F.substr("_taken", F.length("_taken") - k + 1).alias("end"), k.alias("k"))), lambda x: (F.length("_taken") > x["k"]) & x["end"].rlike("^[a-z]+$"))
+    held = entries.select(own.alias("_taken")).distinct().select(F.explode(ends).alias("x")).select("x._low", suffix_number(F.col("x.end")).alias("number"))
+    # the k-th number held is passed over by entries from its place less those passed over before it
+    held = held.groupBy("_low").agg(F.transform(F.array_sort(F.collect_set("number")), lambda x, k: x - k).alias("_from"))
+    out = marked.join(held, "_low", "left").withColumn("_number", F.col("_at") + F.coalesce(F.size(F.filter("_from", lambda x: x <= F.col("_at"))), F.lit(0)))
+    return out.withColumn("unique", F.when(F.col("_n") > 1, F.concat("key", alphabetic_suffix(F.col("_number")))).otherwise(F.col("key"))).drop("_low", "_n", "_at", "_from", "_number")
