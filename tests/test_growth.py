@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
+from papyra.operators import dedup
 from papyra.plans import records
 
 SHIFT = 100_000
@@ -70,3 +71,11 @@ def test_remote_match_deals_rows_out_before_sets(spark, copies):
     dealt = [k for k, line in enumerate(plan) if "RepartitionByExpression" in line]
     assert len(dealt) == 2
     assert not any("[^\\p{L}\\p{N}]+" in line for line in plan[dealt[-1] :])
+
+
+def test_token_jaccard_pairs_on_copies(spark, copies):
+    """Contents are paired, not works: four copies of 100 suppliers are 100 contents."""
+    same_as_sql(spark, copies, "token_jaccard_pairs")
+    rows = [(i, i, f"supplier {i % 10:03d}", "ann" if i % 2 else "", 2000, None) for i in range(400)]
+    works, contents = dedup._contents(spark.createDataFrame(rows, "id int, pos int, title string, authors string, year int, fingerprint string"), "left")
+    assert works.count() == 400 and contents.count() == 10
