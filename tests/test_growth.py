@@ -79,3 +79,20 @@ def test_token_jaccard_pairs_on_copies(spark, copies):
     rows = [(i, i, f"supplier {i % 10:03d}", "ann" if i % 2 else "", 2000, None) for i in range(400)]
     works, contents = dedup._contents(spark.createDataFrame(rows, "id int, pos int, title string, authors string, year int, fingerprint string"), "left")
     assert works.count() == 400 and contents.count() == 10
+
+
+def test_dup_cascade_titles_on_copies(spark, copies):
+    same_as_sql(spark, copies, "dup_cascade_titles")
+
+
+def test_best_similar_pairs_profiles(spark, monkeypatch):
+    """Works that differ in their fingerprints alone are not paired before names and years have bounded the best score."""
+    kept = {}
+    keep = dedup.save
+    monkeypatch.setattr(dedup, "save", lambda df, name: kept.setdefault(name, keep(df, name)))
+    rows = [(i, i, f"red ring number{i % 10:02d}", "ann lee", 2000 + i % 10, f"{i * 0x9E3779B97F4A7C15 % 2**64:016x}") for i in range(400)]
+    works = spark.createDataFrame(rows, "id int, pos int, title string, authors string, year int, fingerprint string")
+    got = {r["id"]: r["matched"] for r in dedup.best_similar(works.where("id % 3 <> 0"), works.where("id % 3 = 0"), 0.66).collect()}
+    assert kept["profiles"].count() == 10  # a title has its own year; not 267 times 133 pairs
+    bits = lambda i, j: (int(rows[i][5], 16) ^ int(rows[j][5], 16)).bit_count()
+    assert got == {i: min((j for j in range(0, 400, 3) if j % 10 == i % 10), key=lambda j: (bits(i, j), j)) for i in range(400) if i % 3}
