@@ -2,7 +2,7 @@
 
 Tables under the index's folder, each with a part for every generation, as an update is called:
 
-* ``postings/generation=G/bucket=B``: term, chunk_id, work_id, dl, positions, sorted by term;
+* ``postings/generation=G/bucket=B``: term, chunk_id, work_id, dl, positions; each file is sorted by term;
 * ``chunks/generation=G``: chunk_id, work_id, dl, digest, text;
 * ``dead/generation=G``: works of which older generations no longer count;
 * ``summary/generation=G``: chunks and tokens that the update added and took away, written last;
@@ -35,6 +35,16 @@ def _phrase_frequency(phrase: list[str], column: dict[str, str]) -> Column:
     return F.size(reduce(F.array_intersect, [back(w, k) for k, w in enumerate(phrase)]))
 
 
+def _postings(chunks: DataFrame) -> DataFrame:
+    """chunk_id, work_id, dl, term, positions: a chunk's tokens (own) are in one row, so they are grouped there, as runs of its sorted tokens."""
+    placed = chunks.where("dl > 0").withColumn("own", F.sort_array(F.transform("own", lambda t, i: F.struct(t.alias("term"), i.alias("at")))))
+    term = lambda i: F.get("own", i)["term"]
+    runs = placed.withColumn("_starts", F.filter(F.sequence(F.lit(0), F.col("dl") - 1), lambda i: (i == 0) | (term(i) != term(i - 1))))
+    until = lambda k: F.coalesce(F.get("_starts", k + 1), F.col("dl"))
+    run = lambda s, k: F.struct(term(s).alias("term"), F.transform(F.slice("own", s + 1, until(k) - s), lambda x: x["at"]).alias("positions"))
+    return runs.select("chunk_id", "work_id", "dl", F.inline(F.transform("_starts", run)))
+
+
 class KeptIndex:
     """An index in the folder ``root``.  buckets is a property of the folder and must not change."""
 
@@ -92,16 +102,14 @@ class KeptIndex:
         if chunks is None:
             chunks = self._read("chunks", before).select("chunk_id", "work_id", "text").limit(0)
         own = index_tokens(F.coalesce("text", F.lit("")))
-        rows = chunks.select("chunk_id", "work_id", F.size(own).alias("dl"), F.xxhash64("text").alias("digest"), "text")
+        # dealt out before texts are split, as a table may come in few row groups
+        rows = chunks.repartition("chunk_id").select("chunk_id", "work_id", F.size(own).alias("dl"), F.xxhash64("text").alias("digest"), "text")
         self._write(rows, "chunks", now)
 
         chunks = self._read("chunks", [now])  # written once: what makes the chunks is not run again
-        words = chunks.select("chunk_id", "work_id", own.alias("own")).select("chunk_id", "work_id", F.size("own").alias("dl"), F.posexplode("own").alias("at", "term"))
-        postings = words.groupBy("term", "chunk_id", "work_id", "dl").agg(F.array_sort(F.collect_list("at")).alias("positions"))
-        postings = postings.withColumn("bucket", (F.crc32("term") % self.buckets).cast("int"))
-        # by term and chunk, so that a word of nearly all chunks is dealt to many tasks
-        dealt = postings.repartitionByRange("bucket", "term", "chunk_id").sortWithinPartitions("bucket", "term", "chunk_id")
-        self._write(dealt, "postings", now, "bucket")
+        postings = _postings(chunks.select("chunk_id", "work_id", "dl", own.alias("own"))).withColumn("bucket", (F.crc32("term") % self.buckets).cast("int"))
+        # each task sorts and writes the postings of its own chunks, as a segment: no token or posting is sent
+        self._write(postings.sortWithinPartitions("bucket", "term", "chunk_id"), "postings", now, "bucket")
 
         added = chunks.agg(F.count("*").alias("added"), F.coalesce(F.sum("dl"), F.lit(0)).alias("added_tokens"))
         gone = chunks.select("work_id") if removed is None else chunks.select("work_id").union(removed.select("work_id"))

@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from papyra.operators import dedup
+from papyra.operators import dedup, index
 from papyra.plans import records
 
 SHIFT = 100_000
@@ -96,3 +96,11 @@ def test_best_similar_pairs_profiles(spark, monkeypatch):
     assert kept["profiles"].count() == 10  # a title has its own year; not 267 times 133 pairs
     bits = lambda i, j: (int(rows[i][5], 16) ^ int(rows[j][5], 16)).bit_count()
     assert got == {i: min((j for j in range(0, 400, 3) if j % 10 == i % 10), key=lambda j: (bits(i, j), j)) for i in range(400) if i % 3}
+
+
+def test_index_postings_are_grouped_in_their_row(spark):
+    """Neither tokens nor postings go through an exchange, so nothing but texts is shuffled when an index is written."""
+    chunks = spark.createDataFrame([(1, "w", 5, ["b", "a", "b", "c", "b"]), (2, "w", 1, ["a"]), (3, "v", 0, [])], "chunk_id int, work_id string, dl int, own array<string>")
+    df = index._postings(chunks)
+    assert sorted((r["chunk_id"], r["dl"], r["term"], r["positions"]) for r in df.collect()) == [(1, 5, "a", [1]), (1, 5, "b", [0, 2, 4]), (1, 5, "c", [3]), (2, 1, "a", [0])]
+    assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
