@@ -345,3 +345,16 @@ def test_every_verbatim_item_of_a_large_benchmark_is_found(spark):
     got = {(r["doc_id"], r["item_id"]) for r in benchmark_leaks(df, spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string")).collect()}
     assert {(k, k) for k, _ in items} <= got, sorted({(k, k) for k, _ in items} - got)[:9]
     assert not [d for d, _ in got if d == -1]
+
+
+def test_leak_space_is_fitted_on_all_items_and_no_sample():
+    import numpy as np
+
+    from papyra.llm.decontam import latent_space
+
+    rows = np.random.default_rng(1).random((6, 40)).astype(np.float32)
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    space = latent_space(np.concatenate([rows, rows[:2]]))
+    assert space.shape == (40, 6)
+    passage = np.random.default_rng(2).random(40)
+    assert np.allclose((passage @ space) @ (rows @ space).T, passage @ rows.T, atol=1e-5)
