@@ -198,24 +198,15 @@ def collapse_ranked(ranked: DataFrame, limit: int, by: str = "query") -> DataFra
 
     ranked has query, place, work_id, doi, duplicate_of, title, year.  Two works are versions of each other
     if they share a DOI, one is marked as the other's duplicate, or their titles are equal and
-    their years at most one apart.  Such pairs are found by equi-joins within a query, whose list is bounded by
-    the fused limit; then each list is folded over in its order, a work being kept if none of
-    its versions was.
+    their years at most one apart.  A query's list, which the fused limit bounds, is folded over in its order: a
+    work is compared with those kept, ``limit`` at most, so no pairs of works are made.
     """
-    own = ranked.select(by, "place", "work_id", F.nullif("doi", F.lit("")).alias("doi"), "duplicate_of", F.nullif("title", F.lit("")).alias("title"), "year")
-    left = own.select(by, *[F.col(c).alias(f"_{c}") for c in own.columns if c != by])
-    same = [
-        own.join(left.select(by, "_place", F.col("_doi").alias("doi")), [by, "doi"]).where("_place < place"),
-        own.join(left.select(by, "_place", F.col("_work_id").alias("duplicate_of")), [by, "duplicate_of"]).where("_place <> place"),
-        own.join(left.select(by, "_place", "_year", F.col("_title").alias("title")), [by, "title"]).where("_place < place AND abs(year - _year) <= 1"),
-    ]
-    pairs = reduce(DataFrame.unionByName, [s.select(by, F.greatest("place", "_place").alias("place"), F.least("place", "_place").alias("_place")) for s in same])
-    versions = pairs.groupBy(by, "place").agg(F.collect_set("_place").alias("earlier"))
-    rows = own.join(versions, [by, "place"], "left").groupBy(by).agg(F.array_sort(F.collect_list(F.struct("place", "work_id", "earlier"))).alias("rows"))
-    fold = f"""aggregate(rows, CAST(array() AS ARRAY<INT>),
-      (s, x) -> IF(size(s) < {limit} AND NOT coalesce(arrays_overlap(s, x.earlier), false), array_append(s, CAST(x.place AS INT)), s))"""
-    kept = rows.select(by, F.expr(f"filter(rows, x -> array_contains({fold}, x.place))").alias("kept"))
-    return kept.select(by, F.explode("kept").alias("k")).select(by, "k.work_id", "k.place")
+    row = F.struct("place", "work_id", F.nullif("doi", F.lit("")).alias("doi"), "duplicate_of", F.nullif("title", F.lit("")).alias("title"), "year")
+    rows = ranked.groupBy(by).agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    same = "k.doi = x.doi OR k.duplicate_of = x.work_id OR x.duplicate_of = k.work_id OR (k.title = x.title AND abs(k.year - x.year) <= 1)"
+    fold = f"""aggregate(rows, slice(rows, 1, 0),
+      (s, x) -> IF(size(s) < {limit} AND NOT exists(s, k -> coalesce({same}, false)), array_append(s, x), s))"""
+    return rows.select(by, F.explode(F.expr(fold)).alias("k")).select(by, "k.work_id", "k.place")
 
 
 def collapse_versions(ranked: list[dict], limit: int) -> list:

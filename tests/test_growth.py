@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from papyra.operators import dedup, index
+from papyra.operators import dedup, index, retrieval
 from papyra.plans import records
 
 SHIFT = 100_000
@@ -104,3 +104,17 @@ def test_index_postings_are_grouped_in_their_row(spark):
     df = index._postings(chunks)
     assert sorted((r["chunk_id"], r["dl"], r["term"], r["positions"]) for r in df.collect()) == [(1, 5, "a", [1]), (1, 5, "b", [0, 2, 4]), (1, 5, "c", [3]), (2, 1, "a", [0])]
     assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_version_collapse_makes_no_pairs(spark, copies):
+    """A list is folded over against the works kept; its works were paired with each other before."""
+    same_as_sql(spark, copies, "version_collapse")
+    rows = [(1, k + 1, k, None, None, "one title", 2000 + k % 2) for k in range(3000)]
+    table = spark.createDataFrame(rows, "query int, place int, work_id long, doi string, duplicate_of long, title string, year int")
+    df = retrieval.collapse_ranked(table, 5)
+    assert "Join" not in plan_of(df)
+    assert [r["work_id"] for r in df.collect()] == [0]
