@@ -94,7 +94,8 @@ def final_targets(mapping: DataFrame) -> DataFrame:
 
     Of several targets of a source the smallest counts; one to itself is none.  On a cycle the smallest id stays and the others go into it.
     Ends are found by doubling: each round goes twice as far, so rounds are the logarithm of the
-    longest chain, and each is a join of the mapping with itself.
+    longest chain, and each is a join of the mapping with itself, merged by its key: a broadcast would send the
+    whole mapping to the driver in every round.
     """
     one = mapping.where("source <> target").groupBy("source").agg(F.min("target").alias("target"))
     table = save(one, "mapping")
@@ -105,7 +106,7 @@ def final_targets(mapping: DataFrame) -> DataFrame:
         now = table.withColumn("steps", F.lit(1).cast("long")).withColumn("least", F.least("source", "target"))
         for _ in range(most):
             on = now.select(F.col("source").alias("target"), F.col("target").alias("_on"), F.col("steps").alias("_steps"), F.col("least").alias("_least"))
-            joined = now.join(on, "target", "left")
+            joined = now.join(on.hint("merge"), "target", "left")
             after = save(joined.select("source", F.coalesce("_on", "target").alias("target"), (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps"), F.least("least", "_least").alias("least"), F.col("_on").isNotNull().alias("_moved")), "steps")
             now = after.drop("_moved")
             if not after.where("_moved").take(1):
@@ -114,9 +115,9 @@ def final_targets(mapping: DataFrame) -> DataFrame:
 
     ends = doubled(table)
     # an end that is a source itself lies on a cycle, and going on from there passes all of it
-    cycles = ends.join(ends.select(F.col("target").alias("source")).distinct(), "source", "left_semi").groupBy("least").agg(F.count("*")).select(F.col("least").alias("source"))
+    cycles = ends.join(ends.select(F.col("target").alias("source")).distinct().hint("merge"), "source", "left_semi").groupBy("least").agg(F.count("*")).select(F.col("least").alias("source"))
     if cycles.take(1):
-        ends = doubled(save(table.join(cycles, "source", "left_anti"), "mapping"))
+        ends = doubled(save(table.join(cycles.hint("merge"), "source", "left_anti"), "mapping"))
     return ends.select("source", "target", "steps")
 
 
@@ -127,11 +128,11 @@ def merge_works(works: DataFrame, mapping: DataFrame, fill: list[str]) -> DataFr
     equally near ones the smallest value).  A link to a source leads to its final target, one to itself ends.
     """
     ends = final_targets(mapping)
-    gone = ends.select(F.col("source").alias("work_id"), "target", "steps")
+    gone = ends.select(F.col("source").alias("work_id"), "target", "steps").hint("merge")
     nearest = lambda c: F.min(F.when(F.col(c).isNotNull(), F.struct("steps", c)))[c].alias(f"_{c}")
     donors = works.join(gone, "work_id").groupBy("target").agg(*[nearest(c) for c in fill]).withColumnRenamed("target", "work_id")
-    kept = works.join(gone.select("work_id"), "work_id", "left_anti").join(donors, "work_id", "left")
-    kept = kept.join(ends.select(F.col("source").alias("duplicate_of"), F.col("target").alias("_to")), "duplicate_of", "left")
+    kept = works.join(gone.select("work_id").hint("merge"), "work_id", "left_anti").join(donors.hint("merge"), "work_id", "left")
+    kept = kept.join(ends.select(F.col("source").alias("duplicate_of"), F.col("target").alias("_to")).hint("merge"), "duplicate_of", "left")
     link = F.coalesce("_to", "duplicate_of")
     link = F.when(link == F.col("work_id"), None).otherwise(link)
     return kept.select(*[F.coalesce(c, f"_{c}").alias(c) if c in fill else link.alias(c) if c == "duplicate_of" else F.col(c) for c in works.columns])
@@ -148,13 +149,13 @@ def merged_priorities(priorities: DataFrame, mapping: DataFrame) -> DataFrame:
     Completed is stronger than any rank, then three, two, one, none.
     """
     rank = F.when(F.col("priority") == "completed", 4).when(F.col("priority") == "three", 3).when(F.col("priority") == "two", 2).when(F.col("priority") == "one", 1).otherwise(0)
-    moved = priorities.join(final_targets(mapping).select(F.col("source").alias("work_id"), "target"), "work_id", "left")
+    moved = priorities.join(final_targets(mapping).select(F.col("source").alias("work_id"), "target").hint("merge"), "work_id", "left")
     return moved.select("project", F.coalesce("target", "work_id").alias("work_id"), "priority", rank.alias("_rank")).groupBy("project", "work_id").agg(F.max_by("priority", "_rank").alias("priority"))
 
 
 def repoint(table: DataFrame, mapping: DataFrame, key: str = "work_id") -> DataFrame:
     """Rows of sources under their final targets, without repeats that this makes."""
-    out = table.join(final_targets(mapping).select(F.col("source").alias(key), "target"), key, "left")
+    out = table.join(final_targets(mapping).select(F.col("source").alias(key), "target").hint("merge"), key, "left")
     return out.select(*[F.coalesce("target", key).alias(key) if c == key else F.col(c) for c in table.columns]).distinct()
 
 

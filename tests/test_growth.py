@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from papyra.operators import dedup, index, retrieval
+from papyra.operators import dedup, index, retrieval, state
 from papyra.plans import records
 
 SHIFT = 100_000
@@ -118,3 +118,16 @@ def test_version_collapse_makes_no_pairs(spark, copies):
     df = retrieval.collapse_ranked(table, 5)
     assert "Join" not in plan_of(df)
     assert [r["work_id"] for r in df.collect()] == [0]
+
+
+def test_merges_broadcast_no_mapping(spark, copies, monkeypatch):
+    """Every round of the doubling sent the mapping to the driver and back out."""
+    for name in ("merge_targets", "merge_chains", "merge_priorities"):
+        same_as_sql(spark, copies, name)
+    plans, keep = [], state.save
+    monkeypatch.setattr(state, "save", lambda df, name: plans.append(plan_of(df)) or keep(df, name))
+    mapping = spark.createDataFrame([(k, k - 1) for k in range(1, 40)] + [(50, 51), (51, 50)], "source long, target long")
+    works = spark.createDataFrame([(k, None, None) for k in range(60)], "work_id long, year int, duplicate_of long")
+    plans.append(plan_of(state.merge_works(works, mapping, ["year"])))
+    plans.append(plan_of(state.merged_priorities(works.selectExpr("1 AS project", "work_id", "'one' AS priority"), mapping)))
+    assert len(plans) > 8 and not any("Broadcast" in p for p in plans)
