@@ -164,3 +164,16 @@ def test_duplicate_versions_send_digests(spark):
     assert "Aggregate" not in plan_of(df)  # each pair is made once
     lines = df._jdf.queryExecution().analyzed().toString().splitlines()
     assert len([line for line in lines if "sha2(" in line]) == 6
+
+
+def test_simhash_holds_words_of_a_piece(spark, monkeypatch):
+    """A batch's texts go in pieces, with the fingerprints of one go; words do not cross to Python one by one."""
+    texts = pd.Series(["labor wage " * (k % 5) + f"study{k % 7}" if k % 6 else None for k in range(300)] + ["", "one two"])
+    whole = dedup._prints([t.split(" ") if t else [] for t in texts])
+    sizes, prints = [], dedup._prints
+    monkeypatch.setattr(dedup, "PIECE", 100)
+    monkeypatch.setattr(dedup, "_prints", lambda words: sizes.append(sum(map(len, words))) or prints(words))
+    assert list(dedup._simhash.func(texts)) == whole
+    assert len(sizes) > 50 and max(sizes) < 40
+    df = spark.createDataFrame([("a b",)], "t string").select(dedup.simhash64(F.col("t")))
+    assert "array_join" in df._jdf.queryExecution().analyzed().toString()
