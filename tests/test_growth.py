@@ -45,6 +45,18 @@ def test_journal_match_unambiguous_on_copies(spark, copies):
     assert cand.groupBy("id", "title").count().where("count > 3").isEmpty()
 
 
+def test_journal_match_unambiguous_pairs_no_names(spark, tmp_path, monkeypatch):
+    """Names that all differ: they are looked up by the words they share, only names of many words meet in pairs."""
+    root, con = str(tmp_path), duckdb.connect()
+    con.execute(f"""copy (select i as p_partkey, case when i % 40 = 0 then 'the one two three four five six seven' || i // 80 when i % 7 = 0 then '' when i % 11 = 0 then NULL else 'the red ring' || i % 50 || case when i % 3 = 0 then ' ' || i % 9 else ' of bolt' || i end end as p_name,
+        'Brand#' || i % 2 as p_brand, 'X' as p_type, (i % 3)::int as p_size from range(900) r(i)) to '{root}/part.parquet' (format parquet)""")
+    con.execute(f"create view part as select * from '{root}/part.parquet'")
+    pairs, keep = [], dedup.journal_matches
+    monkeypatch.setattr(dedup, "journal_matches", lambda local, cand, *a, **k: pairs.append(cand.count()) or keep(local, cand, *a, **k))
+    same_as_sql(spark, (root, con), "journal_match_unambiguous")
+    assert pairs[0] < 10_000  # 22 or 23 long names with some 130 others in each of 6 groups, not 100,000
+
+
 def sets_made_above_join(df):
     """Whether the plan splits texts in its last join or above it, where rows are pairs."""
     lines = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
