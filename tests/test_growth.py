@@ -80,6 +80,20 @@ def test_remote_match_sets_are_made_once(spark, copies, name):
     assert not sets_made_above_join(__spark_entry__.queries()[name](spark, copies[0]))
 
 
+@pytest.mark.parametrize("name", ["remote_match_surnames", "remote_match_crossref"])
+def test_remote_match_compares_titles_once(spark, copies, name):
+    """The least similarity is asked for after the ranks: in the join's condition titles were compared once more for every pair."""
+    plan = __spark_entry__.queries()[name](spark, copies[0])._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert [line for line in plan if "array_intersect(t#" in line and "Project" in line]
+    assert not [line for line in plan if "array_intersect(t#" in line and "Project" not in line]
+
+
+def test_jaccard_of_sets(spark):
+    rows = [(["a", "b"], ["b", "c"]), ([], []), ([], ["a"]), (["a"], ["a"]), (None, ["a"])]
+    got = spark.createDataFrame(rows, "a array<string>, b array<string>").select(dedup.jaccard(F.col("a"), F.col("b"))).collect()
+    assert [r[0] for r in got] == [1 / 3, 0.0, 0.0, 1.0, None]
+
+
 def test_remote_match_deals_rows_out_before_sets(spark, copies):
     """Candidates come in as few tasks as their file has row groups; sets are made behind the exchange."""
     plan = __spark_entry__.queries()["remote_match_crossref"](spark, copies[0])._jdf.queryExecution().optimizedPlan().toString().splitlines()
