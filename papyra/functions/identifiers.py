@@ -101,6 +101,11 @@ def _trimmed(value: Column) -> Column:
     return F.regexp_replace(value, r"^\s+|\s+$", "")
 
 
+def _once(value: Column, then) -> Column:
+    """then(value), with the value made once: a column that others are built on is otherwise made again for each use, in a lambda for each element."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def header_title_authors(page: Column, stem: Column | None = None) -> Column:
     """struct(title, authors) of a page's header: the lines above the first anchor line, or the first eight.
 
@@ -109,16 +114,19 @@ def header_title_authors(page: Column, stem: Column | None = None) -> Column:
     title, unless it is the file's stem.
     """
     lines = F.filter(F.transform(F.split(page, r"\r\n|[\n\r\x0B\x0C\u0085\u2028\u2029]"), _trimmed), lambda x: x != "")
-    low = lambda x: F.lower(x)
-    anchor = lambda x: (low(x) == "abstract") | low(x).rlike("^(" + "|".join(ANCHORS) + ")")
-    places = F.filter(F.transform(lines, lambda x, i: F.when(anchor(x), i)), lambda i: i.isNotNull())
-    head = F.slice(lines, 1, F.coalesce(F.get(places, F.lit(0)), F.least(F.size(lines), F.lit(8))))
-    names = lambda x: x.contains("†") | x.contains("‡") | low(x).startswith("by ")
-    at = F.array_max(F.filter(F.transform(head, lambda x, i: F.when(names(x), i)), lambda i: i.isNotNull()))
-    title = F.slice(F.filter(head, lambda x, i: at.isNull() | (i != at)), 1, 4)
-    title = F.regexp_replace(F.array_join(title, " "), r"^[\s*]+|[\s*]+$", "")
-    usable = (title != "") & (F.lit(True) if stem is None else ~F.coalesce(F.lower(title) == F.lower(stem), F.lit(False)))
-    return F.struct(F.when(usable, title).alias("title"), header_authors(F.get(head, at)).alias("authors"))
+    anchor = lambda x: F.lower(x).rlike("^(?:abstract$|" + "|".join(ANCHORS) + ")")
+    names = lambda x: x.contains("†") | x.contains("‡") | F.lower(x).startswith("by ")
+    first = lambda own: F.get(F.filter(F.transform(own, lambda x, i: F.when(anchor(x), i)), lambda i: i.isNotNull()), F.lit(0))
+    last = lambda own: F.array_max(F.transform(own, lambda x, i: F.when(names(x), i)))
+    cut = lambda own: F.slice(own, 1, F.coalesce(first(own), F.least(F.size(own), F.lit(8))))
+
+    def found(head: Column, at: Column) -> Column:
+        title = F.slice(F.filter(head, lambda x, i: at.isNull() | (i != at)), 1, 4)
+        title = F.regexp_replace(F.array_join(title, " "), r"^[\s*]+|[\s*]+$", "")
+        named = lambda t: (t != "") & (F.lit(True) if stem is None else ~F.coalesce(F.lower(t) == F.lower(stem), F.lit(False)))
+        return F.struct(_once(title, lambda t: F.when(named(t), t)).alias("title"), _once(F.get(head, at), header_authors).alias("authors"))
+
+    return _once(lines, lambda own: _once(cut(own), lambda head: _once(last(head), lambda at: found(head, at))))
 
 
 def header_authors(line: Column) -> Column:

@@ -203,3 +203,12 @@ def test_simhash_holds_words_of_a_piece(spark, monkeypatch):
     assert len(sizes) > 50 and max(sizes) < 40
     df = spark.createDataFrame([("a b",)], "t string").select(dedup.simhash64(F.col("t")))
     assert "array_join" in df._jdf.queryExecution().analyzed().toString()
+
+
+def test_header_lines_are_made_once(spark, sf_dir):
+    """The lines of a text were made again for each use of them, in the title's test for each line."""
+    df = __spark_entry__.queries()["header_inference"](spark, sf_dir)
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    pages = ["\n".join(f"line {k}" for k in range(3000)) + "\nAbstract\n", "T\nby A. B. \nby C†\nThis version: 1\nby D\n", "Abstract of it\nby X", "", None]
+    got = spark.createDataFrame(list(enumerate(pages)), "i int, p string").select("i", identifiers.header_title_authors(F.col("p")).alias("f")).orderBy("i").select("f.*").collect()
+    assert list(map(tuple, got)) == [("line 0 line 1 line 2 line 3", None), ("T by A. B.", "C"), ("Abstract of it", "X"), (None, None), (None, None)]
