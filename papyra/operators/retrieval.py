@@ -105,7 +105,8 @@ def metadata_ranking(works: DataFrame, query: str, terms: list[str], limit: int)
     """work_id, score: 10 for each term that the metadata hold, 100 where the title holds the query."""
     text = fold(F.concat_ws("\n", *[F.nullif(F.col(c).cast("string"), F.lit("")) for c in ("title", "authors", "abstract_text", "publication_year", "doi", "relative_path") if c in works.columns]))
     score = sum((F.when(text.contains(t), 10).otherwise(0) for t in terms), F.lit(0)) + F.when(fold(F.col("title")).contains(query.lower().strip()), 100).otherwise(0)
-    return works.select("work_id", score.alias("score")).where("score > 0").orderBy(F.col("score").desc(), "work_id").limit(limit)
+    best = works.select("work_id", score.alias("score")).orderBy(F.col("score").desc(), "work_id").limit(limit)
+    return best.where("score > 0")  # before the limit it would be pushed down and texts be folded once more for each use
 
 
 def rescaled(rows: DataFrame, by: str, score: str) -> DataFrame:

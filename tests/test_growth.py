@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from papyra.functions import identifiers
+from papyra.functions import identifiers, text
 from papyra.operators import dedup, index, manifest, retrieval, state
 from papyra.plans import records
 
@@ -212,3 +212,18 @@ def test_header_lines_are_made_once(spark, sf_dir):
     pages = ["\n".join(f"line {k}" for k in range(3000)) + "\nAbstract\n", "T\nby A. B. \nby C†\nThis version: 1\nby D\n", "Abstract of it\nby X", "", None]
     got = spark.createDataFrame(list(enumerate(pages)), "i int, p string").select("i", identifiers.header_title_authors(F.col("p")).alias("f")).orderBy("i").select("f.*").collect()
     assert list(map(tuple, got)) == [("line 0 line 1 line 2 line 3", None), ("T by A. B.", "C"), ("Abstract of it", "X"), (None, None), (None, None)]
+
+
+def test_metadata_ranking_folds_texts_once(spark):
+    """The test of the score was pushed below it, so that every text was folded once more."""
+    works = spark.createDataFrame([(1, "Wage Ｌabor", "x"), (2, "Été", "wage"), (3, "none", None), (4, None, "LÁBOR")], "work_id int, title string, abstract_text string")
+    df = retrieval.metadata_ranking(works, "wage labor", ["wage", "labor"], 10)
+    assert list(map(tuple, df.collect())) == [(1, 120), (2, 10), (4, 10)]
+    plan = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert not [line for line in plan if "Filter" in line and "lower(" in line]
+
+
+def test_fold_leaves_out_what_does_not_occur(spark):
+    rows = ["ＬＡＢＯＲ é", "Élan", "ABC", "文献 Ａ", "～！", "", None]
+    got = [r[0] for r in spark.createDataFrame([(k, v) for k, v in enumerate(rows)], "i int, v string").orderBy("i").select(text.fold(F.col("v"))).collect()]
+    assert got == ["labor e", "elan", "abc", "文献 a", "~!", "", None]
