@@ -358,3 +358,42 @@ def test_leak_space_is_fitted_on_all_items_and_no_sample():
     assert space.shape == (40, 6)
     passage = np.random.default_rng(2).random(40)
     assert np.allclose((passage @ space) @ (rows @ space).T, passage @ rows.T, atol=1e-5)
+
+
+def test_leak_directions_are_fitted_on_all_passages(spark):
+    """The space was fitted on the items alone, before that on a sample of passages."""
+    from papyra.llm import decontam
+
+    rng = np.random.default_rng(31)
+    # passages of one of six subjects, five words each, of one to six blocks
+    docs = [(k, sorted(rng.choice(decontam.BLOCK * 6, 40 * (1 + k % 6) // 2, replace=False).tolist()), k % 6) for k in range(300)]
+    rows = [(k, 32 * 6, pos, [int(5 * subject + rng.integers(5)) for _ in pos]) for k, pos, subject in docs] + [(1000, 9, [], []), (None, 0, [], [])]
+    hits = spark.createDataFrame(rows, "doc_id long, n_words long, pos array<int>, term array<int>").repartition(7)
+    weight = rng.random(33) + 0.5
+    whole = np.zeros((0, 33))
+    for _, _, pos, term in rows:
+        for block in range(6):
+            own = np.bincount([t for p, t in zip(pos, term) if block * 32 <= p < block * 32 + 64], minlength=33) * weight
+            if own.any():
+                whole = np.concatenate([whole, own[None] / np.linalg.norm(own)])
+    assert np.allclose(decontam._gram_times(hits, weight, np.eye(33)), whole.T @ whole, atol=1e-3)
+    v = np.linalg.svd(whole, full_matrices=False)[2][:6].T
+    got = decontam.corpus_space(hits, weight, 20)
+    assert np.allclose(got.T @ got, np.eye(20), atol=1e-5) and np.linalg.svd(v.T @ got)[1].min() > 0.99
+    assert decontam.corpus_space(hits.limit(0), weight, 12).shape == (33, 0)
+
+
+def test_leaks_whose_rare_words_were_replaced(spark):
+    """What stays of such an item are words that its subject's passages share: its product with the passage is too small, its place in the latent space is near."""
+    rng = np.random.default_rng(32)
+    text = lambda s, n: [f"s{s % 16}w{k}" for k in rng.integers(0, 60, n)]
+    items, docs = [], []
+    for k in range(40):
+        common, rare = text(k, 24), [f"rare{k}x{i}" for i in range(16)]
+        items.append((k, [w for pair in zip(rare, common) for w in pair] + common[16:]))
+        around = [f"rare{(k + 1 + i) % 40}x{i % 16}" for i in range(56)]
+        docs.append((k, around[:28] + [f"new{rng.integers(9000)}" if w.startswith("rare") else w for w in items[k][1]] + around[28:]))
+        docs += [(100 + 20 * k + i, text(k, 192)) for i in range(20)]
+    df = spark.createDataFrame([(d, " ".join(x)) for d, x in docs], "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in benchmark_leaks(df, spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string")).collect()}
+    assert {(k, k) for k, _ in items} <= got, sorted({(k, k) for k, _ in items} - got)
