@@ -110,6 +110,21 @@ def test_token_jaccard_pairs_on_copies(spark, copies):
     assert works.count() == 400 and contents.count() == 10
 
 
+def test_token_jaccard_pairs_of_names_that_differ(spark, tmp_path, monkeypatch):
+    """The word that all titles have made pairs of all; with an author in common it makes those of an author, each once and in slices."""
+    root, con = str(tmp_path), duckdb.connect()
+    con.execute(f"copy (select i as s_suppkey, case when i % 31 = 0 then 'Supplier' when i % 37 = 0 then '' when i % 41 = 0 then NULL when i % 43 = 0 then 'Supplier#7 Supplier#8 of ' || i // 2 else 'Supplier#' || lpad(i::varchar, 9, '0') end as s_name, (i % 25)::int as s_nationkey from range(500) r(i)) to '{root}/supplier.parquet' (format parquet)")
+    con.execute(f"create view supplier as select * from '{root}/supplier.parquet'")
+    met, keep = {}, dedup._meet
+    monkeypatch.setattr(dedup, "_meet", lambda a, b, sizes, share, named: met.setdefault((share > 0, named, a.count() > 0), keep(a, b, sizes, share, named)))
+    monkeypatch.setattr(dedup, "SLICE", 3)
+    same_as_sql(spark, (root, con), "token_jaccard_pairs")
+    assert met[True, False, True].count() < 20_000  # 17 titles of that word alone with all others, not 250,000
+    named = met[False, True, True]
+    assert named.count() == named.select("left", "right").distinct().count() < 15 * 20 * 20
+    assert named.select("_slice").distinct().count() > 3
+
+
 def test_dup_cascade_titles_on_copies(spark, copies):
     same_as_sql(spark, copies, "dup_cascade_titles")
 
