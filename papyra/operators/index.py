@@ -2,7 +2,7 @@
 
 Tables under the index's folder, each with a part for every generation, as an update is called:
 
-* ``postings/generation=G/bucket=B``: term, chunk_id, work_id, dl, positions; each file is sorted by term;
+* ``postings/generation=G/bucket=B``: term, chunk_id, work_id, dl, positions; each file is sorted by term, or holds pieces that are;
 * ``chunks/generation=G``: chunk_id, work_id, dl, digest, text;
 * ``dead/generation=G``: works of which older generations no longer count;
 * ``summary/generation=G``: chunks and tokens that the update added and took away, written last;
@@ -17,8 +17,12 @@ a join on a table of works.  compact() folds all generations into one.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,14 +39,49 @@ def _phrase_frequency(phrase: list[str], column: dict[str, str]) -> Column:
     return F.size(reduce(F.array_intersect, [back(w, k) for k, w in enumerate(phrase)]))
 
 
-def _postings(chunks: DataFrame) -> DataFrame:
-    """chunk_id, work_id, dl, term, positions: a chunk's tokens (own) are in one row, so they are grouped there, as runs of its sorted tokens."""
-    placed = chunks.where("dl > 0").withColumn("own", F.sort_array(F.transform("own", lambda t, i: F.struct(t.alias("term"), i.alias("at")))))
-    term = lambda i: F.get("own", i)["term"]
-    runs = placed.withColumn("_starts", F.filter(F.sequence(F.lit(0), F.col("dl") - 1), lambda i: (i == 0) | (term(i) != term(i - 1))))
-    until = lambda k: F.coalesce(F.get("_starts", k + 1), F.col("dl"))
-    run = lambda s, k: F.struct(term(s).alias("term"), F.transform(F.slice("own", s + 1, until(k) - s), lambda x: x["at"]).alias("positions"))
-    return runs.select("chunk_id", "work_id", "dl", F.inline(F.transform("_starts", run)))
+#: About as many tokens are grouped at once.
+PIECE = 1_000_000
+
+
+def _grouped(buckets: int):
+    """Postings of chunks, sorted by bucket, term and chunk in each piece: terms and chunks get numbers in that order, and one sort by both brings a term's places together."""
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = np.cumsum(batch.column("dl").to_numpy())
+            lo = 0
+            while lo < batch.num_rows:
+                hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + PIECE, "right")))
+                yield batch.slice(lo, hi - lo)
+                lo = hi
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in pieces(batches):
+            part = part.take(pc.sort_indices(part, [("chunk_id", "ascending")]))
+            size = pc.list_value_length(part.column("own")).to_numpy(zero_copy_only=False)
+            coded = part.column("own").flatten().dictionary_encode()
+            named = pa.table({"term": coded.dictionary, "bucket": pa.array([zlib.crc32(t.encode()) % buckets for t in coded.dictionary.to_pylist()], pa.int32())})
+            by_name = pc.sort_indices(named, [("bucket", "ascending"), ("term", "ascending")])
+            number = np.empty(len(by_name), np.int64)
+            number[by_name.to_numpy()] = np.arange(len(by_name))
+            chunk = np.repeat(np.arange(len(size)), size)
+            place = np.arange(len(chunk)) - np.repeat(np.cumsum(size) - size, size)
+            key = number[coded.indices.to_numpy()] * len(size) + chunk
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+            first = np.flatnonzero(np.diff(key, prepend=-1))
+            term, chunk = np.divmod(key[first], len(size))
+            of, name = part.select(["chunk_id", "work_id", "dl"]).take(pa.array(chunk)), named.take(by_name.take(pa.array(term))).combine_chunks()
+            positions = pa.ListArray.from_arrays(pa.array(np.append(first, len(key)), pa.int32()), pa.array(place[order], pa.int32()))
+            yield pa.RecordBatch.from_arrays([*of.columns, *[name.column(c).combine_chunks() for c in ("term", "bucket")], positions], [*of.schema.names, "term", "bucket", "positions"])
+
+    return run
+
+
+def _postings(chunks: DataFrame, buckets: int = 64) -> DataFrame:
+    """chunk_id, work_id, dl, term, bucket, positions: a chunk's tokens (own) are in one row, so they are grouped where they are."""
+    kind = dict(chunks.dtypes)
+    return chunks.where("dl > 0").select("chunk_id", "work_id", "dl", "own").mapInArrow(_grouped(buckets), f"chunk_id {kind['chunk_id']}, work_id {kind['work_id']}, dl int, term string, bucket int, positions array<int>")
 
 
 class KeptIndex:
@@ -107,9 +146,9 @@ class KeptIndex:
         self._write(rows, "chunks", now)
 
         chunks = self._read("chunks", [now])  # written once: what makes the chunks is not run again
-        postings = _postings(chunks.select("chunk_id", "work_id", "dl", own.alias("own"))).withColumn("bucket", (F.crc32("term") % self.buckets).cast("int"))
-        # each task sorts and writes the postings of its own chunks, as a segment: no token or posting is sent
-        self._write(postings.sortWithinPartitions("bucket", "term", "chunk_id"), "postings", now, "bucket")
+        postings = _postings(chunks.select("chunk_id", "work_id", "dl", own.alias("own")), self.buckets)
+        # each task writes the postings of its own chunks, as a segment: no token or posting is sent, and pieces that are sorted need no comparing
+        self._write(postings.sortWithinPartitions("bucket"), "postings", now, "bucket")
 
         added = chunks.agg(F.count("*").alias("added"), F.coalesce(F.sum("dl"), F.lit(0)).alias("added_tokens"))
         gone = chunks.select("work_id") if removed is None else chunks.select("work_id").union(removed.select("work_id"))

@@ -1,5 +1,7 @@
 """Queries whose work once grew with the square of a table's copies: rows of their SQL on many copies, and figures that do not grow so."""
 
+import zlib
+
 import duckdb
 import pandas as pd
 import pytest
@@ -8,7 +10,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from papyra.functions import identifiers, text
 from papyra.operators import dedup, index, manifest, retrieval, state
-from papyra.plans import records
+from papyra.plans import catalogue, records
 
 SHIFT = 100_000
 
@@ -150,6 +152,26 @@ def test_index_postings_are_grouped_in_their_row(spark):
     assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_index_postings_come_sorted_in_pieces(spark, monkeypatch):
+    """Every posting was compared with others of its task, text by text; pieces come out sorted, so only numbers of buckets are."""
+    texts = {k: [f"t{(k * 7 + i * i) % 13}" for i in range(k % 6)] for k in range(40)}
+    chunks = spark.createDataFrame([(k, f"w{k % 3}", len(own), own) for k, own in texts.items()], "chunk_id int, work_id string, dl int, own array<string>").coalesce(1)
+    want = {(k, f"w{k % 3}", len(own), t, zlib.crc32(t.encode()) % 5, tuple(i for i, x in enumerate(own) if x == t)) for k, own in texts.items() for t in own}
+    for piece in (1, 7, 10**6):
+        monkeypatch.setattr(index, "PIECE", piece)
+        df = index._postings(chunks, 5)
+        got = [(r["chunk_id"], r["work_id"], r["dl"], r["term"], r["bucket"], tuple(r["positions"])) for r in df.collect()]
+        assert len(got) == len(want) and set(got) == want
+    assert [(r[4], r[3], r[0]) for r in got] == sorted((r[4], r[3], r[0]) for r in got)
+    assert "Sort [bucket" in plan_of(df.sortWithinPartitions("bucket")) and "transform(" not in plan_of(df)
+
+
+def test_fts_postings_builds_its_own_index_only(spark, sf_dir, monkeypatch):
+    """The index of the whole table was built for the name of its folder."""
+    monkeypatch.setattr(catalogue, "text_index", lambda *a: pytest.fail("not needed"))
+    assert __spark_entry__.queries()["fts_postings"](spark, sf_dir).count() == 61
+
+
 def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
